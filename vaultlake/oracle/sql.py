@@ -166,3 +166,112 @@ ORACLE["aggregated_stats"] = with_ctes(
   (SELECT count(DISTINCT tx_hash) FROM vault_events) AS total_txs_all
 FROM vault_events GROUP BY vault, vault_name""",
 )
+
+# ---- strategies ------------------------------------------------------------------------------
+register_cte("strategies", f"""strategies AS (
+  SELECT * FROM (VALUES {STRATEGY_VALUES}) s(strategy_name, strategy_address, asset_token))""", [])
+register_cte("apy_set", f"""apy_set AS (
+  SELECT strategy_address AS contract_id, asset_token AS asset, strategy_name FROM strategies
+  WHERE strategy_name LIKE '%yieldblox_strategy%' AND asset_token IN ({APY_ASSET_LIST}))""", ["strategies"])
+register_cte("clicks", f"""clicks AS (
+  SELECT event_id, ts AS closed_at, date_trunc('hour', ts) AS closed_at_hour,
+    'T' || lpad(CAST(event_id // 2 AS VARCHAR), 10, '0') AS tx_hash,
+    {strat_of('event_id')} AS contract_id,
+    {dec('CAST(round(value * 100) AS BIGINT) * 100000')} AS ev_amount,
+    {dec('10000000 + event_id')} AS ev_pps
+  FROM events WHERE event_type = 'click')""", [])
+register_cte("harvest_events", """harvest_base AS (
+  SELECT c.* FROM clicks c WHERE c.contract_id IN (SELECT contract_id FROM apy_set)),
+harvest_tx AS (SELECT tx_hash, max(ev_amount) AS amount, max(ev_pps) AS price_per_share FROM harvest_base GROUP BY tx_hash),
+harvest_events AS (
+  SELECT b.closed_at_hour AS hour, b.contract_id AS strategy_address, s.asset, t.amount, t.price_per_share,
+    b.tx_hash AS hash, b.closed_at
+  FROM harvest_base b LEFT JOIN apy_set s ON s.contract_id = b.contract_id LEFT JOIN harvest_tx t ON t.tx_hash = b.tx_hash)""",
+    ["clicks", "apy_set"])
+ORACLE["harvest_events"] = with_ctes(["harvest_events"], "SELECT * FROM harvest_events")
+ORACLE["harvest_fields"] = with_ctes(["harvest_events"], "SELECT * FROM harvest_tx")
+ORACLE["strategy_overview"] = with_ctes(["strategies", "clicks"], """SELECT s.strategy_name, s.strategy_address, s.asset_token,
+  CAST(count(c.event_id) AS BIGINT) AS harvests, min(c.closed_at) AS first_harvest, max(c.closed_at) AS last_harvest
+FROM strategies s LEFT JOIN clicks c ON c.contract_id = s.strategy_address
+GROUP BY s.strategy_name, s.strategy_address, s.asset_token""")
+
+register_cte("fee_tuples", f"""fee_tuples AS (
+  SELECT {vault_of('(event_id // 2) % 25')} AS vault, ts AS closed_at, date_trunc('hour', ts) AS closed_at_hour,
+    'T' || lpad(CAST(event_id // 2 AS VARCHAR), 10, '0') AS tx_hash, event_id // 2 AS tx_id,
+    'CA' || CAST(i AS VARCHAR) AS recipient_address,
+    {dec('CAST(round(value * 100) AS BIGINT) * 1000 * (i + 1)')} AS fee_amount
+  FROM (SELECT *, unnest(range(0, event_id % 3 + 1)) AS i FROM events WHERE event_type = 'view') x)""", [])
+ORACLE["fee_tuples"] = with_ctes(["fee_tuples"], "SELECT * FROM fee_tuples")
+ORACLE["fees_distributed"] = with_ctes(["fee_tuples", "vault_info"], """SELECT f.closed_at, f.closed_at_hour, f.vault, v.vault_name,
+  v.asset, v.asset_code, f.recipient_address, f.fee_amount, f.tx_hash, f.tx_id
+FROM fee_tuples f LEFT JOIN vault_info v ON v.vault = f.vault""")
+
+register_cte("reports", f"""reports AS (
+  SELECT {vault_of('l_suppkey % 25')} AS vault, l_shipdate AS closed_at, l_orderkey AS ledger_sequence,
+    {strat_of('l_partkey')} AS strategy_address,
+    {dec('CAST(round(l_tax * 100) AS BIGINT) * 100000')} AS locked_fee,
+    {dec('(CAST(round(l_discount * 100) AS BIGINT) - 5) * 100000')} AS gains_or_losses,
+    {dec('CAST(round(l_extendedprice * 100) AS BIGINT) * 100000')} AS prev_balance
+  FROM lineitem WHERE l_returnflag <> 'R')""", [])
+ORACLE["report_key"] = with_ctes(["reports"], "SELECT vault, closed_at, ledger_sequence, strategy_address FROM reports")
+ORACLE["report_pivot"] = with_ctes(["reports"], "SELECT DISTINCT * FROM reports")
+ORACLE["locked_fees"] = with_ctes(["reports", "vault_info"], """SELECT r.closed_at, r.ledger_sequence, r.vault, v.vault_name, v.asset,
+  v.asset_code, r.strategy_address, r.locked_fee, r.gains_or_losses, r.prev_balance
+FROM (SELECT * FROM reports QUALIFY row_number() OVER (PARTITION BY vault, strategy_address
+      ORDER BY closed_at DESC, ledger_sequence DESC, locked_fee DESC, gains_or_losses DESC, prev_balance DESC) = 1) r
+LEFT JOIN vault_info v ON v.vault = r.vault""")
+
+HORIZONS = (("24h", "INTERVAL 24 HOUR"), ("7d", "INTERVAL 7 DAY"), ("30d", "INTERVAL 30 DAY"))
+
+
+def _endpoint_sql() -> str:
+    parts = []
+    for s, iv in HORIZONS:
+        inside = f"h.closed_at >= mt.max_time - {iv}"
+        parts += [
+            f"min(CASE WHEN {inside} THEN h.closed_at END) AS first_time_{s}",
+            f"max(CASE WHEN {inside} THEN h.closed_at END) AS last_time_{s}",
+            f"count(CASE WHEN {inside} THEN 1 END) AS events_{s}",
+        ]
+    vals = []
+    for s, _ in HORIZONS:
+        vals += [
+            f"(SELECT max(h2.pps) FROM h h2 WHERE h2.contract_id = r.contract_id AND h2.closed_at = r.first_time_{s}) AS pps_{s}_start",
+            f"(SELECT max(h2.pps) FROM h h2 WHERE h2.contract_id = r.contract_id AND h2.closed_at = r.last_time_{s}) AS pps_{s}_end",
+        ]
+    return f"""h AS (SELECT strategy_address AS contract_id, closed_at, price_per_share AS pps FROM harvest_events
+       WHERE price_per_share IS NOT NULL AND price_per_share > 0),
+mt AS (SELECT max(closed_at) AS max_time FROM h),
+ranges AS (SELECT s.contract_id, s.asset, {', '.join(parts)}
+  FROM apy_set s CROSS JOIN mt LEFT JOIN h ON h.contract_id = s.contract_id GROUP BY s.contract_id, s.asset),
+endpoints AS (SELECT r.*, {', '.join(vals)} FROM ranges r)"""
+
+
+register_cte("endpoints", _endpoint_sql(), ["harvest_events"])
+
+
+def _apy_sql(s: str) -> str:
+    ms = f"((epoch_us(last_time_{s}) - epoch_us(first_time_{s})) / 1000.0)"
+    return (
+        f"CASE WHEN pps_{s}_start IS NOT NULL AND pps_{s}_end IS NOT NULL AND pps_{s}_start > 0 AND last_time_{s} > first_time_{s} "
+        f"THEN round(CAST((power(round(CAST(pps_{s}_end AS DOUBLE) / CAST(pps_{s}_start AS DOUBLE), 7), "
+        f"365.2425 * 86400000.0 / {ms}) - 1) * 100 AS DECIMAL(38,2)), 2) END AS apy_{s}"
+    )
+
+
+ORACLE["strategy_apy"] = with_ctes(
+    ["endpoints"],
+    "SELECT asset, contract_id, "
+    + ", ".join(_apy_sql(s) for s, _ in HORIZONS)
+    + ", events_24h, events_7d, events_30d, "
+    + ", ".join(f"pps_{s}_start, pps_{s}_end, first_time_{s}, last_time_{s}" for s, _ in HORIZONS)
+    + " FROM endpoints",
+)
+ORACLE["trailing_endpoints"] = with_ctes(
+    ["endpoints"],
+    "SELECT asset, contract_id, " + ", ".join(f"first_time_{s}, last_time_{s}, events_{s}" for s, _ in HORIZONS) + " FROM endpoints",
+)
+ORACLE["pps_at_endpoints"] = with_ctes(
+    ["endpoints"],
+    "SELECT asset, contract_id, " + ", ".join(f"pps_{s}_start, pps_{s}_end" for s, _ in HORIZONS) + " FROM endpoints",
+)

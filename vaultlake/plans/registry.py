@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from vaultlake.plans import strategies as S
 from vaultlake.plans import vaults as V
 from vaultlake.sources.ledger import Ledger
 
@@ -19,4 +20,15 @@ PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "latest_usd_tvl": V.latest_usd_tvl,
     "aggregated_stats": V.aggregated_stats,
     "explore_reports": V.explore_reports,
+    "strategy_overview": S.strategy_overview,
+    "harvest_events": S.harvest_events,
+    "harvest_fields": S.harvest_fields,
+    "fee_tuples": S.fee_tuples,
+    "fees_distributed": S.fees_distributed,
+    "report_key": S.report_key,
+    "report_pivot": S.report_pivot,
+    "locked_fees": S.locked_fees,
+    "strategy_apy": S.strategy_apy,
+    "trailing_endpoints": S.trailing_endpoints,
+    "pps_at_endpoints": S.pps_at_endpoints,
 }

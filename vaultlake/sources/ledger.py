@@ -94,7 +94,21 @@ def _conform(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
 
 
 class Ledger:
-    """The ledger tables of one data set plus the derived dimensions shared by the queries."""
+    """The ledger tables of one data set plus the derived dimensions shared by the queries.
+
+    `Ledger.shared(spark, dir)` returns one instance per session and data set, so small derived
+    tables (registry, metadata, prices, daily series) are materialised once and read by every
+    query, like the stored upstream results the dashboards are built on.
+    """
+
+    _shared: dict = {}
+
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str, config: VaultConfig | None = None) -> "Ledger":
+        key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir), config)
+        if key not in cls._shared:
+            cls._shared[key] = cls(spark, sf_dir, config)
+        return cls._shared[key]
 
     def __init__(self, spark: SparkSession, sf_dir: str, config: VaultConfig | None = None):
         self.spark = spark
@@ -103,8 +117,19 @@ class Ledger:
         self._dims: dict[str, DataFrame] = {}
 
     # -- driver tables ------------------------------------------------------------------------
+    SPREAD = ("events", "lineitem", "orders")
+
     def driver(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+        """A driver table.  The driver ships each table as one parquet row group, which Spark reads
+        with a single task; a ledger table on a cluster is many files read by many tasks.  So the
+        large tables are spread over the default parallelism (round-robin) before the ledger rows
+        are built, when the scan yields fewer partitions than that."""
+        df = read_table(self.spark, self.sf_dir, name)
+        if name in self.SPREAD:
+            target = self.spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < target:
+                df = df.repartition(target)
+        return df
 
     @cached_property
     def strategy_array(self) -> Column:
