@@ -275,3 +275,126 @@ ORACLE["pps_at_endpoints"] = with_ctes(
     ["endpoints"],
     "SELECT asset, contract_id, " + ", ".join(f"pps_{s}_start, pps_{s}_end" for s, _ in HORIZONS) + " FROM endpoints",
 )
+
+# ---- activity --------------------------------------------------------------------------------
+from vaultlake.sources.encode import topics as _topics  # noqa: E402
+
+_VT = CFG.vault_topic
+_SIGNUP = "[" + ", ".join(f"'{_topics(_VT, k)}'" for k in ("paused", "unpaused", "unwind", "invest")) + "]"
+register_cte("all_events", f"""all_events AS (
+  SELECT event_id, event_type, user_id, value, ts AS closed_at,
+    'T' || lpad(CAST(event_id // 2 AS VARCHAR), 10, '0') AS transaction_hash,
+    event_id // 2 AS transaction_id,
+    event_id % 53 <> 0 AS successful,
+    CASE WHEN event_type = 'click' THEN {strat_of('event_id')} ELSE {vault_of('(event_id // 2) % 25')} END AS contract_id,
+    CASE WHEN event_type = 'purchase' THEN '{_topics(_VT, 'deposit')}'
+         WHEN event_type = 'error' AND event_id % 50 = 1 THEN '{_topics(_VT, 'withdraw', 'deposit')}'
+         WHEN event_type = 'error' THEN '{_topics(_VT, 'withdraw')}'
+         WHEN event_type = 'view' THEN '{_topics(_VT, 'dfees')}'
+         WHEN event_type = 'click' THEN '{_topics('BlendStrategy', 'harvest')}'
+         ELSE list_extract({_SIGNUP}, CAST(event_id % 4 AS INTEGER) + 1) END AS topics_decoded,
+    ts + to_microseconds(CAST((event_id % 60 + 1) * 1000000 AS BIGINT)) AS ingested_at
+  FROM events)""", [])
+register_cte("txs", """txs AS (
+  SELECT o_orderkey AS id, 'T' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS transaction_hash,
+    'G' || CAST(o_custkey AS VARCHAR) AS account,
+    CAST(round(o_totalprice * 100) AS BIGINT) AS fee_charged, 2 * CAST(round(o_totalprice * 100) AS BIGINT) AS max_fee,
+    CAST(1 + o_orderkey % 5 AS INTEGER) AS operation_count, o_orderstatus <> 'F' AS successful,
+    CASE WHEN o_orderstatus <> 'F' THEN 'tx_success' ELSE o_orderpriority END AS result_code_s,
+    (o_orderkey % 1000) * 1000 AS instr, (o_custkey % 500) * 10 AS rbytes, (o_orderkey % 300) * 10 AS wbytes,
+    o_orderdate AS closed_at
+  FROM orders)""", [])
+
+
+def since(table: str, days: int) -> str:
+    return f"CAST(CAST((SELECT max(closed_at) FROM {table}) AS DATE) - {days} AS TIMESTAMP)"
+
+
+ORACLE["events_per_contract"] = with_ctes(["all_events"], f"""SELECT contract_id, count(*) AS total_events,
+  count(DISTINCT transaction_hash) AS unique_transactions, min(closed_at) AS first_event, max(closed_at) AS last_event
+FROM all_events WHERE successful AND closed_at >= {since('all_events', 30)} GROUP BY contract_id""")
+ORACLE["fees_daily"] = with_ctes(["txs"], f"""SELECT date_trunc('day', closed_at) AS day, count(*) AS num_transactions,
+  avg(fee_charged) AS avg_fee, min(fee_charged) AS min_fee, max(fee_charged) AS max_fee, CAST(sum(fee_charged) AS BIGINT) AS total_fees
+FROM txs WHERE successful AND closed_at >= {since('txs', 30)} GROUP BY 1""")
+ORACLE["top_accounts"] = with_ctes(["txs"], f"""SELECT account, count(*) AS num_transactions,
+  CAST(sum(operation_count) AS BIGINT) AS total_operations, CAST(sum(fee_charged) AS BIGINT) AS total_fees_paid,
+  min(closed_at) AS first_tx, max(closed_at) AS last_tx
+FROM txs WHERE successful AND closed_at >= {since('txs', 7)} GROUP BY account ORDER BY num_transactions DESC, account LIMIT 20""")
+ORACLE["failure_share"] = with_ctes(["txs"], f"""SELECT result_code_s, count(*) AS failure_count,
+  CAST(count(*) AS DOUBLE) * 100.0 / CAST(sum(count(*)) OVER () AS DOUBLE) AS failure_percentage
+FROM txs WHERE NOT successful AND closed_at >= {since('txs', 7)} GROUP BY result_code_s""")
+_STATE = """'{"map":[{"key":{"symbol":"status"},"val":{"string":"' || o_orderstatus || '"}}]}'"""
+ORACLE["state_changes"] = f"""WITH h AS (
+  SELECT 'CU' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS contract_id, o_orderkey AS ledger_sequence, o_orderdate AS closed_at,
+    {_STATE} AS cur, lag({_STATE}) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev
+  FROM orders)
+SELECT contract_id, ledger_sequence, closed_at, cur AS current_state, prev AS previous_state,
+  CASE WHEN prev IS NULL THEN 'CREATED' WHEN cur <> prev THEN 'MODIFIED' ELSE 'NO_CHANGE' END AS change_type
+FROM h WHERE prev IS NULL OR cur <> prev"""
+ORACLE["events_transactions"] = with_ctes(["all_events", "txs"], """SELECT e.contract_id, e.closed_at, e.topics_decoded,
+  t.account, t.fee_charged, t.operation_count
+FROM all_events e JOIN txs t ON t.transaction_hash = e.transaction_hash WHERE e.successful""")
+ORACLE["asset_contract_events"] = with_ctes(["all_events", "vault_info"], """SELECT e.contract_id, count(*) AS num_events,
+  count(DISTINCT e.transaction_hash) AS num_transactions, min(e.closed_at) AS first_event, max(e.closed_at) AS last_event
+FROM all_events e WHERE e.successful AND e.contract_id IN (SELECT vault FROM vault_info WHERE asset_code = 'USDC')
+GROUP BY e.contract_id""")
+ORACLE["hourly_counts_filled"] = with_ctes(["all_events", "vault_info"], f"""SELECT v.vault AS contract_id, h.hour,
+  coalesce(c.events_count, 0) AS events_count
+FROM vault_info v
+CROSS JOIN (SELECT CAST(unnest(generate_series({since('all_events', 7)},
+   date_trunc('hour', (SELECT max(closed_at) FROM all_events)), INTERVAL 1 HOUR)) AS TIMESTAMP) AS hour) h
+LEFT JOIN (SELECT contract_id, date_trunc('hour', closed_at) AS hour, count(*) AS events_count FROM all_events
+           WHERE closed_at >= {since('all_events', 7)} GROUP BY 1, 2) c ON c.contract_id = v.vault AND c.hour = h.hour""")
+ORACLE["moving_avg_rank"] = with_ctes(["all_events"], f"""SELECT closed_at, contract_id, events,
+  round(avg(events) OVER (PARTITION BY contract_id ORDER BY closed_at ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS moving_avg_100,
+  dense_rank() OVER (PARTITION BY date_trunc('hour', closed_at) ORDER BY events DESC) AS hourly_rank
+FROM (SELECT closed_at, contract_id, count(*) AS events FROM all_events
+      WHERE successful AND closed_at >= {since('all_events', 7)} GROUP BY 1, 2) g""")
+_DEP = "CASE WHEN event = 'deposit' THEN amount ELSE 0 END"
+_WD = "CASE WHEN event = 'withdraw' THEN amount ELSE 0 END"
+_NET = "CASE WHEN event = 'deposit' THEN amount ELSE -amount END"
+ORACLE["user_activity"] = with_ctes(["vault_events"], f"""SELECT "to" AS user, count(*) AS num_transactions,
+  sum({_DEP}) AS total_deposited, sum({_WD}) AS total_withdrawn
+FROM vault_events GROUP BY "to" ORDER BY total_deposited DESC, user LIMIT 10""")
+ORACLE["top_depositors"] = with_ctes(["vault_events"], """SELECT "to" AS user, sum(amount) AS total_volume
+FROM vault_events WHERE event = 'deposit' GROUP BY "to" ORDER BY total_volume DESC, user LIMIT 10""")
+ORACLE["net_flow_vault"] = with_ctes(["vault_events"], f"""SELECT date_trunc('day', closed_at) AS day, vault_name,
+  sum({_DEP}) AS deposits, sum({_WD}) AS withdrawals, sum({_NET}) AS net_flow
+FROM vault_events GROUP BY 1, 2""")
+ORACLE["net_flow"] = with_ctes(["vault_events"], f"""SELECT date_trunc('day', closed_at) AS day, sum({_NET}) AS net_flow
+FROM vault_events GROUP BY 1""")
+ORACLE["active_users"] = with_ctes(["vault_events"], """SELECT "to" AS user, count(*) AS events, count(DISTINCT tx_hash) AS transactions
+FROM vault_events GROUP BY "to" ORDER BY events DESC, user LIMIT 10""")
+ORACLE["cohort_retention"] = with_ctes(["vault_events"], """SELECT cohort_week, CAST(date_diff('day', cohort_week, week) / 7 AS INTEGER) AS week_offset,
+  count(DISTINCT "user") AS users
+FROM (SELECT "to" AS "user", date_trunc('week', closed_at) AS week,
+             min(date_trunc('week', closed_at)) OVER (PARTITION BY "to") AS cohort_week FROM vault_events) x
+GROUP BY 1, 2""")
+ORACLE["busiest_days"] = with_ctes(["vault_events"], """SELECT date_trunc('day', closed_at) AS day, count(*) AS events
+FROM vault_events GROUP BY 1 ORDER BY events DESC, day DESC LIMIT 5""")
+ORACLE["activity_profile"] = with_ctes(["vault_events"], """SELECT CAST(isodow(closed_at) AS INTEGER) AS iso_weekday,
+  CAST(hour(closed_at) AS INTEGER) AS hour_of_day, count(*) AS events, sum(amount) AS volume
+FROM vault_events GROUP BY 1, 2""")
+ORACLE["vault_transitions"] = with_ctes(["vault_events"], """SELECT vault AS from_vault, next_vault AS to_vault, count(*) AS moves,
+  count(DISTINCT "user") AS users
+FROM (SELECT *, lead(vault) OVER (PARTITION BY "user" ORDER BY closed_at, tx_hash, vault) AS next_vault
+      FROM (SELECT DISTINCT "to" AS "user", closed_at, tx_hash, vault FROM vault_events) d) x
+WHERE next_vault IS NOT NULL AND next_vault <> vault GROUP BY 1, 2""")
+ORACLE["multi_vault_users"] = with_ctes(["vault_events"], """SELECT "to" AS user, count(DISTINCT vault) AS vaults
+FROM vault_events GROUP BY "to" HAVING count(DISTINCT vault) > 1""")
+ORACLE["new_vaults"] = with_ctes(["vault_events"], """SELECT vault, vault_name, min(closed_at) AS first_event, count(*) AS events
+FROM vault_events GROUP BY vault, vault_name""")
+ORACLE["resource_usage"] = with_ctes(["txs"], """SELECT account, count(*) AS transactions, CAST(sum(instr) AS BIGINT) AS instructions,
+  CAST(sum(rbytes) AS BIGINT) AS read_bytes, CAST(sum(wbytes) AS BIGINT) AS write_bytes, max(instr) AS max_instructions
+FROM txs GROUP BY account""")
+ORACLE["fee_headroom"] = with_ctes(["txs"], """SELECT date_trunc('day', closed_at) AS day, CAST(sum(fee_charged) AS BIGINT) AS fee_charged,
+  CAST(sum(max_fee) AS BIGINT) AS max_fee, round(CAST(sum(fee_charged) AS DOUBLE) / CAST(sum(max_fee) AS DOUBLE), 6) AS charged_ratio,
+  count(CASE WHEN fee_charged >= max_fee THEN 1 END) AS at_limit
+FROM txs GROUP BY 1""")
+ORACLE["ingest_lag"] = with_ctes(["all_events"], """SELECT date_trunc('day', closed_at) AS day, count(*) AS events,
+  min((epoch_us(ingested_at) - epoch_us(closed_at)) / 1e6) AS min_lag_s, max((epoch_us(ingested_at) - epoch_us(closed_at)) / 1e6) AS max_lag_s,
+  round(avg((epoch_us(ingested_at) - epoch_us(closed_at)) / 1e6), 6) AS avg_lag_s
+FROM all_events GROUP BY 1""")
+ORACLE["topic_frequency"] = with_ctes(["all_events"], """SELECT contract_id, topics_decoded, count(*) AS events,
+  count(DISTINCT transaction_hash) AS transactions
+FROM all_events GROUP BY 1, 2""")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from vaultlake.plans import activity as A
 from vaultlake.plans import strategies as S
 from vaultlake.plans import vaults as V
 from vaultlake.sources.ledger import Ledger
@@ -31,4 +32,30 @@ PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "strategy_apy": S.strategy_apy,
     "trailing_endpoints": S.trailing_endpoints,
     "pps_at_endpoints": S.pps_at_endpoints,
+    "recent_events": A.recent_events,
+    "events_per_contract": A.events_per_contract,
+    "fees_daily": A.fees_daily,
+    "top_accounts": A.top_accounts,
+    "failure_share": A.failure_share,
+    "state_changes": A.state_changes,
+    "events_transactions": A.events_transactions,
+    "events_latest_state": A.events_latest_state,
+    "asset_contract_events": A.asset_contract_events,
+    "hourly_counts_filled": A.hourly_counts_filled,
+    "moving_avg_rank": A.moving_avg_rank,
+    "user_activity": A.user_activity,
+    "top_depositors": A.top_depositors,
+    "net_flow_vault": A.net_flow_vault,
+    "net_flow": A.net_flow,
+    "active_users": A.active_users,
+    "cohort_retention": A.cohort_retention,
+    "busiest_days": A.busiest_days,
+    "activity_profile": A.activity_profile,
+    "vault_transitions": A.vault_transitions,
+    "multi_vault_users": A.multi_vault_users,
+    "new_vaults": A.new_vaults,
+    "resource_usage": A.resource_usage,
+    "fee_headroom": A.fee_headroom,
+    "ingest_lag": A.ingest_lag,
+    "topic_frequency": A.topic_frequency,
 }
