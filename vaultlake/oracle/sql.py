@@ -398,3 +398,74 @@ FROM all_events GROUP BY 1""")
 ORACLE["topic_frequency"] = with_ctes(["all_events"], """SELECT contract_id, topics_decoded, count(*) AS events,
   count(DISTINCT transaction_hash) AS transactions
 FROM all_events GROUP BY 1, 2""")
+
+# ---- tvl analyses -----------------------------------------------------------------------------
+register_cte("fprev", """fprev AS (
+  SELECT *, lag(usd_tvl) OVER (PARTITION BY vault ORDER BY day) AS prev_tvl FROM filled_days),
+newest AS (SELECT max(day) AS d FROM filled_days)""", ["filled"])
+
+
+def pct(new: str, old: str) -> str:
+    return f"round((CAST({new} AS DOUBLE) - CAST({old} AS DOUBLE)) / nullif(CAST({old} AS DOUBLE), 0.0) * 100, 6)"
+
+
+ORACLE["tvl_change"] = with_ctes(["fprev"], f"""SELECT vault, vault_name, day, usd_tvl, prev_tvl, {pct('usd_tvl', 'prev_tvl')} AS tvl_change_pct
+FROM fprev WHERE day = (SELECT d FROM newest)""")
+
+
+def growth(days: int) -> str:
+    return f"""SELECT t.vault, t.usd_tvl AS tvl_today, b.usd_tvl AS tvl_before, {pct('t.usd_tvl', 'b.usd_tvl')} AS growth_pct
+FROM filled_days t JOIN filled_days b ON b.vault = t.vault AND b.day = t.day - INTERVAL {days} DAY
+WHERE t.day = (SELECT d FROM newest)"""
+
+
+ORACLE["tvl_growth_30d"] = with_ctes(["fprev"], growth(30))
+ORACLE["fastest_growing"] = with_ctes(["fprev"], growth(7) + " ORDER BY growth_pct DESC NULLS LAST, t.vault LIMIT 5")
+ORACLE["tvl_by_asset"] = with_ctes(["fprev", "vault_info"], """SELECT m.asset_code, count(DISTINCT m.vault) AS num_vaults, sum(t.usd_tvl) AS total_tvl
+FROM vault_info m JOIN filled_days t ON t.vault = m.vault WHERE t.day = (SELECT d FROM newest) GROUP BY m.asset_code""")
+ORACLE["asset_share"] = with_ctes(["fprev"], """SELECT asset_code, total_tvl,
+  round(CAST(total_tvl AS DOUBLE) / CAST(sum(total_tvl) OVER () AS DOUBLE) * 100, 6) AS share_pct
+FROM (SELECT asset_code, sum(usd_tvl) AS total_tvl FROM filled_days WHERE day = (SELECT d FROM newest) GROUP BY asset_code) g""")
+register_cte("agg_stats", """agg_stats AS (
+  SELECT vault, count(DISTINCT "to") AS total_accounts, count(DISTINCT tx_hash) AS total_txs FROM vault_events GROUP BY vault)""",
+    ["vault_events"])
+ORACLE["cross_vault"] = with_ctes(["fprev", "vault_info", "agg_stats"], """SELECT v.vault, v.vault_name, v.asset_code, t.usd_tvl, s.total_accounts,
+  round(CAST(t.usd_tvl AS DOUBLE) / CAST(nullif(s.total_accounts, 0) AS DOUBLE), 6) AS tvl_per_user,
+  round(CAST(s.total_txs AS DOUBLE) / CAST(nullif(s.total_accounts, 0) AS DOUBLE), 6) AS txs_per_user
+FROM vault_info v JOIN filled_days t ON t.vault = v.vault AND t.day = (SELECT d FROM newest) JOIN agg_stats s ON s.vault = v.vault""")
+ORACLE["vault_assets"] = with_ctes(["ve_base", "prices"], f"""SELECT x.day, x.vault, x.asset, x.asset_code, x.asset_tvl,
+  CAST(x.asset_tvl * (CASE WHEN x.asset_code IN ({PEGGED}) THEN CAST(1 AS DECIMAL(38,7)) ELSE p.price END) AS DECIMAL(38,7)) AS usd_tvl
+FROM (
+  SELECT day, vault, asset, max(tvl) AS asset_tvl,
+    CASE asset WHEN 'CA0' THEN 'USDC' WHEN '{NATIVE_ASSET_CONTRACT}' THEN 'XLM' WHEN 'CA2' THEN 'EURC' WHEN 'CA4' THEN 'AQUA' ELSE 'UNKNOWN' END AS asset_code
+  FROM (
+    SELECT date_trunc('day', closed_at) AS day, vault, {asset_of('vnum % 5')} AS asset, {dec('tvl_u')} AS tvl FROM ve_base WHERE event_id % 97 <> 0
+    UNION ALL
+    SELECT date_trunc('day', closed_at), vault, 'CA9', {dec('event_id * 1000')} FROM ve_base WHERE event_id % 97 <> 0 AND event_id % 11 = 0
+  ) e GROUP BY day, vault, asset) x
+LEFT JOIN prices p ON p.token = x.asset AND p.day = x.day
+WHERE x.asset_code IN ({PEGGED}) OR p.price IS NOT NULL""")
+ORACLE["tvl_volatility"] = with_ctes(["fprev"], """SELECT vault, round(stddev_samp(CAST(usd_tvl AS DOUBLE) - CAST(prev_tvl AS DOUBLE)), 6) AS stddev_daily_change,
+  count(CAST(usd_tvl AS DOUBLE) - CAST(prev_tvl AS DOUBLE)) AS changes FROM fprev GROUP BY vault""")
+ORACLE["tvl_drops"] = with_ctes(["fprev"], f"""SELECT * FROM (SELECT day, vault, prev_tvl, usd_tvl, {pct('usd_tvl', 'prev_tvl')} AS change_pct FROM fprev) x
+WHERE change_pct <= -20.0""")
+ORACLE["tvl_trend"] = with_ctes(["fprev"], """SELECT vault,
+  round(regr_slope(CAST(usd_tvl AS DOUBLE), CAST(date_diff('day', (SELECT CAST(d AS DATE) FROM newest), CAST(day AS DATE)) AS DOUBLE)), 6) AS slope_per_day,
+  round(regr_intercept(CAST(usd_tvl AS DOUBLE), CAST(date_diff('day', (SELECT CAST(d AS DATE) FROM newest), CAST(day AS DATE)) AS DOUBLE)), 4) AS fitted_today,
+  count(*) AS days FROM filled_days GROUP BY vault""")
+ORACLE["protocol_tvl"] = with_ctes(["filled"], "SELECT day, sum(usd_tvl) AS total_usd_tvl, count(*) AS vaults FROM filled_days GROUP BY day")
+ORACLE["market_share"] = with_ctes(["filled"], """SELECT day, asset_code, tvl,
+  round(CAST(tvl AS DOUBLE) / CAST(sum(tvl) OVER (PARTITION BY day) AS DOUBLE) * 100, 6) AS share_pct
+FROM (SELECT day, asset_code, sum(usd_tvl) AS tvl FROM filled_days GROUP BY day, asset_code) g""")
+ORACLE["price_tvl_corr"] = with_ctes(["tvl_hours"], f"""SELECT asset_code, round(corr(CAST(asset_price AS DOUBLE), CAST(asset_tvl AS DOUBLE)), 6) AS corr,
+  count(*) AS hours FROM tvl_hours WHERE asset_code NOT IN ({PEGGED}) GROUP BY asset_code""")
+ORACLE["large_withdrawals"] = with_ctes(["vault_events"], """SELECT closed_at, vault, "to", amount, total_amount, tx_hash,
+  round(CAST(amount AS DOUBLE) / CAST(total_amount AS DOUBLE), 6) AS share
+FROM vault_events WHERE event = 'withdraw' AND total_amount > 0 AND CAST(amount AS DOUBLE) / CAST(total_amount AS DOUBLE) >= 0.001""")
+ORACLE["vault_ranking"] = with_ctes(["fprev", "agg_stats"], """SELECT *, round((tvl_rank + accounts_rank + txs_rank) / 3.0, 6) AS mean_rank FROM (
+  SELECT t.vault, t.usd_tvl, s.total_accounts, s.total_txs,
+    rank() OVER (ORDER BY t.usd_tvl DESC) AS tvl_rank, rank() OVER (ORDER BY s.total_accounts DESC) AS accounts_rank,
+    rank() OVER (ORDER BY s.total_txs DESC) AS txs_rank
+  FROM filled_days t JOIN agg_stats s ON s.vault = t.vault WHERE t.day = (SELECT d FROM newest)) r""")
+ORACLE["vault_outliers"] = with_ctes(["fprev"], """SELECT vault, round((x - avg(x) OVER ()) / nullif(stddev_samp(x) OVER (), 0.0), 6) AS z_score
+FROM (SELECT vault, CAST(usd_tvl AS DOUBLE) AS x FROM filled_days WHERE day = (SELECT d FROM newest)) l""")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from vaultlake.plans import activity as A
 from vaultlake.plans import strategies as S
+from vaultlake.plans import tvl as T
 from vaultlake.plans import vaults as V
 from vaultlake.sources.ledger import Ledger
 
@@ -58,4 +59,20 @@ PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "fee_headroom": A.fee_headroom,
     "ingest_lag": A.ingest_lag,
     "topic_frequency": A.topic_frequency,
+    "tvl_change": T.tvl_change,
+    "tvl_growth_30d": T.tvl_growth_30d,
+    "fastest_growing": T.fastest_growing,
+    "tvl_by_asset": T.tvl_by_asset,
+    "asset_share": T.asset_share,
+    "cross_vault": T.cross_vault,
+    "vault_assets": T.vault_assets,
+    "tvl_volatility": T.tvl_volatility,
+    "tvl_drops": T.tvl_drops,
+    "tvl_trend": T.tvl_trend,
+    "protocol_tvl": T.protocol_tvl,
+    "market_share": T.market_share,
+    "price_tvl_corr": T.price_tvl_corr,
+    "large_withdrawals": T.large_withdrawals,
+    "vault_ranking": T.vault_ranking,
+    "vault_outliers": T.vault_outliers,
 }
