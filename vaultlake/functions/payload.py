@@ -42,7 +42,7 @@ def field_values(entries: Column, symbols: str | Sequence[str]) -> Column:
 
 
 def first_value(entries: Column, symbol: str) -> Column:
-    return F.element_at(field_values(entries, symbol), 1)
+    return F.try_element_at(field_values(entries, symbol), F.lit(1))
 
 
 def addresses(vals: Column) -> Column:

@@ -469,3 +469,75 @@ ORACLE["vault_ranking"] = with_ctes(["fprev", "agg_stats"], """SELECT *, round((
   FROM filled_days t JOIN agg_stats s ON s.vault = t.vault WHERE t.day = (SELECT d FROM newest)) r""")
 ORACLE["vault_outliers"] = with_ctes(["fprev"], """SELECT vault, round((x - avg(x) OVER ()) / nullif(stddev_samp(x) OVER (), 0.0), 6) AS z_score
 FROM (SELECT vault, CAST(usd_tvl AS DOUBLE) AS x FROM filled_days WHERE day = (SELECT d FROM newest)) l""")
+
+# ---- typed events and audits -------------------------------------------------------------------
+_KINDS = "['paused', 'unpaused', 'unwind', 'invest']"
+_SHARES_U = ("(CASE WHEN tvl_u = 0 THEN amt_u ELSE amt_u * (1 + vnum % 3) END + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END)")
+register_cte("ev_units", """ev_units AS (
+  SELECT e.*, (event_id // 2) % 25 AS vnum, CAST(round(value * 100) AS BIGINT) * 100000 AS amt_u,
+    CASE WHEN ((event_id // 2) % 25) % 7 = 0 THEN 0 ELSE ((event_id * 7919) % 1000003) * 10000000 + event_id % 997 END AS tvl_u
+  FROM all_events e)""", ["all_events"])
+ORACLE["decode_events"] = with_ctes(["ev_units"], f"""SELECT transaction_hash AS tx_hash, contract_id, closed_at,
+  CASE event_type WHEN 'purchase' THEN 'deposit' WHEN 'error' THEN 'withdraw' WHEN 'view' THEN 'dfees' WHEN 'click' THEN 'harvest'
+       ELSE list_extract({_KINDS}, CAST(event_id % 4 AS INTEGER) + 1) END AS kind,
+  CASE WHEN event_type = 'view' THEN NULL ELSE 'G' || CAST(user_id AS VARCHAR) END AS account,
+  CASE WHEN event_type = 'signup' AND event_id % 4 IN (0, 1) THEN {strat_of('event_id')} END AS strategy,
+  CASE WHEN event_type IN ('purchase', 'error', 'click') THEN {dec('amt_u')} END AS amount,
+  CASE WHEN event_type IN ('purchase', 'error') THEN {dec(_SHARES_U)} END AS shares
+FROM ev_units""")
+
+
+def _apy_expr(start: str, end: str, t0: str, t1: str) -> str:
+    ms = f"((epoch_us({t1}) - epoch_us({t0})) / 1000.0)"
+    return (
+        f"CASE WHEN {start} IS NOT NULL AND {end} IS NOT NULL AND {start} > 0 AND {t1} > {t0} "
+        f"THEN round(CAST((power(round(CAST({end} AS DOUBLE) / CAST({start} AS DOUBLE), 7), 365.2425 * 86400000.0 / {ms}) - 1) * 100 AS DECIMAL(38,2)), 2) END"
+    )
+
+
+ORACLE["harvest_step_apy"] = with_ctes(["harvest_events"], f"""SELECT strategy_address, closed_at, hash, price_per_share, prev_price_per_share,
+  {_apy_expr('prev_price_per_share', 'price_per_share', 'prev_closed_at', 'closed_at')} AS step_apy
+FROM (SELECT strategy_address, closed_at, hash, price_per_share,
+        lag(price_per_share) OVER (PARTITION BY strategy_address ORDER BY closed_at, hash) AS prev_price_per_share,
+        lag(closed_at) OVER (PARTITION BY strategy_address ORDER BY closed_at, hash) AS prev_closed_at
+      FROM harvest_events) x""")
+ORACLE["fee_audit"] = with_ctes(["fee_tuples"], """SELECT recipient_address, sum(fee_amount) AS total_fees, count(*) AS tuples
+FROM fee_tuples GROUP BY ROLLUP (recipient_address)""")
+ORACLE["rebalance_log"] = with_ctes(["ev_units"], f"""SELECT CASE WHEN event_id % 4 = 2 THEN 'unwind' ELSE 'invest' END AS kind,
+  contract_id AS vault, closed_at, transaction_hash AS tx_hash, {strat_of('event_id')} AS strategy, {dec('amt_u')} AS amount
+FROM ev_units WHERE event_type = 'signup' AND event_id % 4 IN (2, 3)""")
+register_cte("flow_units", """flow_units AS (
+  SELECT * FROM ev_units WHERE event_type IN ('purchase', 'error'))""", ["ev_units"])
+ORACLE["share_price"] = with_ctes(["flow_units"], f"""SELECT transaction_hash AS tx_hash, contract_id AS vault, closed_at,
+  CASE WHEN event_type = 'error' THEN 'withdraw' ELSE 'deposit' END AS event,
+  CASE WHEN event_id % 97 = 0 THEN NULL ELSE round(CAST({dec('tvl_u')} AS DOUBLE) / CAST({dec('tvl_u * (1 + vnum % 3)')} AS DOUBLE), 9) END AS share_price
+FROM flow_units WHERE tvl_u * (1 + vnum % 3) > 0""")
+ORACLE["share_reconcile"] = with_ctes(["flow_units"], f"""SELECT * FROM (
+  SELECT transaction_hash AS tx_hash, contract_id AS vault, closed_at,
+    CASE WHEN event_type = 'error' THEN 'withdraw' ELSE 'deposit' END AS event,
+    {dec(_SHARES_U)} AS shares,
+    CASE WHEN tvl_u = 0 THEN {dec('amt_u')}
+         ELSE CAST(round(CAST({dec('amt_u')} AS DOUBLE) * CAST({dec('tvl_u * (1 + vnum % 3)')} AS DOUBLE) / CAST({dec('tvl_u')} AS DOUBLE), 7) AS DECIMAL(38,7)) END AS expected_shares
+  FROM flow_units WHERE event_id % 97 <> 0) x WHERE shares <> expected_shares""")
+register_cte("latest_reports", """latest_reports AS (
+  SELECT * FROM reports QUALIFY row_number() OVER (PARTITION BY vault, strategy_address
+      ORDER BY closed_at DESC, ledger_sequence DESC, locked_fee DESC, gains_or_losses DESC, prev_balance DESC) = 1)""", ["reports"])
+ORACLE["fee_split"] = with_ctes(["latest_reports"], f"""SELECT vault, strategy_address, locked_fee,
+  {dec('(CAST(locked_fee * 10000000 AS BIGINT) * 1000) // 1500')} AS vault_share,
+  {dec('CAST(locked_fee * 10000000 AS BIGINT) - (CAST(locked_fee * 10000000 AS BIGINT) * 1000) // 1500')} AS protocol_share
+FROM latest_reports""")
+ORACLE["report_deltas"] = with_ctes(["reports"], """SELECT vault, strategy_address, closed_at, ledger_sequence, prev_balance,
+  last_prev_balance AS previous_report_balance, CAST(prev_balance - last_prev_balance AS DECIMAL(38,7)) AS delta
+FROM (SELECT *, lag(prev_balance) OVER (PARTITION BY vault, strategy_address
+        ORDER BY closed_at, ledger_sequence, locked_fee, gains_or_losses, prev_balance) AS last_prev_balance
+      FROM (SELECT DISTINCT * FROM reports) d) x""")
+ORACLE["allocations"] = with_ctes(["flow_units"], f"""SELECT transaction_hash AS tx_hash, contract_id AS vault, closed_at,
+  {asset_of('vnum % 5')} AS asset, {dec('tvl_u // 4')} AS idle_amount, {dec('tvl_u - tvl_u // 4')} AS invested_amount,
+  {strat_of('vnum')} AS strategy_address, {dec('tvl_u - tvl_u // 4')} AS allocated, false AS paused
+FROM flow_units WHERE event_id % 97 <> 0""")
+ORACLE["strategy_status"] = with_ctes(["ev_units"], f"""SELECT vault, strategy_address, changed_at,
+  CASE WHEN kind = 'paused' THEN 'paused' ELSE 'active' END AS status
+FROM (SELECT contract_id AS vault, {strat_of('event_id')} AS strategy_address, closed_at AS changed_at,
+        CASE WHEN event_id % 4 = 0 THEN 'paused' ELSE 'unpaused' END AS kind, transaction_hash
+      FROM ev_units WHERE event_type = 'signup' AND event_id % 4 IN (0, 1)
+      QUALIFY row_number() OVER (PARTITION BY contract_id, {strat_of('event_id')} ORDER BY closed_at DESC, transaction_hash DESC) = 1) x""")

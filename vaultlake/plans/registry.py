@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from vaultlake.plans import activity as A
+from vaultlake.plans import audit as X
 from vaultlake.plans import strategies as S
 from vaultlake.plans import tvl as T
 from vaultlake.plans import vaults as V
@@ -75,4 +76,14 @@ PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "large_withdrawals": T.large_withdrawals,
     "vault_ranking": T.vault_ranking,
     "vault_outliers": T.vault_outliers,
+    "decode_events": X.decode_events,
+    "harvest_step_apy": X.harvest_step_apy,
+    "fee_audit": X.fee_audit,
+    "rebalance_log": X.rebalance_log,
+    "share_price": X.share_price,
+    "share_reconcile": X.share_reconcile,
+    "fee_split": X.fee_split,
+    "report_deltas": X.report_deltas,
+    "allocations": X.allocations,
+    "strategy_status": X.strategy_status,
 }

@@ -124,7 +124,7 @@ def vault_assets(L: Ledger) -> DataFrame:
         F.col("contract_id").alias("vault"), day_bucket(F.col("closed_at")).alias("day"), F.explode(elems).alias("elem")
     )
     m = parse_entries(F.get_json_object("elem", "$.map"))
-    first = lambda sym: F.element_at(field_values(m, sym), 1)
+    first = lambda sym: F.try_element_at(field_values(m, sym), F.lit(1))
     x = x.select("vault", "day", F.get_json_object(first("asset"), "$.address").alias("asset"), i128(first("total_amount")).alias("tvl"))
     daily = x.groupBy("day", "vault", "asset").agg(F.max("tvl").alias("asset_tvl"))
     assets = L.dim("funds_assets", lambda: daily.select("asset").where(F.col("asset").isNotNull()).distinct())
