@@ -541,3 +541,47 @@ FROM (SELECT contract_id AS vault, {strat_of('event_id')} AS strategy_address, c
         CASE WHEN event_id % 4 = 0 THEN 'paused' ELSE 'unpaused' END AS kind, transaction_hash
       FROM ev_units WHERE event_type = 'signup' AND event_id % 4 IN (0, 1)
       QUALIFY row_number() OVER (PARTITION BY contract_id, {strat_of('event_id')} ORDER BY closed_at DESC, transaction_hash DESC) = 1) x""")
+
+# ---- building blocks ------------------------------------------------------------------------
+ORACLE["scan_state"] = with_ctes(["nat"], """SELECT vault AS contract_id,
+  CAST('2023-12-01 00:00:00' AS TIMESTAMP) + v * INTERVAL 1 DAY + n * INTERVAL 1 MINUTE AS closed_at, CAST(v * 1000 + n AS BIGINT) AS ledger_sequence
+FROM nat, (VALUES (1), (2), (3)) t(v)""")
+ORACLE["scan_events"] = with_ctes(["all_events"], """SELECT contract_id, closed_at, transaction_hash FROM all_events
+WHERE event_type IN ('purchase', 'error')""")
+ORACLE["scan_transactions"] = with_ctes(["txs"], f"""SELECT id, account, fee_charged, closed_at FROM txs
+WHERE successful AND closed_at >= {since('txs', 30)}""")
+ORACLE["decode_i128"] = with_ctes(["flow_units"], f"""SELECT transaction_hash AS tx_hash, contract_id AS vault, closed_at,
+  {dec('amt_u')} AS amount, {dec(_SHARES_U)} AS shares, {dec('tvl_u * (1 + vnum % 3)')} AS supply,
+  CASE WHEN event_id % 97 = 0 THEN NULL ELSE {dec('tvl_u')} END AS funds
+FROM flow_units""")
+ORACLE["payload_fields"] = with_ctes(["all_events"], """SELECT transaction_hash, closed_at, unnest(CASE WHEN event_type = 'purchase'
+  THEN ['amounts', 'depositor', 'df_tokens_minted', 'total_managed_funds_before', 'total_supply_before']
+  ELSE ['amounts_withdrawn', 'df_tokens_burned', 'total_managed_funds_before', 'total_supply_before', 'withdrawer'] END) AS symbol
+FROM all_events WHERE event_type IN ('purchase', 'error')""")
+ORACLE["latest_snapshot"] = with_ctes(["nat"], """SELECT vault,
+  CAST('2023-12-01 00:00:00' AS TIMESTAMP) + 3 * INTERVAL 1 DAY + n * INTERVAL 1 MINUTE AS closed_at, CAST(3000 + n AS BIGINT) AS ledger_sequence
+FROM nat""")
+ORACLE["latest_snapshot_ties"] = with_ctes(["nat"], f"""SELECT DISTINCT {asset_of('r')} AS contract_id,
+  CASE r WHEN 0 THEN 'USDC' WHEN 1 THEN 'XLM' WHEN 2 THEN 'EURC' WHEN 4 THEN 'AQUA' ELSE '' END AS asset_code FROM nat""")
+ORACLE["contract_metadata"] = with_ctes(["nat"], f"""SELECT vault, CASE WHEN n % 12 = 11 THEN NULL ELSE '{CFG.name_prefix}' || n_name || '-v3' END AS name,
+  upper(substr(n_name, 1, 3)) AS symbol, {asset_of('r')} AS asset FROM nat""")
+ORACLE["asset_code_resolve"] = with_ctes(["vault_info"], "SELECT vault, asset, asset_code FROM vault_info")
+ORACLE["vault_display_name"] = with_ctes(["vault_info"], "SELECT vault, vault_name FROM vault_info")
+ORACLE["topic_filter"] = with_ctes(["all_events"], "SELECT contract_id, closed_at, transaction_hash FROM all_events WHERE event_type = 'view'")
+ORACLE["event_classify"] = with_ctes(["all_events"], """SELECT transaction_hash, closed_at,
+  CASE WHEN event_type = 'error' THEN 'withdraw' ELSE 'deposit' END AS event FROM all_events WHERE event_type IN ('purchase', 'error')""")
+ORACLE["registry_semi_join"] = with_ctes(["all_events"], "SELECT contract_id, closed_at, transaction_hash FROM all_events WHERE event_type <> 'click'")
+ORACLE["event_account"] = with_ctes(["ve_tx"], 'SELECT vault, tx_hash, to_addr AS "to" FROM ve_tx')
+ORACLE["event_amount_sum"] = with_ctes(["ve_tx"], f"SELECT vault, tx_hash, {dec('tx_amt_u')} AS amount FROM ve_tx")
+ORACLE["event_tvl"] = with_ctes(["ve_base"], f"SELECT vault, tx_hash, closed_at, {dec('tvl_u')} AS total_amount FROM ve_base WHERE event_id % 97 <> 0")
+ORACLE["hourly_max"] = with_ctes(["tvl_hours"], "SELECT * FROM hourly")
+ORACLE["dedup_prices"] = with_ctes(["prices"], "SELECT * FROM prices")
+ORACLE["price_join"] = with_ctes(["tvl_hours"], "SELECT hour, vault, asset, asset_code, asset_price FROM tvl_hours")
+ORACLE["usd_value"] = with_ctes(["tvl_hours"], "SELECT hour, vault, usd_tvl FROM tvl_hours")
+ORACLE["daily_max"] = with_ctes(["filled"], "SELECT * FROM daily")
+ORACLE["nonzero_keys"] = with_ctes(["filled"], "SELECT * FROM live_keys")
+ORACLE["calendar"] = with_ctes(["filled"], "SELECT * FROM all_days")
+ORACLE["dense_grid"] = with_ctes(["filled"], "SELECT day, vault, vault_name, asset, asset_code FROM grid")
+ORACLE["grid_join"] = with_ctes(["filled"], "SELECT * FROM grid")
+ORACLE["fill_groups"] = with_ctes(["filled"], "SELECT day, vault, grp FROM grouped")
+ORACLE["forward_fill"] = with_ctes(["filled"], "SELECT day, vault, asset_tvl, usd_tvl FROM filled")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from vaultlake.plans import activity as A
 from vaultlake.plans import audit as X
+from vaultlake.plans import blocks as B
 from vaultlake.plans import strategies as S
 from vaultlake.plans import tvl as T
 from vaultlake.plans import vaults as V
@@ -86,4 +87,31 @@ PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "report_deltas": X.report_deltas,
     "allocations": X.allocations,
     "strategy_status": X.strategy_status,
+    "scan_state": B.scan_state,
+    "scan_events": B.scan_events,
+    "scan_transactions": B.scan_transactions,
+    "decode_i128": B.decode_i128,
+    "payload_fields": B.payload_fields,
+    "latest_snapshot": B.latest_snapshot,
+    "latest_snapshot_ties": B.latest_snapshot_ties,
+    "contract_metadata": B.contract_metadata,
+    "asset_code_resolve": B.asset_code_resolve,
+    "vault_display_name": B.vault_display_name,
+    "topic_filter": B.topic_filter,
+    "event_classify": B.event_classify,
+    "registry_semi_join": B.registry_semi_join,
+    "event_account": B.event_account,
+    "event_amount_sum": B.event_amount_sum,
+    "event_tvl": B.event_tvl,
+    "hourly_max": B.hourly_max,
+    "dedup_prices": B.dedup_prices,
+    "price_join": B.price_join,
+    "usd_value": B.usd_value,
+    "daily_max": B.daily_max,
+    "nonzero_keys": B.nonzero_keys,
+    "calendar": B.calendar,
+    "dense_grid": B.dense_grid,
+    "grid_join": B.grid_join,
+    "fill_groups": B.fill_groups,
+    "forward_fill": B.forward_fill,
 }
