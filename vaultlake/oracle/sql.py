@@ -585,3 +585,5 @@ ORACLE["dense_grid"] = with_ctes(["filled"], "SELECT day, vault, vault_name, ass
 ORACLE["grid_join"] = with_ctes(["filled"], "SELECT * FROM grid")
 ORACLE["fill_groups"] = with_ctes(["filled"], "SELECT day, vault, grp FROM grouped")
 ORACLE["forward_fill"] = with_ctes(["filled"], "SELECT day, vault, asset_tvl, usd_tvl FROM filled")
+
+ORACLE["materialize_dag"] = ORACLE["latest_usd_tvl"]

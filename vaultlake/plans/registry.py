@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from vaultlake.plans import activity as A
 from vaultlake.plans import audit as X
 from vaultlake.plans import blocks as B
+from vaultlake.plans import dag as G
+from vaultlake.streaming import jobs as SJ
 from vaultlake.plans import strategies as S
 from vaultlake.plans import tvl as T
 from vaultlake.plans import vaults as V
@@ -114,4 +116,10 @@ PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "grid_join": B.grid_join,
     "fill_groups": B.fill_groups,
     "forward_fill": B.forward_fill,
+    "materialize_dag": G.materialize_dag,
+    "preview": G.preview,
+    "inspect_raw_decoded": G.inspect_raw_decoded,
+    "stream_decode": SJ.stream_decode,
+    "stream_net_flow": SJ.stream_net_flow,
+    "stream_alerts": SJ.stream_alerts,
 }

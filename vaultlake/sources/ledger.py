@@ -288,7 +288,11 @@ class Ledger:
     # -- contract_events ----------------------------------------------------------------------
     @cached_property
     def contract_events(self) -> DataFrame:
-        ev = self.driver("events").select("event_id", "ts", "user_id", "event_type", "value")
+        return self.events_to_ledger(self.driver("events"))
+
+    def events_to_ledger(self, ev: DataFrame) -> DataFrame:
+        """Ledger contract events from driver `events` rows (works on batch and streaming input)."""
+        ev = ev.select("event_id", "ts", "user_id", "event_type", "value")
         eid = F.col("event_id")
         pair = F.expr("event_id div 2")
         vnum = pair % N_VAULTS
