@@ -1,31 +1,53 @@
 """Joins against small derived tables with a checked size.
 
-Dimensions (vault registry, vault metadata, price table) are computed once, written to the
-checkpoint folder (lineage cut, survives executor loss) and counted; only a dimension whose row
-count is within the limit is broadcast.  Larger ones fall back to a shuffled join, where AQE can
-still switch strategy at run time.
+Dimensions (vault registry, vault metadata, price table, daily series) are computed once per
+Ledger, persisted (memory, spilling to disk; blocks lost with an executor are recomputed from
+their lineage) and counted in the same job.  Only a dimension whose counted row count is within the
+limit is broadcast; a larger one falls back to a shuffled join, where AQE can still switch
+strategy at run time.  `checkpoint_small` is the variant that cuts lineage by writing to the
+cluster's checkpoint folder, for dimensions at the end of a long plan.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultlake.session import ensure_checkpoint_dir
 
+_ROWS: dict[int, int] = {}
+
 
 def materialize(df: DataFrame) -> DataFrame:
+    """Persist `df` and record its row count (one job)."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _ROWS[id(df)] = df.count()
+    return df
+
+
+def checkpoint_small(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _ROWS[id(out)] = out.count()
+    return out
+
+
+def row_count(df: DataFrame, max_rows: int) -> int:
+    if id(df) in _ROWS:
+        return _ROWS[id(df)]
+    return df.limit(max_rows + 1).count()
 
 
 def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """`df` with a broadcast hint if it holds at most `max_rows` rows (counted, not estimated)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if row_count(df, max_rows) <= max_rows else df
 
 
 def semi_join(big: DataFrame, keys: DataFrame, big_col: str, key_col: str, max_rows: int) -> DataFrame:
-    """Rows of `big` whose `big_col` occurs in `keys[key_col]` (SQL `IN (SELECT ...)`)."""
+    """Rows of `big` whose `big_col` occurs in `keys[key_col]` (SQL `IN (SELECT ...)`).  The key
+    set is bounded by the row count of `keys` when that is known."""
     k = keys.select(F.col(key_col).alias("__k")).where(F.col("__k").isNotNull()).distinct()
-    return big.join(bounded(k, max_rows), big[big_col] == F.col("__k"), "left_semi")
+    n = _ROWS.get(id(keys))
+    hint = F.broadcast(k) if (n is not None and n <= max_rows) or (n is None and row_count(k, max_rows) <= max_rows) else k
+    return big.join(hint, big[big_col] == F.col("__k"), "left_semi")

@@ -110,9 +110,10 @@ class Ledger:
             cls._shared[key] = cls(spark, sf_dir, config)
         return cls._shared[key]
 
-    def __init__(self, spark: SparkSession, sf_dir: str, config: VaultConfig | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, config: VaultConfig | None = None, store: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.store = store
         self.cfg = config or VaultConfig()
         self._dims: dict[str, DataFrame] = {}
 
@@ -138,9 +139,41 @@ class Ledger:
     def strategy_at(self, k: Column) -> Column:
         return F.element_at(self.strategy_array, (k % len(self.cfg.strategies)).cast("int") + 1)
 
-    # -- contract_data ------------------------------------------------------------------------
+    # -- stored ledger tables -----------------------------------------------------------------
+    _stored: dict = {}
+
+    def _stored_table(self, name: str, build, partition_by: str | None, sort_by: list[str]) -> DataFrame:
+        """The ledger table as it exists in a warehouse: derived once per data set, written as
+        Parquet into the cluster's checkpoint folder (partitioned and sorted so that contract and
+        key-type filters prune files and row groups), then read by every query."""
+        from vaultlake.session import ensure_checkpoint_dir
+
+        key = (self.spark.sparkContext.applicationId, os.path.abspath(self.sf_dir), self.cfg, name)
+        path = self._stored.get(key)
+        if path is None:
+            import uuid
+
+            path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/ledger-{uuid.uuid4().hex}/{name}"
+            n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+            cluster = ([partition_by] if partition_by else []) + list(sort_by)
+            # range-clustered on (key type, contract, time): each file covers a narrow contract range,
+            # so file and row-group min/max statistics prune contract filters
+            df = build().repartitionByRange(n, *cluster).sortWithinPartitions(*cluster)
+            w = df.write.mode("overwrite")
+            if partition_by:
+                w = w.partitionBy(partition_by)
+            w.parquet(path)
+            self._stored[key] = path
+        return self.spark.read.parquet(path)
+
     @cached_property
     def contract_data(self) -> DataFrame:
+        if self.store:
+            df = self._stored_table("contract_data", self._derive_contract_data, "contract_key_type", ["contract_id", "ledger_sequence"])
+            return df.select(*[n for n, _ in CONTRACT_DATA_COLUMNS])
+        return self._derive_contract_data()
+
+    def _derive_contract_data(self) -> DataFrame:
         parts = [
             self._registry_entries(),
             self._vault_instances(),
@@ -288,6 +321,10 @@ class Ledger:
     # -- contract_events ----------------------------------------------------------------------
     @cached_property
     def contract_events(self) -> DataFrame:
+        if self.store:
+            return self._stored_table(
+                "contract_events", lambda: self.events_to_ledger(self.driver("events")), None, ["contract_id", "closed_at"]
+            )
         return self.events_to_ledger(self.driver("events"))
 
     def events_to_ledger(self, ev: DataFrame) -> DataFrame:
@@ -431,6 +468,11 @@ class Ledger:
     # -- transactions -------------------------------------------------------------------------
     @cached_property
     def transactions(self) -> DataFrame:
+        if self.store:
+            return self._stored_table("transactions", self._derive_transactions, None, ["closed_at"])
+        return self._derive_transactions()
+
+    def _derive_transactions(self) -> DataFrame:
         o = self.driver("orders")
         key = F.col("o_orderkey")
         ok = F.col("o_orderstatus") != "F"
