@@ -462,7 +462,7 @@ class Ledger:
             F.to_date("ts").alias("closed_at_date"),
             F.col("ts").alias("closed_at"),
             (F.lit(1000000) + pair).cast("bigint").alias("ledger_sequence"),
-            (F.col("ts") + F.make_dt_interval(secs=(eid % 60 + 1).cast("decimal(8,6)"))).alias("ingested_at"),
+            (F.col("ts") + F.make_dt_interval(secs=(eid % 60 + 1).cast("decimal(18,6)"))).alias("ingested_at"),
         )
 
     # -- transactions -------------------------------------------------------------------------
@@ -496,7 +496,7 @@ class Ledger:
             ((key % 300) * 10).cast("bigint").alias("soroban_resources_write_bytes"),
             F.col("o_orderdate").alias("created_at"),
             F.col("o_orderdate").alias("closed_at"),
-            (F.col("o_orderdate") + F.make_dt_interval(secs=(key % 120).cast("decimal(8,6)"))).alias("ingested_at"),
+            (F.col("o_orderdate") + F.make_dt_interval(secs=(key % 120).cast("decimal(18,6)"))).alias("ingested_at"),
             F.lit(None).cast("string").alias("transaction_envelope_xdr"),
             F.array(F.lit("sig")).alias("signatures"),
             F.lit("MEMO_NONE").alias("memo_type"),
