@@ -587,3 +587,140 @@ ORACLE["fill_groups"] = with_ctes(["filled"], "SELECT day, vault, grp FROM group
 ORACLE["forward_fill"] = with_ctes(["filled"], "SELECT day, vault, asset_tvl, usd_tvl FROM filled")
 
 ORACLE["materialize_dag"] = ORACLE["latest_usd_tvl"]
+
+# ---- ledger JSON text, built from plain columns (for keys that output raw payloads) -----------
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def s_i128(units: str, scalar: str = "false") -> str:
+    lo = f"CAST(CASE WHEN ({units}) < 0 THEN CAST({units} AS HUGEINT) + 18446744073709551616 ELSE CAST({units} AS HUGEINT) END AS VARCHAR)"
+    return (f"(CASE WHEN {scalar} THEN '{{\"i128\":\"' || CAST({units} AS VARCHAR) || '\"}}' "
+            f"ELSE '{{\"i128\":{{\"hi\":' || CASE WHEN ({units}) < 0 THEN '-1' ELSE '0' END || ',\"lo\":' || {lo} || '}}}}' END)")
+
+
+def s_addr(x: str) -> str:
+    return f"('{{\"address\":\"' || {x} || '\"}}')"
+
+
+def s_entry(sym: str, val: str) -> str:
+    return f"('{{\"key\":{{\"symbol\":\"{sym}\"}},\"val\":' || {val} || '}}')"
+
+
+def s_map(*entries: str) -> str:
+    return "('{\"map\":[' || " + " || ',' || ".join(entries) + " || ']}')"
+
+
+def s_vec(*elems: str) -> str:
+    return "('{\"vec\":[' || " + " || ',' || ".join(elems) + " || ']}')"
+
+
+def s_vec_joined(joined: str) -> str:
+    return "('{\"vec\":[' || " + joined + " || ']}')"
+
+
+_USER = "('G' || CAST(user_id AS VARCHAR))"
+_SC = "(event_id % 3 = 0)"
+_IDLE = "(tvl_u // 4)"
+_FIRST_FUNDS = s_map(
+    s_entry("asset", s_addr(asset_of("vnum % 5"))),
+    s_entry("idle_amount", s_i128(_IDLE)),
+    s_entry("invested_amount", s_i128(f"(tvl_u - {_IDLE})")),
+    s_entry("strategy_allocations", s_vec(s_map(
+        s_entry("amount", s_i128(f"(tvl_u - {_IDLE})")),
+        s_entry("paused", "'{\"bool\":false}'"),
+        s_entry("strategy_address", s_addr(strat_of("vnum"))),
+    ))),
+    s_entry("total_amount", s_i128("tvl_u")),
+)
+_SECOND_FUNDS = s_map(
+    s_entry("asset", s_addr("'CA9'")),
+    s_entry("idle_amount", s_i128("(event_id * 1000)")),
+    s_entry("invested_amount", s_i128("0")),
+    s_entry("strategy_allocations", "'{\"vec\":[]}'"),
+    s_entry("total_amount", s_i128("(event_id * 1000)")),
+)
+_FUNDS = (f"(CASE WHEN event_id % 97 = 0 THEN '{{\"vec\":[]}}' ELSE "
+          + s_vec_joined(f"{_FIRST_FUNDS} || CASE WHEN event_id % 11 = 0 THEN ',' || {_SECOND_FUNDS} ELSE '' END") + " END)")
+_AMOUNTS = s_vec_joined(f"{s_i128('amt_u', _SC)} || CASE WHEN event_id % 5 = 0 THEN ',' || {s_i128('100000')} ELSE '' END")
+_SUPPLY = "(tvl_u * (1 + vnum % 3))"
+_DEPOSIT = s_map(
+    s_entry("amounts", _AMOUNTS), s_entry("depositor", s_addr(_USER)), s_entry("df_tokens_minted", s_i128(_SHARES_U)),
+    s_entry("total_managed_funds_before", _FUNDS), s_entry("total_supply_before", s_i128(_SUPPLY)),
+)
+_WITHDRAW = s_map(
+    s_entry("amounts_withdrawn", _AMOUNTS), s_entry("df_tokens_burned", s_i128(_SHARES_U)),
+    s_entry("total_managed_funds_before", _FUNDS), s_entry("total_supply_before", s_i128(_SUPPLY)),
+    s_entry("withdrawer", s_addr(_USER)),
+)
+_CENTS = "CAST(round(value * 100) AS BIGINT)"
+_FEES = s_map(s_entry("distributed_fees", s_vec_joined(
+    "array_to_string(list_transform(range(0, event_id % 3 + 1), lambda i: "
+    + s_vec(s_addr("('CA' || CAST(i AS VARCHAR))"), s_i128(f"({_CENTS} * 1000 * (i + 1))", "((event_id + i) % 4 = 0)"))
+    + "), ',')")))
+_STRAT = strat_of("event_id")
+_HARVEST = s_map(s_entry("amount", s_i128("amt_u", _SC)), s_entry("from", s_addr(_USER)),
+                 s_entry("price_per_share", s_i128("(10000000 + event_id)", _SC)))
+_PAUSE = s_map(s_entry("caller", s_addr(_USER)), s_entry("strategy_address", s_addr(_STRAT)))
+_UNWIND = s_map(s_entry("call_params", s_vec(s_vec(s_addr(_STRAT), s_i128("amt_u"), s_addr("contract_id")))), s_entry("caller", s_addr(_USER)))
+_INVEST = s_map(s_entry("asset_investments", s_vec(s_map(s_entry("amount", s_i128("amt_u")), s_entry("strategy", s_addr(_STRAT))))),
+                s_entry("caller", s_addr(_USER)))
+register_cte("ev_json", f"""ev_json AS (
+  SELECT *, CASE event_type WHEN 'purchase' THEN {_DEPOSIT} WHEN 'error' THEN {_WITHDRAW} WHEN 'view' THEN {_FEES}
+       WHEN 'click' THEN {_HARVEST} ELSE CASE WHEN event_id % 4 <= 1 THEN {_PAUSE} WHEN event_id % 4 = 2 THEN {_UNWIND} ELSE {_INVEST} END
+     END AS data_decoded
+  FROM ev_units)""", ["ev_units"])
+ORACLE["recent_events"] = with_ctes(["ev_json"], """SELECT contract_id, closed_at, transaction_hash, topics_decoded, data_decoded FROM ev_json
+WHERE contract_id = 'CV0003' AND topics_decoded LIKE '%deposit%' AND successful
+ORDER BY closed_at DESC, transaction_hash LIMIT 100""")
+ORACLE["inspect_raw_decoded"] = with_ctes(["ev_json"], """SELECT closed_at, transaction_hash, to_base64(encode(topics_decoded)) AS topics, topics_decoded,
+  to_base64(encode(data_decoded)) AS data, data_decoded FROM ev_json ORDER BY closed_at DESC, transaction_hash LIMIT 5""")
+_NAME_VAL = f"CASE WHEN n % 12 = 11 THEN '{{\"void\":null}}' ELSE '{{\"string\":\"' || {q(CFG.name_prefix)} || n_name || '-v3\"}}' END"
+_INSTANCE = ("('{\"contract_instance\":{\"executable\":{\"wasm\":\"00\"},\"storage\":[{\"key\":{\"symbol\":\"Metadata\"},\"val\":' || "
+             + s_map(s_entry("decimals", "'{\"u32\":7}'"), s_entry("name", _NAME_VAL),
+                     s_entry("symbol", "('{\"string\":\"' || upper(substr(n_name, 1, 3)) || '\"}')"))
+             + " || '},{\"key\":{\"symbol\":\"AssetStrategySet\"},\"val\":' || "
+             + s_map(s_entry("address", s_addr(asset_of("r"))), s_entry("strategies", "'{\"vec\":[]}'"))
+             + " || '}]}}')")
+ORACLE["events_latest_state"] = with_ctes(["all_events", "nat"], f"""SELECT e.contract_id, e.closed_at, e.topics_decoded, {_INSTANCE} AS contract_metadata
+FROM all_events e JOIN nat ON nat.vault = e.contract_id WHERE e.successful""")
+_REPORT_SC = "(l_linenumber % 3 = 0)"
+_REPORT_KEY = "('{\"vec\":[{\"symbol\":\"Report\"},' || " + s_addr(strat_of("l_partkey")) + " || ']}')"
+_REPORT_VAL = s_map(
+    s_entry("gains_or_losses", s_i128("((CAST(round(l_discount * 100) AS BIGINT) - 5) * 100000)", _REPORT_SC)),
+    s_entry("locked_fee", s_i128("(CAST(round(l_tax * 100) AS BIGINT) * 100000)", _REPORT_SC)),
+    s_entry("prev_balance", s_i128("(CAST(round(l_extendedprice * 100) AS BIGINT) * 100000)", _REPORT_SC)),
+)
+ORACLE["explore_reports"] = f"""SELECT * FROM (
+  SELECT {vault_of('l_suppkey % 25')} AS vault, l_shipdate AS closed_at, l_orderkey AS ledger_sequence,
+    'ScValTypeScvVec' AS contract_key_type, {_REPORT_KEY} AS key_decoded, {_REPORT_VAL} AS val_decoded, l_orderkey AS last_modified_ledger
+  FROM lineitem WHERE l_returnflag <> 'R' AND l_suppkey % 25 < 5) r
+ORDER BY closed_at DESC, ledger_sequence DESC, vault, key_decoded, val_decoded LIMIT 10"""
+ORACLE["preview"] = with_ctes(["vault_events"], """SELECT *, (SELECT count(*) FROM vault_events) AS total_rows FROM vault_events
+ORDER BY closed_at DESC NULLS LAST, vault DESC NULLS LAST, vault_name DESC NULLS LAST, asset DESC NULLS LAST, asset_code DESC NULLS LAST,
+  event DESC NULLS LAST, "to" DESC NULLS LAST, amount DESC NULLS LAST, total_amount DESC NULLS LAST, closed_at_hour DESC NULLS LAST,
+  tx_hash DESC NULLS LAST LIMIT 10""")
+
+# ---- streaming ---------------------------------------------------------------------------------
+register_cte("stream_flows", f"""stream_flows AS (
+  SELECT closed_at, contract_id AS vault, transaction_hash AS tx_hash,
+    CASE WHEN event_type = 'error' THEN 'withdraw' ELSE 'deposit' END AS event, 'G' || CAST(user_id AS VARCHAR) AS account,
+    {dec('amt_u + CASE WHEN event_id % 5 = 0 THEN 100000 ELSE 0 END')} AS amount,
+    CASE WHEN event_id % 97 = 0 THEN NULL ELSE {dec('tvl_u')} END AS total_amount
+  FROM ev_units WHERE event_type IN ('purchase', 'error'))""", ["ev_units"])
+ORACLE["stream_decode"] = with_ctes(["stream_flows"], "SELECT * FROM stream_flows")
+ORACLE["stream_net_flow"] = with_ctes(["stream_flows"], """SELECT date_trunc('day', closed_at) AS day,
+  sum(CASE WHEN event = 'deposit' THEN amount ELSE -amount END) AS net_flow, count(*) AS events FROM stream_flows GROUP BY 1""")
+ORACLE["stream_alerts"] = with_ctes(["stream_flows"], """SELECT vault, closed_at, 'large_withdrawal' AS kind, total_amount AS prev_tvl, amount AS tvl
+FROM stream_flows WHERE event = 'withdraw' AND total_amount > 0 AND CAST(amount AS DOUBLE) / CAST(total_amount AS DOUBLE) >= 0.001
+UNION ALL
+SELECT vault, closed_at, 'tvl_drop', prev_tvl, tvl FROM (
+  SELECT vault, closed_at, total_amount AS tvl,
+    lag(total_amount) OVER (PARTITION BY vault ORDER BY closed_at, tx_hash) AS prev_tvl
+  FROM stream_flows WHERE total_amount IS NOT NULL) x
+WHERE prev_tvl > 0 AND (CAST(tvl AS DOUBLE) - CAST(prev_tvl AS DOUBLE)) / CAST(prev_tvl AS DOUBLE) * 100 <= -50.0""")
+ORACLE["strategy_subset"] = with_ctes(["strategies", "clicks"], f"""SELECT s.strategy_name, s.strategy_address, s.asset_token,
+  CAST(count(c.event_id) AS BIGINT) AS harvests, min(c.closed_at) AS first_harvest, max(c.closed_at) AS last_harvest
+FROM strategies s LEFT JOIN clicks c ON c.contract_id = s.strategy_address
+WHERE s.strategy_name LIKE '%yieldblox_strategy%' AND s.asset_token IN ({APY_ASSET_LIST})
+GROUP BY s.strategy_name, s.strategy_address, s.asset_token""")

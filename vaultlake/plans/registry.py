@@ -27,6 +27,7 @@ PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "aggregated_stats": V.aggregated_stats,
     "explore_reports": V.explore_reports,
     "strategy_overview": S.strategy_overview,
+    "strategy_subset": S.strategy_subset,
     "harvest_events": S.harvest_events,
     "harvest_fields": S.harvest_fields,
     "fee_tuples": S.fee_tuples,

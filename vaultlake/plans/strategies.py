@@ -75,6 +75,13 @@ def strategy_overview(L: Ledger) -> DataFrame:
     ).orderBy("asset_token", "strategy_name")
 
 
+def strategy_subset(L: Ledger) -> DataFrame:
+    """The named strategy subset used by the harvest and APY reports (name pattern and asset list),
+    with each member's harvest activity in the event log."""
+    ov = strategy_overview(L)
+    return ov.where(F.col("strategy_name").like(APY_STRATEGY_PATTERN) & F.col("asset_token").isin(list(APY_ASSETS)))
+
+
 # -- Q10 ---------------------------------------------------------------------------------------
 def apy_strategies(L: Ledger) -> DataFrame:
     reg = strategy_table(L)

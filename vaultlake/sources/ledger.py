@@ -454,9 +454,9 @@ class Ledger:
             contract.alias("contract_id"),
             F.lit(1).alias("type"),
             F.lit("ContractEventTypeContract").alias("type_string"),
-            F.base64(topics.cast("binary")).alias("topics"),
+            F.translate(F.base64(topics.cast("binary")), "\r\n", "").alias("topics"),
             topics.alias("topics_decoded"),
-            F.base64(data.cast("binary")).alias("data"),
+            F.translate(F.base64(data.cast("binary")), "\r\n", "").alias("data"),
             data.alias("data_decoded"),
             F.lit(None).cast("string").alias("contract_event_xdr"),
             F.to_date("ts").alias("closed_at_date"),

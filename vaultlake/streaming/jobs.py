@@ -5,9 +5,9 @@ trigger availableNow), decoded per event, and written to Parquet with checkpoint
 cluster's checkpoint folder, so a restarted or failed run resumes where it stopped.
 
   stream_decode    decoded deposit/withdraw events, duplicates dropped within the watermark
-  stream_net_flow  daily net flow (tumbling one-day windows, event time)
-  stream_alerts    large withdrawals (stateless) and TVL drops per vault (applyInPandasWithState
-                   keeps the last TVL of each vault between micro-batches)
+  stream_net_flow  daily net flow per ledger day (complete mode; state = one row per day)
+  stream_alerts    large withdrawals and TVL drops per vault (foreachBatch: range-split lag in the
+                   batch, last reading per vault carried in an epoch-versioned state table)
 """
 
 from __future__ import annotations
@@ -15,13 +15,17 @@ from __future__ import annotations
 import os
 import uuid
 
-import pandas as pd
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vaultlake.functions.i128 import i128
 from vaultlake.functions.payload import field_values, parse_entries, parse_payload, parse_vec
+from vaultlake.functions.time import day_bucket
+from vaultlake.operators.joins import bounded
+from vaultlake.operators.latest import latest_per_key
+from vaultlake.operators.ordered import lag_by_key
 from vaultlake.plans.vaults import event_kind, sum_skip_nulls
 from vaultlake.session import ensure_checkpoint_dir
 from vaultlake.sources.ledger import Ledger
@@ -77,54 +81,73 @@ def stream_decode(L: Ledger) -> DataFrame:
 
 
 def stream_net_flow(L: Ledger) -> DataFrame:
+    """Net flow (deposits - withdrawals) and event count per ledger day, kept current: the
+    aggregate state is one row per day (bounded by the calendar), written in full each batch."""
     flows = decoded_flows(L)
     signed = F.when(F.col("event") == "deposit", F.col("amount")).otherwise(-F.col("amount"))
-    agg = flows.withWatermark("event_time", "1 day").groupBy(F.window("event_time", "1 day")).agg(
+    agg = flows.groupBy(day_bucket(F.col("closed_at")).alias("day")).agg(
         F.sum(signed).alias("net_flow"), F.count(F.lit(1)).alias("events")
     )
     out, ckpt = _folder(L.spark, "netflow"), _folder(L.spark, "netflow-ckpt")
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        batch.select(F.col("window.start").alias("window_start"), "net_flow", "events").write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(out)
 
     q = agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     return L.spark.read.parquet(out)
 
 
-ALERT_SCHEMA = "vault string, closed_at timestamp_ntz, kind string, prev_tvl decimal(38,7), tvl decimal(38,7)"
-STATE_SCHEMA = "last_tvl decimal(38,7), last_time timestamp_ntz"
-
-
-def _tvl_drop_alerts(drop_pct: float):
-    def fn(key, batches, state: GroupState):
-        vault = key[0]
-        last = state.get[0] if state.exists else None
-        last_time = state.get[1] if state.exists else None
-        rows = []
-        for pdf in batches:
-            for t, tvl in pdf.sort_values("closed_at")[["closed_at", "total_amount"]].itertuples(index=False):
-                if tvl is None or pd.isna(tvl):
-                    continue
-                if last is not None and last > 0 and (float(tvl) - float(last)) / float(last) * 100 <= drop_pct:
-                    rows.append((vault, t, "tvl_drop", last, tvl))
-                last, last_time = tvl, t
-        if last is not None:
-            state.update((last, last_time))
-        yield pd.DataFrame(rows, columns=["vault", "closed_at", "kind", "prev_tvl", "tvl"])
-
-    return fn
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
 
 
 def stream_alerts(L: Ledger, withdraw_share: float = 0.001, drop_pct: float = -50.0) -> DataFrame:
+    """Alerts per micro-batch: withdrawals of at least `withdraw_share` of the vault's TVL, and TVL
+    readings at least `drop_pct` percent below the vault's previous reading.
+
+    The previous reading comes from the range-split lag inside the batch (no task holds a whole
+    vault) and, for a vault's first event in the batch, from a state table with the last reading
+    per vault, written per epoch next to the output so a retried epoch rewrites the same files."""
+    spark = L.spark
     flows = decoded_flows(L)
-    large = flows.where(
-        (F.col("event") == "withdraw") & (F.col("total_amount") > 0)
-        & (F.col("amount").cast("double") / F.col("total_amount").cast("double") >= withdraw_share)
-    ).select("vault", "closed_at", F.lit("large_withdrawal").alias("kind"), F.col("total_amount").alias("prev_tvl"), F.col("amount").alias("tvl"))
-    drops = flows.select("vault", "closed_at", "total_amount").groupBy("vault").applyInPandasWithState(
-        _tvl_drop_alerts(drop_pct), ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
-    a = _run_to_parquet(large, "alerts-large", L.spark)
-    b = _run_to_parquet(drops, "alerts-drop", L.spark)
-    return a.unionByName(b)
+    out, state, ckpt = _folder(spark, "alerts"), _folder(spark, "alerts-state"), _folder(spark, "alerts-ckpt")
+    cols = ["vault", "closed_at", "kind", "prev_tvl", "tvl"]
+
+    def process(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        large = batch.where(
+            (F.col("event") == "withdraw") & (F.col("total_amount") > 0)
+            & (F.col("amount").cast("double") / F.col("total_amount").cast("double") >= withdraw_share)
+        ).select("vault", "closed_at", F.lit("large_withdrawal").alias("kind"),
+                 F.col("total_amount").alias("prev_tvl"), F.col("amount").alias("tvl"))
+        tv = batch.where(F.col("total_amount").isNotNull()).select("vault", "closed_at", "tx_hash", "total_amount")
+        seq = lag_by_key(tv, ["vault"], ["closed_at", "tx_hash"], ["total_amount"])
+        prev_state = _read_or_none(spark, f"{state}/epoch={epoch - 1}")
+        prev = F.col("prev_total_amount")
+        if prev_state is not None:
+            seq = seq.join(bounded(prev_state.select("vault", "last_tvl"), L.cfg.max_broadcast_rows), "vault", "left")
+            prev = F.coalesce(prev, F.col("last_tvl"))
+        seq = seq.select("vault", "closed_at", prev.alias("prev_tvl"), F.col("total_amount").alias("tvl"))
+        change = (F.col("tvl").cast("double") - F.col("prev_tvl").cast("double")) / F.col("prev_tvl").cast("double") * 100
+        drops = seq.where((F.col("prev_tvl") > 0) & (change <= drop_pct)).select(
+            "vault", "closed_at", F.lit("tvl_drop").alias("kind"), "prev_tvl", "tvl"
+        )
+        large.unionByName(drops).select(*cols).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        readings = tv.select("vault", "closed_at", "tx_hash", F.col("total_amount").alias("last_tvl"))
+        if prev_state is not None:
+            readings = readings.unionByName(prev_state.select("vault", "closed_at", "tx_hash", "last_tvl"))
+        latest_per_key(readings, ["vault"], ["closed_at", "tx_hash"], ["last_tvl"]).write.mode("overwrite").parquet(
+            f"{state}/epoch={epoch}"
+        )
+        batch.unpersist()
+
+    q = flows.writeStream.foreachBatch(process).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = _read_or_none(spark, out)
+    if got is None:
+        return spark.createDataFrame([], "vault string, closed_at timestamp_ntz, kind string, prev_tvl decimal(38,7), tvl decimal(38,7)")
+    return got.select(*cols)
