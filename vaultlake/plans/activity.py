@@ -17,7 +17,7 @@ from vaultlake.functions.time import day_bucket, hour_bucket
 from vaultlake.operators.joins import bounded
 from vaultlake.operators.latest import latest_per_key
 from vaultlake.operators.ordered import lag_by_key, rolling_mean_rows
-from vaultlake.plans.vaults import vault_events_df, vault_info_dim
+from vaultlake.plans.vaults import vault_events_level, vault_info_dim
 from vaultlake.sources.ledger import Ledger
 
 
@@ -191,7 +191,7 @@ def moving_avg_rank(L: Ledger, days: int = 7, rows: int = 100) -> DataFrame:
 
 # -- D14-D17 -----------------------------------------------------------------------------------
 def _flows(L: Ledger) -> DataFrame:
-    return vault_events_df(L)
+    return vault_events_level(L)
 
 
 def _dep(c: Column) -> Column:

@@ -240,7 +240,8 @@ def apy(start: Column, end: Column, t0: Column, t1: Column) -> Column:
 def strategy_endpoints(L: Ledger) -> DataFrame:
     """Per APY strategy and horizon (ending at the newest harvest of all strategies): first and last
     harvest time, the price per share at each (largest on equal times) and the harvest count."""
-    h = harvest_events_df(L).where(F.col("price_per_share").isNotNull() & (F.col("price_per_share") > 0)).select(
+    h = L.level("harvest_events", lambda: harvest_events_df(L))
+    h = h.where(F.col("price_per_share").isNotNull() & (F.col("price_per_share") > 0)).select(
         F.col("strategy_address").alias("contract_id"), "closed_at", F.col("price_per_share").alias("pps")
     )
     now = h.agg(F.max("closed_at")).scalar()

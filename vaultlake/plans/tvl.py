@@ -22,7 +22,7 @@ from vaultlake.plans.vaults import (
     prices_dim,
     tvl_hours_df,
     usd_value,
-    vault_events_df,
+    vault_events_level,
     vault_info_dim,
     vault_topic_events,
 )
@@ -179,7 +179,7 @@ def market_share(L: Ledger) -> DataFrame:
 
 # -- N6, N8, N9, N10 ----------------------------------------------------------------------------
 def price_tvl_corr(L: Ledger) -> DataFrame:
-    th = tvl_hours_df(L).where(~F.col("asset_code").isin(list(L.cfg.pegged_codes)))
+    th = L.level("tvl_hours", lambda: tvl_hours_df(L)).where(~F.col("asset_code").isin(list(L.cfg.pegged_codes)))
     return th.groupBy("asset_code").agg(
         F.round(F.corr(F.col("asset_price").cast("double"), F.col("asset_tvl").cast("double")), 6).alias("corr"),
         F.count(F.lit(1)).alias("hours"),
@@ -187,7 +187,7 @@ def price_tvl_corr(L: Ledger) -> DataFrame:
 
 
 def large_withdrawals(L: Ledger, share: float = 0.001) -> DataFrame:
-    ve = vault_events_df(L).where((F.col("event") == "withdraw") & (F.col("total_amount") > 0))
+    ve = vault_events_level(L).where((F.col("event") == "withdraw") & (F.col("total_amount") > 0))
     ratio = F.col("amount").cast("double") / F.col("total_amount").cast("double")
     return ve.where(ratio >= share).select("closed_at", "vault", "to", "amount", "total_amount", "tx_hash", F.round(ratio, 6).alias("share"))
 

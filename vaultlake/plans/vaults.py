@@ -234,8 +234,12 @@ def prices_dim(L: Ledger) -> DataFrame:
     return L.dim("prices", lambda: dedup_prices(L))
 
 
+def vault_events_level(L: Ledger) -> DataFrame:
+    return L.level("vault_events", lambda: vault_events_df(L))
+
+
 def hourly_max(L: Ledger) -> DataFrame:
-    ve = vault_events_df(L)
+    ve = vault_events_level(L)
     return ve.groupBy(
         "vault", "vault_name", "asset", "asset_code", hour_bucket(F.col("closed_at")).alias("hour")
     ).agg(F.max("total_amount").alias("asset_tvl"))
@@ -266,7 +270,7 @@ def tvl_hours(L: Ledger) -> DataFrame:
 
 # -- Q5 ----------------------------------------------------------------------------------------
 def daily_max_df(L: Ledger) -> DataFrame:
-    th = tvl_hours_df(L)
+    th = L.level("tvl_hours", lambda: tvl_hours_df(L))
     return th.groupBy(
         day_bucket(F.col("hour")).alias("day"), "vault", "vault_name", "asset", "asset_code"
     ).agg(F.max("asset_tvl").alias("asset_tvl"), F.max("usd_tvl").alias("usd_tvl"))
@@ -318,7 +322,7 @@ def tvl_days_filled_df(L: Ledger) -> DataFrame:
 
 
 def filled_dim(L: Ledger) -> DataFrame:
-    return L.dim("filled", lambda: tvl_days_filled_df(L))
+    return L.dim("filled", lambda: L.level("tvl_days_filled", lambda: tvl_days_filled_df(L)))
 
 
 def tvl_days_filled(L: Ledger) -> DataFrame:
@@ -347,7 +351,7 @@ def aggregated_stats(L: Ledger) -> DataFrame:
     """Distinct accounts and transactions per vault, with the protocol-wide distinct counts beside
     them.  One pass: grouping sets ((vault, vault_name), ()) over the event log."""
     def build() -> DataFrame:
-        ve = vault_events_df(L).select("vault", "vault_name", F.col("to").alias("account"), "tx_hash")
+        ve = vault_events_level(L).select("vault", "vault_name", F.col("to").alias("account"), "tx_hash")
         return ve.groupingSets([["vault", "vault_name"], []], "vault", "vault_name").agg(
             F.countDistinct("account").alias("total_accounts"),
             F.countDistinct("tx_hash").alias("total_txs"),

@@ -116,6 +116,7 @@ class Ledger:
         self.store = store
         self.cfg = config or VaultConfig()
         self._dims: dict[str, DataFrame] = {}
+        self._levels: dict[str, DataFrame] = {}
 
     # -- driver tables ------------------------------------------------------------------------
     SPREAD = ("events", "lineitem", "orders")
@@ -527,6 +528,15 @@ class Ledger:
             F.col("d").cast("timestamp_ntz").alias("closed_at_day"),
         )
 
+    # -- stored derived tables (levels of the DAG) ---------------------------------------------
+    def level(self, name: str, build) -> DataFrame:
+        """A derived table by name: the stored copy when the DAG has written it (see
+        plans.dag.materialize_dag), otherwise computed by `build()`."""
+        return self._levels[name] if name in self._levels else build()
+
+    def store_level(self, name: str, df: DataFrame) -> None:
+        self._levels[name] = df
+
     # -- shared dimensions --------------------------------------------------------------------
     def dim(self, name: str, build) -> DataFrame:
         """A small derived table, computed once per Ledger and cut from its lineage."""
