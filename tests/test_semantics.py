@@ -10,18 +10,8 @@ EV_COLS = ("transaction_hash string, transaction_id bigint, successful boolean,
            "topics_decoded string, data_decoded string, closed_at timestamp_ntz")
 
 
-class FixtureLedger(Ledger):
-    def __init__(self, spark, events, state):
-        super().__init__(spark, "/nonexistent", store=False)
-        self._ev, self._cd = events, state
-
-    @property
-    def contract_events(self):
-        return self._ev
-
-    @property
-    def contract_data(self):
-        return self._cd
+def FixtureLedger(spark, events, state):
+    return Ledger.from_tables(spark, contract_data=state, contract_events=events)
 
 
 def _i(units):
@@ -85,3 +75,50 @@ def test_same_tx_sum_and_rules(spark):
     assert a.to == b.to == "GB"
     assert rows[("T2", __import__("decimal").Decimal("0.0000010"))].event == "withdraw"
     assert not any(k[0] in ("T3", "T4") for k in rows)
+
+
+def _harvest(pps_units, amount=1000):
+    return ('{"map":[{"key":{"symbol":"amount"},"val":{"i128":{"hi":0,"lo":%d}}},{"key":{"symbol":"from"},"val":{"address":"GX"}},'
+            '{"key":{"symbol":"price_per_share"},"val":{"i128":{"hi":0,"lo":%d}}}]}') % (amount, pps_units)
+
+
+HARVEST_TOPIC = '[{"symbol":"BlendStrategy"},{"symbol":"harvest"}]'
+
+
+def test_apy_golden_one_day(spark):
+    from decimal import Decimal
+
+    from vaultlake.config import STRATEGIES
+    from vaultlake.plans import strategies as S
+
+    usdc = [a for n, a, t in STRATEGIES if n == "usdc_blend_autocompound_yieldblox_strategy"][0]
+    eurc = [a for n, a, t in STRATEGIES if n == "eurc_blend_autocompound_yieldblox_strategy"][0]
+    ev = _events(spark, [
+        ("H1", 1, True, usdc, HARVEST_TOPIC, _harvest(10000000), "2024-01-09 12:00:00"),
+        ("H2", 2, True, usdc, HARVEST_TOPIC, _harvest(10000547), "2024-01-10 12:00:00"),
+        ("H3", 3, True, eurc, HARVEST_TOPIC, _harvest(10000100), "2024-01-10 06:00:00"),
+    ])
+    L = FixtureLedger(spark, ev, _state(spark))
+    rows = {r.contract_id: r for r in S.strategy_apy(L).collect()}
+    assert rows[usdc].apy_24h == Decimal("2.02")
+    assert rows[usdc].events_24h == 2
+    assert rows[eurc].apy_24h is None and rows[eurc].events_24h == 1
+    xlm = [a for n, a, t in STRATEGIES if n == "xlm_blend_autocompound_yieldblox_strategy"][0]
+    assert rows[xlm].events_24h == 0 and rows[xlm].apy_24h is None
+
+
+def test_deleted_newer_report_loses(spark):
+    from vaultlake.plans import strategies as S
+
+    state = _state(spark)
+    rep = spark.createDataFrame(
+        [("CV0001", '{"vec":[{"symbol":"Report"},{"address":"CS1"}]}',
+          '{"map":[{"key":{"symbol":"locked_fee"},"val":{"i128":"%d"}}]}' % units, seq, deleted, ts)
+         for units, seq, deleted, ts in [(100, 10, False, "2024-01-01 00:00:00"), (999, 20, True, "2024-01-02 00:00:00")]],
+        "contract_id string, key_decoded string, val_decoded string, ledger_sequence long, deleted boolean, closed_at string",
+    ).withColumn("closed_at", F.col("closed_at").cast("timestamp_ntz")).withColumn("contract_key_type", F.lit(KEY_VEC))
+    full = state.unionByName(rep, allowMissingColumns=True)
+    L = FixtureLedger(spark, None, full)
+    rows = S.locked_fees(L).collect()
+    assert len(rows) == 1 and rows[0].ledger_sequence == 10
+    assert str(rows[0].locked_fee) == "0.0000100"

@@ -103,6 +103,28 @@ class Ledger:
 
     _shared: dict = {}
 
+    @classmethod
+    def from_tables(
+        cls,
+        spark: SparkSession,
+        contract_data: DataFrame,
+        contract_events: DataFrame,
+        transactions: DataFrame | None = None,
+        prices: DataFrame | None = None,
+        config: VaultConfig | None = None,
+    ) -> "Ledger":
+        """A Ledger over existing decoded ledger tables (a deployment: no adapter, nothing stored).
+        Column names and types are those of CONTRACT_DATA_COLUMNS and `events_to_ledger`;
+        prices: contract_id, price, closed_at_day."""
+        led = cls(spark, "<tables>", config, store=False)
+        led.__dict__["contract_data"] = contract_data
+        led.__dict__["contract_events"] = contract_events
+        if transactions is not None:
+            led.__dict__["transactions"] = transactions
+        if prices is not None:
+            led.__dict__["prices"] = prices
+        return led
+
     @classmethod
     def shared(cls, spark: SparkSession, sf_dir: str, config: VaultConfig | None = None) -> "Ledger":
         key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir), config)
