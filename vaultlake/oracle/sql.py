@@ -7,7 +7,7 @@ the ledger JSON and decodes it.  So the decode path is checked, not mirrored.
 
 from __future__ import annotations
 
-from vaultlake.config import APY_ASSETS, FACTORY_CONTRACT, NATIVE_ASSET_CONTRACT, STRATEGIES, VaultConfig
+from vaultlake.config import APY_ASSETS, NATIVE_ASSET_CONTRACT, STRATEGIES, VaultConfig
 
 CFG = VaultConfig()
 PEGGED = ", ".join(f"'{c}'" for c in CFG.pegged_codes)

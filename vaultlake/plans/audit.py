@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultlake.config import (
-    APY_HORIZONS,
     STRATEGY_TOPIC,
     SYM_AMOUNT,
     SYM_AMOUNTS,
@@ -26,8 +25,7 @@ from vaultlake.functions.payload import field_values, parse_entries, parse_paylo
 from vaultlake.operators.latest import latest_per_key
 from vaultlake.operators.ordered import lag_by_key
 from vaultlake.plans.strategies import apy, fee_tuples, harvest_events_df, locked_fees, report_pivot
-from vaultlake.plans.vaults import registry_vaults, vault_topic_events
-from vaultlake.operators.joins import semi_join
+from vaultlake.plans.vaults import vault_topic_events
 from vaultlake.sources.ledger import Ledger
 
 DEC = "decimal(38,7)"

@@ -18,7 +18,6 @@ from vaultlake.config import (
     APY_STRATEGY_PATTERN,
     DAYS_PER_YEAR,
     MS_PER_DAY,
-    REPORT_KEY_WORD,
     STRATEGY_TOPIC,
     SYM_AMOUNT,
     SYM_DISTRIBUTED_FEES,

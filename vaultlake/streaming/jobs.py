@@ -12,7 +12,6 @@ cluster's checkpoint folder, so a restarted or failed run resumes where it stopp
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark import StorageLevel
