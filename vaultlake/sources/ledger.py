@@ -182,8 +182,9 @@ class Ledger:
             path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/ledger-{uuid.uuid4().hex}/{name}"
             n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
             if bucket_by:
-                # bucketed on a high-cardinality key set: operators clustered on (a superset of) it
-                # read co-located rows without a shuffle, and no single bucket holds a hot contract
+                # bucketed on the transaction hash (high cardinality, so no bucket holds a hot contract):
+                # per-transaction windows, (contract, transaction) groupings and the events-transactions
+                # join (same bucket count on both tables) read co-located rows without a shuffle
                 table = f"vaultlake_{name}_{uuid.uuid4().hex}"
                 (build().repartition(n, *bucket_by).write.mode("overwrite").bucketBy(n, *bucket_by)
                  .sortBy(*sort_by).option("path", path).saveAsTable(table))
@@ -358,7 +359,7 @@ class Ledger:
         if self.store:
             return self._stored_table(
                 "contract_events", lambda: self.events_to_ledger(self.driver("events")), None,
-                ["contract_id", "closed_at"], bucket_by=["contract_id", "transaction_hash"],
+                ["contract_id", "closed_at"], bucket_by=["transaction_hash"],
             )
         return self.events_to_ledger(self.driver("events"))
 
@@ -504,7 +505,7 @@ class Ledger:
     @cached_property
     def transactions(self) -> DataFrame:
         if self.store:
-            return self._stored_table("transactions", self._derive_transactions, None, ["closed_at"])
+            return self._stored_table("transactions", self._derive_transactions, None, ["closed_at"], bucket_by=["transaction_hash"])
         return self._derive_transactions()
 
     def _derive_transactions(self) -> DataFrame:
