@@ -44,3 +44,14 @@ def scale_units(units: Column) -> Column:
 def i128(j: Column) -> Column:
     """DECIMAL(38,7) token amount of an i128 JSON text."""
     return scale_units(i128_units(j))
+
+
+def i128_from_value_text(t: Column) -> Column:
+    """DECIMAL(38,7) from the text of an `i128` field itself: `{"hi":H,"lo":L}` or a scalar."""
+    hi = F.get_json_object(t, "$.hi")
+    lo = F.get_json_object(t, "$.lo")
+    from_halves = F.try_add(
+        F.try_multiply(_try_dec(hi, 19), F.lit(TWO_POW_64).cast("decimal(20,0)")),
+        _try_dec(lo, 20),
+    )
+    return scale_units(F.when(hi.isNotNull(), from_halves).when(t.isNotNull(), _try_dec(t, 38)))

@@ -62,3 +62,42 @@ def sum_skip_nulls(arr: Column, dtype: str = "decimal(38,7)") -> Column:
 
 def max_skip_nulls(arr: Column) -> Column:
     return F.array_max(arr)
+
+
+# Typed form: one parse per payload; only the small leaves stay text.  `val` keeps the tags the
+# queries read (address, i128 as text, string, vec elements as text); other tags are ignored.
+VAL_TYPE = "struct<address:string,i128:string,string:string,vec:array<string>>"
+TYPED_ENTRY_TYPE = f"array<struct<key:struct<symbol:string>,val:{VAL_TYPE}>>"
+TYPED_PAYLOAD_SCHEMA = f"struct<map:{TYPED_ENTRY_TYPE}>"
+
+
+def parse_typed(j: Column) -> Column:
+    """Entries of {"map":[...]} with typed values.  Select it as its own column before reading
+    several fields: higher-order functions are interpreted, so an inline parse would be repeated
+    for every field read."""
+    return F.from_json(j, TYPED_PAYLOAD_SCHEMA).getField("map")
+
+
+def _matching(entries: Column, symbols: str | Sequence[str]) -> Column:
+    syms = [symbols] if isinstance(symbols, str) else list(symbols)
+    return F.filter(entries, lambda e: e.getField("key").getField("symbol").isin(syms))
+
+
+def typed_i128s(entries: Column, symbols: str | Sequence[str]) -> Column:
+    from vaultlake.functions.i128 import i128_from_value_text
+
+    return F.transform(_matching(entries, symbols), lambda e: i128_from_value_text(e.getField("val").getField("i128")))
+
+
+def typed_addresses(entries: Column, symbols: str | Sequence[str]) -> Column:
+    return F.transform(_matching(entries, symbols), lambda e: e.getField("val").getField("address"))
+
+
+def typed_vecs(entries: Column, symbols: str | Sequence[str]) -> Column:
+    """Elements (JSON text) of the `vec` values of the matching entries, concatenated."""
+    return F.flatten(
+        F.transform(
+            _matching(entries, symbols),
+            lambda e: F.coalesce(e.getField("val").getField("vec"), F.array().cast("array<string>")),
+        )
+    )

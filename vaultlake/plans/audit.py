@@ -21,7 +21,16 @@ from vaultlake.config import (
     SYM_TOTAL_AMOUNT,
 )
 from vaultlake.functions.i128 import i128
-from vaultlake.functions.payload import field_values, parse_entries, parse_payload, parse_vec
+from vaultlake.functions.payload import (
+    field_values,
+    parse_entries,
+    parse_payload,
+    parse_typed,
+    parse_vec,
+    typed_addresses,
+    typed_i128s,
+    typed_vecs,
+)
 from vaultlake.operators.latest import latest_per_key
 from vaultlake.operators.ordered import lag_by_key
 from vaultlake.plans.strategies import apy, fee_tuples, harvest_events_df, locked_fees, report_pivot
@@ -70,12 +79,15 @@ def decode_events(L: Ledger) -> DataFrame:
     vault_ev = vault_topic_events(L)
     t = F.col("topics_decoded")
     strat_ev = L.contract_events.where(t.like(f"%{STRATEGY_TOPIC}%"))
-    ev = vault_ev.unionByName(strat_ev)
-    entries = parse_payload(F.col("data_decoded"))
+    ev = vault_ev.unionByName(strat_ev).select(
+        "transaction_hash", "contract_id", "closed_at", "topics_decoded", parse_typed(F.col("data_decoded")).alias("e")
+    )
+    entries = F.col("e")
     kind = topic_kind()
-    addr = lambda e, s: F.get_json_object(_first(e, s), "$.address")
-    amount_scalar = _typed(kind, entries, "amount", lambda e, s: i128(_first(e, s)))
-    amount_vec = _typed(kind, entries, "amount_vec", lambda e, s: i128(F.try_element_at(parse_vec(_first(e, s)), F.lit(1))))
+    one = lambda arr: F.try_element_at(arr, F.lit(1))
+    addr = lambda e, s: one(typed_addresses(e, s))
+    amount_scalar = _typed(kind, entries, "amount", lambda e, s: one(typed_i128s(e, s)))
+    amount_vec = _typed(kind, entries, "amount_vec", lambda e, s: i128(one(typed_vecs(e, s))))
     return ev.select(
         F.col("transaction_hash").alias("tx_hash"),
         "contract_id",
@@ -84,7 +96,7 @@ def decode_events(L: Ledger) -> DataFrame:
         _typed(kind, entries, "account", addr).alias("account"),
         _typed(kind, entries, "strategy", addr).alias("strategy"),
         F.coalesce(amount_vec, amount_scalar).alias("amount"),
-        _typed(kind, entries, "shares", lambda e, s: i128(_first(e, s))).alias("shares"),
+        _typed(kind, entries, "shares", lambda e, s: one(typed_i128s(e, s))).alias("shares"),
     )
 
 
@@ -137,18 +149,22 @@ def rebalance_log(L: Ledger) -> DataFrame:
 # -- T5, T6 ------------------------------------------------------------------------------------
 def _flow_numbers(L: Ledger) -> DataFrame:
     ev = vault_topic_events(L, "withdraw", "deposit")
-    entries = parse_payload(F.col("data_decoded"))
-    funds0 = parse_entries(F.get_json_object(_first(entries, [SYM_FUNDS_BEFORE]), "$.vec[0].map"))
+    staged = ev.select("transaction_hash", "contract_id", "closed_at", "topics_decoded", parse_typed(F.col("data_decoded")).alias("e"))
+    e = F.col("e")
+    one = lambda arr: F.try_element_at(arr, F.lit(1))
+    funds0 = parse_typed(one(one(F.transform(
+        F.filter(e, lambda x: x.getField("key").getField("symbol") == SYM_FUNDS_BEFORE), lambda x: x.getField("val").getField("vec")
+    ))))
     kind = F.when(F.col("topics_decoded").like("%withdraw%"), F.lit("withdraw")).otherwise(F.lit("deposit"))
-    return ev.select(
+    return staged.select(
         F.col("transaction_hash").alias("tx_hash"),
         F.col("contract_id").alias("vault"),
         "closed_at",
         kind.alias("event"),
-        i128(F.try_element_at(parse_vec(_first(entries, [SYM_AMOUNTS, SYM_AMOUNTS_WITHDRAWN])), F.lit(1))).alias("amount"),
-        i128(_first(entries, [SYM_MINTED, SYM_BURNED])).alias("shares"),
-        i128(_first(entries, [SYM_SUPPLY_BEFORE])).alias("supply"),
-        i128(_first(funds0, [SYM_TOTAL_AMOUNT])).alias("funds"),
+        i128(one(typed_vecs(e, [SYM_AMOUNTS, SYM_AMOUNTS_WITHDRAWN]))).alias("amount"),
+        one(typed_i128s(e, [SYM_MINTED, SYM_BURNED])).alias("shares"),
+        one(typed_i128s(e, SYM_SUPPLY_BEFORE)).alias("supply"),
+        one(typed_i128s(funds0, SYM_TOTAL_AMOUNT)).alias("funds"),
     )
 
 

@@ -29,7 +29,7 @@ from vaultlake.config import (
     TOPIC_HARVEST,
 )
 from vaultlake.functions.i128 import i128
-from vaultlake.functions.payload import field_values, parse_payload, parse_vec
+from vaultlake.functions.payload import parse_typed, typed_i128s, typed_vecs
 from vaultlake.functions.time import hour_bucket, micros_between
 from vaultlake.operators.joins import bounded, semi_join
 from vaultlake.operators.latest import latest_per_key
@@ -92,14 +92,15 @@ def apy_strategies(L: Ledger) -> DataFrame:
 def harvest_base(L: Ledger) -> DataFrame:
     sc = apy_strategies(L)
     ev = harvest_topic_events(L).join(F.broadcast(sc.select("contract_id")), "contract_id", "left_semi")
-    entries = parse_payload(F.col("data_decoded"))
-    return ev.select(
+    staged = ev.select("contract_id", "closed_at", "transaction_hash", parse_typed(F.col("data_decoded")).alias("e"))
+    e = F.col("e")
+    return staged.select(
         "contract_id",
         "closed_at",
         hour_bucket(F.col("closed_at")).alias("closed_at_hour"),
         F.col("transaction_hash").alias("tx_hash"),
-        F.array_max(F.transform(field_values(entries, SYM_AMOUNT), i128)).alias("ev_amount"),
-        F.array_max(F.transform(field_values(entries, SYM_PPS), i128)).alias("ev_pps"),
+        F.array_max(typed_i128s(e, SYM_AMOUNT)).alias("ev_amount"),
+        F.array_max(typed_i128s(e, SYM_PPS)).alias("ev_pps"),
     )
 
 
@@ -136,17 +137,15 @@ def harvest_events(L: Ledger) -> DataFrame:
 # -- Q11 ---------------------------------------------------------------------------------------
 def fee_tuples(L: Ledger) -> DataFrame:
     """(address, amount) tuples of fee-distribution events, one row per tuple."""
-    base = vault_topic_events(L, TOPIC_FEES).where(F.col("topics_decoded").like(f"%{TOPIC_FEES}%"))
-    entries = parse_payload(F.col("data_decoded"))
-    vecs = base.select(
+    base = vault_topic_events(L, TOPIC_FEES)
+    tuples = base.select(
         F.col("contract_id").alias("vault"),
         "closed_at",
         hour_bucket(F.col("closed_at")).alias("closed_at_hour"),
         F.col("transaction_hash").alias("tx_hash"),
         F.col("transaction_id").alias("tx_id"),
-        F.explode(field_values(entries, SYM_DISTRIBUTED_FEES)).alias("fees_val"),
+        F.explode(typed_vecs(parse_typed(F.col("data_decoded")), SYM_DISTRIBUTED_FEES)).alias("fee_tuple"),
     )
-    tuples = vecs.select("*", F.explode(parse_vec(F.col("fees_val"))).alias("fee_tuple"))
     return tuples.select(
         "vault", "closed_at", "closed_at_hour", "tx_hash", "tx_id",
         F.get_json_object("fee_tuple", "$.vec[0].address").alias("recipient_address"),
@@ -184,20 +183,27 @@ def report_key(L: Ledger) -> DataFrame:
 
 
 def _max_field(entries: Column, sym: str) -> Column:
-    return F.array_max(F.transform(field_values(entries, sym), i128))
+    return F.array_max(typed_i128s(entries, sym))
 
 
-def report_pivot(L: Ledger) -> DataFrame:
-    """Per distinct snapshot: locked_fee, gains_or_losses, prev_balance (largest if repeated);
-    snapshots with an empty or unreadable value map are dropped."""
+def _decoded_reports(L: Ledger) -> DataFrame:
+    """Report snapshots with the three fields (largest if a symbol repeats); snapshots with an
+    empty or unreadable value map are dropped.  One parse per snapshot."""
     snaps = report_snapshots(L)
-    entries = parse_payload(F.col("val_decoded"))
-    snaps = snaps.where(F.size(entries) > 0).select(
+    staged = snaps.select("*", parse_typed(F.col("val_decoded")).alias("e")).where(F.size("e") > 0)
+    e = F.col("e")
+    return staged.select(
         "vault", "closed_at", "ledger_sequence", "strategy_address", "val_decoded",
-        _max_field(entries, SYM_LOCKED_FEE).alias("locked_fee"),
-        _max_field(entries, SYM_GAINS).alias("gains_or_losses"),
-        _max_field(entries, SYM_PREV_BALANCE).alias("prev_balance"),
+        _max_field(e, SYM_LOCKED_FEE).alias("locked_fee"),
+        _max_field(e, SYM_GAINS).alias("gains_or_losses"),
+        _max_field(e, SYM_PREV_BALANCE).alias("prev_balance"),
     )
+
+
+def report_pivot(L: Ledger) -> DataFrame:
+    """Per distinct snapshot: locked_fee, gains_or_losses, prev_balance (largest if repeated);
+    snapshots with an empty or unreadable value map are dropped."""
+    snaps = _decoded_reports(L)
     return snaps.dropDuplicates(["vault", "closed_at", "ledger_sequence", "strategy_address", "val_decoded"]).drop(
         "val_decoded"
     )
@@ -205,14 +211,7 @@ def report_pivot(L: Ledger) -> DataFrame:
 
 def locked_fees(L: Ledger) -> DataFrame:
     """Latest live report per (vault, strategy): newest time, then highest ledger, then values."""
-    snaps = report_snapshots(L)
-    entries = parse_payload(F.col("val_decoded"))
-    snaps = snaps.where(F.size(entries) > 0).select(
-        "vault", "closed_at", "ledger_sequence", "strategy_address",
-        _max_field(entries, SYM_LOCKED_FEE).alias("locked_fee"),
-        _max_field(entries, SYM_GAINS).alias("gains_or_losses"),
-        _max_field(entries, SYM_PREV_BALANCE).alias("prev_balance"),
-    )
+    snaps = _decoded_reports(L).drop("val_decoded")
     latest = latest_per_key(
         snaps, ["vault", "strategy_address"], ["closed_at", "ledger_sequence"],
         ["locked_fee", "gains_or_losses", "prev_balance"],

@@ -33,12 +33,11 @@ from vaultlake.config import (
 from vaultlake.functions.i128 import i128
 from vaultlake.functions.names import display_name, native_code, resolve_code
 from vaultlake.functions.payload import (
-    addresses,
-    field_values,
-    parse_entries,
-    parse_payload,
-    parse_vec,
+    parse_typed,
     sum_skip_nulls,
+    typed_addresses,
+    typed_i128s,
+    typed_vecs,
 )
 from vaultlake.functions.time import day_bucket, hour_bucket
 from vaultlake.operators.joins import bounded, semi_join
@@ -148,41 +147,42 @@ def event_kind() -> F.Column:
     return F.when(t.like(f"%{TOPIC_WITHDRAW}%"), F.lit("withdraw")).when(t.like(f"%{TOPIC_DEPOSIT}%"), F.lit("deposit"))
 
 
-def flow_event_fields(L: Ledger) -> DataFrame:
-    """Deposit/withdraw events, one row each, with the per-event decoded fields."""
-    base = vault_topic_events(L, TOPIC_WITHDRAW, TOPIC_DEPOSIT)
-    entries = parse_payload(F.col("data_decoded"))
-    amount_vals = F.flatten(
-        F.transform(
-            field_values(entries, [SYM_AMOUNTS, SYM_AMOUNTS_WITHDRAWN]),
-            lambda v: F.coalesce(parse_vec(v), empty_array("string")),
-        )
-    )
-    tvl_vals = F.flatten(
+def first_funds_totals(entries: F.Column) -> F.Column:
+    """`total_amount` values of the first managed-funds entry of each funds vector."""
+    return F.flatten(
         F.transform(
-            field_values(entries, SYM_FUNDS_BEFORE),
-            lambda v: F.coalesce(
-                F.transform(
-                    F.filter(
-                        parse_entries(F.get_json_object(v, "$.vec[0].map")),
-                        lambda e: e.getField("key").getField("symbol") == SYM_TOTAL_AMOUNT,
-                    ),
-                    lambda e: i128(e.getField("val")),
-                ),
+            _matching_funds(entries),
+            lambda f: F.coalesce(
+                typed_i128s(parse_typed(F.try_element_at(f.getField("val").getField("vec"), F.lit(1))), SYM_TOTAL_AMOUNT),
                 empty_array(DEC),
             ),
         )
     )
-    return base.select(
+
+
+def _matching_funds(entries: F.Column) -> F.Column:
+    return F.filter(entries, lambda e: e.getField("key").getField("symbol") == SYM_FUNDS_BEFORE)
+
+
+def flow_event_fields(L: Ledger) -> DataFrame:
+    """Deposit/withdraw events, one row each, with the per-event decoded fields (the payload is
+    parsed once, in its own projection, and every field is read from that parse)."""
+    base = vault_topic_events(L, TOPIC_WITHDRAW, TOPIC_DEPOSIT)
+    staged = base.select(
+        "contract_id", "closed_at", "transaction_hash", "transaction_id", "topics_decoded",
+        parse_typed(F.col("data_decoded")).alias("e"),
+    )
+    e = F.col("e")
+    return staged.select(
         F.col("contract_id").alias("vault"),
         "closed_at",
         hour_bucket(F.col("closed_at")).alias("closed_at_hour"),
         F.col("transaction_hash").alias("tx_hash"),
         F.col("transaction_id").alias("tx_id"),
         event_kind().alias("event"),
-        F.array_max(addresses(field_values(entries, [SYM_DEPOSITOR, SYM_WITHDRAWER]))).alias("ev_to"),
-        sum_skip_nulls(F.transform(amount_vals, i128)).alias("ev_amount"),
-        tvl_vals.alias("tvl_vals"),
+        F.array_max(typed_addresses(e, [SYM_DEPOSITOR, SYM_WITHDRAWER])).alias("ev_to"),
+        sum_skip_nulls(F.transform(typed_vecs(e, [SYM_AMOUNTS, SYM_AMOUNTS_WITHDRAWN]), i128)).alias("ev_amount"),
+        first_funds_totals(e).alias("tvl_vals"),
     )
 
 
