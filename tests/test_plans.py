@@ -25,3 +25,12 @@ def test_registry_semi_join_is_broadcast(spark):
 def test_latest_is_aggregate_not_window(spark):
     txt = plan_text(PLANS["locked_fees"](Ledger.shared(spark, SF_SMALL)))
     assert "Window" not in txt
+
+
+def test_per_transaction_rules_do_not_shuffle_events(spark):
+    import re
+
+    L = Ledger.shared(spark, SF_SMALL)
+    for key in ("vault_events", "harvest_events"):
+        txt = plan_text(PLANS[key](L))
+        assert not re.search(r"hashpartitioning\([^)]*tx_hash", txt), key

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlake.functions.i128 import i128
-from vaultlake.functions.payload import field_values, parse_entries, parse_payload, parse_vec
+from vaultlake.functions.payload import parse_typed, typed_addresses, typed_i128s, typed_vecs
 from vaultlake.functions.time import day_bucket
 from vaultlake.operators.joins import bounded
 from vaultlake.operators.latest import latest_per_key
@@ -51,17 +51,19 @@ def decoded_flows(L: Ledger) -> DataFrame:
     address pattern is checked in batch jobs)."""
     t = F.col("topics_decoded")
     ev = event_stream(L).where(t.like(f"%{L.cfg.vault_topic}%") & (t.like("%withdraw%") | t.like("%deposit%")))
-    e = parse_payload(F.col("data_decoded"))
-    amounts = F.flatten(F.transform(field_values(e, ["amounts", "amounts_withdrawn"]), lambda v: F.coalesce(parse_vec(v), F.array().cast("array<string>"))))
-    funds = F.try_element_at(field_values(e, "total_managed_funds_before"), F.lit(1))
-    tvl = i128(F.try_element_at(field_values(parse_entries(F.get_json_object(funds, "$.vec[0].map")), "total_amount"), F.lit(1)))
+    ev = ev.select("*", parse_typed(F.col("data_decoded")).alias("e"))
+    e = F.col("e")
+    one = lambda arr: F.try_element_at(arr, F.lit(1))
+    amounts = typed_vecs(e, ["amounts", "amounts_withdrawn"])
+    funds = one(typed_vecs(e, "total_managed_funds_before"))
+    tvl = one(typed_i128s(parse_typed(funds), "total_amount"))
     return ev.select(
         F.col("closed_at").cast("timestamp").alias("event_time"),
         "closed_at",
         F.col("contract_id").alias("vault"),
         F.col("transaction_hash").alias("tx_hash"),
         event_kind().alias("event"),
-        F.get_json_object(F.try_element_at(field_values(e, ["depositor", "withdrawer"]), F.lit(1)), "$.address").alias("account"),
+        one(typed_addresses(e, ["depositor", "withdrawer"])).alias("account"),
         sum_skip_nulls(F.transform(amounts, i128)).alias("amount"),
         tvl.alias("total_amount"),
     )
