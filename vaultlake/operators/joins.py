@@ -16,26 +16,31 @@ from pyspark.sql import functions as F
 
 from vaultlake.session import ensure_checkpoint_dir
 
-_ROWS: dict[int, int] = {}
+_ROWS_ATTR = "_vaultlake_rows"
+
+
+def _known_rows(df: DataFrame) -> int | None:
+    return getattr(df, _ROWS_ATTR, None)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Persist `df` and record its row count (one job)."""
+    """Persist `df` and record its row count on the DataFrame object (one job)."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _ROWS[id(df)] = df.count()
+    setattr(df, _ROWS_ATTR, df.count())
     return df
 
 
 def checkpoint_small(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
-    _ROWS[id(out)] = out.count()
+    setattr(out, _ROWS_ATTR, out.count())
     return out
 
 
 def row_count(df: DataFrame, max_rows: int) -> int:
-    if id(df) in _ROWS:
-        return _ROWS[id(df)]
+    known = _known_rows(df)
+    if known is not None:
+        return known
     return df.limit(max_rows + 1).count()
 
 
@@ -48,6 +53,6 @@ def semi_join(big: DataFrame, keys: DataFrame, big_col: str, key_col: str, max_r
     """Rows of `big` whose `big_col` occurs in `keys[key_col]` (SQL `IN (SELECT ...)`).  The key
     set is bounded by the row count of `keys` when that is known."""
     k = keys.select(F.col(key_col).alias("__k")).where(F.col("__k").isNotNull()).distinct()
-    n = _ROWS.get(id(keys))
+    n = _known_rows(keys)
     hint = F.broadcast(k) if (n is not None and n <= max_rows) or (n is None and row_count(k, max_rows) <= max_rows) else k
     return big.join(hint, big[big_col] == F.col("__k"), "left_semi")
