@@ -31,9 +31,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_small(df: DataFrame) -> DataFrame:
+    """Persist, write a reliable checkpoint to the cluster's checkpoint folder (lineage cut: a lost
+    executor re-reads the files instead of recomputing the plan), and record the row count."""
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     setattr(out, _ROWS_ATTR, out.count())
+    df.unpersist()
     return out
 
 

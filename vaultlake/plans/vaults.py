@@ -278,7 +278,7 @@ def daily_max_df(L: Ledger) -> DataFrame:
 
 def daily_dim(L: Ledger) -> DataFrame:
     """Daily maxima: at most #vaults x #days rows, materialised once."""
-    return L.dim("daily", lambda: daily_max_df(L))
+    return L.dim("daily", lambda: daily_max_df(L), durable=True)
 
 
 def nonzero_keys(L: Ledger) -> DataFrame:
@@ -358,7 +358,7 @@ def aggregated_stats(L: Ledger) -> DataFrame:
             F.grouping_id().alias("gid"),
         )
 
-    sets = L.dim("agg_stats", build)
+    sets = L.dim("agg_stats", build, durable=True)
     per_vault = sets.where(F.col("gid") == 0)
     overall = sets.where(F.col("gid") != 0)
     return per_vault.select(

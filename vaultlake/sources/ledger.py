@@ -573,10 +573,12 @@ class Ledger:
         self._levels[name] = df
 
     # -- shared dimensions --------------------------------------------------------------------
-    def dim(self, name: str, build) -> DataFrame:
-        """A small derived table, computed once per Ledger and cut from its lineage."""
+    def dim(self, name: str, build, durable: bool = False) -> DataFrame:
+        """A small derived table, computed once per Ledger and counted.  `durable` dimensions (those
+        computed from the whole event log) are also checkpointed to the cluster's checkpoint folder,
+        so their long lineage is cut; the others are only persisted (cheap to recompute)."""
         if name not in self._dims:
-            from vaultlake.operators.joins import materialize
+            from vaultlake.operators.joins import checkpoint_small, materialize
 
-            self._dims[name] = materialize(build())
+            self._dims[name] = (checkpoint_small if durable else materialize)(build())
         return self._dims[name]
