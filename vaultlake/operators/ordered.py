@@ -31,9 +31,9 @@ def _runs(df: DataFrame, key: Sequence[str], order: Sequence[str], partitions: i
     spark = df.sparkSession
     n = (partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
     pos = _axis(df, order[0])
-    bounds = df.select(pos.alias("__x"))
-    lo = bounds.agg(F.min("__x")).scalar()
-    hi = bounds.agg(F.max("__x")).scalar()
+    # one scalar subquery (a single scan) for both ends of the axis
+    ends = df.select(pos.alias("__x")).agg(F.struct(F.min("__x").alias("lo"), F.max("__x").alias("hi"))).scalar()
+    lo, hi = ends.getField("lo"), ends.getField("hi")
     width = F.greatest(F.floor((hi - lo) / F.lit(n)) + 1, F.lit(1))
     r = df.withColumn("__pid", F.floor((pos - lo) / width).cast("bigint"))
     w = Window.partitionBy("__pid", *key).orderBy(*order)
