@@ -242,10 +242,11 @@ def strategy_endpoints(L: Ledger) -> DataFrame:
     h = h.where(F.col("price_per_share").isNotNull() & (F.col("price_per_share") > 0)).select(
         F.col("strategy_address").alias("contract_id"), "closed_at", F.col("price_per_share").alias("pps")
     )
-    now = h.agg(F.max("closed_at")).scalar()
+    # the anchor is one scalar subquery, attached once as a column and read by every horizon
+    h = h.withColumn("__now", h.agg(F.max("closed_at")).scalar())
     aggs = []
     for suffix, secs in APY_HORIZONS:
-        inside = F.col("closed_at") >= now - F.make_dt_interval(secs=F.lit(secs).cast("decimal(18,6)"))
+        inside = F.col("closed_at") >= F.col("__now") - F.make_dt_interval(secs=F.lit(secs).cast("decimal(18,6)"))
         aggs += [
             F.min(F.when(inside, F.struct(F.col("closed_at").alias("t"), (-F.col("pps")).alias("neg_pps")))).alias(f"f_{suffix}"),
             F.max(F.when(inside, F.struct(F.col("closed_at").alias("t"), F.col("pps").alias("pps")))).alias(f"l_{suffix}"),
