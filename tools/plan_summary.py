@@ -55,7 +55,8 @@ def main() -> None:
     print("shuffled joins into broadcasts at run time).  Materialised dimensions are read from memory")
     print("(their own plans ran once per Ledger and are not counted); an exchange or subquery that is identical to one")
     print("already counted is reused by Spark at run time and counted once.  Keys that write files (streaming, DAG, preview) are listed")
-    print("without counts.\n")
+    print("without counts.  A key whose whole plan equals a dimension already persisted in the session")
+    print("(for example `tvl_days_filled`) is served from that cache and shows no operators.\n")
     print("| key | shuffle exchanges | broadcast exchanges | sort-merge joins | broadcast joins | windows | aggregates | cartesian |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- |")
     for k in sorted(PLANS):
