@@ -86,8 +86,8 @@ def top_accounts(L: Ledger, days: int = 7, n: int = 20) -> DataFrame:
 
 # -- D5 ----------------------------------------------------------------------------------------
 def failure_share(L: Ledger, days: int = 7) -> DataFrame:
-    """Failure reasons with their share of all failures.  The share is taken over the aggregated
-    reasons (few rows), so the unpartitioned window is bounded by the number of reasons."""
+    """Failure reasons with their share of all failures; the total is a scalar subquery over the
+    aggregated reasons, so no window moves rows to one task."""
     tx = L.transactions
     bad = tx.where(~F.col("successful") & (F.col("closed_at") >= days_back(tx, days)))
     g = bad.groupBy("result_code_s").agg(F.count(F.lit(1)).alias("failure_count"))

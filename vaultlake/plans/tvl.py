@@ -197,6 +197,8 @@ def vault_ranking(L: Ledger) -> DataFrame:
     t = _newest_rows(L).select("vault", "usd_tvl")
     s = aggregated_stats(L).select("vault", "total_accounts", "total_txs")
     j = t.join(s, "vault")
+    # ranks over the newest day's rows: one row per vault, so the unpartitioned window is bounded by
+    # the number of vaults, not by the data
     r = lambda c: F.rank().over(Window.orderBy(F.col(c).desc())).cast("bigint")
     j = j.select("vault", "usd_tvl", "total_accounts", "total_txs", r("usd_tvl").alias("tvl_rank"), r("total_accounts").alias("accounts_rank"), r("total_txs").alias("txs_rank"))
     return j.select("*", F.round((F.col("tvl_rank") + F.col("accounts_rank") + F.col("txs_rank")) / 3.0, 6).alias("mean_rank"))

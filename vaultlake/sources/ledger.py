@@ -145,14 +145,14 @@ class Ledger:
     SPREAD = ("events", "lineitem", "orders")
 
     def driver(self, name: str) -> DataFrame:
-        """A driver table.  The driver ships each table as one parquet row group, which Spark reads
-        with a single task; a ledger table on a cluster is many files read by many tasks.  So the
-        large tables are spread over the default parallelism (round-robin) before the ledger rows
-        are built, when the scan yields fewer partitions than that."""
+        """A driver table.  The driver ships each table as one parquet file with one row group, which
+        Spark reads with a single task; a ledger table on a cluster is many files read by many
+        tasks.  So the large tables are spread over the default parallelism (round-robin) before the
+        ledger rows are built, when they come in fewer files than that."""
         df = read_table(self.spark, self.sf_dir, name)
         if name in self.SPREAD:
             target = self.spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < target:
+            if len(df.inputFiles()) < target:
                 df = df.repartition(target)
         return df
 
