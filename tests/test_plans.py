@@ -34,3 +34,19 @@ def test_per_transaction_rules_do_not_shuffle_events(spark):
     for key in ("vault_events", "harvest_events"):
         txt = plan_text(PLANS[key](L))
         assert not re.search(r"hashpartitioning\([^)]*tx_hash", txt), key
+
+
+def test_dag_levels_are_read_by_dependents(spark):
+    import re
+
+    from vaultlake.plans import dag as G
+    from vaultlake.plans import vaults as V
+
+    L = Ledger(spark, SF_SMALL)
+    total = G.materialize_dag(L).collect()[0].total_usd_tvl
+    txt = plan_text(V.tvl_hours(L))
+    # the stored vault_events level is scanned (only it has a total_amount column) and the
+    # per-transaction window is gone: it ran once, when the level was written
+    assert re.search(r"FileScan parquet \[[^\]]*total_amount", txt)
+    assert "Window" not in txt
+    assert total == V.latest_usd_tvl(Ledger(spark, SF_SMALL)).collect()[0].total_usd_tvl
