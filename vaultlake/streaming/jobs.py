@@ -36,21 +36,24 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 
-def event_stream(L: Ledger, files_per_trigger: int = 1) -> DataFrame:
+def event_stream(L: Ledger, files_per_trigger: int = 1, source: tuple[str, str] | None = None) -> DataFrame:
+    """Driver `events` files as a stream of ledger events; `source` = (folder, file glob), by
+    default the data set's events file."""
+    folder, glob = source or (L.sf_dir, "events.parquet")
     raw = (
         L.spark.readStream.schema(EVENTS_SCHEMA)
-        .option("pathGlobFilter", "events.parquet")
+        .option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(L.sf_dir)
+        .parquet(folder)
     )
     return L.events_to_ledger(raw)
 
 
-def decoded_flows(L: Ledger) -> DataFrame:
+def decoded_flows(L: Ledger, source: tuple[str, str] | None = None) -> DataFrame:
     """Per-event decode of vault deposits/withdrawals (topic filter; registry membership by vault
     address pattern is checked in batch jobs)."""
     t = F.col("topics_decoded")
-    ev = event_stream(L).where(t.like(f"%{L.cfg.vault_topic}%") & (t.like("%withdraw%") | t.like("%deposit%")))
+    ev = event_stream(L, source=source).where(t.like(f"%{L.cfg.vault_topic}%") & (t.like("%withdraw%") | t.like("%deposit%")))
     ev = ev.select("*", parse_typed(F.col("data_decoded")).alias("e"))
     e = F.col("e")
     one = lambda arr: F.try_element_at(arr, F.lit(1))
@@ -106,7 +109,9 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def stream_alerts(L: Ledger, withdraw_share: float = 0.001, drop_pct: float = -50.0) -> DataFrame:
+def stream_alerts(
+    L: Ledger, withdraw_share: float = 0.001, drop_pct: float = -50.0, source: tuple[str, str] | None = None
+) -> DataFrame:
     """Alerts per micro-batch: withdrawals of at least `withdraw_share` of the vault's TVL, and TVL
     readings at least `drop_pct` percent below the vault's previous reading.
 
@@ -114,7 +119,7 @@ def stream_alerts(L: Ledger, withdraw_share: float = 0.001, drop_pct: float = -5
     vault) and, for a vault's first event in the batch, from a state table with the last reading
     per vault, written per epoch next to the output so a retried epoch rewrites the same files."""
     spark = L.spark
-    flows = decoded_flows(L)
+    flows = decoded_flows(L, source)
     out, state, ckpt = _folder(spark, "alerts"), _folder(spark, "alerts-state"), _folder(spark, "alerts-ckpt")
     cols = ["vault", "closed_at", "kind", "prev_tvl", "tvl"]
 
