@@ -79,8 +79,8 @@ def _run_to_parquet(df: DataFrame, name: str, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def stream_decode(L: Ledger) -> DataFrame:
-    flows = decoded_flows(L).withWatermark("event_time", "1 hour").dropDuplicatesWithinWatermark(["tx_hash", "vault", "closed_at"])
+def stream_decode(L: Ledger, source: tuple[str, str] | None = None) -> DataFrame:
+    flows = decoded_flows(L, source).withWatermark("event_time", "1 hour").dropDuplicatesWithinWatermark(["tx_hash", "vault", "closed_at"])
     return _run_to_parquet(flows.drop("event_time"), "decode", L.spark)
 
 
