@@ -32,3 +32,13 @@ def test_latest_total_equals_sum_of_latest(spark):
     L = Ledger.shared(spark, SF_SMALL)
     total = V.latest_usd_tvl(L).collect()[0].total_usd_tvl
     assert total == sum(r.usd_tvl for r in V.latest_vaults(L).collect())
+
+
+def test_as_of_sets_the_window_start(spark):
+    import datetime as dt
+
+    L = Ledger.shared(spark, SF_SMALL)
+    rows = A.fees_daily(L, days=30, as_of="1998-01-31").collect()
+    assert rows and min(r.day for r in rows) >= dt.datetime(1998, 1, 1)
+    default = A.fees_daily(L).collect()
+    assert len(default) <= 31

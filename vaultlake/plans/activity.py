@@ -25,9 +25,15 @@ def newest(df: DataFrame, col: str = "closed_at") -> Column:
     return df.agg(F.max(col)).scalar()
 
 
-def days_back(df: DataFrame, days: int, col: str = "closed_at") -> Column:
-    """Start of the window `CURRENT_DATE - INTERVAL days DAY`, with today = newest day in df."""
-    return F.date_sub(F.to_date(newest(df, col)), days).cast("timestamp_ntz")
+def today(df: DataFrame, as_of: str | None = None, col: str = "closed_at") -> Column:
+    """`CURRENT_DATE` of the documented queries: the given `as_of` date, else the newest day in df
+    (repeatable results)."""
+    return F.to_date(F.lit(as_of)) if as_of else F.to_date(newest(df, col))
+
+
+def days_back(df: DataFrame, days: int, col: str = "closed_at", as_of: str | None = None) -> Column:
+    """Start of the window `CURRENT_DATE - INTERVAL days DAY`."""
+    return F.date_sub(today(df, as_of, col), days).cast("timestamp_ntz")
 
 
 # -- D1 ----------------------------------------------------------------------------------------
@@ -42,9 +48,9 @@ def recent_events(L: Ledger, contract: str = "CV0003", word: str = TOPIC_DEPOSIT
 
 
 # -- D2 ----------------------------------------------------------------------------------------
-def events_per_contract(L: Ledger, days: int = 30) -> DataFrame:
+def events_per_contract(L: Ledger, days: int = 30, as_of: str | None = None) -> DataFrame:
     ev = L.contract_events
-    ok = ev.where(F.col("successful") & (F.col("closed_at") >= days_back(ev, days)))
+    ok = ev.where(F.col("successful") & (F.col("closed_at") >= days_back(ev, days, as_of=as_of)))
     return ok.groupBy("contract_id").agg(
         F.count(F.lit(1)).alias("total_events"),
         F.countDistinct("transaction_hash").alias("unique_transactions"),
@@ -54,9 +60,9 @@ def events_per_contract(L: Ledger, days: int = 30) -> DataFrame:
 
 
 # -- D3 ----------------------------------------------------------------------------------------
-def fees_daily(L: Ledger, days: int = 30) -> DataFrame:
+def fees_daily(L: Ledger, days: int = 30, as_of: str | None = None) -> DataFrame:
     tx = L.transactions
-    ok = tx.where(F.col("successful") & (F.col("closed_at") >= days_back(tx, days)))
+    ok = tx.where(F.col("successful") & (F.col("closed_at") >= days_back(tx, days, as_of=as_of)))
     return ok.groupBy(day_bucket(F.col("closed_at")).alias("day")).agg(
         F.count(F.lit(1)).alias("num_transactions"),
         F.avg("fee_charged").alias("avg_fee"),
@@ -67,9 +73,9 @@ def fees_daily(L: Ledger, days: int = 30) -> DataFrame:
 
 
 # -- D4 ----------------------------------------------------------------------------------------
-def top_accounts(L: Ledger, days: int = 7, n: int = 20) -> DataFrame:
+def top_accounts(L: Ledger, days: int = 7, n: int = 20, as_of: str | None = None) -> DataFrame:
     tx = L.transactions
-    ok = tx.where(F.col("successful") & (F.col("closed_at") >= days_back(tx, days)))
+    ok = tx.where(F.col("successful") & (F.col("closed_at") >= days_back(tx, days, as_of=as_of)))
     return (
         ok.groupBy("account")
         .agg(
@@ -85,11 +91,11 @@ def top_accounts(L: Ledger, days: int = 7, n: int = 20) -> DataFrame:
 
 
 # -- D5 ----------------------------------------------------------------------------------------
-def failure_share(L: Ledger, days: int = 7) -> DataFrame:
+def failure_share(L: Ledger, days: int = 7, as_of: str | None = None) -> DataFrame:
     """Failure reasons with their share of all failures; the total is a scalar subquery over the
     aggregated reasons, so no window moves rows to one task."""
     tx = L.transactions
-    bad = tx.where(~F.col("successful") & (F.col("closed_at") >= days_back(tx, days)))
+    bad = tx.where(~F.col("successful") & (F.col("closed_at") >= days_back(tx, days, as_of=as_of)))
     g = bad.groupBy("result_code_s").agg(F.count(F.lit(1)).alias("failure_count"))
     total = g.agg(F.sum("failure_count")).scalar()
     return g.select(
@@ -171,13 +177,13 @@ def hourly_counts_filled(L: Ledger, days: int = 7) -> DataFrame:
 
 
 # -- D13 ---------------------------------------------------------------------------------------
-def moving_avg_rank(L: Ledger, days: int = 7, rows: int = 100) -> DataFrame:
+def moving_avg_rank(L: Ledger, days: int = 7, rows: int = 100, as_of: str | None = None) -> DataFrame:
     """Per (closed_at, contract) event counts, their 100-row moving average per contract, and the
     dense rank of the count within its hour.  The moving average uses running sums over a
     range-split order (no whole-contract task); the dense rank is the rank of the distinct
     (hour, count) pairs, a small table, joined back."""
     ev = L.contract_events
-    recent = ev.where(F.col("successful") & (F.col("closed_at") >= days_back(ev, days)))
+    recent = ev.where(F.col("successful") & (F.col("closed_at") >= days_back(ev, days, as_of=as_of)))
     g = recent.groupBy("closed_at", "contract_id").agg(F.count(F.lit(1)).alias("events"))
     g = g.withColumn("hour", hour_bucket(F.col("closed_at")))
     m = rolling_mean_rows(g, ["contract_id"], ["closed_at"], "events", rows, "moving_avg_100")

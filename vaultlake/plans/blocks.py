@@ -25,9 +25,9 @@ def scan_events(L: Ledger) -> DataFrame:
     return V.vault_topic_events(L, TOPIC_WITHDRAW, TOPIC_DEPOSIT).select("contract_id", "closed_at", "transaction_hash")
 
 
-def scan_transactions(L: Ledger, days: int = 30) -> DataFrame:
+def scan_transactions(L: Ledger, days: int = 30, as_of: str | None = None) -> DataFrame:
     tx = L.transactions
-    return tx.where(F.col("successful") & (F.col("closed_at") >= days_back(tx, days))).select(
+    return tx.where(F.col("successful") & (F.col("closed_at") >= days_back(tx, days, as_of=as_of))).select(
         "id", "account", "fee_charged", "closed_at"
     )
 
