@@ -160,13 +160,15 @@ def asset_contract_events(L: Ledger, asset_code: str = "USDC") -> DataFrame:
 
 
 # -- D12 ---------------------------------------------------------------------------------------
-def hourly_counts_filled(L: Ledger, days: int = 7) -> DataFrame:
+def hourly_counts_filled(L: Ledger, days: int = 7, as_of: str | None = None) -> DataFrame:
     """Hourly event counts per vault over the last `days` days, hours without events as 0.
     The grid (vaults x hours) is generated per vault row; counts join on (vault, hour)."""
     ev = L.contract_events
-    start = hour_bucket(F.date_sub(F.to_date(newest(ev)), days).cast("timestamp_ntz"))
-    end = hour_bucket(newest(ev))
-    recent = ev.where(F.col("closed_at") >= F.date_sub(F.to_date(newest(ev)), days).cast("timestamp_ntz"))
+    start_ts = days_back(ev, days, as_of=as_of)
+    start = hour_bucket(start_ts)
+    # CURRENT_TIMESTAMP: the end of the as_of day, else the newest event time
+    end = hour_bucket(F.lit(f"{as_of} 23:00:00").cast("timestamp_ntz") if as_of else newest(ev))
+    recent = ev.where(F.col("closed_at") >= start_ts)
     counts = recent.groupBy("contract_id", hour_bucket(F.col("closed_at")).alias("hour")).agg(
         F.count(F.lit(1)).alias("events_count")
     )

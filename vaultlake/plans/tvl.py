@@ -41,23 +41,26 @@ def _with_prev(L: Ledger) -> DataFrame:
     return filled_dim(L).select("*", F.lag("usd_tvl").over(w).alias("prev_tvl"))
 
 
-def newest_day(L: Ledger) -> Column:
+def newest_day(L: Ledger, as_of: str | None = None) -> Column:
+    """`CURRENT_DATE` of the documented queries: `as_of` when given, else the newest filled day."""
+    if as_of:
+        return F.to_date(F.lit(as_of)).cast("timestamp_ntz")
     return filled_dim(L).agg(F.max("day")).scalar()
 
 
 # -- D18 ---------------------------------------------------------------------------------------
-def tvl_change(L: Ledger) -> DataFrame:
-    """Day-over-day USD TVL change on the newest day."""
+def tvl_change(L: Ledger, as_of: str | None = None) -> DataFrame:
+    """Day-over-day USD TVL change on the newest day (or on `as_of`)."""
     d = _with_prev(L)
-    return d.where(F.col("day") == newest_day(L)).select(
+    return d.where(F.col("day") == newest_day(L, as_of)).select(
         "vault", "vault_name", "day", "usd_tvl", "prev_tvl", _pct(F.col("usd_tvl"), F.col("prev_tvl")).alias("tvl_change_pct")
     )
 
 
 # -- D19 / N4 ----------------------------------------------------------------------------------
-def tvl_growth(L: Ledger, days: int) -> DataFrame:
+def tvl_growth(L: Ledger, days: int, as_of: str | None = None) -> DataFrame:
     f = filled_dim(L)
-    today = newest_day(L)
+    today = newest_day(L, as_of)
     t = f.where(F.col("day") == today).select("vault", F.col("usd_tvl").alias("tvl_today"))
     b = f.where(F.col("day") == today - F.make_dt_interval(days=F.lit(days))).select(
         "vault", F.col("usd_tvl").alias("tvl_before")
@@ -65,8 +68,8 @@ def tvl_growth(L: Ledger, days: int) -> DataFrame:
     return t.join(b, "vault").select("vault", "tvl_today", "tvl_before", _pct(F.col("tvl_today"), F.col("tvl_before")).alias("growth_pct"))
 
 
-def tvl_growth_30d(L: Ledger) -> DataFrame:
-    return tvl_growth(L, 30)
+def tvl_growth_30d(L: Ledger, as_of: str | None = None) -> DataFrame:
+    return tvl_growth(L, 30, as_of)
 
 
 def fastest_growing(L: Ledger, days: int = 7, n: int = 5) -> DataFrame:
