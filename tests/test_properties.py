@@ -42,3 +42,13 @@ def test_as_of_sets_the_window_start(spark):
     assert rows and min(r.day for r in rows) >= dt.datetime(1998, 1, 1)
     default = A.fees_daily(L).collect()
     assert len(default) <= 31
+
+
+def test_only_successful_option(spark):
+    from vaultlake.config import VaultConfig
+
+    strict = Ledger(spark, SF_SMALL, VaultConfig(only_successful=True))
+    loose = Ledger.shared(spark, SF_SMALL)
+    n_strict = V.vault_events(strict).count()
+    n_loose = V.vault_events(loose).count()
+    assert 0 < n_strict < n_loose

@@ -89,10 +89,13 @@ class VaultConfig:
     name_prefix:   prefix stripped from vault names for display
     pegged_codes:  asset codes valued at 1 USD without a price row
     max_broadcast_rows: largest dimension that may be broadcast (checked at run time)
+    only_successful: restrict vault and strategy event logs to successful transactions (the
+                     dashboard queries do not, so the default is off)
     """
 
     vault_topic: str = "YieldVault"
     name_prefix: str = "YieldVault-"
     pegged_codes: tuple[str, ...] = ("USDC",)
     max_broadcast_rows: int = 2_000_000
+    only_successful: bool = False
     strategies: tuple = field(default_factory=lambda: tuple(STRATEGIES))

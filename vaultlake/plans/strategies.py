@@ -53,7 +53,10 @@ def strategy_registry(L: Ledger) -> DataFrame:
 
 def harvest_topic_events(L: Ledger) -> DataFrame:
     t = F.col("topics_decoded")
-    return L.contract_events.where(t.like(f"%{STRATEGY_TOPIC}%") & t.like(f"%{TOPIC_HARVEST}%"))
+    cond = t.like(f"%{STRATEGY_TOPIC}%") & t.like(f"%{TOPIC_HARVEST}%")
+    if L.cfg.only_successful:
+        cond = cond & F.col("successful")
+    return L.contract_events.where(cond)
 
 
 def strategy_overview(L: Ledger) -> DataFrame:

@@ -134,6 +134,8 @@ def vault_topic_events(L: Ledger, *words_any: str) -> DataFrame:
             c = t.like(f"%{w}%")
             any_word = c if any_word is None else (any_word | c)
         cond = cond & any_word
+    if L.cfg.only_successful:
+        cond = cond & F.col("successful")
     ev = L.contract_events.where(cond)
     return semi_join(ev, registry_vaults(L), "contract_id", "vault", L.cfg.max_broadcast_rows)
 
