@@ -1,4 +1,8 @@
-"""Query keys -> plan functions of a Ledger."""
+"""Query keys -> plan functions of a Ledger.
+
+Keys follow the key column of the survey's operator inventory: reference queries, their building
+blocks, the documented analyses, typed-event audits, the pipeline helpers and the streaming jobs.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +14,11 @@ from vaultlake.plans import activity as A
 from vaultlake.plans import audit as X
 from vaultlake.plans import blocks as B
 from vaultlake.plans import dag as G
-from vaultlake.streaming import jobs as SJ
 from vaultlake.plans import strategies as S
 from vaultlake.plans import tvl as T
 from vaultlake.plans import vaults as V
 from vaultlake.sources.ledger import Ledger
+from vaultlake.streaming import jobs as SJ
 
 PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "vault_registry": V.vault_registry,
