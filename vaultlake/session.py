@@ -37,8 +37,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's `spark.checkpoint.dir`; only when none is configured (local runs, tests)
-    create a private folder under the system temp directory."""
+    """Use the cluster's `spark.checkpoint.dir`; only when none is configured and the master is local
+    (one machine, tests) create a private folder under the system temp directory.  On a cluster a
+    missing setting is an error: a machine-local folder would be a different one on each executor."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -47,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder shared by the driver and the executors")
     path = tempfile.mkdtemp(prefix="vaultlake-ckpt-", dir=os.environ.get("VAULTLAKE_LOCAL_TMP", "/tmp"))
     sc.setCheckpointDir(path)
     return path
