@@ -1,26 +1,69 @@
-"""The training-data pipeline: each stage works on the documents that the stage before has kept."""
+"""The training-data pipeline: each stage works on the documents that the stage before has kept.
+
+language       documents whose language can't be told (no letter, or too narrow a margin) go
+exact_dedup    of equal texts (white space aside) the one with the smallest doc_id stays
+near_dedup     of each group of near-duplicates the one with the smallest doc_id stays
+mix            the mix of sources in target weights; what follows after its end goes
+pack           every document that is left, packed into sequences: one row per piece
+
+A null doc_id can't be named by a decision on ids: such rows stay in the two stages on copies.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vaultlake.llm.common import table
+from vaultlake.llm.common import checkpointed, table
+from vaultlake.llm.exact_dedup import exact_duplicates, normalised
+from vaultlake.llm.language import accepted_documents
+from vaultlake.llm.mixing import mixed_documents
 from vaultlake.llm.near_dup import near_duplicates
+from vaultlake.llm.packing import best_fit
 from vaultlake.session import ensure_checkpoint_dir
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the documents of this very stage, held-out rows aside."""
+    return accepted_documents(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text stays, also where whole rows repeat."""
+    found = checkpointed(exact_duplicates(docs).select("doc_id", "kept", "text_sha256"))
+    out = _without(docs, found.where("not kept"))
+    again = found.where("kept and doc_id is not null").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    if not again.isEmpty():
+        out = out.withColumn("__norm", normalised()).dropDuplicates(["doc_id", "__norm"]).drop("__norm")
+    return out
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (5-word shingles, similarity 0.85) stays: the
-    one with the smallest doc_id.  Documents without words, or without a doc_id, stay."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Links: 5-word shingles, similarity of 0.85 or more.  Documents without words stay."""
+    return _without(docs, near_duplicates(docs).where("not kept"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Target weight of a source: its number of documents to the power 0.7.  The mix ends when the
+    sources that still have documents hold less than half of the weight."""
+    return mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return best_fit(docs)
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    dropped = dropped.select(F.col("doc_id").alias("__dropped"))
+    return docs.join(dropped, docs["doc_id"] == F.col("__dropped"), "left_anti")
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("language", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]
 
-#: Stages outside SQL: their rows are tested against brute-force versions.
+#: The stages are outside SQL (compression, MinHash, scheduling, packing): tests hold the rows
+#: against brute-force versions.
 ORACLE_SQL = None
 
 

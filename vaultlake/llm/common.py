@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,9 @@ def held_in(doc_id: str, mod: int, held_out_at: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % mod != held_out_at, F.lit(False))
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of rows with equal `keys`, from batches sorted by them, one at a time."""
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[pa.Table]:
+    """The groups of rows with equal `keys`, from batches sorted by them, one at a time; with `most`,
+    a group comes in parts of about so many rows, so that only one part is in memory."""
     pending: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -48,12 +50,12 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         if batch.num_rows > 1:
             change = None
             for c in columns:
-                differs = pa.compute.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+                differs = pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
                 change = differs if change is None else change | differs
             cuts += (change.nonzero()[0] + 1).tolist()
         for start, end in zip(cuts, [*cuts[1:], batch.num_rows]):
             key = tuple(c[start].as_py() for c in columns)
-            if pending and key != last:
+            if pending and (key != last or most and sum(x.num_rows for x in pending) >= most):
                 yield pa.Table.from_batches(pending)
                 pending = []
             last = key
