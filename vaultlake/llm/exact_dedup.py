@@ -58,7 +58,7 @@ def directory(keys: DataFrame, capacity: int) -> DataFrame:
         levels.groupBy("depth", "bucket").agg(F.sum("n").alias("held")).where((F.col("held") <= capacity) | (span == 0))
     )
     return (
-        levels.join(fits, ["depth", "bucket"])
+        levels.join(F.broadcast(fits), ["depth", "bucket"])  # 2^(MAX_DEPTH + 1) rows at most
         .groupBy("slot").agg(F.min("depth").alias("depth"))
         .withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {MAX_DEPTH} - depth), {MAX_DEPTH} - depth)"))
     )

@@ -38,7 +38,7 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     known = docs.where(held_in("doc_id", HELD_MOD, HELD_AT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     h = F.md5(F.col("doc_id").cast("string"))
     counts = known.groupBy(F.col("lang").alias("known_lang")).agg((F.lit(4.0 * SAMPLE_DOCS) / F.count("*")).alias("share"))
-    few = known.select("doc_id", "lang", h.alias("h")).join(counts, F.col("lang") == F.col("known_lang"))
+    few = known.select("doc_id", "lang", h.alias("h")).join(F.broadcast(counts), F.col("lang") == F.col("known_lang"))  # a row per language
     few = few.where(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2**32 < F.col("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = few.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).select("doc_id", "h").distinct()
