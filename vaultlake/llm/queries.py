@@ -10,12 +10,18 @@ from vaultlake.llm.language import identify
 from vaultlake.llm.mixing import mix_sources
 from vaultlake.llm.near_dup import near_duplicates
 from vaultlake.llm.packing import best_fit
+from vaultlake.llm.pii import find_personal_data
+from vaultlake.llm.secrets import find_secrets
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -28,12 +34,19 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_exact_dedup, op4_source_mix, op7_language_id, op8_best_fit_packing, op10_minhash_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op3_pii_boosting, op4_source_mix, op7_language_id, op8_best_fit_packing, op9_secret_crf, op10_minhash_near_dedup,
+    )
 }
 
 ORACLE_SQL = {
