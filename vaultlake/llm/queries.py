@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vaultlake.llm.common import table
 from vaultlake.llm.exact_dedup import exact_duplicates
@@ -11,7 +12,9 @@ from vaultlake.llm.mixing import mix_sources
 from vaultlake.llm.near_dup import near_duplicates
 from vaultlake.llm.packing import best_fit
 from vaultlake.llm.pii import find_personal_data
+from vaultlake.llm.quality import classify
 from vaultlake.llm.secrets import find_secrets
+from vaultlake.llm.topk import top_k
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +29,14 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -45,7 +56,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op3_pii_boosting, op4_source_mix, op7_language_id, op8_best_fit_packing, op9_secret_crf, op10_minhash_near_dedup,
+        op1_exact_dedup, op3_pii_boosting, op4_source_mix, op5_exact_topk, op6_quality_rules, op7_language_id, op8_best_fit_packing, op9_secret_crf, op10_minhash_near_dedup,
     )
 }
 
@@ -55,4 +66,17 @@ ORACLE_SQL = {
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
     """,
+    "op5_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+        QUALIFY rank <= 20
+    """,
 }
