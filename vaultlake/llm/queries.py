@@ -15,12 +15,18 @@ from vaultlake.llm.pii import find_personal_data
 from vaultlake.llm.quality import classify
 from vaultlake.llm.secrets import find_secrets
 from vaultlake.llm.topk import top_k
+from vaultlake.llm.warc import archive_home, read_archives, write_archives
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_archives(table(spark, sf_dir, "pages"), archive_home(spark))
+    return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -56,7 +62,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op3_pii_boosting, op4_source_mix, op5_exact_topk, op6_quality_rules, op7_language_id, op8_best_fit_packing, op9_secret_crf, op10_minhash_near_dedup,
+        op1_exact_dedup, op2_warc, op3_pii_boosting, op4_source_mix, op5_exact_topk, op6_quality_rules, op7_language_id, op8_best_fit_packing, op9_secret_crf, op10_minhash_near_dedup,
     )
 }
 
@@ -66,6 +72,14 @@ ORACLE_SQL = {
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
     """,
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        r AS (SELECT h, max(page_id) AS first FROM p WHERE octet_length(encode(h)) >= 1000 GROUP BY h)
+        SELECT page_id, octet_length(encode(p.h))::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
+               CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p LEFT JOIN r ON p.h = r.h
+    """,
     "op5_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
