@@ -65,3 +65,13 @@ def test_forward_fill_keeps_null_companion(spark):
     df = spark.createDataFrame([("v", 1, 5, None), ("v", 2, None, 3)], "vault string, day int, a int, u int")
     got = {r.day: (r.a, r.u) for r in forward_fill(df, "vault", "day", "a", ["u"]).collect()}
     assert got[2] == (5, None)
+
+
+def test_lag_with_null_keys_ties_and_a_burst_equals_the_plain_window(spark):
+    from pyspark.sql import Window
+
+    rows = [(None if i % 2 else i % 5, 10**6 if i % 3 else i, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, t long, v long")
+    got = lag_by_key(df, ["k"], ["t", "v"], ["v"], partitions=4)
+    want = df.withColumn("prev_v", F.lag("v").over(Window.partitionBy("k").orderBy("t", "v")))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)

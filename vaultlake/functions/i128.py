@@ -5,9 +5,8 @@ An i128 value arrives as JSON text in one of two encodings:
   {"i128": "N"}                  value = N
 and is scaled by 10^-7 (token units).  Anything that does not decode gives NULL, never an error.
 
-Spark's default decimal rules round a DECIMAL(38,0) x DECIMAL(p,7) product to scale 6, so the value
-is assembled as an integer first (try_* arithmetic: overflow -> NULL) and only then scaled with an
-operand pair whose product type still fits in 38 digits.
+The value is assembled as an integer first (try_* arithmetic: overflow -> NULL) and only then scaled
+exactly (functions.decimals); NULL only beyond DECIMAL(38,7).
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vaultlake.config import TOKEN_SCALE, TWO_POW_64
+from vaultlake.config import TWO_POW_64
+from vaultlake.functions.decimals import scaled
 
 DEC = "decimal(38,7)"
 
@@ -24,21 +24,26 @@ def _try_dec(c: Column, precision: int) -> Column:
     return c.try_cast(f"decimal({precision},0)")
 
 
+def _from_halves(hi: Column, lo: Column) -> Column:
+    """hi * 2^64 + lo; of negative numbers hi is raised by one first, so that no step is longer than
+    the result."""
+    hi, lo, base = _try_dec(hi, 19), _try_dec(lo, 20), F.lit(TWO_POW_64).cast("decimal(20,0)")
+    near = F.try_add(F.try_multiply(hi, base), lo)
+    return F.when(hi < 0, F.try_add(F.try_multiply(hi + 1, base), lo - base)).otherwise(near)
+
+
 def i128_units(j: Column) -> Column:
     """Integer value (DECIMAL(38,0)) of an i128 JSON text, NULL if it does not decode."""
     hi = F.get_json_object(j, "$.i128.hi")
     lo = F.get_json_object(j, "$.i128.lo")
     scalar = F.get_json_object(j, "$.i128")
-    from_halves = F.try_add(
-        F.try_multiply(_try_dec(hi, 19), F.lit(TWO_POW_64).cast("decimal(20,0)")),
-        _try_dec(lo, 20),
-    )
+    from_halves = _from_halves(hi, lo)
     return F.when(hi.isNotNull(), from_halves).when(scalar.isNotNull(), _try_dec(scalar, 38))
 
 
 def scale_units(units: Column) -> Column:
-    """units * 10^-7 as DECIMAL(38,7); |units| must be below 10^30, else NULL."""
-    return (_try_dec(units, 30) * F.lit(TOKEN_SCALE).cast("decimal(7,7)")).cast(DEC)
+    """units * 10^-7 as DECIMAL(38,7)."""
+    return scaled(units)
 
 
 def i128(j: Column) -> Column:
@@ -50,8 +55,5 @@ def i128_from_value_text(t: Column) -> Column:
     """DECIMAL(38,7) from the text of an `i128` field itself: `{"hi":H,"lo":L}` or a scalar."""
     hi = F.get_json_object(t, "$.hi")
     lo = F.get_json_object(t, "$.lo")
-    from_halves = F.try_add(
-        F.try_multiply(_try_dec(hi, 19), F.lit(TWO_POW_64).cast("decimal(20,0)")),
-        _try_dec(lo, 20),
-    )
+    from_halves = _from_halves(hi, lo)
     return scale_units(F.when(hi.isNotNull(), from_halves).when(t.isNotNull(), _try_dec(t, 38)))

@@ -50,13 +50,13 @@ def addresses(vals: Column) -> Column:
     return F.transform(vals, lambda v: F.get_json_object(v, "$.address"))
 
 
-def sum_skip_nulls(arr: Column, dtype: str = "decimal(38,7)") -> Column:
-    """SQL SUM over an array: NULL elements ignored, NULL when no element is non-NULL."""
-    zero = F.lit(None).cast(dtype)
+def sum_skip_nulls(arr: Column) -> Column:
+    """SQL SUM over an array of DECIMAL(38,7), exact: NULL elements ignored, NULL when no element is
+    non-NULL."""
+    from vaultlake.functions.decimals import DEC, add
+
     return F.aggregate(
-        arr,
-        zero,
-        lambda acc, x: F.when(x.isNull(), acc).when(acc.isNull(), x).otherwise((acc + x).cast(dtype)),
+        arr, F.lit(None).cast(DEC), lambda acc, x: F.when(x.isNull(), acc).when(acc.isNull(), x).otherwise(add(acc, x))
     )
 
 

@@ -3,8 +3,10 @@ whole key into one task.
 
 A plain `Window.partitionBy(key).orderBy(t)` sends every row of a key to one task; with one key
 holding a third of the data that task is the job.  Here each row gets a segment number from its
-position on the ordering axis (equal-width slices of [min, max] of the first order column, bounds
-from scalar subqueries, so the assignment is deterministic and identical on every recomputation).
+position on the ordering axis: slices between approximate quantiles of the first order column, from
+one scalar subquery, so a burst of rows is cut into as many slices as its rows need (rows that share
+one value stay together).  Any cuts give the same result; they only decide how rows are dealt out.
+Keys are compared null-safely, so rows without a key form a key of their own, as in a window.
 Windows run per (key, segment), so a hot key is spread over many tasks; only the first (or last)
 row of each (key, segment) run needs a value from a neighbouring segment, and those come from a
 small table with one row per run, ordered by segment within the key.
@@ -18,6 +20,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Slices of the axis at most.
+MOST_SLICES = 64
+
+
+def _same_run(r: DataFrame, runs: DataFrame, key: Sequence[str]) -> DataFrame:
+    """`runs` joined to its rows; keys are equal null-safely."""
+    names = ["__pid", *key]
+    runs = runs.withColumnsRenamed({k: f"__of_{k}" for k in names})
+    cond = F.col("__pid") == F.col("__of___pid")
+    for k in key:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return r.join(runs, cond, "left").drop(*[f"__of_{k}" for k in names])
+
+
 def _axis(df: DataFrame, col: str) -> Column:
     """Numeric position of the first order column (micros for timestamps/dates)."""
     t = dict(df.dtypes)[col]
@@ -29,13 +45,14 @@ def _axis(df: DataFrame, col: str) -> Column:
 
 def _runs(df: DataFrame, key: Sequence[str], order: Sequence[str], partitions: int | None) -> tuple[DataFrame, Window]:
     spark = df.sparkSession
-    n = (partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
+    n = min(MOST_SLICES, (partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4)
     pos = _axis(df, order[0])
-    # one scalar subquery (a single scan) for both ends of the axis
-    ends = df.select(pos.alias("__x")).agg(F.struct(F.min("__x").alias("lo"), F.max("__x").alias("hi"))).scalar()
-    lo, hi = ends.getField("lo"), ends.getField("hi")
-    width = F.greatest(F.floor((hi - lo) / F.lit(n)) + 1, F.lit(1))
-    r = df.withColumn("__pid", F.floor((pos - lo) / width).cast("bigint"))
+    # one scalar subquery (a single scan) for the cuts
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)])
+    cuts = df.select(pos.alias("__x")).agg(F.percentile_approx("__x", shares, F.lit(1000))).scalar()
+    r = df.withColumn("__cuts", cuts).withColumn("__at", pos)
+    r = r.withColumn("__pid", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__at"))), F.lit(-1)).cast("bigint"))
+    r = r.drop("__cuts", "__at")
     w = Window.partitionBy("__pid", *key).orderBy(*order)
     return r, w
 
@@ -64,7 +81,7 @@ def lag_by_key(
     neighbour = F.lead("__edge").over(wk) if lead else F.lag("__edge").over(wk)
     runs = runs.select("__pid", *key, neighbour.alias("__nb"))
     at_edge = (F.col("__lrn") == F.col("__lcnt")) if lead else (F.col("__lrn") == 1)
-    out = r.join(runs, ["__pid", *key], "left")
+    out = _same_run(r, runs, key)
     sel = [c for c in df.columns]
     for v in values:
         sel.append(F.when(at_edge, F.col(f"__nb.__b_{v}")).otherwise(F.col(f"__loc_{v}")).alias(f"{prefix}{v}"))
@@ -89,7 +106,7 @@ def position_by_key(
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
         *[F.sum(f"__t_{s}").over(before).alias(f"__soff_{s}") for s in sums],
     )
-    out = r.join(runs, ["__pid", *key], "left")
+    out = _same_run(r, runs, key)
     cols: list[Column | str] = list(df.columns)
     cols.append((F.col("__lrn") + F.col("__off")).alias("__rn"))
     for s in sums:

@@ -103,15 +103,14 @@ all_days AS (
 grid AS (
   SELECT d.day, k.vault, k.vault_name, k.asset, k.asset_code, t.asset_tvl, t.usd_tvl
   FROM all_days d CROSS JOIN live_keys k LEFT JOIN daily t ON t.day = d.day AND t.vault = k.vault),
-grouped AS (
-  SELECT *, count(asset_tvl) OVER (PARTITION BY vault ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp
-  FROM grid),
+spans AS (
+  SELECT vault, day AS since, lead(day) OVER (PARTITION BY vault ORDER BY day) AS until, asset_tvl, usd_tvl,
+    row_number() OVER (PARTITION BY vault ORDER BY day) AS nth
+  FROM daily WHERE asset_tvl IS NOT NULL),
 filled AS (
-  SELECT day, vault, vault_name, asset, asset_code,
-    CAST(first_value(asset_tvl) OVER (PARTITION BY vault, grp ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(38,7)) AS asset_tvl,
-    CAST(first_value(usd_tvl) OVER (PARTITION BY vault, grp ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(38,7)) AS usd_tvl
-  FROM grouped),
-filled_days AS (SELECT * FROM filled WHERE asset_tvl IS NOT NULL)"""
+  SELECT g.day, g.vault, g.vault_name, g.asset, g.asset_code, s.asset_tvl, s.usd_tvl, coalesce(s.nth, 0) AS nth
+  FROM grid g LEFT JOIN spans s ON s.vault = g.vault AND g.day >= s.since AND (s.until IS NULL OR g.day < s.until)),
+filled_days AS (SELECT * EXCLUDE (nth) FROM filled WHERE asset_tvl IS NOT NULL)"""
 CTE["latest"] = """latest AS (
   SELECT day AS latest_day, vault, vault_name, asset, asset_code, asset_tvl, usd_tvl
   FROM filled_days QUALIFY row_number() OVER (PARTITION BY vault ORDER BY day DESC) = 1)"""
@@ -472,7 +471,8 @@ FROM (SELECT vault, CAST(usd_tvl AS DOUBLE) AS x FROM filled_days WHERE day = (S
 
 # ---- typed events and audits -------------------------------------------------------------------
 _KINDS = "['paused', 'unpaused', 'unwind', 'invest']"
-_SHARES_U = ("(CASE WHEN tvl_u = 0 THEN amt_u ELSE amt_u * (1 + vnum % 3) END + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END)")
+_LEAST_U = "(CASE WHEN event_id % 5 = 0 THEN least(amt_u, 100000) ELSE amt_u END)"
+_SHARES_U = (f"(CASE WHEN tvl_u = 0 THEN CASE WHEN event_type = 'purchase' THEN {_LEAST_U} - 1000 ELSE amt_u END ELSE amt_u * (1 + vnum % 3) END + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END)")
 register_cte("ev_units", """ev_units AS (
   SELECT e.*, (event_id // 2) % 25 AS vnum, CAST(round(value * 100) AS BIGINT) * 100000 AS amt_u,
     CASE WHEN ((event_id // 2) % 25) % 7 = 0 THEN 0 ELSE ((event_id * 7919) % 1000003) * 10000000 + event_id % 997 END AS tvl_u
@@ -483,6 +483,7 @@ ORACLE["decode_events"] = with_ctes(["ev_units"], f"""SELECT transaction_hash AS
   CASE WHEN event_type = 'view' THEN NULL ELSE 'G' || CAST(user_id AS VARCHAR) END AS account,
   CASE WHEN event_type = 'signup' AND event_id % 4 IN (0, 1) THEN {strat_of('event_id')} END AS strategy,
   CASE WHEN event_type IN ('purchase', 'error', 'click') THEN {dec('amt_u')} END AS amount,
+  CASE WHEN event_type IN ('purchase', 'error') THEN CAST({dec('amt_u')} AS VARCHAR) || CASE WHEN event_id % 5 = 0 THEN ',0.0100000' ELSE '' END END AS amounts,
   CASE WHEN event_type IN ('purchase', 'error') THEN {dec(_SHARES_U)} END AS shares
 FROM ev_units""")
 
@@ -512,19 +513,21 @@ ORACLE["share_price"] = with_ctes(["flow_units"], f"""SELECT transaction_hash AS
   CASE WHEN event_type = 'error' THEN 'withdraw' ELSE 'deposit' END AS event,
   CASE WHEN event_id % 97 = 0 THEN NULL ELSE round(CAST({dec('tvl_u')} AS DOUBLE) / CAST({dec('tvl_u * (1 + vnum % 3)')} AS DOUBLE), 9) END AS share_price
 FROM flow_units WHERE tvl_u * (1 + vnum % 3) > 0""")
-ORACLE["share_reconcile"] = with_ctes(["flow_units"], f"""SELECT * FROM (
-  SELECT transaction_hash AS tx_hash, contract_id AS vault, closed_at,
-    CASE WHEN event_type = 'error' THEN 'withdraw' ELSE 'deposit' END AS event,
-    {dec(_SHARES_U)} AS shares,
-    CASE WHEN tvl_u = 0 THEN {dec('amt_u')}
-         ELSE CAST(round(CAST({dec('amt_u')} AS DOUBLE) * CAST({dec('tvl_u * (1 + vnum % 3)')} AS DOUBLE) / CAST({dec('tvl_u')} AS DOUBLE), 7) AS DECIMAL(38,7)) END AS expected_shares
-  FROM flow_units WHERE event_id % 97 <> 0) x WHERE shares <> expected_shares""")
+_H = lambda x: f"CAST({x} AS HUGEINT)"
+_MINTED_U = f"(CASE WHEN tvl_u = 0 THEN {_LEAST_U} - 1000 ELSE {_H('amt_u')} * tvl_u * (1 + vnum % 3) // tvl_u END)"
+_PAID_U = f"(CASE WHEN tvl_u = 0 THEN 0 ELSE {_H('tvl_u')} * {_SHARES_U} // (tvl_u * (1 + vnum % 3)) END)"
+ORACLE["share_reconcile"] = with_ctes(["flow_units"], f"""SELECT transaction_hash AS tx_hash, contract_id AS vault, closed_at,
+  CASE WHEN event_type = 'error' THEN 'withdraw' ELSE 'deposit' END AS event, {dec('amt_u')} AS amount, {dec(_SHARES_U)} AS shares,
+  CASE WHEN event_type = 'purchase' THEN {dec(_MINTED_U)} END AS expected_shares,
+  CASE WHEN event_type = 'error' THEN {dec(_PAID_U)} END AS expected_amount
+FROM flow_units WHERE event_id % 97 <> 0
+  AND CASE WHEN event_type = 'purchase' THEN {_SHARES_U} <> {_MINTED_U} ELSE amt_u <> {_PAID_U} END""")
 register_cte("latest_reports", """latest_reports AS (
   SELECT * FROM reports QUALIFY row_number() OVER (PARTITION BY vault, strategy_address
       ORDER BY closed_at DESC, ledger_sequence DESC, locked_fee DESC, gains_or_losses DESC, prev_balance DESC) = 1)""", ["reports"])
 ORACLE["fee_split"] = with_ctes(["latest_reports"], f"""SELECT vault, strategy_address, locked_fee,
-  {dec('(CAST(locked_fee * 10000000 AS BIGINT) * 1000) // 1500')} AS vault_share,
-  {dec('CAST(locked_fee * 10000000 AS BIGINT) - (CAST(locked_fee * 10000000 AS BIGINT) * 1000) // 1500')} AS protocol_share
+  {dec('CAST(locked_fee * 10000000 AS BIGINT) - (CAST(locked_fee * 10000000 AS BIGINT) * 500) // 1500')} AS vault_share,
+  {dec('(CAST(locked_fee * 10000000 AS BIGINT) * 500) // 1500')} AS protocol_share
 FROM latest_reports""")
 ORACLE["report_deltas"] = with_ctes(["reports"], """SELECT vault, strategy_address, closed_at, ledger_sequence, prev_balance,
   last_prev_balance AS previous_report_balance, CAST(prev_balance - last_prev_balance AS DECIMAL(38,7)) AS delta
@@ -533,8 +536,11 @@ FROM (SELECT *, lag(prev_balance) OVER (PARTITION BY vault, strategy_address
       FROM (SELECT DISTINCT * FROM reports) d) x""")
 ORACLE["allocations"] = with_ctes(["flow_units"], f"""SELECT transaction_hash AS tx_hash, contract_id AS vault, closed_at,
   {asset_of('vnum % 5')} AS asset, {dec('tvl_u // 4')} AS idle_amount, {dec('tvl_u - tvl_u // 4')} AS invested_amount,
-  {strat_of('vnum')} AS strategy_address, {dec('tvl_u - tvl_u // 4')} AS allocated, false AS paused
-FROM flow_units WHERE event_id % 97 <> 0""")
+  {dec('tvl_u')} AS total_amount, {strat_of('vnum')} AS strategy_address, {dec('tvl_u - tvl_u // 4')} AS allocated, false AS paused
+FROM flow_units WHERE event_id % 97 <> 0
+UNION ALL
+SELECT transaction_hash, contract_id, closed_at, 'CA9', {dec('event_id * 1000')}, {dec('0')}, {dec('event_id * 1000')}, NULL, NULL, NULL
+FROM flow_units WHERE event_id % 97 <> 0 AND event_id % 11 = 0""")
 ORACLE["strategy_status"] = with_ctes(["ev_units"], f"""SELECT vault, strategy_address, changed_at,
   CASE WHEN kind = 'paused' THEN 'paused' ELSE 'active' END AS status
 FROM (SELECT contract_id AS vault, {strat_of('event_id')} AS strategy_address, closed_at AS changed_at,
@@ -583,7 +589,7 @@ ORACLE["nonzero_keys"] = with_ctes(["filled"], "SELECT * FROM live_keys")
 ORACLE["calendar"] = with_ctes(["filled"], "SELECT * FROM all_days")
 ORACLE["dense_grid"] = with_ctes(["filled"], "SELECT day, vault, vault_name, asset, asset_code FROM grid")
 ORACLE["grid_join"] = with_ctes(["filled"], "SELECT * FROM grid")
-ORACLE["fill_groups"] = with_ctes(["filled"], "SELECT day, vault, grp FROM grouped")
+ORACLE["fill_groups"] = with_ctes(["filled"], "SELECT day, vault, nth AS grp FROM filled")
 ORACLE["forward_fill"] = with_ctes(["filled"], "SELECT day, vault, asset_tvl, usd_tvl FROM filled")
 
 ORACLE["materialize_dag"] = ORACLE["latest_usd_tvl"]
@@ -716,7 +722,7 @@ FROM stream_flows WHERE event = 'withdraw' AND total_amount > 0 AND CAST(amount
 UNION ALL
 SELECT vault, closed_at, 'tvl_drop', prev_tvl, tvl FROM (
   SELECT vault, closed_at, total_amount AS tvl,
-    lag(total_amount) OVER (PARTITION BY vault ORDER BY closed_at, tx_hash) AS prev_tvl
+    lag(total_amount) OVER (PARTITION BY vault ORDER BY closed_at, tx_hash, total_amount) AS prev_tvl
   FROM stream_flows WHERE total_amount IS NOT NULL) x
 WHERE prev_tvl > 0 AND (CAST(tvl AS DOUBLE) - CAST(prev_tvl AS DOUBLE)) / CAST(prev_tvl AS DOUBLE) * 100 <= -50.0""")
 ORACLE["strategy_subset"] = with_ctes(["strategies", "clicks"], f"""SELECT s.strategy_name, s.strategy_address, s.asset_token,

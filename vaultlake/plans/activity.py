@@ -108,9 +108,10 @@ def state_changes(L: Ledger, key_type: str = KEY_MAP) -> DataFrame:
     """Per contract: first state (CREATED) and every state that differs from the previous one
     (MODIFIED), in ledger order."""
     cd = L.contract_data.where(F.col("contract_key_type") == key_type).select(
-        "contract_id", "ledger_sequence", "closed_at", "val_decoded"
+        "contract_id", "ledger_sequence", "closed_at", "val_decoded", "ledger_key_hash"
     )
-    h = lag_by_key(cd, ["contract_id"], ["ledger_sequence"], ["val_decoded"])
+    # several keys of a contract may change in one ledger
+    h = lag_by_key(cd, ["contract_id"], ["ledger_sequence", "ledger_key_hash", "val_decoded"], ["val_decoded"])
     prev = F.col("prev_val_decoded")
     return h.where(prev.isNull() | (F.col("val_decoded") != prev)).select(
         "contract_id",

@@ -20,6 +20,7 @@ from vaultlake.config import (
     SYM_SUPPLY_BEFORE,
     SYM_TOTAL_AMOUNT,
 )
+from vaultlake.functions.decimals import UNITS, divided, floor_share, from_units, let, plus, subtract, times, to_units
 from vaultlake.functions.i128 import i128
 from vaultlake.functions.payload import (
     field_values,
@@ -75,7 +76,8 @@ def _typed(kind: Column, entries: Column, field: str, value) -> Column:
 
 
 def decode_events(L: Ledger) -> DataFrame:
-    """Vault and strategy events as typed rows: kind, account, strategy, amount, shares."""
+    """Vault and strategy events as typed rows: kind, account, strategy, amount (of the first asset),
+    amounts (of all assets, comma-joined, in their order), shares."""
     vault_ev = vault_topic_events(L)
     t = F.col("topics_decoded")
     strat_ev = L.contract_events.where(t.like(f"%{STRATEGY_TOPIC}%"))
@@ -96,6 +98,7 @@ def decode_events(L: Ledger) -> DataFrame:
         _typed(kind, entries, "account", addr).alias("account"),
         _typed(kind, entries, "strategy", addr).alias("strategy"),
         F.coalesce(amount_vec, amount_scalar).alias("amount"),
+        _typed(kind, entries, "amount_vec", lambda e, s: F.array_join(F.transform(typed_vecs(e, s), lambda v: i128(v).cast("string")), ",")).alias("amounts"),
         _typed(kind, entries, "shares", lambda e, s: one(typed_i128s(e, s))).alias("shares"),
     )
 
@@ -162,6 +165,7 @@ def _flow_numbers(L: Ledger) -> DataFrame:
         "closed_at",
         kind.alias("event"),
         i128(one(typed_vecs(e, [SYM_AMOUNTS, SYM_AMOUNTS_WITHDRAWN]))).alias("amount"),
+        F.array_min(F.transform(typed_vecs(e, [SYM_AMOUNTS, SYM_AMOUNTS_WITHDRAWN]), i128)).alias("least_amount"),
         one(typed_i128s(e, [SYM_MINTED, SYM_BURNED])).alias("shares"),
         one(typed_i128s(e, SYM_SUPPLY_BEFORE)).alias("supply"),
         one(typed_i128s(funds0, SYM_TOTAL_AMOUNT)).alias("funds"),
@@ -177,27 +181,40 @@ def share_price(L: Ledger) -> DataFrame:
     )
 
 
+MINIMUM_LIQUIDITY = 1000  # units of the first deposit that stay locked
+
+
 def share_reconcile(L: Ledger) -> DataFrame:
-    """Events whose minted/burned shares differ from amount x supply / funds (1:1 when the vault
-    is empty)."""
+    """Events that do not follow the share rules.  A deposit mints floor(amount x supply / funds)
+    shares, or the least amount less MINIMUM_LIQUIDITY units while there is no supply; a withdrawal
+    pays floor(funds x shares / supply), nothing without a supply."""
     f = _flow_numbers(L).where(F.col("funds").isNotNull())
-    a, s, m = (F.col(c).cast("double") for c in ("amount", "supply", "funds"))
-    expected = F.when(F.col("funds") == 0, a).otherwise(F.round(a * s / m, 7))
-    f = f.select("tx_hash", "vault", "closed_at", "event", "shares", expected.cast(DEC).alias("expected_shares"))
-    return f.where(F.col("shares") != F.col("expected_shares"))
+    empty, deposit = F.col("supply") == 0, F.col("event") == "deposit"
+    first = subtract(F.col("least_amount"), from_units(F.lit(MINIMUM_LIQUIDITY).cast(UNITS)))
+    minted = F.when(empty, first).otherwise(floor_share(F.col("amount"), F.col("supply"), F.col("funds")))
+    paid = F.when(empty, F.lit(0).cast(DEC)).otherwise(floor_share(F.col("funds"), F.col("shares"), F.col("supply")))
+    f = f.select(
+        "tx_hash", "vault", "closed_at", "event", "amount", "shares",
+        F.when(deposit, minted).alias("expected_shares"), F.when(~deposit, paid).alias("expected_amount"),
+    )
+    return f.where((F.col("shares") != F.col("expected_shares")) | (F.col("amount") != F.col("expected_amount")))
 
 
 # -- T7 ----------------------------------------------------------------------------------------
 def fee_split(L: Ledger, vault_fee_bps: int = 1000, protocol_fee_bps: int = 500) -> DataFrame:
     """Split of each latest locked fee between vault and protocol in proportion to their rates
-    (vault part rounded down to the token unit, protocol gets the rest)."""
-    lf = locked_fees(L)
-    units = (F.col("locked_fee") * 10000000).cast("decimal(38,0)").cast("bigint")
-    vault_units = F.floor(units * vault_fee_bps / (vault_fee_bps + protocol_fee_bps)).cast("bigint")
-    scale = lambda u: (u.cast("decimal(30,0)") * F.lit(0.0000001).cast("decimal(7,7)")).cast(DEC)
-    return lf.select(
+    (protocol part rounded down to the unit, the vault gets the rest); exact whole numbers."""
+    total = vault_fee_bps + protocol_fee_bps
+    bps = F.lit(protocol_fee_bps).cast(UNITS)
+
+    def part(u):
+        whole, rest = divided(u, total)
+        return plus(times(whole, bps), divided(times(rest, bps), total)[0])
+
+    protocol = from_units(let(to_units(F.col("locked_fee")), part))
+    return locked_fees(L).select(
         "vault", "strategy_address", "locked_fee",
-        scale(vault_units).alias("vault_share"), scale(units - vault_units).alias("protocol_share"),
+        subtract(F.col("locked_fee"), protocol).alias("vault_share"), protocol.alias("protocol_share"),
     )
 
 
@@ -211,13 +228,14 @@ def report_deltas(L: Ledger) -> DataFrame:
     return p.select(
         "vault", "strategy_address", "closed_at", "ledger_sequence", "prev_balance",
         F.col("last_prev_balance").alias("previous_report_balance"),
-        (F.col("prev_balance") - F.col("last_prev_balance")).cast(DEC).alias("delta"),
+        subtract(F.col("prev_balance"), F.col("last_prev_balance")).alias("delta"),
     )
 
 
 # -- T9 ----------------------------------------------------------------------------------------
 def allocations(L: Ledger) -> DataFrame:
-    """Per managed-funds entry: idle and invested amounts and one row per strategy allocation."""
+    """Per managed-funds entry: total, idle and invested amounts, and one row per strategy allocation
+    (one without a strategy for an entry that has none)."""
     ev = vault_topic_events(L, "withdraw", "deposit")
     entries = parse_payload(F.col("data_decoded"))
     elems = F.flatten(F.transform(field_values(entries, SYM_FUNDS_BEFORE), lambda v: F.coalesce(parse_vec(v), F.array().cast("array<string>"))))
@@ -228,11 +246,12 @@ def allocations(L: Ledger) -> DataFrame:
         F.get_json_object(_first(m, ["asset"]), "$.address").alias("asset"),
         i128(_first(m, ["idle_amount"])).alias("idle_amount"),
         i128(_first(m, ["invested_amount"])).alias("invested_amount"),
-        F.explode(F.coalesce(parse_vec(_first(m, ["strategy_allocations"])), F.array().cast("array<string>"))).alias("alloc"),
+        i128(_first(m, [SYM_TOTAL_AMOUNT])).alias("total_amount"),
+        F.explode_outer(F.coalesce(parse_vec(_first(m, ["strategy_allocations"])), F.array().cast("array<string>"))).alias("alloc"),
     )
     a = parse_entries(F.get_json_object("alloc", "$.map"))
     return x.select(
-        "tx_hash", "vault", "closed_at", "asset", "idle_amount", "invested_amount",
+        "tx_hash", "vault", "closed_at", "asset", "idle_amount", "invested_amount", "total_amount",
         F.get_json_object(_first(a, ["strategy_address"]), "$.address").alias("strategy_address"),
         i128(_first(a, ["amount"])).alias("allocated"),
         F.get_json_object(_first(a, ["paused"]), "$.bool").cast("boolean").alias("paused"),

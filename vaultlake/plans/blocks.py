@@ -33,7 +33,7 @@ def scan_transactions(L: Ledger, days: int = 30, as_of: str | None = None) -> Da
 
 
 def decode_i128(L: Ledger) -> DataFrame:
-    return _flow_numbers(L).drop("event")
+    return _flow_numbers(L).drop("event", "least_amount")
 
 
 def payload_fields(L: Ledger) -> DataFrame:

@@ -17,6 +17,7 @@ from vaultlake.config import (
     APY_HORIZONS,
     APY_STRATEGY_PATTERN,
     DAYS_PER_YEAR,
+    KEY_VEC,
     MS_PER_DAY,
     STRATEGY_TOPIC,
     SYM_AMOUNT,
@@ -171,7 +172,8 @@ def fees_distributed(L: Ledger) -> DataFrame:
 # -- Q12 ---------------------------------------------------------------------------------------
 def report_snapshots(L: Ledger) -> DataFrame:
     """Live report snapshots of registered vaults with the strategy from the key."""
-    rows = semi_join(report_rows(L), vault_info_dim(L), "contract_id", "vault", L.cfg.max_broadcast_rows)
+    rows = report_rows(L).where(F.col("contract_key_type") == KEY_VEC)  # a report's key is a vector; prunes the other key types
+    rows = semi_join(rows, vault_info_dim(L), "contract_id", "vault", L.cfg.max_broadcast_rows)
     return rows.select(
         F.col("contract_id").alias("vault"),
         "closed_at",
@@ -189,10 +191,9 @@ def _max_field(entries: Column, sym: str) -> Column:
     return F.array_max(typed_i128s(entries, sym))
 
 
-def _decoded_reports(L: Ledger) -> DataFrame:
+def _decoded_reports(snaps: DataFrame) -> DataFrame:
     """Report snapshots with the three fields (largest if a symbol repeats); snapshots with an
     empty or unreadable value map are dropped.  One parse per snapshot."""
-    snaps = report_snapshots(L)
     staged = snaps.select("*", parse_typed(F.col("val_decoded")).alias("e")).where(F.size("e") > 0)
     e = F.col("e")
     return staged.select(
@@ -206,15 +207,26 @@ def _decoded_reports(L: Ledger) -> DataFrame:
 def report_pivot(L: Ledger) -> DataFrame:
     """Per distinct snapshot: locked_fee, gains_or_losses, prev_balance (largest if repeated);
     snapshots with an empty or unreadable value map are dropped."""
-    snaps = _decoded_reports(L)
+    snaps = _decoded_reports(report_snapshots(L))
     return snaps.dropDuplicates(["vault", "closed_at", "ledger_sequence", "strategy_address", "val_decoded"]).drop(
         "val_decoded"
     )
 
 
+def _newest_snapshots(L: Ledger) -> DataFrame:
+    """Readable report snapshots at the newest time of their (vault, strategy): a hash aggregate on
+    the time, joined back, so that only what is left is decoded and compared further."""
+    rows = report_snapshots(L)
+    readable = rows.select("vault", "strategy_address", "closed_at", parse_typed(F.col("val_decoded")).alias("e")).where(F.size("e") > 0)
+    top = readable.groupBy("vault", "strategy_address").agg(F.max("closed_at").alias("top"))
+    top = top.select(F.col("vault").alias("v"), F.col("strategy_address").alias("s"), "top")
+    same = F.col("vault").eqNullSafe(F.col("v")) & F.col("strategy_address").eqNullSafe(F.col("s")) & F.col("closed_at").eqNullSafe(F.col("top"))
+    return rows.join(top, same, "left_semi")
+
+
 def locked_fees(L: Ledger) -> DataFrame:
     """Latest live report per (vault, strategy): newest time, then highest ledger, then values."""
-    snaps = _decoded_reports(L).drop("val_decoded")
+    snaps = _decoded_reports(_newest_snapshots(L)).drop("val_decoded")
     latest = latest_per_key(
         snaps, ["vault", "strategy_address"], ["closed_at", "ledger_sequence"],
         ["locked_fee", "gains_or_losses", "prev_balance"],
@@ -233,7 +245,7 @@ def apy(start: Column, end: Column, t0: Column, t1: Column) -> Column:
     is rounded to 7 places first, as a DECIMAL(38,7) quotient would be."""
     elapsed_ms = micros_between(t0, t1) / 1000.0
     ratio = F.round(end.cast("double") / start.cast("double"), 7)
-    value = ((F.pow(ratio, F.lit(DAYS_PER_YEAR * MS_PER_DAY) / elapsed_ms) - 1) * 100).cast("decimal(38,2)")
+    value = ((F.pow(ratio, F.lit(DAYS_PER_YEAR * MS_PER_DAY) / elapsed_ms) - 1) * 100).try_cast("decimal(38,2)")
     ok = start.isNotNull() & end.isNotNull() & (start > 0) & (t1 > t0)
     return F.when(ok, F.round(value, 2))
 
@@ -256,8 +268,10 @@ def strategy_endpoints(L: Ledger) -> DataFrame:
             F.count(F.when(inside, F.lit(1))).alias(f"count_{suffix}"),
         ]
     per = h.groupBy("contract_id").agg(*aggs)
-    sl = F.broadcast(apy_strategies(L).select("contract_id", "asset"))
-    j = sl.join(per, "contract_id", "left")
+    sl = apy_strategies(L).select("contract_id", "asset")
+    # the registry is a fixed list, and `per` has one row for each of its strategies at most
+    per = per.join(F.broadcast(sl.select("contract_id")), "contract_id", "left_semi")
+    j = sl.join(F.broadcast(per), "contract_id", "left")
     cols = [F.col("asset"), F.col("contract_id")]
     for suffix, _ in APY_HORIZONS:
         cols += [

@@ -30,6 +30,7 @@ from vaultlake.config import (
     TOPIC_DEPOSIT,
     TOPIC_WITHDRAW,
 )
+from vaultlake.functions.decimals import multiply
 from vaultlake.functions.i128 import i128
 from vaultlake.functions.names import display_name, native_code, resolve_code
 from vaultlake.functions.payload import (
@@ -248,8 +249,8 @@ def hourly_max(L: Ledger) -> DataFrame:
 
 
 def usd_value(amount: F.Column, price: F.Column) -> F.Column:
-    """amount x price rounded once to 7 places (operands narrowed so the product is exact)."""
-    return (amount.try_cast("decimal(24,7)") * price.try_cast("decimal(13,7)")).cast(DEC)
+    """amount x price rounded once to 7 places."""
+    return multiply(amount, price)
 
 
 def tvl_hours_df(L: Ledger) -> DataFrame:

@@ -380,7 +380,9 @@ class Ledger:
         tvl_u = F.when(vnum % 7 == 0, F.lit(0).cast("bigint")).otherwise(
             ((eid * 7919) % 1000003) * 10000000 + eid % 997
         )
-        shares_u = F.when(tvl_u == 0, amt_u).otherwise(amt_u * k) + F.when(eid % 13 == 0, 1).otherwise(0)
+        first_u = F.when(eid % 5 == 0, F.least(amt_u, F.lit(100000))).otherwise(amt_u) - 1000  # least amount less the locked part
+        empty_u = F.when(F.col("event_type") == "purchase", first_u).otherwise(amt_u)
+        shares_u = F.when(tvl_u == 0, empty_u).otherwise(amt_u * k) + F.when(eid % 13 == 0, 1).otherwise(0)
         supply_u = tvl_u * k
         amounts = J.vec_joined(
             F.concat(J.i128(amt_u, scalar), F.when(eid % 5 == 0, F.concat(F.lit(","), J.i128(F.lit(100000)))).otherwise(""))

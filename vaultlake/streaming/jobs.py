@@ -1,11 +1,16 @@
 """Structured Streaming versions of the event jobs.
 
 The event log is read as a file stream (each run processes what is available and stops:
-trigger availableNow), decoded per event, and written to Parquet with checkpoints in the
-cluster's checkpoint folder, so a restarted or failed run resumes where it stopped.
-
-  stream_decode    decoded deposit/withdraw events, duplicates dropped within the watermark
-  stream_net_flow  daily net flow per ledger day (complete mode; state = one row per day)
+trigger availableNow), decoded per event, and written to Parquet.  Output, state and checkpoints lie
+below one folder; a run that is given the folder of an earlier one resumes where that stopped (by
+default each run gets a new folder in the cluster's checkpoint folder).  Only events of registered
+vaults count.
+
+  stream_decode    decoded deposit/withdraw events; events are appended whenever they come, however
+                   late, and redelivered ones (same transaction, vault, time, topics and payload)
+                   are dropped when the table is read
+  stream_net_flow  daily net flow per ledger day of the single events' amounts (complete mode; state
+                   = one row per day); the batch `net_flow` sums the per-transaction amounts instead
   stream_alerts    large withdrawals and TVL drops per vault (foreachBatch: range-split lag in the
                    batch, last reading per vault carried in an epoch-versioned state table)
 """
@@ -22,18 +27,18 @@ from pyspark.sql import functions as F
 from vaultlake.functions.i128 import i128
 from vaultlake.functions.payload import parse_typed, typed_addresses, typed_i128s, typed_vecs
 from vaultlake.functions.time import day_bucket
-from vaultlake.operators.joins import bounded
+from vaultlake.operators.joins import bounded, semi_join
 from vaultlake.operators.latest import latest_per_key
 from vaultlake.operators.ordered import lag_by_key
-from vaultlake.plans.vaults import event_kind, sum_skip_nulls
+from vaultlake.plans.vaults import event_kind, sum_skip_nulls, vault_info_dim
 from vaultlake.session import ensure_checkpoint_dir
 from vaultlake.sources.ledger import Ledger
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+def _home(spark: SparkSession, name: str, home: str | None) -> str:
+    return (home or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}").rstrip("/")
 
 
 def event_stream(L: Ledger, files_per_trigger: int = 1, source: tuple[str, str] | None = None) -> DataFrame:
@@ -50,10 +55,12 @@ def event_stream(L: Ledger, files_per_trigger: int = 1, source: tuple[str, str]
 
 
 def decoded_flows(L: Ledger, source: tuple[str, str] | None = None) -> DataFrame:
-    """Per-event decode of vault deposits/withdrawals (topic filter; registry membership by vault
-    address pattern is checked in batch jobs)."""
+    """Per-event decode of deposits/withdrawals of registered vaults."""
     t = F.col("topics_decoded")
     ev = event_stream(L, source=source).where(t.like(f"%{L.cfg.vault_topic}%") & (t.like("%withdraw%") | t.like("%deposit%")))
+    ev = semi_join(ev, vault_info_dim(L), "contract_id", "vault", L.cfg.max_broadcast_rows)
+    if L.cfg.only_successful:
+        ev = ev.where(F.col("successful"))
     ev = ev.select("*", parse_typed(F.col("data_decoded")).alias("e"))
     e = F.col("e")
     one = lambda arr: F.try_element_at(arr, F.lit(1))
@@ -61,7 +68,6 @@ def decoded_flows(L: Ledger, source: tuple[str, str] | None = None) -> DataFrame
     funds = one(typed_vecs(e, "total_managed_funds_before"))
     tvl = one(typed_i128s(parse_typed(funds), "total_amount"))
     return ev.select(
-        F.col("closed_at").cast("timestamp").alias("event_time"),
         "closed_at",
         F.col("contract_id").alias("vault"),
         F.col("transaction_hash").alias("tx_hash"),
@@ -69,22 +75,25 @@ def decoded_flows(L: Ledger, source: tuple[str, str] | None = None) -> DataFrame
         one(typed_addresses(e, ["depositor", "withdrawer"])).alias("account"),
         sum_skip_nulls(F.transform(amounts, i128)).alias("amount"),
         tvl.alias("total_amount"),
+        F.sha2(F.concat_ws("|", "topics_decoded", "data_decoded"), 256).alias("event_key"),
     )
 
 
-def _run_to_parquet(df: DataFrame, name: str, spark: SparkSession) -> DataFrame:
-    out, ckpt = _folder(spark, name), _folder(spark, name + "-ckpt")
+def _run_to_parquet(df: DataFrame, home: str, spark: SparkSession) -> DataFrame:
+    out, ckpt = f"{home}/out", f"{home}/checkpoint"
     q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out)
 
 
-def stream_decode(L: Ledger, source: tuple[str, str] | None = None) -> DataFrame:
-    flows = decoded_flows(L, source).withWatermark("event_time", "1 hour").dropDuplicatesWithinWatermark(["tx_hash", "vault", "closed_at"])
-    return _run_to_parquet(flows.drop("event_time"), "decode", L.spark)
+def stream_decode(L: Ledger, source: tuple[str, str] | None = None, home: str | None = None) -> DataFrame:
+    """No state is kept in the stream, so nothing is late; the ledger gives events no number of their
+    own, so two events of a transaction with equal topics and payload count as one."""
+    got = _run_to_parquet(decoded_flows(L, source), _home(L.spark, "decode", home), L.spark)
+    return got.dropDuplicates(["tx_hash", "vault", "closed_at", "event_key"]).drop("event_key")
 
 
-def stream_net_flow(L: Ledger) -> DataFrame:
+def stream_net_flow(L: Ledger, home: str | None = None) -> DataFrame:
     """Net flow (deposits - withdrawals) and event count per ledger day, kept current: the
     aggregate state is one row per day (bounded by the calendar), written in full each batch."""
     flows = decoded_flows(L)
@@ -92,7 +101,8 @@ def stream_net_flow(L: Ledger) -> DataFrame:
     agg = flows.groupBy(day_bucket(F.col("closed_at")).alias("day")).agg(
         F.sum(signed).alias("net_flow"), F.count(F.lit(1)).alias("events")
     )
-    out, ckpt = _folder(L.spark, "netflow"), _folder(L.spark, "netflow-ckpt")
+    home = _home(L.spark, "netflow", home)
+    out, ckpt = f"{home}/out", f"{home}/checkpoint"
 
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out)
@@ -105,12 +115,14 @@ def stream_net_flow(L: Ledger) -> DataFrame:
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
 def stream_alerts(
-    L: Ledger, withdraw_share: float = 0.001, drop_pct: float = -50.0, source: tuple[str, str] | None = None
+    L: Ledger, withdraw_share: float = 0.001, drop_pct: float = -50.0, source: tuple[str, str] | None = None, home: str | None = None
 ) -> DataFrame:
     """Alerts per micro-batch: withdrawals of at least `withdraw_share` of the vault's TVL, and TVL
     readings at least `drop_pct` percent below the vault's previous reading.
@@ -120,7 +132,8 @@ def stream_alerts(
     per vault, written per epoch next to the output so a retried epoch rewrites the same files."""
     spark = L.spark
     flows = decoded_flows(L, source)
-    out, state, ckpt = _folder(spark, "alerts"), _folder(spark, "alerts-state"), _folder(spark, "alerts-ckpt")
+    home = _home(spark, "alerts", home)
+    out, state, ckpt = f"{home}/out", f"{home}/state", f"{home}/checkpoint"
     cols = ["vault", "closed_at", "kind", "prev_tvl", "tvl"]
 
     def process(batch: DataFrame, epoch: int) -> None:
@@ -131,8 +144,9 @@ def stream_alerts(
         ).select("vault", "closed_at", F.lit("large_withdrawal").alias("kind"),
                  F.col("total_amount").alias("prev_tvl"), F.col("amount").alias("tvl"))
         tv = batch.where(F.col("total_amount").isNotNull()).select("vault", "closed_at", "tx_hash", "total_amount")
-        seq = lag_by_key(tv, ["vault"], ["closed_at", "tx_hash"], ["total_amount"])
-        prev_state = _read_or_none(spark, f"{state}/epoch={epoch - 1}")
+        seq = lag_by_key(tv, ["vault"], ["closed_at", "tx_hash", "total_amount"], ["total_amount"])
+        # only the first epoch has no state; a later one that misses it must fail
+        prev_state = spark.read.parquet(f"{state}/epoch={epoch - 1}") if epoch else None
         prev = F.col("prev_total_amount")
         if prev_state is not None:
             seq = seq.join(bounded(prev_state.select("vault", "last_tvl"), L.cfg.max_broadcast_rows), "vault", "left")
