@@ -66,7 +66,7 @@ def max_skip_nulls(arr: Column) -> Column:
 
 # Typed form: one parse per payload; only the small leaves stay text.  `val` keeps the tags the
 # queries read (address, i128 as text, string, vec elements as text); other tags are ignored.
-VAL_TYPE = "struct<address:string,i128:string,string:string,vec:array<string>>"
+VAL_TYPE = "struct<address:string,i128:string,string:string,vec:array<string>,u32:string,bytes:string,map:string>"
 TYPED_ENTRY_TYPE = f"array<struct<key:struct<symbol:string>,val:{VAL_TYPE}>>"
 TYPED_PAYLOAD_SCHEMA = f"struct<map:{TYPED_ENTRY_TYPE}>"
 

@@ -480,11 +480,11 @@ register_cte("ev_units", """ev_units AS (
 ORACLE["decode_events"] = with_ctes(["ev_units"], f"""SELECT transaction_hash AS tx_hash, contract_id, closed_at,
   CASE event_type WHEN 'purchase' THEN 'deposit' WHEN 'error' THEN 'withdraw' WHEN 'view' THEN 'dfees' WHEN 'click' THEN 'harvest'
        ELSE list_extract({_KINDS}, CAST(event_id % 4 AS INTEGER) + 1) END AS kind,
-  CASE WHEN event_type = 'view' THEN NULL ELSE 'G' || CAST(user_id AS VARCHAR) END AS account,
+  CASE WHEN event_type = 'view' OR event_type = 'signup' AND event_id % 4 >= 2 THEN NULL ELSE 'G' || CAST(user_id AS VARCHAR) END AS account,
   CASE WHEN event_type = 'signup' AND event_id % 4 IN (0, 1) THEN {strat_of('event_id')} END AS strategy,
   CASE WHEN event_type IN ('purchase', 'error', 'click') THEN {dec('amt_u')} END AS amount,
   CASE WHEN event_type IN ('purchase', 'error') THEN CAST({dec('amt_u')} AS VARCHAR) || CASE WHEN event_id % 5 = 0 THEN ',0.0100000' ELSE '' END END AS amounts,
-  CASE WHEN event_type IN ('purchase', 'error') THEN {dec(_SHARES_U)} END AS shares
+  CASE WHEN event_type IN ('purchase', 'error') THEN {dec(_SHARES_U)} END AS shares, CAST(NULL AS VARCHAR) AS detail
 FROM ev_units""")
 
 
@@ -505,7 +505,8 @@ FROM (SELECT strategy_address, closed_at, hash, price_per_share,
 ORACLE["fee_audit"] = with_ctes(["fee_tuples"], """SELECT recipient_address, sum(fee_amount) AS total_fees, count(*) AS tuples
 FROM fee_tuples GROUP BY ROLLUP (recipient_address)""")
 ORACLE["rebalance_log"] = with_ctes(["ev_units"], f"""SELECT CASE WHEN event_id % 4 = 2 THEN 'unwind' ELSE 'invest' END AS kind,
-  contract_id AS vault, closed_at, transaction_hash AS tx_hash, {strat_of('event_id')} AS strategy, {dec('amt_u')} AS amount
+  contract_id AS vault, closed_at, transaction_hash AS tx_hash, {strat_of('event_id')} AS strategy, {dec('amt_u')} AS amount,
+  {dec('amt_u')} AS gains_or_losses, {dec('0')} AS locked_fee, {dec('tvl_u')} AS prev_balance
 FROM ev_units WHERE event_type = 'signup' AND event_id % 4 IN (2, 3)""")
 register_cte("flow_units", """flow_units AS (
   SELECT * FROM ev_units WHERE event_type IN ('purchase', 'error'))""", ["ev_units"])
@@ -668,9 +669,11 @@ _STRAT = strat_of("event_id")
 _HARVEST = s_map(s_entry("amount", s_i128("amt_u", _SC)), s_entry("from", s_addr(_USER)),
                  s_entry("price_per_share", s_i128("(10000000 + event_id)", _SC)))
 _PAUSE = s_map(s_entry("caller", s_addr(_USER)), s_entry("strategy_address", s_addr(_STRAT)))
-_UNWIND = s_map(s_entry("call_params", s_vec(s_vec(s_addr(_STRAT), s_i128("amt_u"), s_addr("contract_id")))), s_entry("caller", s_addr(_USER)))
-_INVEST = s_map(s_entry("asset_investments", s_vec(s_map(s_entry("amount", s_i128("amt_u")), s_entry("strategy", s_addr(_STRAT))))),
-                s_entry("caller", s_addr(_USER)))
+_REPORT = s_map(s_entry("gains_or_losses", s_i128("amt_u")), s_entry("locked_fee", s_i128("0")), s_entry("prev_balance", s_i128("tvl_u")))
+_UNWIND = s_map(s_entry("call_params", s_vec(s_vec(s_addr(_STRAT), s_i128("amt_u"), s_addr("contract_id")))), s_entry("report", _REPORT))
+_MOVES = s_vec(s_map(s_entry("amount", s_i128("amt_u")), s_entry("strategy", s_addr(_STRAT))))
+_INVEST = s_map(s_entry("asset_investments", s_vec(s_map(s_entry("asset", s_addr(asset_of("vnum % 5"))), s_entry("strategy_investments", _MOVES)))),
+                s_entry("report", _REPORT))
 register_cte("ev_json", f"""ev_json AS (
   SELECT *, CASE event_type WHEN 'purchase' THEN {_DEPOSIT} WHEN 'error' THEN {_WITHDRAW} WHEN 'view' THEN {_FEES}
        WHEN 'click' THEN {_HARVEST} ELSE CASE WHEN event_id % 4 <= 1 THEN {_PAUSE} WHEN event_id % 4 = 2 THEN {_UNWIND} ELSE {_INVEST} END

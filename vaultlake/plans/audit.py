@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultlake.config import (
+    FACTORY_CONTRACT,
     STRATEGY_TOPIC,
     SYM_AMOUNT,
     SYM_AMOUNTS,
     SYM_AMOUNTS_WITHDRAWN,
     SYM_BURNED,
     SYM_FUNDS_BEFORE,
+    SYM_GAINS,
+    SYM_LOCKED_FEE,
     SYM_MINTED,
+    SYM_PREV_BALANCE,
     SYM_SUPPLY_BEFORE,
     SYM_TOTAL_AMOUNT,
 )
@@ -32,26 +36,47 @@ from vaultlake.functions.payload import (
     typed_i128s,
     typed_vecs,
 )
+from vaultlake.operators.joins import bounded
 from vaultlake.operators.latest import latest_per_key
 from vaultlake.operators.ordered import lag_by_key
 from vaultlake.plans.strategies import apy, fee_tuples, harvest_events_df, locked_fees, report_pivot
-from vaultlake.plans.vaults import vault_topic_events
+from vaultlake.plans.vaults import registry_vaults, vault_topic_events
 from vaultlake.sources.ledger import Ledger
 
 DEC = "decimal(38,7)"
 
-# Decoder table: event kind (second topic symbol) -> payload symbols read into typed columns.
-#   account: address of the acting user; strategy: strategy address; amount: first token amount;
-#   shares: vault shares minted or burned.
+# Decoder table: (contract, kind) -> payload symbols read into typed columns.  The contract is told by
+# the first topic (factory events by the contract itself), the kind is the second topic symbol.
+#   account: address of the acting user; strategy: strategy address; amount: token amount, or
+#   amount_vec: one amount per asset; shares: vault shares minted or burned; detail: what was set (an
+#   address, a number or a hash), NEW meaning the symbol that begins with `new_`.
+NEW = "new_"
+_ROLE = {"detail": [NEW]}
+_FLOW = {"account": ["from"], "amount": [SYM_AMOUNT]}
+_PAUSE = {"account": ["caller"], "strategy": ["strategy_address"]}
 DECODER = {
-    "deposit": {"account": ["depositor"], "amount_vec": [SYM_AMOUNTS], "shares": [SYM_MINTED]},
-    "withdraw": {"account": ["withdrawer"], "amount_vec": [SYM_AMOUNTS_WITHDRAWN], "shares": [SYM_BURNED]},
-    "harvest": {"account": ["from"], "amount": [SYM_AMOUNT]},
-    "paused": {"account": ["caller"], "strategy": ["strategy_address"]},
-    "unpaused": {"account": ["caller"], "strategy": ["strategy_address"]},
-    "unwind": {"account": ["caller"]},
-    "invest": {"account": ["caller"]},
-    "dfees": {},
+    ("factory", "create"): {"detail": ["vault_fee"]},
+    ("factory", "new_admin"): _ROLE,
+    ("factory", "new_receiver"): _ROLE,
+    ("factory", "new_fee_rate"): _ROLE,
+    ("factory", "new_wasm_hash"): _ROLE,
+    ("vault", "deposit"): {"account": ["depositor"], "amount_vec": [SYM_AMOUNTS], "shares": [SYM_MINTED]},
+    ("vault", "withdraw"): {"account": ["withdrawer"], "amount_vec": [SYM_AMOUNTS_WITHDRAWN], "shares": [SYM_BURNED]},
+    ("vault", "emergency_withdraw"): _PAUSE | {"amount": ["amount_withdrawn"]},
+    ("vault", "paused"): _PAUSE,
+    ("vault", "unpaused"): _PAUSE,
+    ("vault", "fee_receiver_changed"): _ROLE | {"account": ["caller"]},
+    ("vault", "manager_changed"): _ROLE,
+    ("vault", "emergency_manager_changed"): _ROLE,
+    ("vault", "rebalance_manager_changed"): _ROLE,
+    ("vault", "dfees"): {},
+    ("vault", "unwind"): {},
+    ("vault", "invest"): {},
+    ("vault", "swap_exact_in"): {},
+    ("vault", "swap_exact_out"): {},
+    ("strategy", "deposit"): _FLOW,
+    ("strategy", "withdraw"): _FLOW,
+    ("strategy", "harvest"): _FLOW,
 }
 
 
@@ -64,45 +89,64 @@ def _first(entries: Column, syms: list[str]) -> Column:
     return F.try_element_at(field_values(entries, syms), F.lit(1))
 
 
-def _typed(kind: Column, entries: Column, field: str, value) -> Column:
-    out = None
-    for k, spec in DECODER.items():
-        syms = spec.get(field)
-        if not syms:
-            continue
-        v = value(entries, syms)
-        out = F.when(kind == k, v) if out is None else out.when(kind == k, v)
-    return out
+def _typed(entries: Column, field: str, value) -> Column:
+    """`value(entries, symbols)` for the kinds that have the field, by (source, kind)."""
+    by_symbols: dict[tuple, list] = {}
+    for kind, spec in DECODER.items():
+        if field in spec:
+            by_symbols.setdefault(tuple(spec[field]), []).append("/".join(kind))
+    kind = F.concat_ws("/", "source", "kind")
+    return F.coalesce(*(F.when(kind.isin(kinds), value(entries, list(syms))) for syms, kinds in by_symbols.items()))
 
 
-def decode_events(L: Ledger) -> DataFrame:
-    """Vault and strategy events as typed rows: kind, account, strategy, amount (of the first asset),
-    amounts (of all assets, comma-joined, in their order), shares."""
-    vault_ev = vault_topic_events(L)
-    t = F.col("topics_decoded")
-    strat_ev = L.contract_events.where(t.like(f"%{STRATEGY_TOPIC}%"))
-    ev = vault_ev.unionByName(strat_ev).select(
-        "transaction_hash", "contract_id", "closed_at", "topics_decoded", parse_typed(F.col("data_decoded")).alias("e")
+def _detail(entries: Column, symbols: list[str]) -> Column:
+    wanted = lambda e: e["key"]["symbol"].startswith(NEW) if symbols == [NEW] else e["key"]["symbol"].isin(symbols)
+    val = F.try_element_at(F.filter(entries, wanted), F.lit(1))["val"]
+    return F.coalesce(val["address"], val["u32"], val["bytes"], val["string"])
+
+
+def decode(ev: DataFrame) -> DataFrame:
+    """Typed rows of ledger events with a column `source` (factory, vault or strategy): kind, account,
+    strategy, amount (of the first asset), amounts (of all assets, comma-joined, in their order),
+    shares, detail."""
+    ev = ev.select(
+        "transaction_hash", "contract_id", "closed_at", "source", topic_kind().alias("kind"), parse_typed(F.col("data_decoded")).alias("e")
     )
     entries = F.col("e")
-    kind = topic_kind()
     one = lambda arr: F.try_element_at(arr, F.lit(1))
     addr = lambda e, s: one(typed_addresses(e, s))
-    amount_scalar = _typed(kind, entries, "amount", lambda e, s: one(typed_i128s(e, s)))
-    amount_vec = _typed(kind, entries, "amount_vec", lambda e, s: i128(one(typed_vecs(e, s))))
+    amount_scalar = _typed(entries, "amount", lambda e, s: one(typed_i128s(e, s)))
+    amount_vec = _typed(entries, "amount_vec", lambda e, s: i128(one(typed_vecs(e, s))))
+    every = _typed(entries, "amount_vec", lambda e, s: F.array_join(F.transform(typed_vecs(e, s), lambda v: i128(v).cast("string")), ","))
     return ev.select(
-        F.col("transaction_hash").alias("tx_hash"),
-        "contract_id",
-        "closed_at",
-        kind.alias("kind"),
-        _typed(kind, entries, "account", addr).alias("account"),
-        _typed(kind, entries, "strategy", addr).alias("strategy"),
+        F.col("transaction_hash").alias("tx_hash"), "contract_id", "closed_at", "kind",
+        _typed(entries, "account", addr).alias("account"),
+        _typed(entries, "strategy", addr).alias("strategy"),
         F.coalesce(amount_vec, amount_scalar).alias("amount"),
-        _typed(kind, entries, "amount_vec", lambda e, s: F.array_join(F.transform(typed_vecs(e, s), lambda v: i128(v).cast("string")), ",")).alias("amounts"),
-        _typed(kind, entries, "shares", lambda e, s: one(typed_i128s(e, s))).alias("shares"),
+        every.alias("amounts"),
+        _typed(entries, "shares", lambda e, s: one(typed_i128s(e, s))).alias("shares"),
+        _typed(entries, "detail", _detail).alias("detail"),
     )
 
 
+def known_events(L: Ledger) -> DataFrame:
+    """Events of the factory, of registered vaults and of strategies, with their `source`: one scan."""
+    t = F.col("topics_decoded")
+    vault, strategy = t.like(f"%{L.cfg.vault_topic}%"), t.like(f"%{STRATEGY_TOPIC}%")
+    source = F.when(vault, "vault").when(strategy, "strategy").when(F.col("contract_id") == FACTORY_CONTRACT, "factory")
+    ev = L.contract_events.withColumn("source", source).where(F.col("source").isNotNull())
+    if L.cfg.only_successful:
+        ev = ev.where(F.col("successful"))
+    registered = bounded(registry_vaults(L).select(F.col("vault").alias("__vault")).distinct(), L.cfg.max_broadcast_rows)
+    ev = ev.join(registered, ev["contract_id"] == F.col("__vault"), "left")
+    return ev.where((F.col("source") != "vault") | F.col("__vault").isNotNull()).drop("__vault")
+
+
+def decode_events(L: Ledger) -> DataFrame:
+    """The decoded event log of all 22 kinds."""
+    return decode(known_events(L))
+
+
 # -- T2 ----------------------------------------------------------------------------------------
 def harvest_step_apy(L: Ledger) -> DataFrame:
     """Annualised yield between consecutive harvests of each strategy."""
@@ -124,29 +168,32 @@ def fee_audit(L: Ledger) -> DataFrame:
 
 
 # -- T4 ----------------------------------------------------------------------------------------
-def rebalance_log(L: Ledger) -> DataFrame:
-    """Unwind and invest events as one log (kinds with different payloads, unioned by name)."""
-    ev = vault_topic_events(L, "unwind", "invest")
-    kind = topic_kind()
+def rebalance(ev: DataFrame) -> DataFrame:
+    """Unwind, invest and swap events as one log: a row per strategy moved, with the event's report; a
+    row per swap, with the first amount of its arguments."""
     entries = parse_payload(F.col("data_decoded"))
-    base = ev.select("contract_id", "closed_at", "transaction_hash", kind.alias("kind"), entries.alias("e"))
-    unwind = base.where(F.col("kind") == "unwind").select(
-        "contract_id", "closed_at", "transaction_hash", "kind",
-        F.explode(F.flatten(F.transform(field_values(F.col("e"), "call_params"), parse_vec))).alias("t"),
-    ).select(
-        F.lit("unwind").alias("kind"), F.col("contract_id").alias("vault"), "closed_at", F.col("transaction_hash").alias("tx_hash"),
-        F.get_json_object("t", "$.vec[0].address").alias("strategy"), i128(F.get_json_object("t", "$.vec[1]")).alias("amount"),
+    base = ev.select(F.col("contract_id").alias("vault"), "closed_at", F.col("transaction_hash").alias("tx_hash"), topic_kind().alias("kind"), entries.alias("e"))
+    report = parse_entries(F.get_json_object(_first(F.col("e"), ["report"]), "$.map"))
+    base = base.select("*", *(i128(_first(report, [s])).alias(s) for s in (SYM_GAINS, SYM_LOCKED_FEE, SYM_PREV_BALANCE)))
+    elements = lambda x, symbol: F.flatten(F.transform(field_values(x, symbol), lambda v: F.coalesce(parse_vec(v), F.array().cast("array<string>"))))
+    keep = ["vault", "closed_at", "tx_hash", "kind", SYM_GAINS, SYM_LOCKED_FEE, SYM_PREV_BALANCE]
+    unwind = base.where(F.col("kind") == "unwind").select(*keep, F.explode(elements(F.col("e"), "call_params")).alias("t")).select(
+        *keep, F.get_json_object("t", "$.vec[0].address").alias("strategy"), i128(F.get_json_object("t", "$.vec[1]")).alias("amount")
     )
-    invest = base.where(F.col("kind") == "invest").select(
-        "contract_id", "closed_at", "transaction_hash",
-        F.explode(F.flatten(F.transform(field_values(F.col("e"), "asset_investments"), parse_vec))).alias("m"),
+    assets = base.where(F.col("kind") == "invest").select(*keep, F.explode(elements(F.col("e"), "asset_investments")).alias("m"))
+    assets = assets.select(*keep, parse_entries(F.get_json_object("m", "$.map")).alias("m"))
+    moves = assets.select(*keep, F.explode(elements(F.col("m"), "strategy_investments")).alias("m"))
+    moves = moves.select(*keep, parse_entries(F.get_json_object("m", "$.map")).alias("m"))
+    invest = moves.select(
+        *keep, F.get_json_object(_first(F.col("m"), ["strategy"]), "$.address").alias("strategy"), i128(_first(F.col("m"), ["amount"])).alias("amount")
     )
-    im = parse_entries(F.get_json_object("m", "$.map"))
-    invest = invest.select(
-        F.lit("invest").alias("kind"), F.col("contract_id").alias("vault"), "closed_at", F.col("transaction_hash").alias("tx_hash"),
-        F.get_json_object(_first(im, ["strategy"]), "$.address").alias("strategy"), i128(_first(im, ["amount"])).alias("amount"),
-    )
-    return unwind.unionByName(invest, allowMissingColumns=True)
+    numbers = F.filter(F.transform(elements(F.col("e"), "swap_args"), i128), lambda x: x.isNotNull())
+    swaps = base.where(F.col("kind").isin("swap_exact_in", "swap_exact_out")).select(*keep, F.try_element_at(numbers, F.lit(1)).alias("amount"))
+    return unwind.unionByName(invest).unionByName(swaps, allowMissingColumns=True)
+
+
+def rebalance_log(L: Ledger) -> DataFrame:
+    return rebalance(vault_topic_events(L, "unwind", "invest", "swap_exact"))
 
 
 # -- T5, T6 ------------------------------------------------------------------------------------

@@ -450,16 +450,23 @@ class Ledger:
         strat = self.strategy_at(eid)
         kind = eid % len(SIGNUP_KINDS)
         pause = J.scmap(J.entry("caller", J.address(user)), J.entry("strategy_address", J.address(strat)))
+        report = J.scmap(
+            J.entry("gains_or_losses", J.i128(amt_u)), J.entry("locked_fee", J.i128(F.lit(0))), J.entry("prev_balance", J.i128(tvl_u))
+        )
         unwind = J.scmap(
-            J.entry("call_params", J.vec(J.vec(J.address(strat), J.i128(amt_u), J.address(vault)))),
-            J.entry("caller", J.address(user)),
+            J.entry("call_params", J.vec(J.vec(J.address(strat), J.i128(amt_u), J.address(vault)))), J.entry("report", report),
         )
         invest = J.scmap(
             J.entry(
                 "asset_investments",
-                J.vec(J.scmap(J.entry("amount", J.i128(amt_u)), J.entry("strategy", J.address(strat)))),
+                J.vec(
+                    J.scmap(
+                        J.entry("asset", J.address(asset_address(vnum % 5))),
+                        J.entry("strategy_investments", J.vec(J.scmap(J.entry("amount", J.i128(amt_u)), J.entry("strategy", J.address(strat))))),
+                    )
+                ),
             ),
-            J.entry("caller", J.address(user)),
+            J.entry("report", report),
         )
         et = F.col("event_type")
         vt = cfg.vault_topic
