@@ -3,8 +3,8 @@
 Dimensions (vault registry, vault metadata, price table, daily series) are computed once per
 Ledger, persisted (memory, spilling to disk; blocks lost with an executor are recomputed from
 their lineage) and counted in the same job.  Only a dimension whose counted row count is within the
-limit is broadcast; a larger one falls back to a shuffled join, where AQE can still switch
-strategy at run time.  `checkpoint_small` is the variant that cuts lineage by writing to the
+limit, and whose measured size in bytes is too, is broadcast; a larger one falls back to a shuffled
+join, where AQE can still switch strategy at run time.  `checkpoint_small` is the variant that cuts lineage by writing to the
 cluster's checkpoint folder, for dimensions at the end of a long plan.
 """
 
@@ -17,12 +17,27 @@ from pyspark.sql import functions as F
 from vaultlake.session import ensure_checkpoint_dir
 
 _ROWS_ATTR = "_vaultlake_rows"
+#: Bytes of a broadcast at most (Spark's own limit is 8 GB).
+MAX_BROADCAST_BYTES = 512 << 20
 
 
 def _known_rows(df: DataFrame) -> int | None:
     return getattr(df, _ROWS_ATTR, None)
 
 
+def keep_rows(df: DataFrame, of: DataFrame) -> DataFrame:
+    """`df`, a projection or restriction of `of`, with the row count of `of` as its bound."""
+    if _known_rows(of) is not None:
+        setattr(df, _ROWS_ATTR, _known_rows(of))
+    return df
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """Size that the optimiser knows for `df` (measured, for what is persisted); None if it doesn't."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 50 else None
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Persist `df` and record its row count on the DataFrame object (one job)."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -41,22 +56,22 @@ def checkpoint_small(df: DataFrame) -> DataFrame:
     return out
 
 
-def row_count(df: DataFrame, max_rows: int) -> int:
+def row_count(df: DataFrame) -> int:
     known = _known_rows(df)
     if known is not None:
         return known
-    return df.limit(max_rows + 1).count()
+    return df.count()
 
 
 def bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """`df` with a broadcast hint if it holds at most `max_rows` rows (counted, not estimated)."""
-    return F.broadcast(df) if row_count(df, max_rows) <= max_rows else df
+    """`df` with a broadcast hint if it holds at most `max_rows` rows (counted, not estimated) and is
+    not known to be larger than MAX_BROADCAST_BYTES."""
+    return F.broadcast(df) if row_count(df) <= max_rows and (plan_bytes(df) or 0) <= MAX_BROADCAST_BYTES else df
 
 
 def semi_join(big: DataFrame, keys: DataFrame, big_col: str, key_col: str, max_rows: int) -> DataFrame:
     """Rows of `big` whose `big_col` occurs in `keys[key_col]` (SQL `IN (SELECT ...)`).  The key
     set is bounded by the row count of `keys` when that is known."""
     k = keys.select(F.col(key_col).alias("__k")).where(F.col("__k").isNotNull()).distinct()
-    n = _known_rows(keys)
-    hint = F.broadcast(k) if (n is not None and n <= max_rows) or (n is None and row_count(k, max_rows) <= max_rows) else k
+    hint = bounded(keep_rows(k, keys), max_rows)
     return big.join(hint, big[big_col] == F.col("__k"), "left_semi")

@@ -36,7 +36,7 @@ from vaultlake.functions.payload import (
     typed_i128s,
     typed_vecs,
 )
-from vaultlake.operators.joins import bounded
+from vaultlake.operators.joins import bounded, keep_rows
 from vaultlake.operators.latest import latest_per_key
 from vaultlake.operators.ordered import lag_by_key
 from vaultlake.plans.strategies import apy, fee_tuples, harvest_events_df, locked_fees, report_pivot
@@ -137,7 +137,8 @@ def known_events(L: Ledger) -> DataFrame:
     ev = L.contract_events.withColumn("source", source).where(F.col("source").isNotNull())
     if L.cfg.only_successful:
         ev = ev.where(F.col("successful"))
-    registered = bounded(registry_vaults(L).select(F.col("vault").alias("__vault")).distinct(), L.cfg.max_broadcast_rows)
+    vaults = registry_vaults(L)
+    registered = bounded(keep_rows(vaults.select(F.col("vault").alias("__vault")).distinct(), vaults), L.cfg.max_broadcast_rows)
     ev = ev.join(registered, ev["contract_id"] == F.col("__vault"), "left")
     return ev.where((F.col("source") != "vault") | F.col("__vault").isNotNull()).drop("__vault")
 

@@ -41,7 +41,7 @@ from vaultlake.functions.payload import (
     typed_vecs,
 )
 from vaultlake.functions.time import day_bucket, hour_bucket
-from vaultlake.operators.joins import bounded, semi_join
+from vaultlake.operators.joins import bounded, keep_rows, semi_join
 from vaultlake.operators.latest import latest_per_key, latest_with_ties
 from vaultlake.sources.ledger import Ledger
 
@@ -142,7 +142,8 @@ def vault_topic_events(L: Ledger, *words_any: str) -> DataFrame:
 
 
 def registry_vaults(L: Ledger) -> DataFrame:
-    return vault_info_dim(L).select("vault")
+    dim = vault_info_dim(L)
+    return keep_rows(dim.select("vault"), dim)
 
 
 def event_kind() -> F.Column:

@@ -165,6 +165,7 @@ class Ledger:
 
     # -- stored ledger tables -----------------------------------------------------------------
     _stored: dict = {}
+    BUCKET_BYTES = 64 << 20  # of the source table; the payload text is several times as large
 
     def _stored_table(
         self, name: str, build, partition_by: str | None, sort_by: list[str], bucket_by: list[str] | None = None
@@ -180,20 +181,28 @@ class Ledger:
             return self.spark.table(path)
         if path is None:
             path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/ledger-{uuid.uuid4().hex}/{name}"
-            n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+            from vaultlake.operators.joins import plan_bytes
+
+            df = build()
+            # a bucketed scan has one task per bucket, so the count follows the data; it is the same for
+            # all tables, so that joins on the bucket key stay without a shuffle
+            n = max(
+                int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism,
+                *(-(-(plan_bytes(read_table(self.spark, self.sf_dir, t)) or 0) // self.BUCKET_BYTES) for t in self.SPREAD),
+            )
             if bucket_by:
                 # bucketed on the transaction hash (high cardinality, so no bucket holds a hot contract):
                 # per-transaction windows, (contract, transaction) groupings and the events-transactions
                 # join (same bucket count on both tables) read co-located rows without a shuffle
                 table = f"vaultlake_{name}_{uuid.uuid4().hex}"
-                (build().repartition(n, *bucket_by).write.mode("overwrite").bucketBy(n, *bucket_by)
+                (df.repartition(n, *bucket_by).write.mode("overwrite").bucketBy(n, *bucket_by)
                  .sortBy(*sort_by).option("path", path).saveAsTable(table))
                 self._stored[key] = table
                 return self.spark.table(table)
             cluster = ([partition_by] if partition_by else []) + list(sort_by)
             # range-clustered on (key type, contract, time): each file covers a narrow contract range,
             # so file and row-group min/max statistics prune contract filters
-            df = build().repartitionByRange(n, *cluster).sortWithinPartitions(*cluster)
+            df = df.repartitionByRange(n, *cluster).sortWithinPartitions(*cluster)
             w = df.write.mode("overwrite")
             if partition_by:
                 w = w.partitionBy(partition_by)
