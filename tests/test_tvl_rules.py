@@ -34,8 +34,8 @@ def _deposit(tvl_units):
             '"val":{"i128":{"hi":0,"lo":%d}}}]}]}}]}') % tvl_units
 
 
-def _ledger(spark):
-    events = [
+def _ledger(spark, events=None):
+    events = events or [
         # USDC vault: day 2 and day 6 (gap of 3 days between), no price rows at all
         ("T1", "CV0001", "2024-01-02 10:00:00", 100000000), ("T2", "CV0001", "2024-01-06 09:00:00", 300000000),
         # EURC vault: priced on day 3 only; its day-5 reading has no price and is dropped
@@ -73,3 +73,11 @@ def test_filled_days(spark):
     assert sorted(by["CV0001"]) == [2, 3, 4, 5, 6]
     assert [by["CV0001"][d] for d in (3, 4, 5)] == [Decimal("10.0000000")] * 3
     assert sorted(by["CV0002"]) == [3, 4, 5, 6]
+
+
+def test_growth_over_thirty_days(spark):
+    from vaultlake.plans.tvl import tvl_growth_30d
+
+    led = _ledger(spark, [("T1", "CV0001", "2024-01-02 10:00:00", 100000000), ("T2", "CV0001", "2024-02-11 09:00:00", 150000000)])
+    rows = tvl_growth_30d(led).collect()
+    assert [(r.vault, r.tvl_before, r.tvl_today, float(r.growth_pct)) for r in rows] == [("CV0001", Decimal(10), Decimal(15), 50.0)]

@@ -3,10 +3,11 @@
 
 Plan notes (scale):
 * every dimension (registry, metadata, prices, daily series) is bounded by #vaults x #days and is
-  materialised to the checkpoint folder, counted, and broadcast only under the row limit;
+  persisted and counted (the daily series also checkpointed), and broadcast only within the limits on
+  rows and bytes;
 * the event log is read once per query, filtered by topic and by a broadcast semi-join on the
-  registry, decoded with higher-order functions (no explode before the per-transaction rule), and
-  shuffled exactly once, on (vault, tx_hash), which is high-cardinality and skew-safe;
+  registry, decoded with higher-order functions (no explode before the per-transaction rule); the
+  per-transaction rules need no shuffle where the log is bucketed on the transaction hash;
 * "latest per key" is a partial aggregate (operators.latest), never a window over a hot key;
 * global anchors (first/last day, overall totals) are scalar subqueries, not cross joins.
 """
