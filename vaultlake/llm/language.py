@@ -31,6 +31,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 200, 1_500
 BLOCK = 2_048
 LEVEL = 6
 MARGIN = 0.002
+#: Rows that a task passes on at once with their texts; bounds its memory.
+PASS_ON = 1_000
 UNKNOWN = "und"
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
@@ -103,7 +105,9 @@ def accepted_documents(docs: DataFrame, dictionaries: dict[str, bytes] | None =
     def run(batches):
         compressors = _compressors(dictionaries)
         for batch in batches:
-            keep = [not predict(t.as_py(), compressors)[2] for t in batch.column(at)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for start in range(0, batch.num_rows, PASS_ON):
+                part = batch.slice(start, PASS_ON)
+                keep = [not predict(t.as_py(), compressors)[2] for t in part.column(at)]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
