@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from vaultlake.llm import pii
 from vaultlake.llm.common import table
 from vaultlake.llm.pii import find_personal_data, scan
 
@@ -84,3 +85,25 @@ def test_generators_propose_what_the_patterns_miss(spark):
     text = "mail me: jane.doe [at] host [dot] org or 555 010 4477, host fe80:0:0:1::12"
     got = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["proposed"]
     assert [x["t"] for x in got] == ["555 010 4477", "jane.doe [at] host [dot] org", "fe80:0:0:1::12"]
+
+
+def test_thresholds_of_a_rare_generator_at_any_size(spark, monkeypatch):
+    """60 documents with an address; a generator's threshold must not go as the other proposals grow."""
+    found, plain = [], pii._thresholds
+
+    def thresholds(scored):
+        counts = {x["g"]: x["count"] for x in scored.groupBy("g").count().collect()}
+        found.append((counts, plain(scored)))
+        return found[-1][1]
+
+    monkeypatch.setattr(pii, "_thresholds", thresholds)
+    rare = spark.range(60).selectExpr("id as doc_id", "concat('from 10.0.', id, '.7 on') as text")
+    for each in (5, 130):
+        many = spark.range(1000, 1240).selectExpr("id as doc_id", f"repeat('a +1 555 010 4477 b 555 010 4477 ', {each}) as text")
+        find_personal_data(rare.union(many)).count()
+        docs = rare.union(many).selectExpr("doc_id", "pmod(xxhash64(1, doc_id), 2) as part").where("part = 1")
+        odd = docs.where("doc_id < 60").count()
+        counts, limits = found[-1]
+        assert counts[0] == 2 * each * docs.where("doc_id >= 1000").count()
+        assert counts[2] == odd >= pii.LEAST_CASES
+        assert 2 in limits

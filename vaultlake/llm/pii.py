@@ -8,9 +8,9 @@
   also when spelled out, and groups of hex digits with colons or dots.
 * Each proposal has features of its format and of the 24 characters on either side.  Gradient
   boosted trees (pyspark.ml, in the JVM) learn from at most `TRAIN_ROWS` proposals, sampled by hash,
-  whether a base span covers them.  On other proposals, `CALIBRATE_ROWS` at most, each generator's
-  threshold is the least score from which on the share of covered ones is `PRECISION` or more;
-  without such a score the generator adds nothing.
+  whether a base span covers them.  On all proposals of the other half of the documents, each
+  generator's threshold is the least score from which on the share of covered ones is `PRECISION` or
+  more; without such a score, or below `LEAST_CASES` proposals, the generator adds nothing.
 * A proposal that overlaps no base span and scores at or above the threshold is added; added spans
   that overlap are merged, under the name of the one with the highest score.
 
@@ -53,7 +53,7 @@ CHUNK = 64
 #: Words that often stand before personal data.
 CUES = r"(?i)tel|phone|call|fax|mobil|card|visa|iban|account|konto|mail|contact|address|adress|host|\bip\b"
 
-TRAIN_ROWS, CALIBRATE_ROWS = 20_000, 20_000
+TRAIN_ROWS = 20_000
 TREES, DEPTH, STEPS = 20, 4, 50
 PRECISION = 0.98
 LEAST_CASES = 20
@@ -213,7 +213,7 @@ def added_spans(scanned: DataFrame) -> DataFrame | None:
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=16, stepSize=0.2, seed=5).fit(train)
     train.unpersist()
     score = vector_to_array("probability")[1]
-    tested = rows.where((F.col("part") == 1) & _sample(3, sizes[1], CALIBRATE_ROWS))
+    tested = rows.where("part = 1")
     limits = _thresholds(model.transform(vector.transform(tested)).select("g", score.alias("score"), "label"))
     if not limits:
         return None
