@@ -3,10 +3,11 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 
-from vaultlake.llm import packing
+from vaultlake.llm import mixing, packing
 from vaultlake.llm.exact_dedup import directory, exact_duplicates, normalised
 from vaultlake.llm.mixing import mix_sources, mixed_documents, numbered, period, plan, whole_parts
 from vaultlake.llm.packing import best_fit, pack
@@ -118,6 +119,25 @@ def test_mix_equals_the_slot_by_slot_version(spark, weights):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(x["doc_id"] for x in got if x["in_mix"])
 
 
+@pytest.mark.parametrize("weights", [None, {"hot": 0.5, **{f"s{i}": 0.5 / 19 for i in range(19)}}])
+def test_mix_stays_within_one_block_of_the_target_weights(spark, monkeypatch, weights):
+    monkeypatch.setattr(mixing, "SLOTS", 1000, raising=False)
+    counts = {"hot": 20_000, **{f"s{i}": 2_000 for i in range(19)}}
+    df = spark.range(58_000).selectExpr("id as doc_id", "if(id < 20000, 'hot', concat('s', (id - 20000) div 2000)) as source")
+    got = mix_sources(df, weights).collect()
+    assert len({(x["slot"], x["place"]) for x in got}) == len({x["doc_id"] for x in got}) == 58_000
+    order = [s for _, s in sorted({(x["slot"], x["source"]) for x in got})]
+    assert len(order) == sum(math.ceil(n / 8) for n in counts.values())
+    target = {s: Fraction(w) for s, w in (weights or {s: n**0.7 for s, n in counts.items()}).items()}
+    whole, done = sum(target.values()), Counter()
+    for t, s in enumerate(order):
+        done[s] += 1
+        assert all(abs(done[k] - (t + 1) * w / whole) < 1 for k, w in target.items())
+        if done[s] * 8 >= counts[s]:
+            break
+    assert t > 2000
+
+
 def test_numbers_over_small_parts(spark):
     df = spark.range(500).selectExpr("id as doc_id", "'s' as source")
     got = numbered(df, 500, run=3).collect()
