@@ -59,6 +59,39 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert rows_of(near_duplicates(df)) == brute(rows)
 
 
+def similar_pairs(rows, percent):
+    """Roots of the graph of all pairs with intersection >= percent % of the union."""
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_small_sets_at_the_threshold(spark, percent):
+    """Texts of 4 to 7 shingles and their extensions by one or two words."""
+    rows = []
+    for g in range(40):
+        for n in range(4, 8):
+            words = [f"g{g}n{n}w{i}" for i in range(n + 6)]
+            rows += [(len(rows) + k, " ".join(words[: n + 4 + k])) for k in range(3)]
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    assert got == similar_pairs(rows, percent)
+
+
+def test_bands_follow_the_threshold():
+    assert near_dup.banding(85) == (25, 5)
+    for percent in range(70, 100):
+        bands, rows = near_dup.banding(percent)
+        assert bands * rows <= near_dup.HASHES and (1 - (percent / 100) ** rows) ** bands <= near_dup.MISSED
+    assert [n for n in range(1, 9) if near_dup.only_equal(n, 80)] == [1, 2, 3]
+    assert [n for n in range(1, 9) if near_dup.only_equal(n, 85)] == [1, 2, 3, 4, 5]
+
+
 def test_hot_group_of_noisy_copies(spark):
     r = random.Random(5)
     base = [f"w{r.randrange(5000)}" for _ in range(160)]

@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
-1. Each text gives its set of word shingles, `HASHES` minima over it, `BANDS` keys of `ROWS` minima
-   each, and a packed signature of the low `BITS` bits of every minimum.  Equal sets form one class;
+1. Each text gives its set of word shingles, `HASHES` minima over it, band keys of several minima
+   each (as many and as long as the threshold asks for), and a packed signature of the low `BITS` bits of every minimum.  Equal sets form one class;
    only a class's smallest document goes on.
 2. Classes that share a band key are candidates.  Inside a key, the number of equal signature slots
    (XOR and bit counts) estimates the similarity, corrected for the chance agreement of low bits;
@@ -12,8 +12,9 @@
    of blocks of bounded size, and each block pair gives a spanning forest of its confirmed links.
 4. Components of the confirmed links are the result.
 
-Missed links: two sets with a similarity of 0.85 share no band key with probability 5e-7, and the
-estimate leaves such a pair out with probability 2e-6; above 0.85 both fall quickly.
+Missed links: two sets at the threshold share no band key with probability `MISSED` at most, and the
+estimate leaves such a pair out with probability 1e-5 (at 0.85; 7e-6 at 0.8); above the threshold
+both fall quickly.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing.  A text shorter
 than a shingle is one shingle.  Repeated rows come back as often as they occur.  Rows that share a
@@ -24,6 +25,7 @@ doc_id are one node of the graph.  A null doc_id takes part in no link and is it
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,9 @@ from vaultlake.llm.graph import connected_components
 from vaultlake.llm.shingles import mix, text_shingles
 
 SHINGLE = 5
-HASHES, BITS, BANDS, ROWS = 128, 2, 25, 5
+HASHES, BITS = 128, 2
+#: Probability that a pair at the threshold may share no band key.
+MISSED = 5e-7
 #: Standard errors that the estimate may lie below the threshold before a pair is left out.
 SLACK = 4.6
 #: Classes of one band key, or documents and shingles of one group, that a task compares at once.
@@ -45,7 +49,7 @@ _LOW = np.uint64(0x5555555555555555)
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
 _MUL = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_BAND = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -62,9 +66,26 @@ def signature(least: np.ndarray) -> bytes:
     return (slots.reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).tobytes()
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    parts = least[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) * _BAND
-    return mix(parts.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows: the longest keys, and the fewest, that miss a pair at the threshold with
+    probability `MISSED` at most."""
+    for rows in range(HASHES, 0, -1):
+        shared = (percent / 100) ** rows
+        bands = math.ceil(math.log(MISSED) / math.log1p(-shared)) if shared < 1 else 1
+        if bands * rows <= HASHES:
+            return bands, rows
+    raise ValueError(f"{HASHES} minima are too few for a threshold of {percent} %")
+
+
+def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    n = bands * rows
+    parts = (least[:n].astype(np.uint64) * _BAND[:n]).reshape(bands, rows)
+    return mix(parts.sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64)
+
+
+def only_equal(n: int, percent: int) -> bool:
+    """Whether a set of n shingles is similar enough to no other set: the nearest one has n + 1."""
+    return 100 * n < percent * (n + 1)
 
 
 def equal_slots(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -80,19 +101,23 @@ def least_slots(percent: int) -> int:
     return int(HASHES * p - SLACK * (HASHES * p * (1 - p)) ** 0.5)
 
 
-def _describe(batches):
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            s = text_shingles(text.as_py(), SHINGLE)
-            # sets of up to 5 shingles are similar enough only if equal
-            m = minima(s) if len(s) > 5 and doc_id is not None else None
-            digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) and doc_id is not None else None
-            rows.append((doc_id, len(s), digest, None if m is None else signature(m), None if m is None else band_keys(m)))
-            if len(rows) == 2000:
-                yield _described(rows)
-                rows = []
-        yield _described(rows)
+def _describe(percent: int):
+    bands, per_band = banding(percent)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = text_shingles(text.as_py(), SHINGLE)
+                m = None if only_equal(len(s), percent) or doc_id is None else minima(s)
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) and doc_id is not None else None
+                rows.append((doc_id, len(s), digest, None if m is None else signature(m), None if m is None else band_keys(m, bands, per_band)))
+                if len(rows) == 2000:
+                    yield _described(rows)
+                    rows = []
+            yield _described(rows)
+
+    return run
 
 
 def _described(rows: list) -> pa.RecordBatch:
@@ -263,7 +288,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     least = least_slots(percent)
     described = checkpointed(
         docs.select("doc_id", "text").mapInArrow(
-            _describe, "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"
+            _describe(percent), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"
         )
     )
     copies = described.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("cid"))
