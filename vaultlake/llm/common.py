@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +32,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once as Parquet (compressed, unlike a checkpoint) below the cluster's shared
+    checkpoint folder, and read again."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered_in_order(df: DataFrame, order: list[Column]) -> DataFrame:
+    """`df` with `number`, the place of each row (from 0) in the total order `order`, which must tell
+    all rows apart.  One range exchange; no task holds more than its range, and only the row count of
+    each range comes to the driver."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = checkpointed(ranged.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33).cast("long")
+    sizes = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for p, n in sizes:
+        before.append((p, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, "__part long, __before long")  # one row per range
+    within = F.col("__at").bitwiseAND((1 << 33) - 1)
+    return (
+        placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+        .withColumn("number", within + F.col("__before")).drop("__at", "__part", "__before")
+    )
+
+
 def held_in(doc_id: str, mod: int, held_out_at: int) -> Column:
     """True for the rows a model may learn from: crc32 of the id's text, modulo `mod`, is not
     `held_out_at`.  A null id is never learned from."""

@@ -13,6 +13,7 @@ from vaultlake.llm.near_dup import near_duplicates
 from vaultlake.llm.packing import best_fit
 from vaultlake.llm.pii import find_personal_data
 from vaultlake.llm.quality import classify
+from vaultlake.llm.resampling import resample
 from vaultlake.llm.secrets import find_secrets
 from vaultlake.llm.topk import top_k
 from vaultlake.llm.warc import archive_home, read_archives, write_archives
@@ -59,13 +60,36 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n_max=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_warc, op3_pii_boosting, op4_source_mix, op5_exact_topk, op6_quality_rules, op7_language_id, op8_best_fit_packing, op9_secret_crf, op10_minhash_near_dedup,
+        op11_importance_resampling,
     )
 }
 
+#: DuckDB CTEs: the CRC-32 table of bytes, and unsigned crc32 of the texts x in a relation `crc_in`.
+CRC32 = r"""
+    crc_table AS (
+        SELECT list(v ORDER BY i) AS t FROM (
+            SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+            FROM range(256) AS bytes(i)
+        )
+    ),
+    crc_bytes AS (
+        SELECT x, list_transform(range(1, 2 * octet_length(encode(x)), 2), lambda i: ('0x' || hex(encode(x))[i:i + 1])::BIGINT) AS b FROM crc_in
+    ),
+    crc AS (
+        SELECT x, xor(list_reduce(list_concat([4294967295], b), lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1])), 4294967295) AS crc32
+        FROM crc_bytes, crc_table
+    )
+"""
+
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
@@ -93,4 +117,29 @@ ORACLE_SQL = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
         QUALIFY rank <= 20
     """,
+    "op11_importance_resampling": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+        own AS (SELECT r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM d),
+        aim AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark),
+        crc_in AS (SELECT x FROM own UNION SELECT x FROM aim),
+        {CRC32},
+        b AS MATERIALIZED (SELECT x, crc32 % 10000 AS bucket FROM crc),
+        words AS (SELECT r, bucket, count(*) AS n FROM own JOIN b USING (x) GROUP BY r, bucket),
+        s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM words GROUP BY bucket),
+        t AS (SELECT bucket, count(*)::DOUBLE AS t FROM aim JOIN b USING (x) GROUP BY bucket),
+        gains AS (
+            SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000))
+                                         / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS gain
+            FROM s LEFT JOIN t USING (bucket)
+        ),
+        weights AS (SELECT r, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM words JOIN gains USING (bucket) GROUP BY r),
+        scored AS (
+            SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM d LEFT JOIN weights USING (r)
+        ),
+        able AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 10 * count(*) OVER () // 100 AS draw FROM scored WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= draw THEN place END::BIGINT AS rank FROM able
+        UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_features < 20
+    """.replace("{CRC32}", CRC32),
 }
