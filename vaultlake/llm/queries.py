@@ -12,9 +12,11 @@ from vaultlake.llm.mixing import mix_sources
 from vaultlake.llm.near_dup import near_duplicates
 from vaultlake.llm.packing import best_fit
 from vaultlake.llm.pii import find_personal_data
+from vaultlake.llm.prefix_trie import prefix_trie
 from vaultlake.llm.quality import classify
 from vaultlake.llm.resampling import resample
 from vaultlake.llm.secrets import find_secrets
+from vaultlake.llm.sharding import shard_rows
 from vaultlake.llm.topk import top_k
 from vaultlake.llm.warc import archive_home, read_archives, write_archives
 
@@ -64,11 +66,19 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n_max=1, buckets=10_000, percent=10, least_words=20, seed=2024)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"), shards=16)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_warc, op3_pii_boosting, op4_source_mix, op5_exact_topk, op6_quality_rules, op7_language_id, op8_best_fit_packing, op9_secret_crf, op10_minhash_near_dedup,
-        op11_importance_resampling,
+        op11_importance_resampling, op12_prefix_trie, op13_histogram_shards,
     )
 }
 
@@ -142,4 +152,32 @@ ORACLE_SQL = {
         SELECT doc_id, n_features, weight, score, CASE WHEN place <= draw THEN place END::BIGINT AS rank FROM able
         UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_features < 20
     """.replace("{CRC32}", CRC32),
+    "op12_prefix_trie": """
+        WITH o AS (
+            SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS own
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ),
+        crc_in AS (SELECT conv_id::VARCHAR AS x FROM o),
+        {CRC32},
+        c AS (
+            SELECT o.conv_id, crc32 % 6 AS h, o.own, base.own AS head
+            FROM o JOIN crc ON x = o.conv_id::VARCHAR LEFT JOIN o AS base ON base.conv_id = o.conv_id - o.conv_id % 100
+        ),
+        r AS (SELECT conv_id, list_concat(head[1:h], own[h + 1:]) AS path FROM c),
+        m AS (SELECT conv_id, len(path) AS n, unnest(range(0, len(path) + 1)) AS depth, path FROM r),
+        nodes AS (
+            SELECT depth, path[1:depth] AS node, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '') AS ends
+            FROM m GROUP BY ALL
+        ),
+        child AS (SELECT depth - 1 AS depth, node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+        own AS (
+            SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(node[depth].text) ELSE 0 END AS saved
+            FROM nodes LEFT JOIN child USING (depth, node)
+        ),
+        up AS (SELECT unnest(range(0, depth + 1)) AS d, node, saved, n_children = 0 AS leaf FROM own),
+        below AS (SELECT d AS depth, node[1:d] AS node, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE leaf) AS n_leaves FROM up GROUP BY ALL)
+        SELECT own.conv_id, own.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, sha256(own.ends) AS ends_sha256
+        FROM own JOIN below USING (depth, node) LEFT JOIN nodes AS parent ON parent.depth = own.depth - 1 AND parent.node = own.node[1:own.depth - 1]
+    """.replace("{CRC32}", CRC32),
 }
