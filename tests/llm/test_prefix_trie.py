@@ -76,10 +76,10 @@ def test_defined_cases(spark):
 
 
 def test_long_shared_prefixes_and_a_conversation_over_many_tasks(spark):
-    """One conversation holds most rows; two others share 40 turns with it and leave it at odd places."""
-    long = [(9, t, "user", f"turn {t % 11}") for t in range(2500)]
-    rows = long + [(c, t, "user", f"turn {t % 11}") for c in (11, 13) for t in range(40)] + [(13, 50, "user", "leaves")]
-    rows += [(15, t, "user", f"turn {t % 11}") for t in range(38)] + [(15, 99, "user", "elsewhere")]
+    """One conversation holds most rows; three others share up to 15 turns with it and leave it at odd places."""
+    long = [(9, t, "user", f"turn {t % 11}") for t in range(400)]
+    rows = long + [(c, t, "user", f"turn {t % 11}") for c in (11, 13) for t in range(15)] + [(13, 50, "user", "leaves")]
+    rows += [(15, t, "user", f"turn {t % 11}") for t in range(13)] + [(15, 99, "user", "elsewhere")]
     assert run(spark, rows, 8) == brute(rows)
 
 

@@ -10,8 +10,9 @@ Peeling.  Conversations that are equal as a whole are one class, with its smalle
 representative.  Where only one class goes on, its nodes down to the end are known at once.  The rest
 is peeled: from the greatest depth on, the classes that end (or go on alone) at the depth join the
 surviving nodes; equal prefixes become one node with its members, children, leaves and savings added up;
-then the last turn is stripped, the representative's row at the next depth tells what is left, and the
-nodes are grouped anew.  So nodes are found and added up in the same pass.  There are as many rounds as
+then the last turn is stripped and the nodes are grouped anew (the paths through a depth tell the length of
+its turns and what is left of a prefix without its last one).  So nodes are found and added up in the same
+pass, with one exchange a round.  There are as many rounds as
 turns that two different conversations share; each writes its nodes to the shared checkpoint folder.
 
 Hot groups: equal conversations are counted, and nodes added up, before any shuffle; the parents with
@@ -213,31 +214,29 @@ def end_hashes(ends: DataFrame) -> DataFrame:
     return in_order.mapInArrow(_hashed, "at long, k1 long, k2 long, sha string")
 
 
-def _peeled(spark: SparkSession, entering: DataFrame, shared: DataFrame, deepest: int) -> DataFrame:
-    """Nodes (at, k1, k2, p1, p2, conv_id, n, children, leaves, saved), depth by depth from the deepest."""
+def _peeled(spark: SparkSession, steps: DataFrame, deepest: int) -> DataFrame:
+    """Nodes (at, k1, k2, p1, p2, conv_id, n, children, leaves, saved), depth by depth from the deepest.
+    `steps`: the classes that enter at a depth, and without members (n = 0) the paths through it."""
     home = f"{ensure_checkpoint_dir(spark)}/trie-{uuid.uuid4().hex}"
+    known = [F.max(c).alias(c) for c in ("p1", "p2", "size", "alone")]
     sums = [F.sum(c).alias(c) for c in ("n", "children", "leaves", "saved")]
     survivors = None
     for depth in range(deepest, -1, -1):
-        level = entering.where(F.col("at") == depth).drop("at")
+        level = steps.where(F.col("at") == depth).drop("at")
         if survivors is not None:
-            stripped = survivors.groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(
-                F.min("conv_id").alias("conv_id"), F.sum("n").alias("n"), F.count("*").alias("children"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved")
+            stripped = survivors.select(
+                F.col("p1").alias("k1"), F.col("p2").alias("k2"), "conv_id", "n", F.lit(1).cast("long").alias("children"), "leaves", "saved"
             )
             level = level.unionByName(stripped, allowMissingColumns=True)
-        known = [F.max(c).alias(c) for c in ("p1", "p2", "size", "alone")]
-        nodes = level.groupBy("k1", "k2").agg(F.min("conv_id").alias("conv_id"), *sums, *known)
-        at = shared.where(F.col("at") == depth).select(F.col("conv_id").alias("of"), *[F.col(c).alias(f"s_{c}") for c in ("p1", "p2", "size")])
-        nodes = nodes.join(at, F.col("conv_id") == F.col("of"), "left")
-        for c in ("p1", "p2", "size"):
-            nodes = nodes.withColumn(c, F.coalesce(c, f"s_{c}", F.lit(0)))
-        added = F.when(F.coalesce("alone", F.lit(False)), 0).otherwise((F.col("n") - 1) * F.col("size"))
-        nodes.select(
+        nodes = level.groupBy("k1", "k2").agg(F.min("conv_id").alias("conv_id"), *known, *sums)
+        added = F.when(F.col("alone"), 0).otherwise((F.col("n") - 1) * F.coalesce("size", F.lit(0)))  # the root has no text
+        nodes = nodes.select(
             "k1", "k2", "p1", "p2", "conv_id", "n", "children", F.when(F.col("children") == 0, 1).otherwise(F.col("leaves")).cast("long").alias("leaves"),
             (F.col("saved") + added).alias("saved"),
-        ).write.parquet(f"{home}/at={depth}")
-        survivors = spark.read.parquet(f"{home}/at={depth}")
-    return spark.read.parquet(home).withColumn("at", F.col("at").cast("long"))
+        )
+        nodes.write.parquet(f"{home}/at={depth}")
+        survivors = spark.read.schema(nodes.schema).parquet(f"{home}/at={depth}")
+    return spark.read.schema(nodes.withColumn("at", F.lit(0)).schema).parquet(home).withColumn("at", F.col("at").cast("long"))
 
 
 def _with_parents(nodes: DataFrame) -> DataFrame:
@@ -280,18 +279,18 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         "trie-alone",
     )
     zero = F.lit(0).cast("long")
-    closing = ended.where("lone_from is null").select(
-        *key, "p1", "p2", "size", "conv_id", "n", zero.alias("children"), zero.alias("leaves"), zero.alias("saved"), F.lit(False).alias("alone")
+    nothing = [zero.alias(c) for c in ("children", "leaves", "saved")]
+    closing = ended.where("lone_from is null").select(*key, "p1", "p2", "size", "conv_id", "n", *nothing, F.lit(False).alias("alone"))
+    passing = marked.where("lone_from is null or at < lone_from").select(
+        *key, "p1", "p2", "size", F.lit(None).cast("long").alias("conv_id"), zero.alias("n"), *nothing, F.lit(False).alias("alone")
     )
+    steps = alone.where("not deeper").drop("deeper").unionByName(closing).unionByName(passing)
     # in the order of depth, so that a round reads its depth only
-    entering = stored(alone.where("not deeper").drop("deeper").unionByName(closing).repartitionByRange("at", "conv_id").sortWithinPartitions("at"), "trie-entering")
-    shared = stored(
-        marked.where("lone_from is null or at < lone_from").select("at", "conv_id", "p1", "p2", "size").repartitionByRange("at", "conv_id").sortWithinPartitions("at"), "trie-shared"
-    )
-    deepest = entering.agg(F.max("at")).first()[0]
+    steps = stored(steps.repartitionByRange("at", "k1", "k2").sortWithinPartitions("at"), "trie-steps")
+    deepest = steps.agg(F.max("at")).first()[0]
     if deepest is None:
         return spark.createDataFrame([], NODES)
-    nodes = _with_parents(_peeled(spark, entering, shared, deepest))
+    nodes = _with_parents(_peeled(spark, steps, deepest))
     deeper = alone.where("deeper").drop("size", "alone", "deeper").withColumn("parent_conv_id", F.col("conv_id"))
     hashes = end_hashes(ends).select(*[F.col(c).alias(f"e_{c}") for c in key], "sha")
     same = (F.col("at") == F.col("e_at")) & (F.col("k1") == F.col("e_k1")) & (F.col("k2") == F.col("e_k2"))
