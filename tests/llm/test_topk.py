@@ -10,12 +10,13 @@ SCHEMA = "vec_id long, embedding array<float>"
 
 
 def brute(rows, k, every=5):
-    good = [(i, [math.floor(max(-(2.0**24), min(2.0**24, 64 * x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    long = lambda n: max(-(2**63), min(2**63 - 1, n))
+    whole = [(i, [long(math.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in good:
+    for at, (i, q) in enumerate(whole):
         if i % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i)[:k]
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for n, (j, v) in enumerate(whole) if n != at)[:k]
+            out += [(i, n + 1, j, long(-s)) for n, (s, j) in enumerate(scored)]
     return sorted(out)
 
 
@@ -34,6 +35,15 @@ def test_equals_brute_force(spark, options):
     assert run(spark, rows, 20, **options) == brute(rows, 20)
 
 
+def test_large_scores_and_repeated_ids(spark):
+    rows = [(20, [400_000.0, 0.0]), (21, [300_000.0, 1.0]), (22, [350_000.0, 1.0]), (25, [-400_000.0, 7e8]), (30, [3.0, -2e12]), (31, [0.0, 4e5])]
+    assert run(spark, rows, 3) == brute(rows, 3)
+    assert (20, 1, 22, 573440000000000) in run(spark, rows, 3)
+    rows = [(5, [1.0]), (5, [1.0]), (5, [2.0]), (10, [3.0]), (10, [3.0]), (6, []), (6, [0.5])]
+    assert run(spark, rows, 4) == brute(rows, 4)
+    assert run(spark, rows, 2, block_rows=2, block_queries=1) == brute(rows, 2)
+
+
 def test_few_rows(spark):
     assert run(spark, [], 5) == [] and run(spark, [(5, [1.0])], 5) == []
     rows = [(5, [1.0]), (6, [2.0]), (7, [2.0])]

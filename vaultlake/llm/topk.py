@@ -12,10 +12,12 @@ Scores of the selected rows come from the slices.  The blocks' winners are merge
 Queries are a stated subset of the rows, in blocks too; a task handles one pair of blocks, so memory
 is bounded by the two.  Only k rows per query and block are shuffled to the merge.
 
-Defined cases: vectors that are null, empty, or hold null or non-finite components take no part.
-Shorter vectors count as filled with 0.  Values saturate at +-2^24, so scores fit 64 bits.  Rows with
-equal vec_id are rows of their own, but none is a candidate for a query of its id; equal scores go by
-vec_id.  A null vec_id takes no part.  An empty table gives no rows.  Other columns are not read.
+Defined cases: vectors that are null or hold null or non-finite components take no part.  Shorter
+vectors, empty ones too, count as filled with 0.  Scores are exact integers of any size; a score that
+does not fit a long is returned, and compared with those of other blocks, as the nearest long, and so is a
+quantised component.  Rows with equal vec_id are rows of their own: each is a query with its own ranking,
+and a candidate for the others.  Equal scores go by vec_id.  A null vec_id takes no part.  An empty table
+gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,18 +30,17 @@ from pyspark.sql import functions as F
 from vaultlake.llm.common import checkpointed, sorted_groups
 
 SCALE = 64
-LIMIT = 1 << 24
+LONG = (1 << 63) - 1
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 256
 
 
 def quantised(vector: str, scale: int = SCALE) -> Column:
-    whole = F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(float(LIMIT))), F.lit(-float(LIMIT)))))
-    return whole
+    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))  # beyond 64 bits: the nearest long
 
 
 def usable(vector: str) -> Column:
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, bad)
+    return F.col(vector).isNotNull() & ~F.exists(vector, bad)
 
 
 class Slices:
@@ -48,12 +49,12 @@ class Slices:
     def __init__(self, values: np.ndarray):
         rows, dims = values.shape
         self.rows, self.words = rows, -(-rows // 64)
-        self.offset = int(max(0, -values.min())) if values.size else 0
+        self.offset = max(0, -int(values.min())) if values.size else 0
         top = int(values.max()) + self.offset if values.size else 0
         self.bits = max(1, top.bit_length())
         self.ones = np.zeros((dims, self.bits, self.words), dtype=np.uint64)
         for d in range(dims):
-            shifted = (values[:, d] + self.offset).astype(np.uint64)
+            shifted = values[:, d].astype(np.uint64) + np.uint64(self.offset)  # modulo 2^64
             for b in range(self.bits):
                 self.ones[d, b].view(np.uint8)[: -(-rows // 8)] = np.packbits((shifted >> np.uint64(b)).astype(np.uint8) & 1, bitorder="little")
         self.zeros = ~self.ones
@@ -135,20 +136,22 @@ def positions(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def best_of_block(ids: np.ndarray, index: Slices, queries: list[tuple[int, np.ndarray]], k: int):
-    """(query_id, vec_id, score) of each query's k best rows of the block; `ids` ascending."""
+def best_of_block(ids: np.ndarray, rows: np.ndarray, index: Slices, queries: list[tuple[int, int, np.ndarray]], k: int):
+    """(query row, query_id, vec_id, score) of each query's k best rows of the block; `ids` ascending."""
     full = np.zeros(index.words, dtype=np.uint64)
     full.view(np.uint8)[: -(-index.rows // 8)] = np.packbits(np.ones(index.rows, dtype=np.uint8), bitorder="little")
-    for query_id, q in queries:
+    place = {row: at for at, row in enumerate(rows.tolist())}
+    for query_row, query_id, q in queries:
         slices, constant = index.scores(q)
         allowed = full.copy()
-        for r in range(*np.searchsorted(ids, [query_id, query_id + 1])):
-            allowed[r // 64] &= ~(np.uint64(1) << np.uint64(r % 64))
+        own = place.get(query_row)
+        if own is not None:
+            allowed[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
         sure, tied = index.top(slices, k, allowed)
-        rows = positions(sure)
-        rows = np.concatenate([rows, positions(tied)[: k - len(rows)]])  # rows are in the order of ids
-        for r, v in zip(rows.tolist(), index.value(slices, rows)):
-            yield query_id, int(ids[r]), v - constant
+        best = positions(sure)
+        best = np.concatenate([best, positions(tied)[: k - len(best)]])  # rows are in the order of ids
+        for r, v in zip(best.tolist(), index.value(slices, best)):
+            yield query_row, query_id, int(ids[r]), max(-LONG - 1, min(LONG, v - constant))
 
 
 def _matrix(vectors: list, dims: int) -> np.ndarray:
@@ -161,34 +164,35 @@ def _matrix(vectors: list, dims: int) -> np.ndarray:
 def _pack(dims: int):
     def run(batches):
         for t in sorted_groups(batches, ["block"]):
-            ids = np.array(t.column("vec_id").to_pylist(), dtype=np.int64)
+            ids, rows = (np.array(t.column(c).to_pylist(), dtype=np.int64) for c in ("vec_id", "row"))
             values = _matrix(t.column("v").to_pylist(), dims)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([t.column("block")[0].as_py()], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([values.astype(np.int32).tobytes()], pa.binary())],
-                ["block", "ids", "vectors"],
-            )
+            small = not values.size or max(abs(int(values.min())), abs(int(values.max()))) < 1 << 31
+            packed = [ids.tobytes(), rows.tobytes(), (values.astype(np.int32) if small else values).tobytes()]
+            block = pa.array([t.column("block")[0].as_py()], pa.int64())
+            yield pa.RecordBatch.from_arrays([block, *[pa.array([x], pa.binary()) for x in packed]], ["block", "ids", "rows", "vectors"])
 
     return run
 
 
-def _unpack(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(ids: bytes, rows: bytes, vectors: bytes, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out = np.frombuffer(ids, dtype=np.int64)
-    return out, np.frombuffer(vectors, dtype=np.int32).reshape(len(out), -1).astype(np.int64)
+    kind = np.int64 if len(vectors) == 8 * dims * len(out) else np.int32
+    return out, np.frombuffer(rows, dtype=np.int64), np.frombuffer(vectors, dtype=kind).reshape(len(out), dims).astype(np.int64)
 
 
-def _search(k: int):
+def _search(k: int, dims: int):
     def run(batches):
-        last, index, ids = None, None, None
+        last, index, ids, rows = None, None, None, None
         for batch in batches:
-            for row in range(batch.num_rows):
-                block, raw_ids, raw, qids, qraw = (batch.column(i)[row].as_py() for i in range(5))
+            for at in range(batch.num_rows):
+                block, *own = (batch.column(i)[at].as_py() for i in range(4))
                 if block != last:
-                    ids, values = _unpack(raw_ids, raw)
+                    ids, rows, values = _unpack(*own, dims)
                     last, index = block, Slices(values)
-                query_ids, queries = _unpack(qids, qraw)
-                found = list(best_of_block(ids, index, list(zip(query_ids.tolist(), queries)), k))
-                cols = list(zip(*found)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+                query_ids, query_rows, queries = _unpack(*(batch.column(i)[at].as_py() for i in range(4, 7)), dims)
+                found = list(best_of_block(ids, rows, index, list(zip(query_rows.tolist(), query_ids.tolist(), queries)), k))
+                cols = list(zip(*found)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -196,25 +200,29 @@ def _search(k: int):
 def _blocks(rows: DataFrame, dims: int, size: int) -> DataFrame:
     """Rows as packed blocks of about `size`, in the order of vec_id inside a block."""
     count = max(1, -(-rows.count() // size))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)))
-    dealt = dealt.repartition("block").sortWithinPartitions("block", "vec_id")
-    return checkpointed(dealt.mapInArrow(_pack(dims), "block long, ids binary, vectors binary"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(count)))
+    dealt = dealt.repartition("block").sortWithinPartitions("block", "vec_id", "row")
+    return checkpointed(dealt.mapInArrow(_pack(dims), "block long, ids binary, rows binary, vectors binary"))
 
 
 def top_k(vectors: DataFrame, query: Column, k: int, scale: int = SCALE, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `vectors` (vec_id, embedding) that `query`
     marks, the k other rows with the largest integer inner product."""
     rows = checkpointed(
-        vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select("vec_id", quantised("embedding", scale).alias("v"), query.alias("asked"))
+        vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select(
+            F.col("vec_id").cast("long").alias("vec_id"), quantised("embedding", scale).alias("v"), query.alias("asked"), F.monotonically_increasing_id().alias("row")
+        )
     )
     dims = rows.agg(F.max(F.size("v"))).first()[0] or 1
-    index = _blocks(rows.select("vec_id", "v"), dims, block_rows)
-    asked = _blocks(rows.where("asked").select("vec_id", "v"), dims, block_queries)
+    index = _blocks(rows.select("vec_id", "row", "v"), dims, block_rows)
+    asked = _blocks(rows.where("asked").select("vec_id", "row", "v"), dims, block_queries)
     blocks = max(1, -(-rows.count() // block_rows))
-    asked = asked.select(F.col("block").alias("part"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    asked = asked.select(F.col("block").alias("part"), F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"), F.col("vectors").alias("queries"))
     # every query block goes to every row block once; a task gets pairs of one row block at a time
     pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(index, "block")
-    pairs = pairs.repartition("block", "part").sortWithinPartitions("block", "part").select("block", "ids", "vectors", "query_ids", "queries")
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    pairs = pairs.repartition("block", "part").sortWithinPartitions("block", "part").select(
+        "block", "ids", "rows", "vectors", "query_ids", "query_rows", "queries"
+    )
+    found = pairs.mapInArrow(_search(k, dims), "query_row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
