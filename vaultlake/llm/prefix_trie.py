@@ -285,8 +285,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         *key, "p1", "p2", "size", F.lit(None).cast("long").alias("conv_id"), zero.alias("n"), *nothing, F.lit(False).alias("alone")
     )
     steps = alone.where("not deeper").drop("deeper").unionByName(closing).unionByName(passing)
-    # in the order of depth, so that a round reads its depth only
-    steps = stored(steps.repartitionByRange("at", "k1", "k2").sortWithinPartitions("at"), "trie-steps")
+    # in the order of depth, so that a round reads its depth only; the paths through one node are dealt out
+    steps = stored(steps.withColumn("deal", F.rand(1)).repartitionByRange("at", "deal").sortWithinPartitions("at").drop("deal"), "trie-steps")
     deepest = steps.agg(F.max("at")).first()[0]
     if deepest is None:
         return spark.createDataFrame([], NODES)
