@@ -36,7 +36,7 @@ def test_equals_brute_force(spark, options):
 
 
 def test_large_scores_and_repeated_ids(spark):
-    rows = [(20, [400_000.0, 0.0]), (21, [300_000.0, 1.0]), (22, [350_000.0, 1.0]), (25, [-400_000.0, 7e8]), (30, [3.0, -2e12]), (31, [0.0, 4e5])]
+    rows = [(20, [400_000.0, 0.0]), (21, [300_000.0, 1.0]), (22, [350_000.0, 1.0]), (25, [-400_000.0, 2.0**29]), (30, [3.0, -(2.0**41)]), (31, [0.0, 4e5])]
     assert run(spark, rows, 3) == brute(rows, 3)
     assert (20, 1, 22, 573440000000000) in run(spark, rows, 3)
     rows = [(5, [1.0]), (5, [1.0]), (5, [2.0]), (10, [3.0]), (10, [3.0]), (6, []), (6, [0.5])]

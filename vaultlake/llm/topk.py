@@ -13,9 +13,8 @@ Queries are a stated subset of the rows, in blocks too; a task handles one pair
 is bounded by the two.  Only k rows per query and block are shuffled to the merge.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part.  Shorter
-vectors, empty ones too, count as filled with 0.  Scores are exact integers of any size; a score that
-does not fit a long is returned, and compared with those of other blocks, as the nearest long, and so is a
-quantised component.  Rows with equal vec_id are rows of their own: each is a query with its own ranking,
+vectors, empty ones too, count as filled with 0.  Scores are compared exactly (up to 125 bits); one
+that does not fit a long is returned as the nearest long, and a quantised component counts as that too.  Rows with equal vec_id are rows of their own: each is a query with its own ranking,
 and a candidate for the others.  Equal scores go by vec_id.  A null vec_id takes no part.  An empty table
 gives no rows.  Other columns are not read.
 """
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from vaultlake.llm.common import checkpointed, sorted_groups
 
 SCALE = 64
-LONG = (1 << 63) - 1
+LONG, LOW = (1 << 63) - 1, (1 << 62) - 1
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 256
 
 
@@ -43,6 +42,10 @@ def usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & ~F.exists(vector, bad)
 
 
+def nearest(n: int) -> int:
+    return max(-LONG - 1, min(LONG, n))
+
+
 class Slices:
     """Bit slices of one block: ones[d][b] is the bitmap of bit b of values[:, d] + offset."""
 
@@ -137,7 +140,7 @@ def positions(bitmap: np.ndarray) -> np.ndarray:
 
 
 def best_of_block(ids: np.ndarray, rows: np.ndarray, index: Slices, queries: list[tuple[int, int, np.ndarray]], k: int):
-    """(query row, query_id, vec_id, score) of each query's k best rows of the block; `ids` ascending."""
+    """(query row, query_id, vec_id, score, its high and low parts) of each query's k best rows of the block; `ids` ascending."""
     full = np.zeros(index.words, dtype=np.uint64)
     full.view(np.uint8)[: -(-index.rows // 8)] = np.packbits(np.ones(index.rows, dtype=np.uint8), bitorder="little")
     place = {row: at for at, row in enumerate(rows.tolist())}
@@ -151,7 +154,7 @@ def best_of_block(ids: np.ndarray, rows: np.ndarray, index: Slices, queries: lis
         best = positions(sure)
         best = np.concatenate([best, positions(tied)[: k - len(best)]])  # rows are in the order of ids
         for r, v in zip(best.tolist(), index.value(slices, best)):
-            yield query_row, query_id, int(ids[r]), max(-LONG - 1, min(LONG, v - constant))
+            yield query_row, query_id, int(ids[r]), *(nearest(x) for x in (v - constant, (v - constant) >> 62)), (v - constant) & LOW
 
 
 def _matrix(vectors: list, dims: int) -> np.ndarray:
@@ -191,8 +194,8 @@ def _search(k: int, dims: int):
                     last, index = block, Slices(values)
                 query_ids, query_rows, queries = _unpack(*(batch.column(i)[at].as_py() for i in range(4, 7)), dims)
                 found = list(best_of_block(ids, rows, index, list(zip(query_rows.tolist(), query_ids.tolist(), queries)), k))
-                cols = list(zip(*found)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_row", "query_id", "vec_id", "score"])
+                cols = list(zip(*found)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_row", "query_id", "vec_id", "score", "high", "low"])
 
     return run
 
@@ -223,6 +226,6 @@ def top_k(vectors: DataFrame, query: Column, k: int, scale: int = SCALE, block_r
     pairs = pairs.repartition("block", "part").sortWithinPartitions("block", "part").select(
         "block", "ids", "rows", "vectors", "query_ids", "query_rows", "queries"
     )
-    found = pairs.mapInArrow(_search(k, dims), "query_row long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    found = pairs.mapInArrow(_search(k, dims), "query_row long, query_id long, vec_id long, score long, high long, low long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("high"), F.desc("low"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
