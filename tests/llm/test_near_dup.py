@@ -131,3 +131,18 @@ def test_estimate_is_near_the_similarity():
         sig = [np.frombuffer(near_dup.signature(near_dup.minima(np.unique(x))), dtype=np.uint64) for x in (a, b)]
         est = (near_dup.equal_slots(*sig) / 128 - 0.25) / 0.75
         assert abs(est - share / (2 - share)) < 0.15
+
+
+def test_an_id_with_several_texts_in_any_order(spark):
+    """All texts of an id count, whichever row comes first."""
+    r = random.Random(11)
+    text = lambda seed: [f"w{seed}_{i}" for i in range(60)]
+    near = lambda words: [*words[:-1], "other"]
+    rows = [(1, text(0)), (0, text(1)), (1, text(1)), (5, text(2)), (5, text(3)), (6, near(text(3))), (7, near(text(2))), (8, near(text(0))), (9, text(9)), (9, text(9)), (9, text(10))]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    want = {0: 0, 1: 0, 8: 0, 5: 5, 6: 5, 7: 5, 9: 9}
+    for _ in range(3):
+        r.shuffle(rows)
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert {x["doc_id"]: x["component_id"] for x in got} == want and len(got) == len(rows)
+        assert all(x["kept"] == (want[x["doc_id"]] == x["doc_id"]) and x["n_shingles"] == 56 for x in got)

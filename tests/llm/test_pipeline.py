@@ -51,3 +51,18 @@ def test_run_and_empty_input(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 0
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_no_text_is_lost_where_ids_repeat(spark):
+    """Rows share ids but not texts: decisions go by id and text."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, rows: sorted((x["doc_id"], x["text"]) for x in stages[name](spark, spark.createDataFrame([(*x, "en", "s", 1) for x in rows], schema), "").collect())
+    rows = [(1, "A text"), (0, "B text"), (1, "B text"), (1, "B  text"), (2, "C text"), (2, "C text"), (None, "A\ttext")]
+    for order in (rows, rows[::-1]):
+        assert run("exact_dedup", order) == [(0, "B text"), (1, "A text"), (2, "C text")]
+    long = lambda seed, end="": " ".join([*(f"w{seed}_{i}" for i in range(60)), end])
+    rows = [(1, long(0)), (0, long(1)), (1, long(1, "x")), (3, long(2)), (3, long(3)), (4, long(3, "y")), (4, long(4)), (5, long(0, "z"))]
+    want = sorted([(1, long(0)), (0, long(1)), (3, long(2)), (3, long(3)), (4, long(4))])
+    for order in (rows, rows[::-1]):
+        assert run("near_dedup", order) == want

@@ -18,7 +18,7 @@ both fall quickly.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing.  A text shorter
 than a shingle is one shingle.  Repeated rows come back as often as they occur.  Rows that share a
-doc_id are one node of the graph.  A null doc_id takes part in no link and is its own component
+doc_id are one node of the graph, with the links of all their texts.  A null doc_id takes part in no link and is its own component
 (null).  An empty table gives no rows.  Other columns are neither read nor returned.
 """
 
@@ -110,7 +110,7 @@ def _describe(percent: int):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = text_shingles(text.as_py(), SHINGLE)
                 m = None if only_equal(len(s), percent) or doc_id is None else minima(s)
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) and doc_id is not None else None
+                digest = set_digest(s) if len(s) and doc_id is not None else None
                 rows.append((doc_id, len(s), digest, None if m is None else signature(m), None if m is None else band_keys(m, bands, per_band)))
                 if len(rows) == 2000:
                     yield _described(rows)
@@ -168,7 +168,7 @@ def _candidates(least: int):
     def run(batches):
         def found():
             for t in sorted_groups(batches, ["key", "i", "j"]):
-                if t.num_rows > 1:
+                if t.num_rows > 1:  # two texts of one id are no candidates
                     ids = t.column("cid").to_pylist()
                     yield [(ids[u], ids[v]) for u, v in forest(_signatures(t), least) if ids[u] != ids[v]]
 
@@ -259,22 +259,27 @@ def _links(percent: int, least: int):
     return run
 
 
+def set_digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _with_sets(batches):
+    """Adds the shingle sets; an id may come with several texts, only that of the digest counts."""
+    kept = ["cluster", "blocks", "cid", "digest", "sig"]
     for batch in batches:
         step = 500
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
-            sets = [text_shingles(x.as_py(), SHINGLE).tobytes() for x in part.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(k) for k in ("cluster", "blocks", "cid", "sig")] + [pa.array(sets, pa.binary())],
-                ["cluster", "blocks", "cid", "sig", "shingles"],
-            )
+            sets = [text_shingles(x.as_py(), SHINGLE) for x in part.column("text")]
+            own = pa.array([set_digest(s) == d for s, d in zip(sets, part.column("digest").to_pylist())], pa.bool_())
+            cols = [*(part.column(k) for k in kept), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, [*kept, "shingles"]).filter(own)
 
 
 def _block_pairs(df: DataFrame, key: str, keep: list[str]) -> DataFrame:
     """Rows of a key with `blocks` > 1 are dealt out by hash to blocks, and each row goes to every
     pair of blocks that has its own, so any two rows of a key meet in some (i, j)."""
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    own = F.pmod(F.xxhash64("cid", "digest"), F.col("blocks"))
     one = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return one.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *keep)
 
@@ -295,9 +300,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     own = checkpointed(
         described.select("doc_id", "n_shingles", "digest").join(copies, "digest", "left").select("doc_id", "n_shingles", "cid")
     )
+    # an id with texts of several classes is one node: its classes are linked
+    several = own.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select(F.col("doc_id").alias("of"), "a")
+    same_id = own.join(several, F.col("doc_id") == F.col("of")).select("a", F.col("cid").alias("b")).where("a < b").distinct()
     first = copies.withColumnRenamed("digest", "d")
     classes = described.where("sig is not null").join(first, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("cid")))
-    bands = classes.select("cid", "sig", F.explode("bands").alias("key"))
+    bands = classes.select("cid", "digest", "sig", F.explode("bands").alias("key"))
     large = (
         bands.groupBy("key").count().where(F.col("count") > BLOCK_ROWS)
         .select("key", F.ceil(F.col("count") / BLOCK_ROWS).cast("long").alias("blocks"))
@@ -307,18 +315,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     groups = connected_components(near)
     members = (
         groups.select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
-        .join(classes.select("cid", "sig", "n_shingles").dropDuplicates(["cid"]), "cid")
+        .join(classes.select("cid", "digest", "sig", "n_shingles").dropDuplicates(["cid", "digest"]), "cid")
     )
     sizes = members.groupBy("cluster").agg(
         F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("long").alias("blocks")
     )
-    members = members.join(sizes, "cluster").select("cluster", "blocks", "cid", "sig")
-    texts = docs.select(F.col("doc_id").alias("cid"), "text").join(members, "cid").select("cluster", "blocks", "cid", "sig", "text")
-    with_sets = texts.mapInArrow(_with_sets, "cluster long, blocks long, cid long, sig binary, shingles binary")
+    members = members.join(sizes, "cluster").select("cluster", "blocks", "cid", "digest", "sig")
+    texts = docs.select(F.col("doc_id").alias("cid"), "text").join(members, "cid").select("cluster", "blocks", "cid", "digest", "sig", "text")
+    with_sets = texts.mapInArrow(_with_sets, "cluster long, blocks long, cid long, digest binary, sig binary, shingles binary")
     links = _whole_groups(_block_pairs(with_sets, "cluster", ["cid", "sig", "shingles"]), ["cluster", "i", "j"]).mapInArrow(
         _links(percent, least), "a long, b long"
     )
-    found = connected_components(links)
+    found = connected_components(links.unionByName(same_id))
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "cid"))
     return (
         own.join(found.withColumnRenamed("node", "cid"), "cid", "left")
