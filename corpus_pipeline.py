@@ -6,7 +6,8 @@ near_dedup     of each group of near-duplicates the one with the smallest doc_id
 mix            the mix of sources in target weights; what follows after its end goes
 pack           every document that is left, packed into sequences: one row per piece
 
-A null doc_id can't be named by a decision on ids: such rows stay in the two stages on copies.
+Decisions go by id and text, so an id may have several texts and be null.  A row with a null id takes no
+part in near_dedup and stays.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultlake.llm.common import checkpointed, table
+from vaultlake.llm.common import checkpointed, numbered_in_order, table
 from vaultlake.llm.exact_dedup import exact_duplicates, normalised
 from vaultlake.llm.language import accepted_documents
 from vaultlake.llm.mixing import mixed_documents
@@ -31,18 +32,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text stays, also where whole rows repeat."""
+    """One row of each text stays, also where whole rows repeat or an id has several texts."""
     found = checkpointed(exact_duplicates(docs).select("doc_id", "kept", "text_sha256"))
-    out = _without(docs, found.where("not kept"))
-    again = found.where("kept and doc_id is not null").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    digest = F.sha2(normalised().cast("binary"), 256)
+    gone = found.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (digest == F.col("__sha")), "left_anti")
+    again = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
     if not again.isEmpty():
-        out = out.withColumn("__norm", normalised()).dropDuplicates(["doc_id", "__norm"]).drop("__norm")
+        out = out.withColumn("__sha", digest).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
     return out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Links: 5-word shingles, similarity of 0.85 or more.  Documents without words stay."""
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    """Links: 5-word shingles, similarity of 0.85 or more.  Documents without words stay.  Where an id has
+    several texts, the rows get numbers in the order of (doc_id, text hash) in its place."""
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _without(docs, near_duplicates(docs).where("not kept"), "doc_id")
+    rows = checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows = numbered_in_order(rows, [F.asc_nulls_last("doc_id"), F.sha2("text", 256).asc(), F.asc("__row")])
+    rows = checkpointed(rows.withColumnRenamed("number", "__number").withColumn("__number", F.when(F.col("doc_id").isNotNull(), F.col("__number"))))
+    near = near_duplicates(rows.select(F.col("__number").alias("doc_id"), "text"))
+    return _without(rows, near.where("not kept"), "__number").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +65,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit(docs)
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
     dropped = dropped.select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, docs["doc_id"] == F.col("__dropped"), "left_anti")
+    return docs.join(dropped, docs[name] == F.col("__dropped"), "left_anti")
 
 
 STAGES = [("language", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]
