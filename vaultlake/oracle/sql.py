@@ -727,7 +727,9 @@ SELECT vault, closed_at, 'tvl_drop', prev_tvl, tvl FROM (
   SELECT vault, closed_at, total_amount AS tvl,
     lag(total_amount) OVER (PARTITION BY vault ORDER BY closed_at, tx_hash, total_amount) AS prev_tvl
   FROM stream_flows WHERE total_amount IS NOT NULL) x
-WHERE prev_tvl > 0 AND (CAST(tvl AS DOUBLE) - CAST(prev_tvl AS DOUBLE)) / CAST(prev_tvl AS DOUBLE) * 100 <= -50.0""")
+WHERE prev_tvl > 0 AND (CAST(tvl AS DOUBLE) - CAST(prev_tvl AS DOUBLE)) / CAST(prev_tvl AS DOUBLE) * 100 <= -50.0
+UNION ALL
+SELECT vault, min(closed_at), 'new_vault', CAST(NULL AS DECIMAL(38,7)), CAST(NULL AS DECIMAL(38,7)) FROM stream_flows GROUP BY vault""")
 ORACLE["strategy_subset"] = with_ctes(["strategies", "clicks"], f"""SELECT s.strategy_name, s.strategy_address, s.asset_token,
   CAST(count(c.event_id) AS BIGINT) AS harvests, min(c.closed_at) AS first_harvest, max(c.closed_at) AS last_harvest
 FROM strategies s LEFT JOIN clicks c ON c.contract_id = s.strategy_address

@@ -11,28 +11,24 @@ vaults count.
                    are dropped when the table is read
   stream_net_flow  daily net flow per ledger day of the single events' amounts (complete mode; state
                    = one row per day); the batch `net_flow` sums the per-transaction amounts instead
-  stream_alerts    large withdrawals and TVL drops per vault (foreachBatch: range-split lag in the
-                   batch, last reading per vault carried in an epoch-versioned state table)
+  stream_alerts    large withdrawals, TVL drops and new vaults, from keyed state per vault
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlake.functions.i128 import i128
 from vaultlake.functions.payload import parse_typed, typed_addresses, typed_i128s, typed_vecs
 from vaultlake.functions.time import day_bucket
-from vaultlake.operators.joins import bounded, semi_join
-from vaultlake.operators.latest import latest_per_key
-from vaultlake.operators.ordered import lag_by_key
+from vaultlake.operators.joins import semi_join
 from vaultlake.plans.vaults import event_kind, sum_skip_nulls, vault_info_dim
 from vaultlake.session import ensure_checkpoint_dir
 from vaultlake.sources.ledger import Ledger
+from vaultlake.streaming.alerts import read_alerts, write_decisions
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -112,62 +108,12 @@ def stream_net_flow(L: Ledger, home: str | None = None) -> DataFrame:
     return L.spark.read.parquet(out)
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def stream_alerts(
-    L: Ledger, withdraw_share: float = 0.001, drop_pct: float = -50.0, source: tuple[str, str] | None = None, home: str | None = None
+    L: Ledger, withdraw_share: float = 0.001, drop_pct: float = -50.0, source: tuple[str, str] | None = None, home: str | None = None,
+    lateness_hours: int = 24 * 7,
 ) -> DataFrame:
-    """Alerts per micro-batch: withdrawals of at least `withdraw_share` of the vault's TVL, and TVL
-    readings at least `drop_pct` percent below the vault's previous reading.
-
-    The previous reading comes from the range-split lag inside the batch (no task holds a whole
-    vault) and, for a vault's first event in the batch, from a state table with the last reading
-    per vault, written per epoch next to the output so a retried epoch rewrites the same files."""
-    spark = L.spark
-    flows = decoded_flows(L, source)
-    home = _home(spark, "alerts", home)
-    out, state, ckpt = f"{home}/out", f"{home}/state", f"{home}/checkpoint"
-    cols = ["vault", "closed_at", "kind", "prev_tvl", "tvl"]
-
-    def process(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        large = batch.where(
-            (F.col("event") == "withdraw") & (F.col("total_amount") > 0)
-            & (F.col("amount").cast("double") / F.col("total_amount").cast("double") >= withdraw_share)
-        ).select("vault", "closed_at", F.lit("large_withdrawal").alias("kind"),
-                 F.col("total_amount").alias("prev_tvl"), F.col("amount").alias("tvl"))
-        tv = batch.where(F.col("total_amount").isNotNull()).select("vault", "closed_at", "tx_hash", "total_amount")
-        seq = lag_by_key(tv, ["vault"], ["closed_at", "tx_hash", "total_amount"], ["total_amount"])
-        # only the first epoch has no state; a later one that misses it must fail
-        prev_state = spark.read.parquet(f"{state}/epoch={epoch - 1}") if epoch else None
-        prev = F.col("prev_total_amount")
-        if prev_state is not None:
-            seq = seq.join(bounded(prev_state.select("vault", "last_tvl"), L.cfg.max_broadcast_rows), "vault", "left")
-            prev = F.coalesce(prev, F.col("last_tvl"))
-        seq = seq.select("vault", "closed_at", prev.alias("prev_tvl"), F.col("total_amount").alias("tvl"))
-        change = (F.col("tvl").cast("double") - F.col("prev_tvl").cast("double")) / F.col("prev_tvl").cast("double") * 100
-        drops = seq.where((F.col("prev_tvl") > 0) & (change <= drop_pct)).select(
-            "vault", "closed_at", F.lit("tvl_drop").alias("kind"), "prev_tvl", "tvl"
-        )
-        large.unionByName(drops).select(*cols).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        readings = tv.select("vault", "closed_at", "tx_hash", F.col("total_amount").alias("last_tvl"))
-        if prev_state is not None:
-            readings = readings.unionByName(prev_state.select("vault", "closed_at", "tx_hash", "last_tvl"))
-        latest_per_key(readings, ["vault"], ["closed_at", "tx_hash"], ["last_tvl"]).write.mode("overwrite").parquet(
-            f"{state}/epoch={epoch}"
-        )
-        batch.unpersist()
-
-    q = flows.writeStream.foreachBatch(process).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = _read_or_none(spark, out)
-    if got is None:
-        return spark.createDataFrame([], "vault string, closed_at timestamp_ntz, kind string, prev_tvl decimal(38,7), tvl decimal(38,7)")
-    return got.select(*cols)
+    """Withdrawals of at least `withdraw_share` of the vault's TVL, TVL readings at least `drop_pct` percent
+    below the vault's reading before, and the first event of each vault (see streaming.alerts)."""
+    home = _home(L.spark, "alerts", home)
+    write_decisions(decoded_flows(L, source), home, withdraw_share, drop_pct, lateness_hours)
+    return read_alerts(L.spark, home)
