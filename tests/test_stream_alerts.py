@@ -14,7 +14,7 @@ from conftest import SF_SMALL
 from tools.compare import duck, rows_of
 from vaultlake.sources.ledger import Ledger
 from vaultlake.streaming.alerts import VaultState, add_reading, is_drop
-from vaultlake.streaming.jobs import stream_alerts
+from vaultlake.streaming.jobs import stream_alerts, stream_hourly_tvl
 
 
 def decided(readings, lateness=None):
@@ -98,3 +98,6 @@ def test_files_that_overlap_in_time(spark, events, tmp_path):
     files(spark, folder, [events.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == i) for i in range(4)])
     got = alerts(spark, folder, str(tmp_path / "home"))
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == batch(spark)
+    hourly = stream_hourly_tvl(Ledger(spark, SF_SMALL), source=(folder, "events-*.parquet"))
+    cols, rows = duck(SF_SMALL, E.oracle_sql()["stream_hourly_tvl"])
+    assert rows_of(hourly.columns, [tuple(r) for r in hourly.collect()]) == rows_of(cols, rows)

@@ -394,6 +394,13 @@ ORACLE["ingest_lag"] = with_ctes(["all_events"], """SELECT date_trunc('day', clo
   min((epoch_us(ingested_at) - epoch_us(closed_at)) / 1e6) AS min_lag_s, max((epoch_us(ingested_at) - epoch_us(closed_at)) / 1e6) AS max_lag_s,
   round(avg((epoch_us(ingested_at) - epoch_us(closed_at)) / 1e6), 6) AS avg_lag_s
 FROM all_events GROUP BY 1""")
+ORACLE["ingest_lag_quantiles"] = with_ctes(["all_events"], """SELECT contract_id, count(*) AS rows, round(quantile_cont(lag, 0.5), 6) AS p50,
+  round(quantile_cont(lag, 0.95), 6) AS p95, round(quantile_cont(lag, 0.99), 6) AS p99
+FROM (SELECT contract_id, CAST(epoch_us(ingested_at) - epoch_us(closed_at) AS DOUBLE) AS lag FROM all_events) x GROUP BY contract_id""")
+ORACLE["resource_quantiles"] = with_ctes(["all_events", "txs"], """SELECT contract_id, count(*) AS rows, round(quantile_cont(v, 0.5), 6) AS p50,
+  round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99
+FROM (SELECT DISTINCT contract_id, e.transaction_hash, CAST(instr AS DOUBLE) AS v FROM all_events e JOIN txs t ON e.transaction_hash = t.transaction_hash) x
+GROUP BY contract_id""")
 ORACLE["topic_frequency"] = with_ctes(["all_events"], """SELECT contract_id, topics_decoded, count(*) AS events,
   count(DISTINCT transaction_hash) AS transactions
 FROM all_events GROUP BY 1, 2""")
@@ -720,6 +727,8 @@ register_cte("stream_flows", f"""stream_flows AS (
 ORACLE["stream_decode"] = with_ctes(["stream_flows"], "SELECT * FROM stream_flows")
 ORACLE["stream_net_flow"] = with_ctes(["stream_flows"], """SELECT date_trunc('day', closed_at) AS day,
   sum(CASE WHEN event = 'deposit' THEN amount ELSE -amount END) AS net_flow, count(*) AS events FROM stream_flows GROUP BY 1""")
+ORACLE["stream_hourly_tvl"] = with_ctes(["stream_flows"], """SELECT vault, date_trunc('hour', closed_at) AS hour, max(total_amount) AS max_tvl,
+  count(*) AS readings FROM stream_flows WHERE total_amount IS NOT NULL GROUP BY 1, 2""")
 ORACLE["stream_alerts"] = with_ctes(["stream_flows"], """SELECT vault, closed_at, 'large_withdrawal' AS kind, total_amount AS prev_tvl, amount AS tvl
 FROM stream_flows WHERE event = 'withdraw' AND total_amount > 0 AND CAST(amount AS DOUBLE) / CAST(total_amount AS DOUBLE) >= 0.001
 UNION ALL

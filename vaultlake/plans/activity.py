@@ -17,6 +17,7 @@ from vaultlake.functions.time import day_bucket, hour_bucket
 from vaultlake.operators.joins import bounded
 from vaultlake.operators.latest import latest_per_key
 from vaultlake.operators.ordered import lag_by_key, rolling_mean_rows
+from vaultlake.operators.quantiles import exact_quantiles
 from vaultlake.plans.vaults import vault_events_level, vault_info_dim
 from vaultlake.sources.ledger import Ledger
 
@@ -346,6 +347,22 @@ def ingest_lag(L: Ledger) -> DataFrame:
     )
 
 
+QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def ingest_lag_quantiles(L: Ledger) -> DataFrame:
+    """Median, 95th and 99th percentile of the ingestion delay in microseconds, per contract."""
+    ev = L.contract_events.select("contract_id", F.timestamp_diff("MICROSECOND", F.col("closed_at"), F.col("ingested_at")).alias("lag"))
+    return exact_quantiles(ev, ["contract_id"], "lag", QUANTILES)
+
+
+def resource_quantiles(L: Ledger) -> DataFrame:
+    """The same of the instructions of the transactions that touch a contract, per contract."""
+    touched = L.contract_events.select("contract_id", F.col("transaction_hash").alias("h")).distinct()
+    tx = L.transactions.select(F.col("transaction_hash").alias("h"), "soroban_resources_instructions")
+    return exact_quantiles(touched.join(tx, "h"), ["contract_id"], "soroban_resources_instructions", QUANTILES)
+
+
 def topic_frequency(L: Ledger) -> DataFrame:
     ev = L.contract_events
     return ev.groupBy("contract_id", "topics_decoded").agg(

@@ -67,6 +67,8 @@ PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "resource_usage": A.resource_usage,
     "fee_headroom": A.fee_headroom,
     "ingest_lag": A.ingest_lag,
+    "ingest_lag_quantiles": A.ingest_lag_quantiles,
+    "resource_quantiles": A.resource_quantiles,
     "topic_frequency": A.topic_frequency,
     "tvl_change": T.tvl_change,
     "tvl_growth_30d": T.tvl_growth_30d,
@@ -126,5 +128,6 @@ PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "inspect_raw_decoded": G.inspect_raw_decoded,
     "stream_decode": SJ.stream_decode,
     "stream_net_flow": SJ.stream_net_flow,
+    "stream_hourly_tvl": SJ.stream_hourly_tvl,
     "stream_alerts": SJ.stream_alerts,
 }

@@ -11,6 +11,8 @@ vaults count.
                    are dropped when the table is read
   stream_net_flow  daily net flow per ledger day of the single events' amounts (complete mode; state
                    = one row per day); the batch `net_flow` sums the per-transaction amounts instead
+  stream_hourly_tvl  largest TVL per vault and hour: each batch appends its own partial maxima, which
+                   are merged on reading, so no event is late
   stream_alerts    large withdrawals, TVL drops and new vaults, from keyed state per vault
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vaultlake.functions.i128 import i128
 from vaultlake.functions.payload import parse_typed, typed_addresses, typed_i128s, typed_vecs
-from vaultlake.functions.time import day_bucket
+from vaultlake.functions.time import day_bucket, hour_bucket
 from vaultlake.operators.joins import semi_join
 from vaultlake.plans.vaults import event_kind, sum_skip_nulls, vault_info_dim
 from vaultlake.session import ensure_checkpoint_dir
@@ -108,6 +110,23 @@ def stream_net_flow(L: Ledger, home: str | None = None) -> DataFrame:
     return L.spark.read.parquet(out)
 
 
+def stream_hourly_tvl(L: Ledger, source: tuple[str, str] | None = None, home: str | None = None) -> DataFrame:
+    """vault, hour, max_tvl, readings.  No state is kept: a batch writes one row per vault and hour that it
+    has (its folder is named by its epoch, so a repeated batch writes the same rows), and maxima of
+    maxima are the maxima of all readings, in whatever order files come."""
+    home = _home(L.spark, "hourly", home)
+    out, ckpt = f"{home}/out", f"{home}/checkpoint"
+    readings = decoded_flows(L, source).where("total_amount is not null").select("vault", hour_bucket(F.col("closed_at")).alias("hour"), "total_amount")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        part = batch.groupBy("vault", "hour").agg(F.max("total_amount").alias("max_tvl"), F.count(F.lit(1)).alias("readings"))
+        part.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    readings.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+    parts = L.spark.read.schema("vault string, hour timestamp_ntz, max_tvl decimal(38,7), readings long, epoch long").parquet(out)
+    return parts.groupBy("vault", "hour").agg(F.max("max_tvl").alias("max_tvl"), F.sum("readings").alias("readings"))
+
+
 def stream_alerts(
     L: Ledger, withdraw_share: float = 0.001, drop_pct: float = -50.0, source: tuple[str, str] | None = None, home: str | None = None,
     lateness_hours: int = 24 * 7,
