@@ -7,8 +7,8 @@ default each run gets a new folder in the cluster's checkpoint folder).  Only ev
 vaults count.
 
   stream_decode    decoded deposit/withdraw events; events are appended whenever they come, however
-                   late, and redelivered ones (same transaction, vault, time, topics and payload)
-                   are dropped when the table is read
+                   late; a batch leaves out redelivered ones (same transaction, vault, time, topics and
+                   payload) by an anti-join with the stored events of its days
   stream_net_flow  daily net flow per ledger day of the single events' amounts (complete mode; state
                    = one row per day); the batch `net_flow` sums the per-transaction amounts instead
   stream_hourly_tvl  largest TVL per vault and hour: each batch appends its own partial maxima, which
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,18 +78,51 @@ def decoded_flows(L: Ledger, source: tuple[str, str] | None = None) -> DataFrame
     )
 
 
-def _run_to_parquet(df: DataFrame, home: str, spark: SparkSession) -> DataFrame:
-    out, ckpt = f"{home}/out", f"{home}/checkpoint"
-    q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(out)
+FLOW_SCHEMA = (
+    "closed_at timestamp_ntz, vault string, tx_hash string, event string, account string, amount decimal(38,7), total_amount decimal(38,7), event_key string"
+)
+EVENT_ID = ("event_key", "tx_hash", "vault", "closed_at")
+
+
+def _epochs(spark: SparkSession, out: str) -> DataFrame:
+    """What the batches wrote so far, with epoch and day."""
+    schema = f"{FLOW_SCHEMA}, epoch long, day date"
+    try:
+        return spark.read.schema(schema).parquet(out)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _unseen(batch: DataFrame, before: DataFrame) -> DataFrame:
+    """Events of `batch`, once each, that `before` doesn't hold.  An event has one day, so only the stored
+    partitions of the batch's days are read (a list bounded by the calendar)."""
+    days = [r["day"] for r in batch.select("day").distinct().collect()]
+    dated = F.col("day").isin([d for d in days if d is not None])
+    known = before.where(dated | F.col("day").isNull() if None in days else dated).select(*[F.col(c).alias(f"of_{c}") for c in EVENT_ID])
+    same = F.col("event_key") == F.col("of_event_key")
+    for c in EVENT_ID[1:]:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return batch.dropDuplicates(EVENT_ID).join(known, same, "left_anti")
 
 
 def stream_decode(L: Ledger, source: tuple[str, str] | None = None, home: str | None = None) -> DataFrame:
-    """No state is kept in the stream, so nothing is late; the ledger gives events no number of their
-    own, so two events of a transaction with equal topics and payload count as one."""
-    got = _run_to_parquet(decoded_flows(L, source), _home(L.spark, "decode", home), L.spark)
-    return got.dropDuplicates(["tx_hash", "vault", "closed_at", "event_key"]).drop("event_key")
+    """Each batch appends the events that were not there before, below its epoch (a repeated batch writes the
+    same rows again) and their days, so nothing is late however old, no state is held between batches, and a
+    reader needs no shuffle.  The ledger gives events no number of their own: two events of a transaction
+    with equal topics and payload count as one."""
+    home = _home(L.spark, "decode", home)
+    out, ckpt = f"{home}/out", f"{home}/checkpoint"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch = batch.withColumn("day", F.to_date("closed_at")).persist()
+        new = _unseen(batch, _epochs(L.spark, out).where(F.col("epoch") < epoch))
+        new.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{out}/epoch={epoch}")
+        batch.unpersist()
+
+    decoded_flows(L, source).writeStream.foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+    return _epochs(L.spark, out).drop("event_key", "epoch", "day")
 
 
 def stream_net_flow(L: Ledger, home: str | None = None) -> DataFrame:
