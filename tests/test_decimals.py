@@ -5,7 +5,7 @@ from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 from pyspark.sql import functions as F
 
-from vaultlake.functions.decimals import DEC, add, from_units, multiply, subtract, to_units
+from vaultlake.functions.decimals import DEC, add, floor_share, from_units, multiply, subtract, to_units
 from vaultlake.functions.i128 import i128
 from vaultlake.functions.payload import sum_skip_nulls
 
@@ -50,3 +50,21 @@ def test_i128_up_to_the_bound(spark):
             c.prec = 60
             want = Decimal(v).scaleb(-7) if abs(int(v)) < 10**38 else None
         assert s == want and h == want, v
+
+
+def test_floor_share_over_the_whole_range(spark):
+    r = random.Random(3)
+    top = 10**38 - 1
+    units = [(10**19, 3 * 10**19, 7 * 10**19), (top - 1, top - 1, top), (top, top, top), (top - 1, 1, top), (0, 5, 7), (5, 0, 7), (5, 5, 0), (top, 2, 1)]
+    for _ in range(200):
+        w = r.randrange(1, 10 ** r.choice([3, 12, 20, 30, 37, 38]))
+        units.append((r.randrange(0, w + 1), r.randrange(10 ** r.choice([1, 12, 25, 38])), w))
+    with localcontext() as c:
+        c.prec = 100
+        rows = [(i, *[Decimal(u).scaleb(-7) for u in t]) for i, t in enumerate(units)]
+        df = spark.createDataFrame(rows, f"i int, x {DEC}, f {DEC}, w {DEC}")
+        for i, got in df.select("i", floor_share(F.col("x"), F.col("f"), F.col("w"))).collect():
+            x, f, w = units[i]
+            want = x * f // w if w else None
+            want = None if want is None or want > top else Decimal(want).scaleb(-7)
+            assert got == want, units[i]

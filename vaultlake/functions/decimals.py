@@ -108,15 +108,53 @@ def _multiply_units(a: Column, b: Column) -> Column:
     return from_units(signed)
 
 
+def _share_by_bits(rest: Column, of: Column, whole: Column) -> Column:
+    """floor(rest * of / whole) for 0 <= rest < whole, without a product: quotient and remainder are doubled
+    for each binary digit of `of` and `rest` is added where it is 1, all below `whole`."""
+
+    def over(a, b):
+        return a >= F.try_subtract(whole, b)
+
+    def sum_below(a, b):
+        return F.when(over(a, b), F.try_subtract(a, F.try_subtract(whole, b))).otherwise(F.try_add(a, b)).cast(UNITS)
+
+    def one(c):
+        return F.when(c, 1).otherwise(0).cast(UNITS)
+
+    def doubled(s, power):
+        taken = s["left"] >= power
+        return F.named_struct(
+            F.lit("q"), plus(plus(s["q"], s["q"]), one(over(s["r"], s["r"]))), F.lit("r"), sum_below(s["r"], s["r"]),
+            F.lit("left"), F.when(taken, F.try_subtract(s["left"], power)).otherwise(s["left"]).cast(UNITS), F.lit("taken"), taken,
+        )
+
+    def added(s):
+        return F.named_struct(
+            F.lit("q"), plus(s["q"], one(s["taken"] & over(s["r"], rest))),
+            F.lit("r"), F.when(s["taken"], sum_below(s["r"], rest)).otherwise(s["r"]).cast(UNITS), F.lit("left"), s["left"],
+        )
+
+    zero = F.lit(0).cast(UNITS)
+    start = F.named_struct(F.lit("q"), zero, F.lit("r"), zero, F.lit("left"), of)
+    powers = F.array(*[F.lit(str(2**i)).cast(UNITS) for i in range(126, -1, -1)])
+    return F.aggregate(powers, start, lambda s, p: let(doubled(s, p), added), lambda s: s["q"])
+
+
 def floor_share(x: Column, of: Column, whole: Column) -> Column:
     """floor(x * of / whole) of non-negative amounts, in whole units; NULL for whole = 0.  With
     x = q * whole + r it is q * of + floor(r * of / whole)."""
 
+    def exact(u, w):
+        return F.try_divide(F.try_subtract(u, u % w), w).cast(UNITS)
+
     def share(v):
         rest = (v["x"] % v["w"]).cast(UNITS)
-        full = times(((v["x"] - rest).cast(UNITS) / v["w"]).cast(UNITS), v["of"])
-        part = let(times(rest, v["of"]), lambda p: ((p - p % v["w"]).cast(UNITS) / v["w"]).cast(UNITS))
-        return plus(full, part)
+        times_in = F.coalesce(exact(v["x"], v["w"]), F.when(v["w"] == 1, v["x"]).otherwise(_share_by_bits(F.lit(1).cast(UNITS), v["x"], v["w"])))
+        part = let(times(rest, v["of"]), lambda p: exact(p, v["w"]))
+        return plus(times(times_in, v["of"]), F.coalesce(part, _share_by_bits(rest, v["of"], v["w"])))
+
+    def known(v):
+        return F.when(v["x"].isNotNull() & v["of"].isNotNull() & v["w"].isNotNull(), share(v))
 
     operands = F.named_struct(F.lit("x"), to_units(x), F.lit("of"), to_units(of), F.lit("w"), to_units(F.when(whole > 0, whole)))
-    return from_units(let(operands, share))
+    return from_units(let(operands, known))
