@@ -459,6 +459,23 @@ ORACLE["tvl_trend"] = with_ctes(["fprev"], """SELECT vault,
   round(regr_slope(CAST(usd_tvl AS DOUBLE), CAST(date_diff('day', (SELECT CAST(d AS DATE) FROM newest), CAST(day AS DATE)) AS DOUBLE)), 6) AS slope_per_day,
   round(regr_intercept(CAST(usd_tvl AS DOUBLE), CAST(date_diff('day', (SELECT CAST(d AS DATE) FROM newest), CAST(day AS DATE)) AS DOUBLE)), 4) AS fitted_today,
   count(*) AS days FROM filled_days GROUP BY vault""")
+_X = "CAST(date_diff('day', (SELECT CAST(d AS DATE) FROM newest), CAST(day AS DATE)) AS DOUBLE)"
+_Y = "CAST(usd_tvl AS DOUBLE)"
+ORACLE["tvl_forecast"] = with_ctes(["fprev"], f"""SELECT vault, (SELECT CAST(d AS TIMESTAMP) FROM newest) + k * INTERVAL 1 DAY AS day,
+  round(y, 2) AS forecast, round(y - 1.96 * err, 2) AS low, round(y + 1.96 * err, 2) AS high
+FROM (SELECT vault, k, icept + slope * k AS y,
+        sqrt((syy - slope * slope * sxx) / CASE WHEN n > 2 THEN n - 2 END * (1 + 1.0 / n + (k - mx) * (k - mx) / sxx)) AS err
+      FROM (SELECT vault, count(*) AS n, regr_slope({_Y}, {_X}) AS slope, regr_intercept({_Y}, {_X}) AS icept, regr_avgx({_Y}, {_X}) AS mx,
+              regr_sxx({_Y}, {_X}) AS sxx, regr_syy({_Y}, {_X}) AS syy FROM filled_days GROUP BY vault) s, range(1, 8) r(k)) f""")
+ORACLE["user_growth"] = with_ctes(["vault_events"], """SELECT d.day, active_users, new_users, total_users,
+  CASE WHEN total_users > new_users THEN round(CAST(new_users AS DOUBLE) / CAST(total_users - new_users AS DOUBLE) * 100, 6) END AS growth_pct
+FROM (SELECT day, count(DISTINCT u.usr) AS active_users, count(DISTINCT CASE WHEN u.day = s.since THEN u.usr END) AS new_users,
+        (SELECT count(*) FROM (SELECT "to", min(date_trunc('day', closed_at)) AS since FROM vault_events GROUP BY "to") a
+         WHERE a."to" IS NOT NULL AND a.since <= u.day) AS total_users
+      FROM (SELECT "to" AS usr, date_trunc('day', closed_at) AS day FROM vault_events WHERE "to" IS NOT NULL) u
+      JOIN (SELECT "to" AS usr, min(date_trunc('day', closed_at)) AS since FROM vault_events GROUP BY "to") s ON s.usr = u.usr
+      GROUP BY day) d""")
+ORACLE["refresh_days"] = ORACLE["tvl_days_filled"]
 ORACLE["protocol_tvl"] = with_ctes(["filled"], "SELECT day, sum(usd_tvl) AS total_usd_tvl, count(*) AS vaults FROM filled_days GROUP BY day")
 ORACLE["market_share"] = with_ctes(["filled"], """SELECT day, asset_code, tvl,
   round(CAST(tvl AS DOUBLE) / CAST(sum(tvl) OVER (PARTITION BY day) AS DOUBLE) * 100, 6) AS share_pct
@@ -556,6 +573,15 @@ FROM (SELECT contract_id AS vault, {strat_of('event_id')} AS strategy_address, c
       FROM ev_units WHERE event_type = 'signup' AND event_id % 4 IN (0, 1)
       QUALIFY row_number() OVER (PARTITION BY contract_id, {strat_of('event_id')} ORDER BY closed_at DESC, transaction_hash DESC) = 1) x""")
 
+ORACLE["allocation_status"] = with_ctes(["flow_units"], f"""SELECT a.transaction_hash AS tx_hash, a.contract_id AS vault, a.closed_at,
+  {strat_of('a.vnum')} AS strategy_address, {dec('a.tvl_u - a.tvl_u // 4')} AS allocated, false AS flag, p.closed_at AS changed_at,
+  CASE WHEN p.event_id % 4 = 0 THEN 'paused' ELSE 'active' END AS status
+FROM flow_units a LEFT JOIN (
+  SELECT contract_id, {strat_of('event_id')} AS strategy, closed_at, event_id FROM ev_units WHERE event_type = 'signup' AND event_id % 4 IN (0, 1)) p
+ON p.contract_id = a.contract_id AND p.strategy = {strat_of('a.vnum')} AND p.closed_at <= a.closed_at
+WHERE a.event_id % 97 <> 0
+QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY p.closed_at DESC NULLS LAST, p.event_id DESC) = 1""")
+
 # ---- building blocks ------------------------------------------------------------------------
 ORACLE["scan_state"] = with_ctes(["nat"], """SELECT vault AS contract_id,
   CAST('2023-12-01 00:00:00' AS TIMESTAMP) + v * INTERVAL 1 DAY + n * INTERVAL 1 MINUTE AS closed_at, CAST(v * 1000 + n AS BIGINT) AS ledger_sequence

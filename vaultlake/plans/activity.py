@@ -9,7 +9,7 @@ range-split operators in operators.ordered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultlake.config import KEY_INSTANCE, KEY_MAP, TOPIC_DEPOSIT
@@ -192,8 +192,6 @@ def moving_avg_rank(L: Ledger, days: int = 7, rows: int = 100, as_of: str | None
     g = g.withColumn("hour", hour_bucket(F.col("closed_at")))
     m = rolling_mean_rows(g, ["contract_id"], ["closed_at"], "events", rows, "moving_avg_100")
     pairs = g.select("hour", "events").distinct()
-    from pyspark.sql import Window
-
     ranks = pairs.select("hour", "events", F.dense_rank().over(Window.partitionBy("hour").orderBy(F.col("events").desc())).cast("bigint").alias("hourly_rank"))
     out = m.join(ranks, ["hour", "events"])
     return out.select("closed_at", "contract_id", "events", F.round("moving_avg_100", 6).alias("moving_avg_100"), "hourly_rank")
@@ -313,6 +311,18 @@ def new_vaults(L: Ledger) -> DataFrame:
     )
 
 
+def user_growth(L: Ledger) -> DataFrame:
+    """Per day with vault events: active users, users seen for the first time, users so far, and the growth of the
+    users so far in percent (NULL on the first day).  Users are reduced to their days before any window, so
+    the windows are bounded by the calendar."""
+    days = _flows(L).select(F.col("to").alias("user"), day_bucket(F.col("closed_at")).alias("day")).where("user is not null").distinct()
+    first = F.min("day").over(Window.partitionBy("user")) == F.col("day")
+    d = days.withColumn("first", first).groupBy("day").agg(F.count(F.lit(1)).alias("active_users"), F.count(F.when(F.col("first"), 1)).alias("new_users"))
+    d = d.withColumn("total_users", F.sum("new_users").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    before = F.nullif(F.col("total_users") - F.col("new_users"), F.lit(0)).cast("double")
+    return d.withColumn("growth_pct", F.round(F.col("new_users").cast("double") / before * 100, 6))
+
+
 # -- N19-N22 -----------------------------------------------------------------------------------
 def resource_usage(L: Ledger) -> DataFrame:
     tx = L.transactions

@@ -36,6 +36,7 @@ from vaultlake.functions.payload import (
     typed_i128s,
     typed_vecs,
 )
+from vaultlake.operators.asof import asof_join
 from vaultlake.operators.joins import bounded, keep_rows
 from vaultlake.operators.latest import latest_per_key
 from vaultlake.operators.ordered import lag_by_key
@@ -235,7 +236,8 @@ MINIMUM_LIQUIDITY = 1000  # units of the first deposit that stay locked
 def share_reconcile(L: Ledger) -> DataFrame:
     """Events that do not follow the share rules.  A deposit mints floor(amount x supply / funds)
     shares, or the least amount less MINIMUM_LIQUIDITY units while there is no supply; a withdrawal
-    pays floor(funds x shares / supply), nothing without a supply."""
+    pays floor(funds x shares / supply), nothing without a supply.  Events whose numbers are missing or
+    whose expectation has no value (shares of no funds) are shown too."""
     f = _flow_numbers(L).where(F.col("funds").isNotNull())
     empty, deposit = F.col("supply") == 0, F.col("event") == "deposit"
     first = subtract(F.col("least_amount"), from_units(F.lit(MINIMUM_LIQUIDITY).cast(UNITS)))
@@ -245,7 +247,8 @@ def share_reconcile(L: Ledger) -> DataFrame:
         "tx_hash", "vault", "closed_at", "event", "amount", "shares",
         F.when(deposit, minted).alias("expected_shares"), F.when(~deposit, paid).alias("expected_amount"),
     )
-    return f.where((F.col("shares") != F.col("expected_shares")) | (F.col("amount") != F.col("expected_amount")))
+    kept = F.when(deposit, F.col("shares") == F.col("expected_shares")).otherwise(F.col("amount") == F.col("expected_amount"))
+    return f.where(~F.coalesce(kept, F.lit(False)))
 
 
 # -- T7 ----------------------------------------------------------------------------------------
@@ -307,19 +310,44 @@ def allocations(L: Ledger) -> DataFrame:
 
 
 # -- T10 ---------------------------------------------------------------------------------------
-def strategy_status(L: Ledger) -> DataFrame:
-    """Current pause state per (vault, strategy): the newest paused/unpaused event decides."""
+def _pauses(L: Ledger) -> DataFrame:
+    """Paused/unpaused events.  They are ordered by time, ledger and transaction; the events of one
+    transaction have no order of their own, and a strategy that it pauses and unpauses counts as paused."""
     ev = vault_topic_events(L, "paused")
     entries = parse_payload(F.col("data_decoded"))
-    x = ev.select(
+    return ev.select(
         F.col("contract_id").alias("vault"),
         F.get_json_object(_first(entries, ["strategy_address"]), "$.address").alias("strategy_address"),
         "closed_at",
-        F.col("transaction_hash").alias("tx_hash"),
+        "ledger_sequence",
+        F.col("transaction_id").alias("tx_id"),
         topic_kind().alias("kind"),
-    ).where(F.col("kind").isin("paused", "unpaused"))
-    latest = latest_per_key(x, ["vault", "strategy_address"], ["closed_at", "tx_hash"], ["kind"])
+    ).where(F.col("kind").isin("paused", "unpaused")).withColumn("is_paused", F.col("kind") == "paused")
+
+
+PAUSE_ORDER = ("ledger_sequence", "tx_id", "is_paused")
+
+
+def strategy_status(L: Ledger, at: str | None = None) -> DataFrame:
+    """Pause state per (vault, strategy) at the time `at` (by default the end of the log): the newest
+    paused/unpaused event until then decides."""
+    x = _pauses(L)
+    if at:
+        x = x.where(F.col("closed_at") <= F.lit(at).cast("timestamp_ntz"))
+    latest = latest_per_key(x, ["vault", "strategy_address"], ["closed_at", *PAUSE_ORDER], ["kind"])
     return latest.select(
         "vault", "strategy_address", F.col("closed_at").alias("changed_at"),
-        F.when(F.col("kind") == "paused", F.lit("paused")).otherwise(F.lit("active")).alias("status"),
+        F.when(F.col("is_paused"), F.lit("paused")).otherwise(F.lit("active")).alias("status"),
+    )
+
+
+def allocation_status(L: Ledger) -> DataFrame:
+    """Every strategy allocation with the strategy's pause state at that moment (active where no event came
+    before), beside the flag that the allocation itself carries."""
+    a = allocations(L).where(F.col("strategy_address").isNotNull())
+    p = _pauses(L).withColumn("changed_at", F.col("closed_at"))
+    j = asof_join(a, p, ["vault", "strategy_address"], "closed_at", "closed_at", ["is_paused", "changed_at"], PAUSE_ORDER[:2])
+    return j.select(
+        "tx_hash", "vault", "closed_at", "strategy_address", "allocated", F.col("paused").alias("flag"), "changed_at",
+        F.when(F.col("is_paused"), F.lit("paused")).otherwise(F.lit("active")).alias("status"),
     )

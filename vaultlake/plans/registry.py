@@ -14,6 +14,7 @@ from vaultlake.plans import activity as A
 from vaultlake.plans import audit as X
 from vaultlake.plans import blocks as B
 from vaultlake.plans import dag as G
+from vaultlake.plans import refresh as R
 from vaultlake.plans import strategies as S
 from vaultlake.plans import tvl as T
 from vaultlake.plans import vaults as V
@@ -80,6 +81,8 @@ PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "tvl_volatility": T.tvl_volatility,
     "tvl_drops": T.tvl_drops,
     "tvl_trend": T.tvl_trend,
+    "tvl_forecast": T.tvl_forecast,
+    "user_growth": A.user_growth,
     "protocol_tvl": T.protocol_tvl,
     "market_share": T.market_share,
     "price_tvl_corr": T.price_tvl_corr,
@@ -96,6 +99,7 @@ PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "report_deltas": X.report_deltas,
     "allocations": X.allocations,
     "strategy_status": X.strategy_status,
+    "allocation_status": X.allocation_status,
     "scan_state": B.scan_state,
     "scan_events": B.scan_events,
     "scan_transactions": B.scan_transactions,
@@ -124,6 +128,7 @@ PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "fill_groups": B.fill_groups,
     "forward_fill": B.forward_fill,
     "materialize_dag": G.materialize_dag,
+    "refresh_days": R.refresh_days,
     "preview": G.preview,
     "inspect_raw_decoded": G.inspect_raw_decoded,
     "stream_decode": SJ.stream_decode,

@@ -169,6 +169,27 @@ def tvl_trend(L: Ledger) -> DataFrame:
     )
 
 
+def tvl_forecast(L: Ledger, days: int = 7, z: float = 1.96) -> DataFrame:
+    """The line of `tvl_trend` carried on over the next `days` days, with bounds z standard errors of a
+    single new day off (NULL below three days).  One aggregate gives every sum that the line and its
+    errors need; the days ahead are made per vault."""
+    newest = newest_day(L)
+    f = filled_dim(L).select("vault", F.datediff(F.to_date("day"), F.to_date(newest)).cast("double").alias("x"), F.col("usd_tvl").cast("double").alias("y"))
+    s = f.groupBy("vault").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
+        F.regr_sxx("y", "x").alias("sxx"), F.regr_sxy("y", "x").alias("sxy"), F.regr_syy("y", "x").alias("syy"),
+    )
+    s = s.select("vault", "n", "mx", "my", "sxx", (F.col("sxy") / F.nullif("sxx", F.lit(0.0))).alias("slope"), "sxy", "syy")
+    spread = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)) / F.when(F.col("n") > 2, F.col("n") - 2)
+    s = s.select("*", spread.alias("spread"), F.explode(F.sequence(F.lit(1), F.lit(days))).alias("ahead"))
+    off = F.col("ahead") - F.col("mx")
+    s = s.select("*", (F.col("my") + F.col("slope") * off).alias("y"), F.sqrt(F.col("spread") * (1 + 1 / F.col("n") + off * off / F.col("sxx"))).alias("err"))
+    return s.select(
+        "vault", F.date_add(F.to_date(newest_day(L)), F.col("ahead")).cast("timestamp_ntz").alias("day"), F.round("y", 2).alias("forecast"),
+        F.round(F.col("y") - z * F.col("err"), 2).alias("low"), F.round(F.col("y") + z * F.col("err"), 2).alias("high"),
+    )
+
+
 def protocol_tvl(L: Ledger) -> DataFrame:
     return filled_dim(L).groupBy("day").agg(F.sum("usd_tvl").alias("total_usd_tvl"), F.count(F.lit(1)).alias("vaults"))
 
