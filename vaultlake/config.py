@@ -91,6 +91,9 @@ class VaultConfig:
     max_broadcast_rows: largest dimension that may be broadcast (checked at run time)
     only_successful: restrict vault and strategy event logs to successful transactions (the
                      dashboard queries do not, so the default is off)
+    layout:          how the event and transaction tables are stored: "hash" (bucketed on the transaction
+                     hash: per-transaction rules without a shuffle) or "day" (partitioned by day, clustered
+                     by contract: time windows read their days only, per-transaction rules shuffle once)
     """
 
     vault_topic: str = "YieldVault"
@@ -98,4 +101,5 @@ class VaultConfig:
     pegged_codes: tuple[str, ...] = ("USDC",)
     max_broadcast_rows: int = 2_000_000
     only_successful: bool = False
+    layout: str = "hash"
     strategies: tuple = field(default_factory=lambda: tuple(STRATEGIES))

@@ -1,8 +1,10 @@
 """Documented ad-hoc analyses over events, transactions and the vault log (D1-D17, N1-N2, N7,
 N11-N13, N15, N19-N22).
 
-"Now" is never the wall clock: `as_of` defaults to the newest time in the data (a scalar
-subquery), so results are repeatable.  Groupings over accounts, contracts or days are hash
+"Now" is never the wall clock: `as_of` defaults to the newest day in the data (a scalar
+subquery), so results are repeatable.  Time windows also bound `closed_at_date`, so a ledger table
+that is partitioned by day lists and reads the days of the window only, and its newest day comes from
+the partition values.  Groupings over accounts, contracts or days are hash
 aggregates with map-side partial aggregation; order-dependent values per account use the
 range-split operators in operators.ordered.
 """
@@ -22,24 +24,42 @@ from vaultlake.plans.vaults import vault_events_level, vault_info_dim
 from vaultlake.sources.ledger import Ledger
 
 
+DAY = "closed_at_date"
+
+
 def newest(df: DataFrame, col: str = "closed_at") -> Column:
+    """Newest time of df, looked for in its newest day only."""
+    if DAY in df.columns:
+        df = df.where(F.col(DAY) == today(df))
     return df.agg(F.max(col)).scalar()
 
 
-def today(df: DataFrame, as_of: str | None = None, col: str = "closed_at") -> Column:
+def today(df: DataFrame, as_of: str | None = None) -> Column:
     """`CURRENT_DATE` of the documented queries: the given `as_of` date, else the newest day in df
     (repeatable results)."""
-    return F.to_date(F.lit(as_of)) if as_of else F.to_date(newest(df, col))
+    if as_of:
+        return F.to_date(F.lit(as_of))
+    return df.agg(F.max(DAY)).scalar() if DAY in df.columns else F.to_date(df.agg(F.max("closed_at")).scalar())
+
 
+def days_back(df: DataFrame, days: int, as_of: str | None = None) -> Column:
+    """First day of the window `CURRENT_DATE - INTERVAL days DAY`."""
+    return F.date_sub(today(df, as_of), days)
 
-def days_back(df: DataFrame, days: int, col: str = "closed_at", as_of: str | None = None) -> Column:
-    """Start of the window `CURRENT_DATE - INTERVAL days DAY`."""
-    return F.date_sub(today(df, as_of, col), days).cast("timestamp_ntz")
+
+def within(df: DataFrame, days: int, as_of: str | None = None, of: DataFrame | None = None) -> DataFrame:
+    """Rows of df from the first day of the window on; `of`: the table whose newest day ends the window, if it
+    is not df.  A table without a day column is bounded by its times."""
+    start = days_back(df if of is None else of, days, as_of)
+    return df.where(F.col(DAY) >= start) if DAY in df.columns else df.where(F.col("closed_at") >= start.cast("timestamp_ntz"))
 
 
 # -- D1 ----------------------------------------------------------------------------------------
-def recent_events(L: Ledger, contract: str = "CV0003", word: str = TOPIC_DEPOSIT, n: int = 100) -> DataFrame:
-    ev = L.contract_events
+def recent_events(
+    L: Ledger, contract: str = "CV0003", word: str = TOPIC_DEPOSIT, n: int = 100, days: int | None = None, as_of: str | None = None
+) -> DataFrame:
+    """Newest events of a contract; `days` bounds how far back they may lie."""
+    ev = L.contract_events if days is None else within(L.contract_events, days, as_of)
     return (
         ev.where((F.col("contract_id") == contract) & F.col("topics_decoded").like(f"%{word}%") & F.col("successful"))
         .select("contract_id", "closed_at", "transaction_hash", "topics_decoded", "data_decoded")
@@ -51,7 +71,7 @@ def recent_events(L: Ledger, contract: str = "CV0003", word: str = TOPIC_DEPOSIT
 # -- D2 ----------------------------------------------------------------------------------------
 def events_per_contract(L: Ledger, days: int = 30, as_of: str | None = None) -> DataFrame:
     ev = L.contract_events
-    ok = ev.where(F.col("successful") & (F.col("closed_at") >= days_back(ev, days, as_of=as_of)))
+    ok = within(ev, days, as_of).where("successful")
     return ok.groupBy("contract_id").agg(
         F.count(F.lit(1)).alias("total_events"),
         F.countDistinct("transaction_hash").alias("unique_transactions"),
@@ -63,7 +83,7 @@ def events_per_contract(L: Ledger, days: int = 30, as_of: str | None = None) ->
 # -- D3 ----------------------------------------------------------------------------------------
 def fees_daily(L: Ledger, days: int = 30, as_of: str | None = None) -> DataFrame:
     tx = L.transactions
-    ok = tx.where(F.col("successful") & (F.col("closed_at") >= days_back(tx, days, as_of=as_of)))
+    ok = within(tx, days, as_of).where("successful")
     return ok.groupBy(day_bucket(F.col("closed_at")).alias("day")).agg(
         F.count(F.lit(1)).alias("num_transactions"),
         F.avg("fee_charged").alias("avg_fee"),
@@ -76,7 +96,7 @@ def fees_daily(L: Ledger, days: int = 30, as_of: str | None = None) -> DataFrame
 # -- D4 ----------------------------------------------------------------------------------------
 def top_accounts(L: Ledger, days: int = 7, n: int = 20, as_of: str | None = None) -> DataFrame:
     tx = L.transactions
-    ok = tx.where(F.col("successful") & (F.col("closed_at") >= days_back(tx, days, as_of=as_of)))
+    ok = within(tx, days, as_of).where("successful")
     return (
         ok.groupBy("account")
         .agg(
@@ -96,7 +116,7 @@ def failure_share(L: Ledger, days: int = 7, as_of: str | None = None) -> DataFra
     """Failure reasons with their share of all failures; the total is a scalar subquery over the
     aggregated reasons, so no window moves rows to one task."""
     tx = L.transactions
-    bad = tx.where(~F.col("successful") & (F.col("closed_at") >= days_back(tx, days, as_of=as_of)))
+    bad = within(tx, days, as_of).where("not successful")
     g = bad.groupBy("result_code_s").agg(F.count(F.lit(1)).alias("failure_count"))
     total = g.agg(F.sum("failure_count")).scalar()
     return g.select(
@@ -166,11 +186,10 @@ def hourly_counts_filled(L: Ledger, days: int = 7, as_of: str | None = None) ->
     """Hourly event counts per vault over the last `days` days, hours without events as 0.
     The grid (vaults x hours) is generated per vault row; counts join on (vault, hour)."""
     ev = L.contract_events
-    start_ts = days_back(ev, days, as_of=as_of)
-    start = hour_bucket(start_ts)
+    start = hour_bucket(days_back(ev, days, as_of).cast("timestamp_ntz"))
     # CURRENT_TIMESTAMP: the end of the as_of day, else the newest event time
     end = hour_bucket(F.lit(f"{as_of} 23:00:00").cast("timestamp_ntz") if as_of else newest(ev))
-    recent = ev.where(F.col("closed_at") >= start_ts)
+    recent = within(ev, days, as_of)
     counts = recent.groupBy("contract_id", hour_bucket(F.col("closed_at")).alias("hour")).agg(
         F.count(F.lit(1)).alias("events_count")
     )
@@ -187,7 +206,7 @@ def moving_avg_rank(L: Ledger, days: int = 7, rows: int = 100, as_of: str | None
     range-split order (no whole-contract task); the dense rank is the rank of the distinct
     (hour, count) pairs, a small table, joined back."""
     ev = L.contract_events
-    recent = ev.where(F.col("successful") & (F.col("closed_at") >= days_back(ev, days, as_of=as_of)))
+    recent = within(ev, days, as_of).where("successful")
     g = recent.groupBy("closed_at", "contract_id").agg(F.count(F.lit(1)).alias("events"))
     g = g.withColumn("hour", hour_bucket(F.col("closed_at")))
     m = rolling_mean_rows(g, ["contract_id"], ["closed_at"], "events", rows, "moving_avg_100")

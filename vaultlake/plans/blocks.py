@@ -10,7 +10,7 @@ from vaultlake.config import KEY_INSTANCE, TOPIC_DEPOSIT, TOPIC_FEES, TOPIC_WITH
 from vaultlake.functions.payload import parse_payload
 from vaultlake.operators.joins import semi_join
 from vaultlake.plans import vaults as V
-from vaultlake.plans.activity import days_back
+from vaultlake.plans.activity import within
 from vaultlake.plans.audit import _flow_numbers
 from vaultlake.sources.ledger import Ledger
 
@@ -21,13 +21,16 @@ def scan_state(L: Ledger) -> DataFrame:
     return inst.select("contract_id", "closed_at", "ledger_sequence")
 
 
-def scan_events(L: Ledger) -> DataFrame:
-    return V.vault_topic_events(L, TOPIC_WITHDRAW, TOPIC_DEPOSIT).select("contract_id", "closed_at", "transaction_hash")
+def scan_events(L: Ledger, days: int | None = None, as_of: str | None = None) -> DataFrame:
+    """Vault events, of the last `days` days if given."""
+    ev = V.vault_topic_events(L, TOPIC_WITHDRAW, TOPIC_DEPOSIT)
+    if days is not None:
+        ev = within(ev, days, as_of, of=L.contract_events)
+    return ev.select("contract_id", "closed_at", "transaction_hash")
 
 
 def scan_transactions(L: Ledger, days: int = 30, as_of: str | None = None) -> DataFrame:
-    tx = L.transactions
-    return tx.where(F.col("successful") & (F.col("closed_at") >= days_back(tx, days, as_of=as_of))).select(
+    return within(L.transactions, days, as_of).where("successful").select(
         "id", "account", "fee_charged", "closed_at"
     )
 

@@ -116,7 +116,8 @@ class Ledger:
     ) -> "Ledger":
         """A Ledger over existing decoded ledger tables (a deployment: no adapter, nothing stored).
         Column names and types are those of CONTRACT_DATA_COLUMNS and `events_to_ledger`;
-        prices: contract_id, price, closed_at_day."""
+        prices: contract_id, price, closed_at_day.  Time windows are pruned to days where the tables are
+        partitioned by `closed_at_date` (optional in transactions)."""
         led = cls(spark, "<tables>", config, store=False)
         led.__dict__["contract_data"] = contract_data
         led.__dict__["contract_events"] = contract_events
@@ -210,6 +211,17 @@ class Ledger:
             self._stored[key] = path
         return self.spark.read.parquet(path)
 
+    def _stored_log(self, name: str, build, sort_by: list[str]) -> DataFrame:
+        """An append-only ledger table in the layout of the configuration.  A day's rows are clustered on
+        `sort_by` and the transaction hash, so that a large day spreads over several files."""
+        if self.cfg.layout == "day":
+            df = self._stored_table(name, build, "closed_at_date", [*sort_by, "transaction_hash"])
+            columns = build().columns
+            return df.select(*columns)  # partition columns are read last
+        if self.cfg.layout != "hash":
+            raise ValueError(f"layout {self.cfg.layout!r}: 'hash' or 'day'")
+        return self._stored_table(name, build, None, sort_by, bucket_by=["transaction_hash"])
+
     @cached_property
     def contract_data(self) -> DataFrame:
         if self.store:
@@ -366,10 +378,7 @@ class Ledger:
     @cached_property
     def contract_events(self) -> DataFrame:
         if self.store:
-            return self._stored_table(
-                "contract_events", lambda: self.events_to_ledger(self.driver("events")), None,
-                ["contract_id", "closed_at"], bucket_by=["transaction_hash"],
-            )
+            return self._stored_log("contract_events", lambda: self.events_to_ledger(self.driver("events")), ["contract_id", "closed_at"])
         return self.events_to_ledger(self.driver("events"))
 
     def events_to_ledger(self, ev: DataFrame) -> DataFrame:
@@ -523,7 +532,7 @@ class Ledger:
     @cached_property
     def transactions(self) -> DataFrame:
         if self.store:
-            return self._stored_table("transactions", self._derive_transactions, None, ["closed_at"], bucket_by=["transaction_hash"])
+            return self._stored_log("transactions", self._derive_transactions, ["closed_at"])
         return self._derive_transactions()
 
     def _derive_transactions(self) -> DataFrame:
@@ -549,6 +558,7 @@ class Ledger:
             ((F.col("o_custkey") % 500) * 10).cast("bigint").alias("soroban_resources_read_bytes"),
             ((key % 300) * 10).cast("bigint").alias("soroban_resources_write_bytes"),
             F.col("o_orderdate").alias("created_at"),
+            F.to_date("o_orderdate").alias("closed_at_date"),
             F.col("o_orderdate").alias("closed_at"),
             (F.col("o_orderdate") + F.make_dt_interval(secs=(key % 120).cast("decimal(18,6)"))).alias("ingested_at"),
             F.lit(None).cast("string").alias("transaction_envelope_xdr"),
