@@ -2,7 +2,11 @@
 
 from decimal import Decimal
 
-from vaultlake.plans.audit import DECODER, decode, rebalance
+from conftest import SF_SMALL
+from tools.compare import duck
+from vaultlake.oracle.sql import with_ctes
+from vaultlake.plans.audit import DECODER, creations, decode, rebalance
+from vaultlake.sources.ledger import Ledger
 
 A = '{"address":"%s"}'.__mod__
 N = '{"i128":"%d"}'.__mod__
@@ -79,3 +83,58 @@ def test_rebalance_log(spark):
         ("unwind", "CS", u(30), u(-1), u(3)), ("invest", "C1", u(7), u(4), u(6)), ("invest", "C2", u(8), u(4), u(6)),
         ("swap_exact_in", None, u(9), None, None), ("swap_exact_out", None, u(11), None, None),
     }
+
+
+def test_swap_arguments(spark):
+    u = lambda n: Decimal(n).scaleb(-7)
+    args = vec(A("CA"), A("CB"), N(9), N(1), '{"u64":5}', vec(A("CA"), A("CX"), A("CB")))
+    rows = [("T", "C", '[{"symbol":"x"},{"symbol":"%s"}]' % k, data) for k, data in (
+        ("swap_exact_in", payload(swap_args=args)), ("swap_exact_out", payload(swap_args=args)),
+        ("swap_exact_in", payload(swap_args=vec())), ("swap_exact_out", payload()), ("swap_exact_out", None))]
+    ev = spark.createDataFrame(rows, "transaction_hash string, contract_id string, topics_decoded string, data_decoded string").withColumn(
+        "closed_at", decode_time())
+    got = [tuple(x) for x in rebalance(ev).select("kind", "amount", "asset_in", "asset_out", "amount_in", "amount_out", "path", "deadline").collect()]
+    none = (None,) * 7
+    assert sorted(got, key=str) == sorted([
+        ("swap_exact_in", u(9), "CA", "CB", u(9), u(1), "CA,CX,CB", 5), ("swap_exact_out", u(9), "CA", "CB", u(1), u(9), "CA,CX,CB", 5),
+        ("swap_exact_in", *none), ("swap_exact_out", *none), ("swap_exact_out", *none)], key=str)
+
+
+def decode_time():
+    from pyspark.sql import functions as F
+
+    return F.expr("timestamp_ntz '2024-01-01 00:00:00'")
+
+
+def test_creations(spark):
+    role = '{"key":{"u32":%d},"val":{"address":"%s"}}'.__mod__
+    member = lambda a, paused: payload(address=A(a), name='{"string":"n"}', paused='{"bool":%s}' % paused)
+    rows = {
+        "full": payload(
+            assets=vec(payload(address=A("CA"), strategies=vec(member("S1", "true"), member("S2", "false"))), payload(address=A("CB"), strategies=vec())),
+            roles='{"map":[%s]}' % ",".join(map(role, [(2, "GM"), (0, "GE"), (9, "GX"), (10, "GY")])), vault_fee='{"u32":100}'),
+        "bare": payload(assets=vec(), roles='{"map":[]}', vault_fee='{"u32":0}'),
+        "void": payload(),
+    }
+    ev = spark.createDataFrame([(k, "F", '[{"symbol":"x"},{"symbol":"create"}]', v) for k, v in rows.items()] + [("other", "F", '[{"symbol":"x"},{"symbol":"new_admin"}]', rows["full"])],
+                               "transaction_hash string, contract_id string, topics_decoded string, data_decoded string").withColumn("closed_at", decode_time())
+    got = {tuple(x)[:1] + tuple(x)[2:] for x in creations(ev).collect()}
+    whole = ("full", 100, "GE", None, "GM", None, "0:GE,2:GM,9:GX,10:GY")
+    assert got == {
+        (*whole, "CA", "S1,S2", 1), (*whole, "CB", "", 0), ("bare", 0, None, None, None, None, "", None, None, None),
+        ("void", None, None, None, None, None, None, None, None, None),
+    }
+
+
+def test_ledger_holds_every_kind_but_one(spark):
+    """All payloads of the derived log are those of the oracle, and every documented kind but the emergency
+    withdrawal is among them."""
+    L = Ledger.shared(spark, SF_SMALL)
+    got = {tuple(x) for x in L.contract_events.select("contract_id", "topics_decoded", "data_decoded").collect()}
+    _, want = duck(SF_SMALL, with_ctes(["ev_json"], "SELECT contract_id, topics_decoded, data_decoded FROM ev_json"))
+    assert got == set(want)
+    names = {"YieldVault": "vault", "YieldFactory": "factory", "BlendStrategy": "strategy"}
+    import json
+
+    kinds = {(names[a], b) for a, b, *_ in ([x["symbol"] for x in json.loads(t)] for _, t, _ in got)}
+    assert set(DECODER) - kinds == {("vault", "emergency_withdraw")}

@@ -7,7 +7,7 @@ the ledger JSON and decodes it.  So the decode path is checked, not mirrored.
 
 from __future__ import annotations
 
-from vaultlake.config import APY_ASSETS, NATIVE_ASSET_CONTRACT, STRATEGIES, VaultConfig
+from vaultlake.config import APY_ASSETS, FACTORY_CONTRACT, NATIVE_ASSET_CONTRACT, STRATEGIES, VaultConfig
 
 CFG = VaultConfig()
 PEGGED = ", ".join(f"'{c}'" for c in CFG.pegged_codes)
@@ -279,19 +279,28 @@ ORACLE["pps_at_endpoints"] = with_ctes(
 from vaultlake.sources.encode import topics as _topics  # noqa: E402
 
 _VT = CFG.vault_topic
-_SIGNUP = "[" + ", ".join(f"'{_topics(_VT, k)}'" for k in ("paused", "unpaused", "unwind", "invest")) + "]"
+# signup events: kind number event_id % 17; 0-9 of a vault, 10-14 of the factory, 15-16 of a strategy
+_SIGNUP_KINDS = {
+    _VT: ["paused", "unpaused", "unwind", "invest", "fee_receiver_changed", "manager_changed", "emergency_manager_changed",
+          "rebalance_manager_changed", "swap_exact_in", "swap_exact_out"],
+    "YieldFactory": ["create", "new_admin", "new_receiver", "new_fee_rate", "new_wasm_hash"],
+    "BlendStrategy": ["deposit", "withdraw"],
+}
+_SIGNUP = "[" + ", ".join(f"'{_topics(s, k)}'" for s, kinds in _SIGNUP_KINDS.items() for k in kinds) + "]"
 register_cte("all_events", f"""all_events AS (
   SELECT event_id, event_type, user_id, value, ts AS closed_at,
     'T' || lpad(CAST(event_id // 2 AS VARCHAR), 10, '0') AS transaction_hash,
     event_id // 2 AS transaction_id,
     event_id % 53 <> 0 AS successful,
-    CASE WHEN event_type = 'click' THEN {strat_of('event_id')} ELSE {vault_of('(event_id // 2) % 25')} END AS contract_id,
+    CASE WHEN event_type = 'click' OR event_type = 'signup' AND event_id % 17 >= 15 THEN {strat_of('event_id')}
+         WHEN event_type = 'signup' AND event_id % 17 >= 10 THEN '{FACTORY_CONTRACT}'
+         ELSE {vault_of('(event_id // 2) % 25')} END AS contract_id,
     CASE WHEN event_type = 'purchase' THEN '{_topics(_VT, 'deposit')}'
          WHEN event_type = 'error' AND event_id % 50 = 1 THEN '{_topics(_VT, 'withdraw', 'deposit')}'
          WHEN event_type = 'error' THEN '{_topics(_VT, 'withdraw')}'
          WHEN event_type = 'view' THEN '{_topics(_VT, 'dfees')}'
          WHEN event_type = 'click' THEN '{_topics('BlendStrategy', 'harvest')}'
-         ELSE list_extract({_SIGNUP}, CAST(event_id % 4 AS INTEGER) + 1) END AS topics_decoded,
+         ELSE list_extract({_SIGNUP}, CAST(event_id % 17 AS INTEGER) + 1) END AS topics_decoded,
     ts + to_microseconds(CAST((event_id % 60 + 1) * 1000000 AS BIGINT)) AS ingested_at
   FROM events)""", [])
 register_cte("txs", """txs AS (
@@ -494,7 +503,13 @@ ORACLE["vault_outliers"] = with_ctes(["fprev"], """SELECT vault, round((x - avg(
 FROM (SELECT vault, CAST(usd_tvl AS DOUBLE) AS x FROM filled_days WHERE day = (SELECT d FROM newest)) l""")
 
 # ---- typed events and audits -------------------------------------------------------------------
-_KINDS = "['paused', 'unpaused', 'unwind', 'invest']"
+_KINDS = "[" + ", ".join(f"'{k}'" for kinds in _SIGNUP_KINDS.values() for k in kinds) + "]"
+
+
+def user_of(i: int) -> str:
+    return f"('G' || CAST(user_id + {i} AS VARCHAR))"
+
+
 _LEAST_U = "(CASE WHEN event_id % 5 = 0 THEN least(amt_u, 100000) ELSE amt_u END)"
 _SHARES_U = (f"(CASE WHEN tvl_u = 0 THEN CASE WHEN event_type = 'purchase' THEN {_LEAST_U} - 1000 ELSE amt_u END ELSE amt_u * (1 + vnum % 3) END + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END)")
 register_cte("ev_units", """ev_units AS (
@@ -503,12 +518,17 @@ register_cte("ev_units", """ev_units AS (
   FROM all_events e)""", ["all_events"])
 ORACLE["decode_events"] = with_ctes(["ev_units"], f"""SELECT transaction_hash AS tx_hash, contract_id, closed_at,
   CASE event_type WHEN 'purchase' THEN 'deposit' WHEN 'error' THEN 'withdraw' WHEN 'view' THEN 'dfees' WHEN 'click' THEN 'harvest'
-       ELSE list_extract({_KINDS}, CAST(event_id % 4 AS INTEGER) + 1) END AS kind,
-  CASE WHEN event_type = 'view' OR event_type = 'signup' AND event_id % 4 >= 2 THEN NULL ELSE 'G' || CAST(user_id AS VARCHAR) END AS account,
-  CASE WHEN event_type = 'signup' AND event_id % 4 IN (0, 1) THEN {strat_of('event_id')} END AS strategy,
-  CASE WHEN event_type IN ('purchase', 'error', 'click') THEN {dec('amt_u')} END AS amount,
+       ELSE list_extract({_KINDS}, CAST(event_id % 17 AS INTEGER) + 1) END AS kind,
+  CASE WHEN event_type = 'view' OR event_type = 'signup' AND event_id % 17 NOT IN (0, 1, 4, 15, 16) THEN NULL ELSE {user_of(0)} END AS account,
+  CASE WHEN event_type = 'signup' AND event_id % 17 IN (0, 1) THEN {strat_of('event_id')} END AS strategy,
+  CASE WHEN event_type IN ('purchase', 'error', 'click') OR event_type = 'signup' AND event_id % 17 >= 15 THEN {dec('amt_u')} END AS amount,
   CASE WHEN event_type IN ('purchase', 'error') THEN CAST({dec('amt_u')} AS VARCHAR) || CASE WHEN event_id % 5 = 0 THEN ',0.0100000' ELSE '' END END AS amounts,
-  CASE WHEN event_type IN ('purchase', 'error') THEN {dec(_SHARES_U)} END AS shares, CAST(NULL AS VARCHAR) AS detail
+  CASE WHEN event_type IN ('purchase', 'error') THEN {dec(_SHARES_U)} END AS shares,
+  CASE WHEN event_type <> 'signup' THEN NULL
+       WHEN event_id % 17 IN (4, 5, 6, 7, 11, 12) THEN {user_of(1)}
+       WHEN event_id % 17 = 10 THEN CAST(event_id % 1000 AS VARCHAR)
+       WHEN event_id % 17 = 13 THEN CAST(event_id % 10000 AS VARCHAR)
+       WHEN event_id % 17 = 14 THEN md5(CAST(event_id AS VARCHAR)) END AS detail
 FROM ev_units""")
 
 
@@ -528,10 +548,25 @@ FROM (SELECT strategy_address, closed_at, hash, price_per_share,
       FROM harvest_events) x""")
 ORACLE["fee_audit"] = with_ctes(["fee_tuples"], """SELECT recipient_address, sum(fee_amount) AS total_fees, count(*) AS tuples
 FROM fee_tuples GROUP BY ROLLUP (recipient_address)""")
-ORACLE["rebalance_log"] = with_ctes(["ev_units"], f"""SELECT CASE WHEN event_id % 4 = 2 THEN 'unwind' ELSE 'invest' END AS kind,
-  contract_id AS vault, closed_at, transaction_hash AS tx_hash, {strat_of('event_id')} AS strategy, {dec('amt_u')} AS amount,
-  {dec('amt_u')} AS gains_or_losses, {dec('0')} AS locked_fee, {dec('tvl_u')} AS prev_balance
-FROM ev_units WHERE event_type = 'signup' AND event_id % 4 IN (2, 3)""")
+ORACLE["rebalance_log"] = with_ctes(["ev_units"], f"""SELECT list_extract({_KINDS}, CAST(event_id % 17 AS INTEGER) + 1) AS kind,
+  contract_id AS vault, closed_at, transaction_hash AS tx_hash, CASE WHEN NOT swap THEN {strat_of('event_id')} END AS strategy,
+  {dec('amt_u')} AS amount, CASE WHEN NOT swap THEN {dec('amt_u')} END AS gains_or_losses,
+  CASE WHEN NOT swap THEN {dec('0')} END AS locked_fee, CASE WHEN NOT swap THEN {dec('tvl_u')} END AS prev_balance,
+  CASE WHEN swap THEN {asset_of('vnum % 5')} END AS asset_in, CASE WHEN swap THEN 'CA9' END AS asset_out,
+  CASE event_id % 17 WHEN 8 THEN {dec('amt_u')} WHEN 9 THEN {dec('amt_u + event_id')} END AS amount_in,
+  CASE event_id % 17 WHEN 9 THEN {dec('amt_u')} WHEN 8 THEN {dec('amt_u + event_id')} END AS amount_out,
+  CASE WHEN swap AND event_id % 2 = 0 THEN {asset_of('vnum % 5')} || ',CA8,CA9' END AS path,
+  CASE WHEN swap THEN CAST(1700000000 + event_id AS BIGINT) END AS deadline
+FROM (SELECT *, event_id % 17 IN (8, 9) AS swap FROM ev_units) x WHERE event_type = 'signup' AND event_id % 17 IN (2, 3, 8, 9)""")
+ORACLE["vault_creations"] = with_ctes(["ev_units"], f"""SELECT transaction_hash AS tx_hash, closed_at, CAST(event_id % 1000 AS BIGINT) AS vault_fee,
+  {user_of(0)} AS emergency_manager, {user_of(1)} AS fee_receiver, {user_of(2)} AS manager,
+  CASE WHEN event_id % 2 = 0 THEN {user_of(3)} END AS rebalance_manager,
+  '0:' || {user_of(0)} || ',1:' || {user_of(1)} || ',2:' || {user_of(2)} || CASE WHEN event_id % 2 = 0 THEN ',3:' || {user_of(3)} ELSE '' END AS roles,
+  CASE WHEN second THEN 'CA9' ELSE {asset_of('vnum % 5')} END AS asset,
+  CASE WHEN second THEN '' ELSE {strat_of('event_id')} END AS strategies,
+  CAST(CASE WHEN NOT second AND event_id % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS paused_strategies
+FROM (SELECT e.*, s.second FROM ev_units e, (VALUES (false), (true)) s(second)) x
+WHERE event_type = 'signup' AND event_id % 17 = 10 AND (NOT second OR event_id % 3 = 0)""")
 register_cte("flow_units", """flow_units AS (
   SELECT * FROM ev_units WHERE event_type IN ('purchase', 'error'))""", ["ev_units"])
 ORACLE["share_price"] = with_ctes(["flow_units"], f"""SELECT transaction_hash AS tx_hash, contract_id AS vault, closed_at,
@@ -569,15 +604,15 @@ FROM flow_units WHERE event_id % 97 <> 0 AND event_id % 11 = 0""")
 ORACLE["strategy_status"] = with_ctes(["ev_units"], f"""SELECT vault, strategy_address, changed_at,
   CASE WHEN kind = 'paused' THEN 'paused' ELSE 'active' END AS status
 FROM (SELECT contract_id AS vault, {strat_of('event_id')} AS strategy_address, closed_at AS changed_at,
-        CASE WHEN event_id % 4 = 0 THEN 'paused' ELSE 'unpaused' END AS kind, transaction_hash
-      FROM ev_units WHERE event_type = 'signup' AND event_id % 4 IN (0, 1)
+        CASE WHEN event_id % 17 = 0 THEN 'paused' ELSE 'unpaused' END AS kind, transaction_hash
+      FROM ev_units WHERE event_type = 'signup' AND event_id % 17 IN (0, 1)
       QUALIFY row_number() OVER (PARTITION BY contract_id, {strat_of('event_id')} ORDER BY closed_at DESC, transaction_hash DESC) = 1) x""")
 
 ORACLE["allocation_status"] = with_ctes(["flow_units"], f"""SELECT a.transaction_hash AS tx_hash, a.contract_id AS vault, a.closed_at,
   {strat_of('a.vnum')} AS strategy_address, {dec('a.tvl_u - a.tvl_u // 4')} AS allocated, false AS flag, p.closed_at AS changed_at,
-  CASE WHEN p.event_id % 4 = 0 THEN 'paused' ELSE 'active' END AS status
+  CASE WHEN p.event_id % 17 = 0 THEN 'paused' ELSE 'active' END AS status
 FROM flow_units a LEFT JOIN (
-  SELECT contract_id, {strat_of('event_id')} AS strategy, closed_at, event_id FROM ev_units WHERE event_type = 'signup' AND event_id % 4 IN (0, 1)) p
+  SELECT contract_id, {strat_of('event_id')} AS strategy, closed_at, event_id FROM ev_units WHERE event_type = 'signup' AND event_id % 17 IN (0, 1)) p
 ON p.contract_id = a.contract_id AND p.strategy = {strat_of('a.vnum')} AND p.closed_at <= a.closed_at
 WHERE a.event_id % 97 <> 0
 QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY p.closed_at DESC NULLS LAST, p.event_id DESC) = 1""")
@@ -610,7 +645,7 @@ ORACLE["vault_display_name"] = with_ctes(["vault_info"], "SELECT vault, vault_na
 ORACLE["topic_filter"] = with_ctes(["all_events"], "SELECT contract_id, closed_at, transaction_hash FROM all_events WHERE event_type = 'view'")
 ORACLE["event_classify"] = with_ctes(["all_events"], """SELECT transaction_hash, closed_at,
   CASE WHEN event_type = 'error' THEN 'withdraw' ELSE 'deposit' END AS event FROM all_events WHERE event_type IN ('purchase', 'error')""")
-ORACLE["registry_semi_join"] = with_ctes(["all_events"], "SELECT contract_id, closed_at, transaction_hash FROM all_events WHERE event_type <> 'click'")
+ORACLE["registry_semi_join"] = with_ctes(["all_events"], "SELECT contract_id, closed_at, transaction_hash FROM all_events WHERE topics_decoded LIKE '%" + _VT + "%'")
 ORACLE["event_account"] = with_ctes(["ve_tx"], 'SELECT vault, tx_hash, to_addr AS "to" FROM ve_tx')
 ORACLE["event_amount_sum"] = with_ctes(["ve_tx"], f"SELECT vault, tx_hash, {dec('tx_amt_u')} AS amount FROM ve_tx")
 ORACLE["event_tvl"] = with_ctes(["ve_base"], f"SELECT vault, tx_hash, closed_at, {dec('tvl_u')} AS total_amount FROM ve_base WHERE event_id % 97 <> 0")
@@ -707,9 +742,38 @@ _UNWIND = s_map(s_entry("call_params", s_vec(s_vec(s_addr(_STRAT), s_i128("amt_u
 _MOVES = s_vec(s_map(s_entry("amount", s_i128("amt_u")), s_entry("strategy", s_addr(_STRAT))))
 _INVEST = s_map(s_entry("asset_investments", s_vec(s_map(s_entry("asset", s_addr(asset_of("vnum % 5"))), s_entry("strategy_investments", _MOVES)))),
                 s_entry("report", _REPORT))
+_NEXT_USER = s_addr(user_of(1))
+_ASSET_IN = s_addr(asset_of("vnum % 5"))
+_SWAP = s_map(s_entry("swap_args", s_vec_joined(
+    " || ',' || ".join([_ASSET_IN, s_addr("'CA9'"), s_i128("amt_u", _SC), s_i128("(amt_u + event_id)"), "'{\"u64\":' || CAST(event_id + 1700000000 AS VARCHAR) || '}'"])
+    + f" || CASE WHEN event_id % 2 = 0 THEN ',' || {s_vec(_ASSET_IN, s_addr(q('CA8')), s_addr(q('CA9')))} ELSE '' END")))
+_ROLES = ("'{\"map\":[' || " + " || ',' || ".join(f"'{{\"key\":{{\"u32\":{i}}},\"val\":' || {s_addr(user_of(i))} || '}}'" for i in range(3))
+          + f" || CASE WHEN event_id % 2 = 0 THEN ',{{\"key\":{{\"u32\":3}},\"val\":' || {s_addr(user_of(3))} || '}}' ELSE '' END || ']}}'")
+_MEMBERS = s_vec(s_map(s_entry("address", s_addr(_STRAT)), s_entry("name", "'{\"string\":\"main\"}'"),
+                       s_entry("paused", "CASE WHEN event_id % 4 = 0 THEN '{\"bool\":true}' ELSE '{\"bool\":false}' END")))
+_ASSETS = s_vec_joined(
+    s_map(s_entry("address", _ASSET_IN), s_entry("strategies", _MEMBERS)) + " || CASE WHEN event_id % 3 = 0 THEN ',' || "
+    + s_map(s_entry("address", s_addr("'CA9'")), s_entry("strategies", "'{\"vec\":[]}'")) + " ELSE '' END")
+_MOVED = s_map(s_entry("amount", s_i128("amt_u", _SC)), s_entry("from", s_addr(_USER)))
+
+
+def s_u32(x: str) -> str:
+    return f"('{{\"u32\":' || CAST({x} AS VARCHAR) || '}}')"
+
+
+_SIGNUP_JSON = [
+    _PAUSE, _PAUSE, _UNWIND, _INVEST,
+    s_map(s_entry("caller", s_addr(_USER)), s_entry("new_fee_receiver", _NEXT_USER)),
+    s_map(s_entry("new_manager", _NEXT_USER)), s_map(s_entry("new_emergency_manager", _NEXT_USER)), s_map(s_entry("new_rebalance_manager", _NEXT_USER)),
+    _SWAP, _SWAP,
+    s_map(s_entry("assets", _ASSETS), s_entry("roles", _ROLES), s_entry("vault_fee", s_u32("event_id % 1000"))),
+    s_map(s_entry("new_admin", _NEXT_USER)), s_map(s_entry("new_receiver", _NEXT_USER)), s_map(s_entry("new_fee", s_u32("event_id % 10000"))),
+    s_map(s_entry("new_vault_wasm_hash", "'{\"bytes\":\"' || md5(CAST(event_id AS VARCHAR)) || '\"}'")),
+    _MOVED, _MOVED,
+]
 register_cte("ev_json", f"""ev_json AS (
   SELECT *, CASE event_type WHEN 'purchase' THEN {_DEPOSIT} WHEN 'error' THEN {_WITHDRAW} WHEN 'view' THEN {_FEES}
-       WHEN 'click' THEN {_HARVEST} ELSE CASE WHEN event_id % 4 <= 1 THEN {_PAUSE} WHEN event_id % 4 = 2 THEN {_UNWIND} ELSE {_INVEST} END
+       WHEN 'click' THEN {_HARVEST} ELSE CASE event_id % 17 {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_SIGNUP_JSON))} END
      END AS data_decoded
   FROM ev_units)""", ["ev_units"])
 ORACLE["recent_events"] = with_ctes(["ev_json"], """SELECT contract_id, closed_at, transaction_hash, topics_decoded, data_decoded FROM ev_json

@@ -169,10 +169,58 @@ def fee_audit(L: Ledger) -> DataFrame:
     )
 
 
+# -- E1 ----------------------------------------------------------------------------------------
+# role numbers of a vault -> column
+ROLES = ("emergency_manager", "fee_receiver", "manager", "rebalance_manager")
+ROLES_SCHEMA = "struct<map:array<struct<key:struct<u32:int>,val:struct<address:string>>>>"
+SET_SCHEMA = "struct<vec:array<struct<map:array<struct<key:struct<symbol:string>,val:struct<address:string,vec:array<string>>>>>>>"
+STRATEGY_SCHEMA = "struct<map:array<struct<key:struct<symbol:string>,val:struct<address:string,bool:boolean>>>>"
+
+
+def creations(ev: DataFrame) -> DataFrame:
+    """Vault creations with their fee, the address of each role (NULL if not given), all roles as
+    `number:address` in the order of the numbers, and a row per asset (one row with NULL where there is none):
+    its strategies, comma-joined in their order, and how many of them begin paused."""
+    e = F.col("e")
+    staged = ev.where(topic_kind() == "create").select(
+        F.col("transaction_hash").alias("tx_hash"), "closed_at", parse_payload(F.col("data_decoded")).alias("e")
+    ).select(
+        "tx_hash", "closed_at",
+        F.get_json_object(_first(e, ["vault_fee"]), "$.u32").cast("bigint").alias("vault_fee"),
+        F.array_sort(F.transform(
+            F.from_json(_first(e, ["roles"]), ROLES_SCHEMA)["map"],
+            lambda x: F.struct(x["key"]["u32"].alias("role"), x["val"]["address"].alias("address")),
+        )).alias("r"),
+        F.from_json(_first(e, ["assets"]), SET_SCHEMA)["vec"].alias("sets"),
+    )
+    one_of = lambda entries, symbol: F.try_element_at(F.filter(entries, lambda x: x["key"]["symbol"] == symbol), F.lit(1))["val"]
+    role = lambda n: F.try_element_at(F.filter("r", lambda x: x["role"] == n), F.lit(1))["address"]
+    rows = staged.select(
+        "tx_hash", "closed_at", "vault_fee", *(role(n).alias(name) for n, name in enumerate(ROLES)),
+        F.array_join(F.transform("r", lambda x: F.concat(x["role"].cast("string"), F.lit(":"), x["address"])), ",").alias("roles"),
+        F.explode_outer("sets").alias("s"),
+    )
+    rows = rows.withColumn("members", F.transform(
+        one_of(F.col("s")["map"], "strategies")["vec"], lambda x: F.from_json(x, STRATEGY_SCHEMA)["map"]
+    ))
+    return rows.select(
+        "tx_hash", "closed_at", "vault_fee", *ROLES, "roles",
+        one_of(F.col("s")["map"], "address")["address"].alias("asset"),
+        F.array_join(F.transform("members", lambda m: one_of(m, "address")["address"]), ",").alias("strategies"),
+        F.size(F.filter("members", lambda m: one_of(m, "paused")["bool"])).cast("bigint").alias("paused_strategies"),
+    )
+
+
+def vault_creations(L: Ledger) -> DataFrame:
+    return creations(L.contract_events.where((F.col("contract_id") == FACTORY_CONTRACT) & F.col("topics_decoded").like("%create%")))
+
+
 # -- T4 ----------------------------------------------------------------------------------------
 def rebalance(ev: DataFrame) -> DataFrame:
     """Unwind, invest and swap events as one log: a row per strategy moved, with the event's report; a
-    row per swap, with the first amount of its arguments."""
+    row per swap with its assets, both amounts, path (comma-joined) and deadline, read by type and
+    position.  The first amount is the exact one and is `amount`, too: in `swap_exact_in` the one given, so that
+    `amount_out` is the least accepted; in `swap_exact_out` the one wanted, so that `amount_in` is the most given."""
     entries = parse_payload(F.col("data_decoded"))
     base = ev.select(F.col("contract_id").alias("vault"), "closed_at", F.col("transaction_hash").alias("tx_hash"), topic_kind().alias("kind"), entries.alias("e"))
     report = parse_entries(F.get_json_object(_first(F.col("e"), ["report"]), "$.map"))
@@ -189,8 +237,21 @@ def rebalance(ev: DataFrame) -> DataFrame:
     invest = moves.select(
         *keep, F.get_json_object(_first(F.col("m"), ["strategy"]), "$.address").alias("strategy"), i128(_first(F.col("m"), ["amount"])).alias("amount")
     )
-    numbers = F.filter(F.transform(elements(F.col("e"), "swap_args"), i128), lambda x: x.isNotNull())
-    swaps = base.where(F.col("kind").isin("swap_exact_in", "swap_exact_out")).select(*keep, F.try_element_at(numbers, F.lit(1)).alias("amount"))
+    present = lambda f: F.filter(F.transform("args", f), lambda x: x.isNotNull())
+    nth = lambda arr, n: F.try_element_at(arr, F.lit(n))
+    address = lambda v: F.get_json_object(v, "$.address")
+    swaps = base.where(F.col("kind").isin("swap_exact_in", "swap_exact_out")).select(*keep, elements(F.col("e"), "swap_args").alias("args"))
+    swaps = swaps.select(
+        *keep, present(i128).alias("n"), present(address).alias("a"), nth(present(parse_vec), 1).alias("p"),
+        nth(present(lambda v: F.get_json_object(v, "$.u64")), 1).cast("bigint").alias("deadline"),
+    )
+    given = F.col("kind") == "swap_exact_in"
+    first, second = nth(F.col("n"), 1), nth(F.col("n"), 2)
+    swaps = swaps.select(
+        *keep, first.alias("amount"), nth(F.col("a"), 1).alias("asset_in"), nth(F.col("a"), 2).alias("asset_out"),
+        F.when(given, first).otherwise(second).alias("amount_in"), F.when(given, second).otherwise(first).alias("amount_out"),
+        F.array_join(F.transform("p", address), ",").alias("path"), "deadline",
+    )
     return unwind.unionByName(invest).unionByName(swaps, allowMissingColumns=True)
 
 

@@ -90,6 +90,7 @@ PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "vault_ranking": T.vault_ranking,
     "vault_outliers": T.vault_outliers,
     "decode_events": X.decode_events,
+    "vault_creations": X.vault_creations,
     "harvest_step_apy": X.harvest_step_apy,
     "fee_audit": X.fee_audit,
     "rebalance_log": X.rebalance_log,

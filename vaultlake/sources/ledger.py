@@ -7,7 +7,8 @@ DataFrame (one narrow projection per source row, no joins):
   contract_data    registry entries and vault instances (nation), asset contracts (region),
                    strategy reports (lineitem), per-account state values (orders)
   contract_events  one event per `events` row: deposit (purchase), withdraw (error),
-                   fee distribution (view), strategy harvest (click), vault admin events (signup)
+                   fee distribution (view), strategy harvest (click), every other kind but the
+                   emergency withdrawal (signup)
   transactions     one per `orders` row
   prices           one price per (token, day) seen in `events`, with lower duplicates on even days
 
@@ -48,7 +49,15 @@ VAULT_VERSIONS = (1, 2, 3)
 # region key -> asset code of that asset contract ('' = native, '' elsewhere = unknown)
 REGION_ASSET_CODES = {0: "USDC", 1: "", 2: "EURC", 3: "", 4: "AQUA"}
 PRICED_REGIONS = (1, 2, 4)
-SIGNUP_KINDS = ("paused", "unpaused", "unwind", "invest")
+FACTORY_TOPIC = "YieldFactory"
+VAULT_KINDS = (
+    "paused", "unpaused", "unwind", "invest", "fee_receiver_changed", "manager_changed", "emergency_manager_changed",
+    "rebalance_manager_changed", "swap_exact_in", "swap_exact_out",
+)
+FACTORY_KINDS = ("create", "new_admin", "new_receiver", "new_fee_rate", "new_wasm_hash")
+STRATEGY_KINDS = (TOPIC_DEPOSIT, TOPIC_WITHDRAW)
+# a signup event with number i is of kind i % 17
+SIGNUP_KINDS = VAULT_KINDS + FACTORY_KINDS + STRATEGY_KINDS
 
 CONTRACT_DATA_COLUMNS = [
     ("contract_id", "string"),
@@ -486,8 +495,55 @@ class Ledger:
             ),
             J.entry("report", report),
         )
+        next_user = lambda i: J.address(F.concat(F.lit("G"), (F.col("user_id") + i).cast("string")))
+        set_to = lambda symbol, i=1: J.entry(symbol, next_user(i))
+        asset_in, asset_out = J.address(asset_address(vnum % 5)), J.address(F.lit("CA9"))
+        path = F.when(eid % 2 == 0, F.concat(F.lit(","), J.vec(asset_in, J.address(F.lit("CA8")), asset_out))).otherwise("")
+        swap_args = F.concat_ws(
+            ",", asset_in, asset_out, J.i128(amt_u, scalar), J.i128(amt_u + eid),
+            F.concat(F.lit('{"u64":'), (eid + 1700000000).cast("string"), F.lit("}"), path),
+        )
+        u32 = lambda c: F.concat(F.lit('{"u32":'), c.cast("string"), F.lit("}"))
+        role = lambda i: F.concat(F.lit('{"key":{"u32":%d},"val":' % i), next_user(i), F.lit("}"))
+        roles = F.concat(
+            F.lit('{"map":['), F.concat_ws(",", role(0), role(1), role(2)), F.when(eid % 2 == 0, F.concat(F.lit(","), role(3))).otherwise(""), F.lit("]}")
+        )
+        strategies = J.vec(
+            J.scmap(
+                J.entry("address", J.address(strat)),
+                J.entry("name", J.string_val(F.lit("main"))),
+                J.entry("paused", F.when(eid % 4 == 0, F.lit('{"bool":true}')).otherwise('{"bool":false}')),
+            )
+        )
+        assets = J.vec_joined(
+            F.concat(
+                J.scmap(J.entry("address", asset_in), J.entry("strategies", strategies)),
+                F.when(eid % 3 == 0, F.concat(F.lit(","), J.scmap(J.entry("address", asset_out), J.entry("strategies", F.lit('{"vec":[]}'))))).otherwise(""),
+            )
+        )
+        flow = J.scmap(J.entry("amount", J.i128(amt_u, scalar)), J.entry("from", J.address(user)))
+        payloads = {
+            "paused": pause,
+            "unpaused": pause,
+            "unwind": unwind,
+            "invest": invest,
+            "fee_receiver_changed": J.scmap(J.entry("caller", J.address(user)), set_to("new_fee_receiver")),
+            "manager_changed": J.scmap(set_to("new_manager")),
+            "emergency_manager_changed": J.scmap(set_to("new_emergency_manager")),
+            "rebalance_manager_changed": J.scmap(set_to("new_rebalance_manager")),
+            "swap_exact_in": J.scmap(J.entry("swap_args", J.vec_joined(swap_args))),
+            "swap_exact_out": J.scmap(J.entry("swap_args", J.vec_joined(swap_args))),
+            "create": J.scmap(J.entry("assets", assets), J.entry("roles", roles), J.entry("vault_fee", u32(eid % 1000))),
+            "new_admin": J.scmap(set_to("new_admin")),
+            "new_receiver": J.scmap(set_to("new_receiver")),
+            "new_fee_rate": J.scmap(J.entry("new_fee", u32(eid % 10000))),
+            "new_wasm_hash": J.scmap(J.entry("new_vault_wasm_hash", F.concat(F.lit('{"bytes":"'), F.md5(eid.cast("string").cast("binary")), F.lit('"}')))),
+            TOPIC_DEPOSIT: flow,
+            TOPIC_WITHDRAW: flow,
+        }
         et = F.col("event_type")
         vt = cfg.vault_topic
+        sources = [vt] * len(VAULT_KINDS) + [FACTORY_TOPIC] * len(FACTORY_KINDS) + [STRATEGY_TOPIC] * len(STRATEGY_KINDS)
         topics = (
             F.when(et == "purchase", F.lit(J.topics(vt, TOPIC_DEPOSIT)))
             .when((et == "error") & (eid % 50 == 1), F.lit(J.topics(vt, TOPIC_WITHDRAW, TOPIC_DEPOSIT)))
@@ -495,7 +551,7 @@ class Ledger:
             .when(et == "view", F.lit(J.topics(vt, TOPIC_FEES)))
             .when(et == "click", F.lit(J.topics(STRATEGY_TOPIC, TOPIC_HARVEST)))
             .otherwise(
-                F.element_at(F.array(*[F.lit(J.topics(vt, k_)) for k_ in SIGNUP_KINDS]), kind.cast("int") + 1)
+                F.element_at(F.array(*[F.lit(J.topics(s_, k_)) for s_, k_ in zip(sources, SIGNUP_KINDS)]), kind.cast("int") + 1)
             )
         )
         data = (
@@ -503,11 +559,15 @@ class Ledger:
             .when(et == "error", withdraw)
             .when(et == "view", fees)
             .when(et == "click", harvest)
-            .when(kind <= 1, pause)
-            .when(kind == 2, unwind)
-            .otherwise(invest)
+            .otherwise(F.coalesce(*(F.when(kind == i, payloads[k_]) for i, k_ in enumerate(SIGNUP_KINDS))))
+        )
+        signup = et == "signup"
+        first_strategy = len(VAULT_KINDS) + len(FACTORY_KINDS)
+        contract = (
+            F.when((et == "click") | signup & (kind >= first_strategy), strat)
+            .when(signup & (kind >= len(VAULT_KINDS)), F.lit(FACTORY_CONTRACT))
+            .otherwise(vault)
         )
-        contract = F.when(et == "click", strat).otherwise(vault)
         ok = eid % 53 != 0
         return ev.select(
             tx_hash(pair).alias("transaction_hash"),
