@@ -136,5 +136,21 @@ def test_ledger_holds_every_kind_but_one(spark):
     names = {"YieldVault": "vault", "YieldFactory": "factory", "BlendStrategy": "strategy"}
     import json
 
-    kinds = {(names[a], b) for a, b, *_ in ([x["symbol"] for x in json.loads(t)] for _, t, _ in got)}
+    topics = [[x.get("symbol") for x in json.loads(t)] for _, t, _ in got]
+    assert ["transfer", None, None] in topics
+    kinds = {(names[a], b) for a, b, *_ in topics if b}
     assert set(DECODER) - kinds == {("vault", "emergency_withdraw")}
+
+
+def test_events_of_contracts_with_an_asset(spark):
+    """Any state of a contract counts; several contracts may carry the code; broadcast or not gives the same."""
+    from vaultlake.config import VaultConfig
+    from vaultlake.plans.activity import asset_contract_events
+
+    state = spark.createDataFrame([("A", "USDC"), ("A", "OLD"), ("B", "USDC"), ("B", "USDC"), ("C", "EURC"), ("D", None), (None, "USDC"), ("E", "USDC")], "contract_id string, asset_code string")
+    ev = spark.createDataFrame(
+        [("A", "t1", True), ("A", "t1", True), ("A", "t2", True), ("B", "t3", True), ("B", "t4", False), ("C", "t5", True), ("D", "t6", True), (None, "t7", True)],
+        "contract_id string, transaction_hash string, successful boolean").withColumn("closed_at", decode_time())
+    for limit in (100, 0):
+        out = asset_contract_events(Ledger.from_tables(spark, state, ev, config=VaultConfig(max_broadcast_rows=limit)))
+        assert [tuple(x)[:3] for x in out.collect()] == [("A", 3, 2), ("B", 1, 1)]

@@ -279,7 +279,8 @@ ORACLE["pps_at_endpoints"] = with_ctes(
 from vaultlake.sources.encode import topics as _topics  # noqa: E402
 
 _VT = CFG.vault_topic
-# signup events: kind number event_id % 17; 0-9 of a vault, 10-14 of the factory, 15-16 of a strategy
+# signup events: kind number event_id % 18; 0-9 of a vault, 10-14 of the factory, 15-16 of a strategy, 17 of an
+# asset contract
 _SIGNUP_KINDS = {
     _VT: ["paused", "unpaused", "unwind", "invest", "fee_receiver_changed", "manager_changed", "emergency_manager_changed",
           "rebalance_manager_changed", "swap_exact_in", "swap_exact_out"],
@@ -292,15 +293,18 @@ register_cte("all_events", f"""all_events AS (
     'T' || lpad(CAST(event_id // 2 AS VARCHAR), 10, '0') AS transaction_hash,
     event_id // 2 AS transaction_id,
     event_id % 53 <> 0 AS successful,
-    CASE WHEN event_type = 'click' OR event_type = 'signup' AND event_id % 17 >= 15 THEN {strat_of('event_id')}
-         WHEN event_type = 'signup' AND event_id % 17 >= 10 THEN '{FACTORY_CONTRACT}'
+    CASE WHEN event_type = 'signup' AND event_id % 18 = 17 THEN {asset_of('((event_id // 2) % 25) % 5')}
+         WHEN event_type = 'click' OR event_type = 'signup' AND event_id % 18 >= 15 THEN {strat_of('event_id')}
+         WHEN event_type = 'signup' AND event_id % 18 >= 10 THEN '{FACTORY_CONTRACT}'
          ELSE {vault_of('(event_id // 2) % 25')} END AS contract_id,
     CASE WHEN event_type = 'purchase' THEN '{_topics(_VT, 'deposit')}'
          WHEN event_type = 'error' AND event_id % 50 = 1 THEN '{_topics(_VT, 'withdraw', 'deposit')}'
          WHEN event_type = 'error' THEN '{_topics(_VT, 'withdraw')}'
          WHEN event_type = 'view' THEN '{_topics(_VT, 'dfees')}'
          WHEN event_type = 'click' THEN '{_topics('BlendStrategy', 'harvest')}'
-         ELSE list_extract({_SIGNUP}, CAST(event_id % 17 AS INTEGER) + 1) END AS topics_decoded,
+         WHEN event_id % 18 = 17 THEN '[{{"symbol":"transfer"}},{{"address":"G' || CAST(user_id AS VARCHAR) || '"}},{{"address":"'
+           || {vault_of('(event_id // 2) % 25')} || '"}}]'
+         ELSE list_extract({_SIGNUP}, CAST(event_id % 18 AS INTEGER) + 1) END AS topics_decoded,
     ts + to_microseconds(CAST((event_id % 60 + 1) * 1000000 AS BIGINT)) AS ingested_at
   FROM events)""", [])
 register_cte("txs", """txs AS (
@@ -342,10 +346,14 @@ FROM h WHERE prev IS NULL OR cur <> prev"""
 ORACLE["events_transactions"] = with_ctes(["all_events", "txs"], """SELECT e.contract_id, e.closed_at, e.topics_decoded,
   t.account, t.fee_charged, t.operation_count
 FROM all_events e JOIN txs t ON t.transaction_hash = e.transaction_hash WHERE e.successful""")
-ORACLE["asset_contract_events"] = with_ctes(["all_events", "vault_info"], """SELECT e.contract_id, count(*) AS num_events,
+ORACLE["asset_vault_events"] = with_ctes(["all_events", "vault_info"], """SELECT e.contract_id, count(*) AS num_events,
   count(DISTINCT e.transaction_hash) AS num_transactions, min(e.closed_at) AS first_event, max(e.closed_at) AS last_event
 FROM all_events e WHERE e.successful AND e.contract_id IN (SELECT vault FROM vault_info WHERE asset_code = 'USDC')
 GROUP BY e.contract_id""")
+ORACLE["asset_contract_events"] = with_ctes(["all_events"], f"""SELECT e.contract_id, count(*) AS num_events,
+  count(DISTINCT transaction_hash) AS num_transactions, min(closed_at) AS first_event, max(closed_at) AS last_event
+FROM all_events e JOIN (SELECT DISTINCT {asset_of('r_regionkey')} AS contract_id FROM region WHERE r_regionkey = 0) c
+ON c.contract_id = e.contract_id WHERE e.successful GROUP BY e.contract_id""")
 ORACLE["hourly_counts_filled"] = with_ctes(["all_events", "vault_info"], f"""SELECT v.vault AS contract_id, h.hour,
   coalesce(c.events_count, 0) AS events_count
 FROM vault_info v
@@ -518,18 +526,18 @@ register_cte("ev_units", """ev_units AS (
   FROM all_events e)""", ["all_events"])
 ORACLE["decode_events"] = with_ctes(["ev_units"], f"""SELECT transaction_hash AS tx_hash, contract_id, closed_at,
   CASE event_type WHEN 'purchase' THEN 'deposit' WHEN 'error' THEN 'withdraw' WHEN 'view' THEN 'dfees' WHEN 'click' THEN 'harvest'
-       ELSE list_extract({_KINDS}, CAST(event_id % 17 AS INTEGER) + 1) END AS kind,
-  CASE WHEN event_type = 'view' OR event_type = 'signup' AND event_id % 17 NOT IN (0, 1, 4, 15, 16) THEN NULL ELSE {user_of(0)} END AS account,
-  CASE WHEN event_type = 'signup' AND event_id % 17 IN (0, 1) THEN {strat_of('event_id')} END AS strategy,
-  CASE WHEN event_type IN ('purchase', 'error', 'click') OR event_type = 'signup' AND event_id % 17 >= 15 THEN {dec('amt_u')} END AS amount,
+       ELSE list_extract({_KINDS}, CAST(event_id % 18 AS INTEGER) + 1) END AS kind,
+  CASE WHEN event_type = 'view' OR event_type = 'signup' AND event_id % 18 NOT IN (0, 1, 4, 15, 16) THEN NULL ELSE {user_of(0)} END AS account,
+  CASE WHEN event_type = 'signup' AND event_id % 18 IN (0, 1) THEN {strat_of('event_id')} END AS strategy,
+  CASE WHEN event_type IN ('purchase', 'error', 'click') OR event_type = 'signup' AND event_id % 18 IN (15, 16) THEN {dec('amt_u')} END AS amount,
   CASE WHEN event_type IN ('purchase', 'error') THEN CAST({dec('amt_u')} AS VARCHAR) || CASE WHEN event_id % 5 = 0 THEN ',0.0100000' ELSE '' END END AS amounts,
   CASE WHEN event_type IN ('purchase', 'error') THEN {dec(_SHARES_U)} END AS shares,
   CASE WHEN event_type <> 'signup' THEN NULL
-       WHEN event_id % 17 IN (4, 5, 6, 7, 11, 12) THEN {user_of(1)}
-       WHEN event_id % 17 = 10 THEN CAST(event_id % 1000 AS VARCHAR)
-       WHEN event_id % 17 = 13 THEN CAST(event_id % 10000 AS VARCHAR)
-       WHEN event_id % 17 = 14 THEN md5(CAST(event_id AS VARCHAR)) END AS detail
-FROM ev_units""")
+       WHEN event_id % 18 IN (4, 5, 6, 7, 11, 12) THEN {user_of(1)}
+       WHEN event_id % 18 = 10 THEN CAST(event_id % 1000 AS VARCHAR)
+       WHEN event_id % 18 = 13 THEN CAST(event_id % 10000 AS VARCHAR)
+       WHEN event_id % 18 = 14 THEN md5(CAST(event_id AS VARCHAR)) END AS detail
+FROM ev_units WHERE NOT (event_type = 'signup' AND event_id % 18 = 17)""")
 
 
 def _apy_expr(start: str, end: str, t0: str, t1: str) -> str:
@@ -548,16 +556,16 @@ FROM (SELECT strategy_address, closed_at, hash, price_per_share,
       FROM harvest_events) x""")
 ORACLE["fee_audit"] = with_ctes(["fee_tuples"], """SELECT recipient_address, sum(fee_amount) AS total_fees, count(*) AS tuples
 FROM fee_tuples GROUP BY ROLLUP (recipient_address)""")
-ORACLE["rebalance_log"] = with_ctes(["ev_units"], f"""SELECT list_extract({_KINDS}, CAST(event_id % 17 AS INTEGER) + 1) AS kind,
+ORACLE["rebalance_log"] = with_ctes(["ev_units"], f"""SELECT list_extract({_KINDS}, CAST(event_id % 18 AS INTEGER) + 1) AS kind,
   contract_id AS vault, closed_at, transaction_hash AS tx_hash, CASE WHEN NOT swap THEN {strat_of('event_id')} END AS strategy,
   {dec('amt_u')} AS amount, CASE WHEN NOT swap THEN {dec('amt_u')} END AS gains_or_losses,
   CASE WHEN NOT swap THEN {dec('0')} END AS locked_fee, CASE WHEN NOT swap THEN {dec('tvl_u')} END AS prev_balance,
   CASE WHEN swap THEN {asset_of('vnum % 5')} END AS asset_in, CASE WHEN swap THEN 'CA9' END AS asset_out,
-  CASE event_id % 17 WHEN 8 THEN {dec('amt_u')} WHEN 9 THEN {dec('amt_u + event_id')} END AS amount_in,
-  CASE event_id % 17 WHEN 9 THEN {dec('amt_u')} WHEN 8 THEN {dec('amt_u + event_id')} END AS amount_out,
+  CASE event_id % 18 WHEN 8 THEN {dec('amt_u')} WHEN 9 THEN {dec('amt_u + event_id')} END AS amount_in,
+  CASE event_id % 18 WHEN 9 THEN {dec('amt_u')} WHEN 8 THEN {dec('amt_u + event_id')} END AS amount_out,
   CASE WHEN swap AND event_id % 2 = 0 THEN {asset_of('vnum % 5')} || ',CA8,CA9' END AS path,
   CASE WHEN swap THEN CAST(1700000000 + event_id AS BIGINT) END AS deadline
-FROM (SELECT *, event_id % 17 IN (8, 9) AS swap FROM ev_units) x WHERE event_type = 'signup' AND event_id % 17 IN (2, 3, 8, 9)""")
+FROM (SELECT *, event_id % 18 IN (8, 9) AS swap FROM ev_units) x WHERE event_type = 'signup' AND event_id % 18 IN (2, 3, 8, 9)""")
 ORACLE["vault_creations"] = with_ctes(["ev_units"], f"""SELECT transaction_hash AS tx_hash, closed_at, CAST(event_id % 1000 AS BIGINT) AS vault_fee,
   {user_of(0)} AS emergency_manager, {user_of(1)} AS fee_receiver, {user_of(2)} AS manager,
   CASE WHEN event_id % 2 = 0 THEN {user_of(3)} END AS rebalance_manager,
@@ -566,7 +574,7 @@ ORACLE["vault_creations"] = with_ctes(["ev_units"], f"""SELECT transaction_hash
   CASE WHEN second THEN '' ELSE {strat_of('event_id')} END AS strategies,
   CAST(CASE WHEN NOT second AND event_id % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS paused_strategies
 FROM (SELECT e.*, s.second FROM ev_units e, (VALUES (false), (true)) s(second)) x
-WHERE event_type = 'signup' AND event_id % 17 = 10 AND (NOT second OR event_id % 3 = 0)""")
+WHERE event_type = 'signup' AND event_id % 18 = 10 AND (NOT second OR event_id % 3 = 0)""")
 register_cte("flow_units", """flow_units AS (
   SELECT * FROM ev_units WHERE event_type IN ('purchase', 'error'))""", ["ev_units"])
 ORACLE["share_price"] = with_ctes(["flow_units"], f"""SELECT transaction_hash AS tx_hash, contract_id AS vault, closed_at,
@@ -604,15 +612,15 @@ FROM flow_units WHERE event_id % 97 <> 0 AND event_id % 11 = 0""")
 ORACLE["strategy_status"] = with_ctes(["ev_units"], f"""SELECT vault, strategy_address, changed_at,
   CASE WHEN kind = 'paused' THEN 'paused' ELSE 'active' END AS status
 FROM (SELECT contract_id AS vault, {strat_of('event_id')} AS strategy_address, closed_at AS changed_at,
-        CASE WHEN event_id % 17 = 0 THEN 'paused' ELSE 'unpaused' END AS kind, transaction_hash
-      FROM ev_units WHERE event_type = 'signup' AND event_id % 17 IN (0, 1)
+        CASE WHEN event_id % 18 = 0 THEN 'paused' ELSE 'unpaused' END AS kind, transaction_hash
+      FROM ev_units WHERE event_type = 'signup' AND event_id % 18 IN (0, 1)
       QUALIFY row_number() OVER (PARTITION BY contract_id, {strat_of('event_id')} ORDER BY closed_at DESC, transaction_hash DESC) = 1) x""")
 
 ORACLE["allocation_status"] = with_ctes(["flow_units"], f"""SELECT a.transaction_hash AS tx_hash, a.contract_id AS vault, a.closed_at,
   {strat_of('a.vnum')} AS strategy_address, {dec('a.tvl_u - a.tvl_u // 4')} AS allocated, false AS flag, p.closed_at AS changed_at,
-  CASE WHEN p.event_id % 17 = 0 THEN 'paused' ELSE 'active' END AS status
+  CASE WHEN p.event_id % 18 = 0 THEN 'paused' ELSE 'active' END AS status
 FROM flow_units a LEFT JOIN (
-  SELECT contract_id, {strat_of('event_id')} AS strategy, closed_at, event_id FROM ev_units WHERE event_type = 'signup' AND event_id % 17 IN (0, 1)) p
+  SELECT contract_id, {strat_of('event_id')} AS strategy, closed_at, event_id FROM ev_units WHERE event_type = 'signup' AND event_id % 18 IN (0, 1)) p
 ON p.contract_id = a.contract_id AND p.strategy = {strat_of('a.vnum')} AND p.closed_at <= a.closed_at
 WHERE a.event_id % 97 <> 0
 QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY p.closed_at DESC NULLS LAST, p.event_id DESC) = 1""")
@@ -769,11 +777,11 @@ _SIGNUP_JSON = [
     s_map(s_entry("assets", _ASSETS), s_entry("roles", _ROLES), s_entry("vault_fee", s_u32("event_id % 1000"))),
     s_map(s_entry("new_admin", _NEXT_USER)), s_map(s_entry("new_receiver", _NEXT_USER)), s_map(s_entry("new_fee", s_u32("event_id % 10000"))),
     s_map(s_entry("new_vault_wasm_hash", "'{\"bytes\":\"' || md5(CAST(event_id AS VARCHAR)) || '\"}'")),
-    _MOVED, _MOVED,
+    _MOVED, _MOVED, s_i128("amt_u", _SC),
 ]
 register_cte("ev_json", f"""ev_json AS (
   SELECT *, CASE event_type WHEN 'purchase' THEN {_DEPOSIT} WHEN 'error' THEN {_WITHDRAW} WHEN 'view' THEN {_FEES}
-       WHEN 'click' THEN {_HARVEST} ELSE CASE event_id % 17 {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_SIGNUP_JSON))} END
+       WHEN 'click' THEN {_HARVEST} ELSE CASE event_id % 18 {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_SIGNUP_JSON))} END
      END AS data_decoded
   FROM ev_units)""", ["ev_units"])
 ORACLE["recent_events"] = with_ctes(["ev_json"], """SELECT contract_id, closed_at, transaction_hash, topics_decoded, data_decoded FROM ev_json

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vaultlake.config import KEY_INSTANCE, KEY_MAP, TOPIC_DEPOSIT
 from vaultlake.functions.time import day_bucket, hour_bucket
-from vaultlake.operators.joins import bounded
+from vaultlake.operators.joins import bounded, semi_join
 from vaultlake.operators.latest import latest_per_key
 from vaultlake.operators.ordered import lag_by_key, rolling_mean_rows
 from vaultlake.operators.quantiles import exact_quantiles
@@ -140,9 +140,7 @@ def state_changes(L: Ledger, key_type: str = KEY_MAP) -> DataFrame:
         "closed_at",
         F.col("val_decoded").alias("current_state"),
         prev.alias("previous_state"),
-        F.when(prev.isNull(), F.lit("CREATED")).when(F.col("val_decoded") != prev, F.lit("MODIFIED")).otherwise(
-            F.lit("NO_CHANGE")
-        ).alias("change_type"),
+        F.when(prev.isNull(), F.lit("CREATED")).otherwise(F.lit("MODIFIED")).alias("change_type"),
     )
 
 
@@ -168,12 +166,8 @@ def events_latest_state(L: Ledger) -> DataFrame:
 
 
 # -- D11 ---------------------------------------------------------------------------------------
-def asset_contract_events(L: Ledger, asset_code: str = "USDC") -> DataFrame:
-    """Event totals of the vault contracts holding `asset_code`."""
-    vi = vault_info_dim(L).where(F.col("asset_code") == asset_code).select(F.col("vault").alias("contract_id")).distinct()
-    e = L.contract_events.where(F.col("successful"))
-    j = e.join(bounded(vi, L.cfg.max_broadcast_rows), "contract_id")
-    return j.groupBy("contract_id").agg(
+def _event_totals(ev: DataFrame) -> DataFrame:
+    return ev.groupBy("contract_id").agg(
         F.count(F.lit(1)).alias("num_events"),
         F.countDistinct("transaction_hash").alias("num_transactions"),
         F.min("closed_at").alias("first_event"),
@@ -181,6 +175,23 @@ def asset_contract_events(L: Ledger, asset_code: str = "USDC") -> DataFrame:
     ).orderBy(F.col("num_events").desc(), "contract_id")
 
 
+def asset_contract_events(L: Ledger, asset_code: str = "USDC") -> DataFrame:
+    """Event totals of the contracts that carry `asset_code` in any of their states.  Any account can issue an
+    asset of that code, so the set of contracts has no bound: it is kept, counted, and broadcast if it is
+    small, else the semi-join is shuffled (with the runtime Bloom filter, where Catalyst finds it pays)."""
+    contracts = L.dim(
+        f"asset_contracts/{asset_code}",
+        lambda: L.contract_data.where(F.col("asset_code") == asset_code).select("contract_id").distinct(),
+    )
+    return _event_totals(semi_join(L.contract_events.where("successful"), contracts, "contract_id", "contract_id", L.cfg.max_broadcast_rows))
+
+
+def asset_vault_events(L: Ledger, asset_code: str = "USDC") -> DataFrame:
+    """Event totals of the vault contracts holding `asset_code`."""
+    vi = vault_info_dim(L).where(F.col("asset_code") == asset_code).select(F.col("vault").alias("contract_id")).distinct()
+    return _event_totals(L.contract_events.where("successful").join(bounded(vi, L.cfg.max_broadcast_rows), "contract_id"))
+
+
 # -- D12 ---------------------------------------------------------------------------------------
 def hourly_counts_filled(L: Ledger, days: int = 7, as_of: str | None = None) -> DataFrame:
     """Hourly event counts per vault over the last `days` days, hours without events as 0.

@@ -52,6 +52,7 @@ PLANS: dict[str, Callable[[Ledger], DataFrame]] = {
     "events_transactions": A.events_transactions,
     "events_latest_state": A.events_latest_state,
     "asset_contract_events": A.asset_contract_events,
+    "asset_vault_events": A.asset_vault_events,
     "hourly_counts_filled": A.hourly_counts_filled,
     "moving_avg_rank": A.moving_avg_rank,
     "user_activity": A.user_activity,

@@ -8,7 +8,7 @@ DataFrame (one narrow projection per source row, no joins):
                    strategy reports (lineitem), per-account state values (orders)
   contract_events  one event per `events` row: deposit (purchase), withdraw (error),
                    fee distribution (view), strategy harvest (click), every other kind but the
-                   emergency withdrawal (signup)
+                   emergency withdrawal, and transfers of asset contracts (signup)
   transactions     one per `orders` row
   prices           one price per (token, day) seen in `events`, with lower duplicates on even days
 
@@ -56,8 +56,9 @@ VAULT_KINDS = (
 )
 FACTORY_KINDS = ("create", "new_admin", "new_receiver", "new_fee_rate", "new_wasm_hash")
 STRATEGY_KINDS = (TOPIC_DEPOSIT, TOPIC_WITHDRAW)
-# a signup event with number i is of kind i % 17
-SIGNUP_KINDS = VAULT_KINDS + FACTORY_KINDS + STRATEGY_KINDS
+ASSET_KINDS = ("transfer",)  # of an asset contract: sender and receiver are topics
+# a signup event with number i is of kind i % 18
+SIGNUP_KINDS = VAULT_KINDS + FACTORY_KINDS + STRATEGY_KINDS + ASSET_KINDS
 
 CONTRACT_DATA_COLUMNS = [
     ("contract_id", "string"),
@@ -540,6 +541,7 @@ class Ledger:
             "new_wasm_hash": J.scmap(J.entry("new_vault_wasm_hash", F.concat(F.lit('{"bytes":"'), F.md5(eid.cast("string").cast("binary")), F.lit('"}')))),
             TOPIC_DEPOSIT: flow,
             TOPIC_WITHDRAW: flow,
+            "transfer": J.i128(amt_u, scalar),
         }
         et = F.col("event_type")
         vt = cfg.vault_topic
@@ -550,6 +552,9 @@ class Ledger:
             .when(et == "error", F.lit(J.topics(vt, TOPIC_WITHDRAW)))
             .when(et == "view", F.lit(J.topics(vt, TOPIC_FEES)))
             .when(et == "click", F.lit(J.topics(STRATEGY_TOPIC, TOPIC_HARVEST)))
+            .when(kind == SIGNUP_KINDS.index("transfer"), F.concat(
+                F.lit('[{"symbol":"transfer"},'), J.address(user), F.lit(","), J.address(vault), F.lit("]")
+            ))
             .otherwise(
                 F.element_at(F.array(*[F.lit(J.topics(s_, k_)) for s_, k_ in zip(sources, SIGNUP_KINDS)]), kind.cast("int") + 1)
             )
@@ -564,7 +569,8 @@ class Ledger:
         signup = et == "signup"
         first_strategy = len(VAULT_KINDS) + len(FACTORY_KINDS)
         contract = (
-            F.when((et == "click") | signup & (kind >= first_strategy), strat)
+            F.when(signup & (kind >= first_strategy + len(STRATEGY_KINDS)), asset_address(vnum % 5))
+            .when((et == "click") | signup & (kind >= first_strategy), strat)
             .when(signup & (kind >= len(VAULT_KINDS)), F.lit(FACTORY_CONTRACT))
             .otherwise(vault)
         )
