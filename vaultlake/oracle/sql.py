@@ -796,8 +796,12 @@ _INSTANCE = ("('{\"contract_instance\":{\"executable\":{\"wasm\":\"00\"},\"stora
              + " || '},{\"key\":{\"symbol\":\"AssetStrategySet\"},\"val\":' || "
              + s_map(s_entry("address", s_addr(asset_of("r"))), s_entry("strategies", "'{\"vec\":[]}'"))
              + " || '}]}}')")
-ORACLE["events_latest_state"] = with_ctes(["all_events", "nat"], f"""SELECT e.contract_id, e.closed_at, e.topics_decoded, {_INSTANCE} AS contract_metadata
-FROM all_events e JOIN nat ON nat.vault = e.contract_id WHERE e.successful""")
+ORACLE["events_latest_state"] = with_ctes(["all_events", "nat"], f"""SELECT e.contract_id, e.closed_at, e.topics_decoded, s.state AS contract_metadata
+FROM all_events e JOIN (
+  SELECT vault AS contract_id, {_INSTANCE} AS state FROM nat
+  UNION ALL
+  SELECT {asset_of('r_regionkey')}, '{{"contract_instance":{{"executable":{{"stellar_asset":null}},"storage":[]}}}}' FROM region) s
+ON s.contract_id = e.contract_id WHERE e.successful""")
 _REPORT_SC = "(l_linenumber % 3 = 0)"
 _REPORT_KEY = "('{\"vec\":[{\"symbol\":\"Report\"},' || " + s_addr(strat_of("l_partkey")) + " || ']}')"
 _REPORT_VAL = s_map(
