@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
+
 T0 = datetime(2024, 1, 1)
 KINDS = ("purchase", "error", "view", "click", "signup")
 
@@ -26,5 +28,5 @@ def write_tables(spark, folder, n=600, lines=400) -> str:
         ),
     }
     for name, (rows, schema) in tables.items():
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+        pq.write_table(spark.createDataFrame(rows, schema).toArrow(), f"{folder}/{name}.parquet")
     return str(folder)
