@@ -17,11 +17,12 @@ from vaultlake.operators.ordered import _runs, _same_run
 
 def asof_join(
     left: DataFrame, right: DataFrame, key: Sequence[str], left_time: str, right_time: str, values: Sequence[str],
-    order: Sequence[str] = (), partitions: int | None = None,
+    order: Sequence[str] = (), partitions: int | None = None, cuts_of: DataFrame | None = None,
 ) -> DataFrame:
     """`left` with `values` of the newest row of `right` at or before `left_time`; NULL where there is none.  Of
     right rows of one time the largest by `order`, then `values`, counts.  Rows without a key or time match
-    nothing; every left row stays, repeated ones too."""
+    nothing; every left row stays, repeated ones too.  `cuts_of`: rows with `left_time` that are cheaper to
+    compute than `left`; the slices are cut by them."""
     key, values = list(key), list(values)
     known = F.lit(True)
     for k in [*key, right_time]:
@@ -30,7 +31,8 @@ def asof_join(
     r = right.where(known).groupBy(*key, F.col(right_time).alias("__t")).agg(pick.alias("__r")).withColumn("__side", F.lit(0))
     l = left.select(*key, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in left.columns]).alias("__l"))
     both = l.unionByName(r, allowMissingColumns=True)
-    rows, w = _runs(both, key, ["__t", "__side"], partitions)
+    cuts = None if cuts_of is None else cuts_of.select(F.col(left_time).alias("__t"))
+    rows, w = _runs(both, key, ["__t", "__side"], partitions, cuts)
     so_far = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("__here", so_far)
     edge = F.max(F.when(F.col("__side") == 0, F.struct("__t", "__r")))

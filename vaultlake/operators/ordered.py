@@ -43,13 +43,17 @@ def _axis(df: DataFrame, col: str) -> Column:
     return c.cast("bigint")
 
 
-def _runs(df: DataFrame, key: Sequence[str], order: Sequence[str], partitions: int | None) -> tuple[DataFrame, Window]:
+def _runs(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], partitions: int | None, cuts_of: DataFrame | None = None
+) -> tuple[DataFrame, Window]:
+    """`df` with its segments, and the window of a run.  `cuts_of`: rows with the first order column that are
+    cheaper to compute than `df`; the cuts are taken from them."""
     spark = df.sparkSession
     n = min(MOST_SLICES, (partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4)
     pos = _axis(df, order[0])
     # one scalar subquery (a single scan) for the cuts
     shares = F.array(*[F.lit(i / n) for i in range(1, n)])
-    cuts = df.select(pos.alias("__x")).agg(F.percentile_approx("__x", shares, F.lit(1000))).scalar()
+    cuts = (df if cuts_of is None else cuts_of).select(pos.alias("__x")).agg(F.percentile_approx("__x", shares, F.lit(1000))).scalar()
     r = df.withColumn("__cuts", cuts).withColumn("__at", pos)
     r = r.withColumn("__pid", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__at"))), F.lit(-1)).cast("bigint"))
     r = r.drop("__cuts", "__at")

@@ -333,8 +333,9 @@ def fee_split(L: Ledger, vault_fee_bps: int = 1000, protocol_fee_bps: int = 500)
 # -- T8 ----------------------------------------------------------------------------------------
 def report_deltas(L: Ledger) -> DataFrame:
     """Change of each strategy report's balance against the previous report of the same
-    (vault, strategy)."""
-    r = report_pivot(L)
+    (vault, strategy).  Cuts, rows and edges of the ordered operator read the reports, which are decoded once
+    and kept on the executors' disks."""
+    r = L.kept("report_pivot", lambda: report_pivot(L))
     order = ["closed_at", "ledger_sequence", "locked_fee", "gains_or_losses", "prev_balance"]
     p = lag_by_key(r, ["vault", "strategy_address"], order, ["prev_balance"], prefix="last_")
     return p.select(
@@ -407,7 +408,7 @@ def allocation_status(L: Ledger) -> DataFrame:
     before), beside the flag that the allocation itself carries."""
     a = allocations(L).where(F.col("strategy_address").isNotNull())
     p = _pauses(L).withColumn("changed_at", F.col("closed_at"))
-    j = asof_join(a, p, ["vault", "strategy_address"], "closed_at", "closed_at", ["is_paused", "changed_at"], PAUSE_ORDER[:2])
+    j = asof_join(a, p, ["vault", "strategy_address"], "closed_at", "closed_at", ["is_paused", "changed_at"], PAUSE_ORDER[:2], cuts_of=L.contract_events)
     return j.select(
         "tx_hash", "vault", "closed_at", "strategy_address", "allocated", F.col("paused").alias("flag"), "changed_at",
         F.when(F.col("is_paused"), F.lit("paused")).otherwise(F.lit("active")).alias("status"),

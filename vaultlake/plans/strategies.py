@@ -206,11 +206,11 @@ def _decoded_reports(snaps: DataFrame) -> DataFrame:
 
 def report_pivot(L: Ledger) -> DataFrame:
     """Per distinct snapshot: locked_fee, gains_or_losses, prev_balance (largest if repeated);
-    snapshots with an empty or unreadable value map are dropped."""
-    snaps = _decoded_reports(report_snapshots(L))
-    return snaps.dropDuplicates(["vault", "closed_at", "ledger_sequence", "strategy_address", "val_decoded"]).drop(
-        "val_decoded"
-    )
+    snapshots with an empty or unreadable value map are dropped.  Few snapshots repeat, so they are dealt out
+    by ledger before the distinct (no aggregate of near-unique rows on the map side, as many parts as the data
+    need), and only distinct ones are decoded."""
+    snaps = report_snapshots(L).repartition(L.parts, "ledger_sequence", "closed_at", "vault").distinct()
+    return _decoded_reports(snaps).drop("val_decoded")
 
 
 def _newest_snapshots(L: Ledger) -> DataFrame:
